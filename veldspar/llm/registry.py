@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join
+from . import chat_format, exact_dedup, jaccard_join, lm_bloom, packing, pii_infotheory, quality_cotrain, topk_maxscore, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_chat_format": chat_format.op1_chat_format,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_lm_bloom": lm_bloom.op4_lm_bloom,
+        "op5_harmonic_packing": packing.op5_harmonic_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_quality_cotrain": quality_cotrain.op7_quality_cotrain,
+        "op8_pii_infotheory": pii_infotheory.op8_pii_infotheory,
+        "op9_topk_maxscore": topk_maxscore.op9_topk_maxscore,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.SQL}
+    return {"op1_chat_format": chat_format.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_topk_maxscore": topk_maxscore.SQL}
