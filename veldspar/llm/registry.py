@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, jaccard_join, lm_bloom, packing, pii_infotheory, quality_cotrain, topk_maxscore, toxicity
+from . import chat_format, exact_dedup, jaccard_join, lm_bloom, packing, pii_infotheory, quality_cotrain, sp_sampling, topk_maxscore, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
+        "op2_sp_sampling": sp_sampling.op2_sp_sampling,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_lm_bloom": lm_bloom.op4_lm_bloom,
         "op5_harmonic_packing": packing.op5_harmonic_packing,
