@@ -99,31 +99,41 @@ def projected(df: DataFrame, matrix: np.ndarray, vector: str = "embedding") -> D
     return df.mapInArrow(made, schema)
 
 
-def greedy_coreset(df: DataFrame, size: int, id_col: str = "vec_id", vector: str = "embedding", anchors: int = 10, keep_every: int = 16) -> DataFrame:
+def _updated(df: DataFrame, centres: list[list[float]], chosen: int | None, mean: bool = False) -> DataFrame:
+    """The column least lowered to the distance from a centre (or set to the mean distance from several), and -1 for the
+    row that is chosen."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, least = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            x = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
+            d = distances(x, np.asarray(centres))
+            new = d.mean(axis=1) if mean else np.where(least < 0, least, np.minimum(least, d[:, 0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.where(ids == chosen, -1.0, new) if chosen is not None else new)], ["id", "v", "least"])
+
+    return df.mapInArrow(made, "id long, v array<double>, least double")
+
+
+def greedy_coreset(df: DataFrame, size: int, id_col: str = "vec_id", vector: str = "embedding", anchors: int = 10, keep_every: int = 8) -> DataFrame:
     """(selection_order, id, distance) of a greedy k-centre selection.
 
     The first centre is farthest on average from ``anchors`` rows chosen by hash; each next one is the row farthest from
     the centres so far, ties to the smaller id. A step is one aggregation over the rows, whose running least distance is
     stored every ``keep_every`` steps; the driver sees one row a step.
     """
-    from ..functions.vectors import distance
-
     spark = df.sparkSession
-    x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("least")).where("id is not null and v is not null")
     first = [r["v"] for r in x.orderBy(F.xxhash64("id"), "id").limit(anchors).collect()]
     if not first:
         return spark.createDataFrame([], "selection_order int, id long, distance double")
-    literal = lambda v: F.array(*[F.lit(float(c)) for c in v])
-    mean = sum((distance(F.col("v"), literal(a)) for a in first), F.lit(0.0)) / len(first)
-    now, chosen = stored(x.withColumn("least", mean)), []
+    now, chosen = stored(_updated(x, first, None, mean=True)), []
+    plain = now.withColumn("least", F.lit(float("inf")))
     for step in range(size):
         far = now.where("least >= 0").agg(F.min(F.struct((-F.col("least")).alias("a"), "id", "v")).alias("m")).first()["m"]
         if far is None or (step and far["a"] == 0):
             break
         chosen.append((step, far["id"], -far["a"]))
-        d = distance(F.col("v"), literal(far["v"]))
-        least = d if step == 0 else F.when(F.col("least") < 0, F.col("least")).otherwise(F.least("least", d))
-        now = now.withColumn("least", F.when(F.col("id") == far["id"], F.lit(-1.0)).otherwise(least))
+        now = _updated(now if step else plain, [far["v"]], far["id"])
         if step % keep_every == keep_every - 1:
             now = stored(now)
     return spark.createDataFrame(chosen, "selection_order int, id long, distance double")

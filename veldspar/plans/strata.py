@@ -25,14 +25,14 @@ def reference_bands(spark, sf_dir):
     return predictions(spark, sf_dir).select("image_id", band.alias("band"))
 
 
-@query("A3 A8 J14", _EDGES + """, g AS (SELECT kind, size_quartile, count(*) AS n, count(*) FILTER (score > 60) AS detected, count(*) FILTER (NOT score > 60) AS missed, min(size) AS min_size, max(size) AS max_size,
+@query("A3 A8 J14", _EDGES + """, g AS (SELECT kind, size_quartile, count(*) AS n, count(*) FILTER (score > 60) AS detected, count(*) FILTER (NOT score > 60) AS missed, CAST(min(size) AS DOUBLE) AS min_size, CAST(max(size) AS DOUBLE) AS max_size,
 quantile_cont(size, 0.5) AS median_size, quantile_cont(score, 0.5) AS median_score, quantile_cont(score - 60, 0.5) AS median_margin FROM q GROUP BY kind, size_quartile),
 d AS (SELECT k.kind, b.size_quartile FROM (SELECT DISTINCT kind FROM pred UNION SELECT 'none') k, (SELECT unnest(['Q1', 'Q2', 'Q3', 'Q4']) AS size_quartile) b)
 SELECT d.kind, d.size_quartile, coalesce(n, 0) AS n, coalesce(detected, 0) AS detected, coalesce(missed, 0) AS missed, round(detected / nullif(n, 0), 6) AS recall, min_size, max_size,
 round(median_size, 6) AS median_size, round(median_score, 6) AS median_score, round(median_margin, 6) AS median_margin FROM d LEFT JOIN g USING (kind, size_quartile)""")
 def group_summary_keep_empty(spark, sf_dir):
     p = predictions(spark, sf_dir).withColumns({"v": F.col("size").cast("double"), "flag": F.col("score") > 60, "margin": F.col("score") - 60})
-    g = strata.summary(strata.size_quartiles(p, "v"), ["kind", "size_quartile"], "flag", "size", "score", "margin")
+    g = strata.summary(strata.size_quartiles(p, "v"), ["kind", "size_quartile"], "flag", "v", "score", "margin")
     kinds = p.select("kind").union(spark.createDataFrame([("none",)], "kind string")).distinct()
     dimension = kinds.withColumn("size_quartile", F.explode(F.array(*[F.lit(f"Q{i}") for i in (1, 2, 3, 4)])))
     out = strata.keep_groups(dimension, g, ["kind", "size_quartile"], ["n", "detected", "missed"])
@@ -75,13 +75,13 @@ def label_parse(spark, sf_dir):
     return part.select("p_partkey", F.array_join(labels_of(F.replace("p_name", F.lit(" "), F.lit(" , "))), "+").alias("labels"))
 
 
-@query("A9 W16", f"""WITH {PREDICTIONS}, o AS (SELECT CASE WHEN grp = 6 THEN NULL ELSE grp END AS grp, greatest(abs(size % 10 - user_id % 10), abs(size // 10 - CAST(score AS BIGINT) % 10)) AS offset_cells FROM pred)
+@query("A9 W16", f"""WITH {PREDICTIONS}, o AS (SELECT CASE WHEN grp = 6 THEN NULL ELSE 'g' || grp END AS grp, greatest(abs(size % 10 - user_id % 10), abs(size // 10 - CAST(score AS BIGINT) % 10)) AS offset_cells FROM pred)
 SELECT grp, count(*) AS n, round(quantile_cont(offset_cells, 0.5), 6) AS median, round(quantile_cont(offset_cells, 0.9), 6) AS p90, count(*) FILTER (offset_cells <= 1) AS within_1, count(*) FILTER (offset_cells <= 3) AS within_3,
 round(avg(CASE WHEN offset_cells <= 3 THEN 1.0 ELSE 0.0 END), 6) AS rate_3 FROM o GROUP BY grp""")
 def trace_offset_summary(spark, sf_dir):
     p = predictions(spark, sf_dir)
     d = chebyshev(F.col("size") % 10 - F.col("user_id") % 10, F.expr("size div 10") - F.bround("score").cast("long") % 10)
-    o = p.select(F.when(F.col("grp") != 6, F.col("grp")).alias("grp"), d.alias("d"))
+    o = p.select(F.when(F.col("grp") != 6, F.concat(F.lit("g"), F.col("grp").cast("string"))).alias("grp"), d.alias("d"))
     g = o.groupBy("grp").agg(
         F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("median"), F.percentile("d", F.lit(0.9)).alias("p90"), F.count_if(F.col("d") <= 1).alias("within_1"), F.count_if(F.col("d") <= 3).alias("within_3"),
         F.avg((F.col("d") <= 3).cast("double")).alias("rate_3"),
@@ -145,10 +145,10 @@ def unpivot_deltas(spark, sf_dir):
 @query("R8 R9 F13", f"""WITH {PREDICTIONS} SELECT grp, count(*) FILTER (kind = 'click') AS touch, count(*) FILTER (kind = 'view') AS look, count(*) FILTER (kind NOT IN ('click', 'view')) AS other, 'v1' AS recipe FROM pred GROUP BY grp""")
 def remapped_pivot(spark, sf_dir):
     p = predictions(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "click", "touch").when(F.col("kind") == "view", "look").otherwise("other"))
-    return p.groupBy("grp").pivot("kind", ["touch", "look", "other"]).agg(F.count("*")).fillna(0).withColumn("recipe", F.lit("v1"))
+    return p.groupBy("grp").pivot("kind", ["touch", "look", "other"]).agg(F.count("grp")).fillna(0).withColumn("recipe", F.lit("v1"))
 
 
-@query("F16 F13", f"WITH {PREDICTIONS} SELECT image_id, CASE WHEN label = 1 THEN size END AS area, CASE WHEN label = 1 THEN score > 60 END AS detected FROM pred")
+@query("F16 F13", f"WITH {PREDICTIONS} SELECT image_id, CAST(CASE WHEN label = 1 THEN size END AS DOUBLE) AS area, CASE WHEN label = 1 THEN CASE WHEN score > 60 THEN 'yes' ELSE 'no' END END AS detected FROM pred")
 def null_inapplicable(spark, sf_dir):
     is_one = F.col("label") == 1
-    return predictions(spark, sf_dir).select("image_id", F.when(is_one, F.col("size")).alias("area"), F.when(is_one, F.col("score") > 60).alias("detected"))
+    return predictions(spark, sf_dir).select("image_id", F.when(is_one, F.col("size").cast("double")).alias("area"), F.when(is_one, F.when(F.col("score") > 60, "yes").otherwise("no")).alias("detected"))
