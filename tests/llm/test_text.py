@@ -37,11 +37,9 @@ def test_tokens_equal_those_of_the_library_and_packing_is_whole(spark):
         pieces[r["doc_id"]].append((r["start"], np.frombuffer(r["ids"], "<u4").tolist(), r["doc_tokens"]))
     for i, t in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
-        got = sorted(pieces[i])
-        if i == 908:  # the row is repeated
-            assert got[::2] == got[1::2]
-            got = got[::2]
-        assert sum((p for _, p, _ in got), []) == ids and all(n == len(ids) for _, _, n in got)
+        times = sum(j == i for j, _ in rows)  # a repeated row may be cut elsewhere
+        assert all(ids[a : a + len(p)] == p and n == len(ids) for a, p, n in pieces[i])
+        assert collections.Counter(a + j for a, p, _ in pieces[i] for j in range(len(p))) == collections.Counter({j: times for j in range(len(ids))})
     bins = collections.defaultdict(list)
     for r in out:
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -104,6 +102,7 @@ def test_samples_follow_the_exact_distribution():
     def paths(at, end):
         if at == end:
             yield (), 0.0
+            return
         for e in range(lattice.shape[1]):
             if ids[at, e] != -2:
                 for rest, p in paths(at + e + 1, end):
@@ -170,7 +169,8 @@ def toxic_sample(seed, n=240):
             if rng.random() < 0.4:
                 at = rng.integers(1, len(w))
                 w = w[:at] + "*-"[rng.integers(0, 2)] + w[at:]
-            t = t + " You " + w + " there. " + prose(seed + 1, 1)[0][1]
+            plain = t.split()
+            t = " ".join([*plain[: len(plain) // 2], w, *plain[len(plain) // 2 :]])
         rows.append((i, t))
         labels.append((i, bad))
     return rows, labels
@@ -255,7 +255,7 @@ def test_terms_that_reveal_an_entity_are_sanitised(spark):
     assert out[500]["n_chars"] == len(out[500]["text"])
     assert all(out[i]["text"] == t for i, t in rows if i < 500)
     spans = {r["doc_id"]: r["spans"] for r in pii_infotheory.findings(docs_of(spark, rows)).collect()}
-    assert spans[500].startswith("term:5:12,email:16:28") and spans[0] == ""
+    assert spans[500].startswith("term:0:4,term:5:12,email:16:28") and spans[0] == ""
 
 
 def test_personal_data_of_nothing(spark):

@@ -263,7 +263,7 @@ def samples(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys:
     cut = np.searchsorted(walk, first)
     for r, row in enumerate(rows):
         a, b = cut[r], cut[r + 1]
-        value = float(-np.log(-np.log(uniform(row.key, 0))))
+        value = float(-np.log(-np.log(uniform(row.key, 0)))[0])
         row.found.append(Frontier(row, 0, node[a:b], edge[a:b], walk[a:b] - first[r], value, 0, []))
     for number in range(1, k):
         # each text's best open set, the edge by which it parts, and the walks that end its best path
