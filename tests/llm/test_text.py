@@ -97,16 +97,15 @@ def test_samples_follow_the_exact_distribution():
     offsets = np.arange(n + 1) * len(text)
     found = sp_sampling.samples(vocabulary, np.frombuffer(raw, np.uint8), offsets, np.arange(n, dtype=np.uint64), 2)
     points = np.array([sp_sampling.MARK, *map(ord, "thin"), sp_sampling.MARK, *map(ord, "air")])
-    lattice, ids = vocabulary.lattice(points, np.array([5] * 5 + [9] * 4))
+    edges = vocabulary.lattice(points, np.array([5] * 5 + [9] * 4))
 
     def paths(at, end):
         if at == end:
             yield (), 0.0
             return
-        for e in range(lattice.shape[1]):
-            if ids[at, e] != -2:
-                for rest, p in paths(at + e + 1, end):
-                    yield (int(ids[at, e]), *rest), p + lattice[at, e]
+        for e in range(edges.first[at], edges.first[at + 1]):
+            for rest, p in paths(at + int(edges.size[e]), end):
+                yield (int(edges.id[e]), *rest), p + edges.log_p[e]
 
     every = {a + b: p + q for a, p in paths(0, 5) for b, q in paths(5, 9)}
     total = np.logaddexp.reduce(list(every.values()))

@@ -62,6 +62,13 @@ def below(bound: float, location: np.ndarray, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(location), -np.inf, -np.logaddexp(-bound, np.log(-np.log(u)) - location))
 
 
+class Edges:
+    """Edges by node, those of node i from first[i] to first[i + 1]; an id of -1 is a character in bytes."""
+
+    def __init__(self, first: np.ndarray, node: np.ndarray, size: np.ndarray, ids: np.ndarray, log_p: np.ndarray):
+        self.first, self.node, self.size, self.id, self.log_p = first, node, size, ids, log_p
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model file, with probabilities, found by hashes of code points."""
 
@@ -101,31 +108,39 @@ class Vocabulary:
         total = int((tb.mix(points + np.uint64(7)) * up[: len(points)]).sum(dtype=np.uint64)) + len(points) * 0xD6E8FEB86659FD93
         return int(tb.mix(np.array([total & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))[0])
 
-    def lattice(self, points: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log_p, id) by node and length of all edges of words laid end to end, up to the longest found; ``end`` is each
-        node's word's end. An id of -1 is a character in bytes."""
+    def lattice(self, points: np.ndarray, end: np.ndarray) -> "Edges":
+        """All edges of words laid end to end; ``end`` is each node's word's end."""
         n = len(points)
         up, down = tb.powers(n)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(tb.mix(points.astype(np.uint64) + np.uint64(7)) * up[:n], out=total[1:])
-        log_p = np.full((n, self.longest), -np.inf)
-        ids = np.full((n, self.longest), -2, dtype=np.int32)
-        at, widest = np.arange(n), 1
+        found, count, at = [], np.zeros(n, dtype=np.int64), np.arange(n)
         for size in range(1, self.longest + 1):
             at = at[at + size <= end[at]]
+            if not len(at):
+                break
             name = tb.mix((total[at + size] - total[at]) * down[at] + np.uint64(size * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
             hit = np.flatnonzero(self.maybe[(name >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
             where = np.minimum(np.searchsorted(self.name, name[hit]), len(self.name) - 1)
             real = self.name[where] == name[hit]
             node, where = at[hit[real]], where[real]
-            log_p[node, size - 1] = self.log_p[where]
-            ids[node, size - 1] = self.id[where]
-            widest = size if len(node) else widest
-        bare = np.flatnonzero(ids[:, 0] == -2)
-        point = np.where(points[bare] == LITERAL, MARK, points[bare])
-        log_p[bare, 0] = self.byte_log_p * (1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF))
-        ids[bare, 0] = -1
-        return np.ascontiguousarray(log_p[:, :widest]), np.ascontiguousarray(ids[:, :widest])
+            if size == 1:
+                bare = np.ones(n, dtype=bool)
+                bare[node] = False
+                bare = np.flatnonzero(bare)
+                point = np.where(points[bare] == LITERAL, MARK, points[bare])
+                found.append((bare, 1, np.full(len(bare), -1, dtype=np.int32), self.byte_log_p * (1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF))))
+                count[bare] += 1
+            found.append((node, size, self.id[where], self.log_p[where]))
+            count[node] += 1
+        first = np.concatenate(([0], np.cumsum(count)))
+        e = Edges(first, np.repeat(np.arange(n), count), np.empty(first[-1], np.int64), np.empty(first[-1], np.int32), np.empty(first[-1]))
+        place = first[:-1].copy()
+        for node, size, ids, log_p in found:
+            to = place[node]
+            e.size[to], e.id[to], e.log_p[to] = size, ids, log_p
+            place[node] += 1
+        return e
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation."""
@@ -163,53 +178,70 @@ class Lattices:
         n = self.base[-1]
         self.points = points[np.repeat(begin[where] - self.base[:-1], size) + np.arange(n)]
         self.end = np.repeat(self.base[1:], size)
-        log_p, self.ids = vocabulary.lattice(self.points, self.end)
-        widest = log_p.shape[1]
-        # backward: total log probability from each node to its word's end, by distance from the end
+        e = vocabulary.lattice(self.points, self.end)
+        self.first_edge, self.ids, self.size = e.first, e.id, e.size
+        # backward: total log probability from each node to its word's end, by distance from the end; place n is an end
         back = np.zeros(n + 1)
         left = self.end - np.arange(n)
-        order = np.argsort(left, kind="stable")
-        upto = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2))
-        for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
-            node = order[a:b]
-            reach = min(widest, int(left[node[0]])) if b > a else 0
-            if not reach:
-                continue
-            ahead = node[:, None] + np.arange(1, reach + 1)
-            value = log_p[node, :reach] + np.where(ahead < self.end[node, None], back[np.minimum(ahead, n)], 0.0)
-            most = value.max(axis=1)
-            back[node] = most + np.log(np.exp(value - most[:, None]).sum(axis=1))
-        self.log_q = log_p
-        for size in range(1, widest + 1):
-            node = np.flatnonzero(self.ids[:, size - 1] != -2)
-            ahead = node + size
-            self.log_q[node, size - 1] += np.where(ahead < self.end[node], back[np.minimum(ahead, n)], 0.0) - back[node]
+        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+        count = np.diff(e.first)[order]
+        upto = np.concatenate(([0], np.cumsum(count)))
+        edge = np.repeat(e.first[:-1][order] - upto[:-1], count) + np.arange(upto[-1])
+        ahead = e.node + e.size
+        ahead = np.where(ahead < self.end[e.node], ahead, n)
+        log_p, to = e.log_p[edge], ahead[edge]
+        level = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2))
+        for a, b in zip(level[:-1].tolist(), level[1:].tolist()):
+            if a < b:
+                lo, hi = upto[a], upto[b]
+                back[order[a:b]] = np.logaddexp.reduceat(log_p[lo:hi] + back[to[lo:hi]], upto[a:b] - lo)
+        self.log_q = e.log_p + back[ahead] - back[e.node]
         self.q = np.exp(self.log_q)
-        self.upto = np.cumsum(self.q, axis=1)
-        # sums of the edges on either side, so that what is left beside a nearly certain edge keeps its digits
-        self.beside = self.upto - self.q
-        self.beside[:, :-1] += np.cumsum(self.q[:, :0:-1], axis=1)[:, ::-1]
-
-    def others(self, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        """Log of the total probability of the other edges of nodes."""
+        starts = e.first[:-1]
+        # for each edge the total of the others; beside the strongest one they are summed alone, to keep their digits
+        most = np.maximum.reduceat(self.q, starts)[e.node] if n else self.q
+        top = self.q == most
+        if n:
+            rest = np.add.reduceat(np.where(top, 0.0, self.q), starts)[e.node]
+            ties = np.add.reduceat(top.astype(np.int64), starts)[e.node]
+            self.beside = np.where(top, rest + (ties - 1) * most, np.maximum(rest + ties * most - self.q, 0.0))
+            total = np.cumsum(self.q)
+            inside = total - (total[starts] - self.q[starts])[e.node]
+            upto = e.node + np.minimum(inside, 1.0)
+            # where an edge's share of its node's unit begins
+            self.before = np.concatenate(([0.0], upto[:-1]))
+            self.before[starts] = np.arange(n)
+
+    def others(self, edge: np.ndarray) -> np.ndarray:
+        """Log of the total probability of the other edges of the edges' nodes."""
         with np.errstate(divide="ignore"):
-            return np.log(self.beside[node, edge])
+            return np.log(self.beside[edge])
+
+    def at(self, node: int, without: list[int]) -> tuple[int, np.ndarray]:
+        """(first edge, probabilities) of a node's edges, 0 for some."""
+        a, b = self.first_edge[node], self.first_edge[node + 1]
+        q = self.q[a:b].copy()
+        q[np.array(without) - a] = 0
+        return int(a), q
 
     def forward(self, node: np.ndarray, *keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sample from each node to its word's end: (walk, node, edge) of all steps, in order of walks."""
         live = np.flatnonzero(node >= 0)
         steps: list[tuple] = []
         now, key = node[live], keyed(*keys)[live]
+        count = np.zeros(len(node), dtype=np.int64)
         while len(live):
-            upto = self.upto[now]
-            edge = (upto <= (uniform(key, len(steps)) * upto[:, -1])[:, None]).sum(axis=1)
+            # from the longest edge, which is mostly the likeliest, back to the one that holds the draw
+            edge, drawn = self.first_edge[now + 1] - 1, now + uniform(key, len(steps))
+            back = np.flatnonzero(self.before[edge] > drawn)
+            while len(back):
+                edge[back] -= 1
+                back = back[self.before[edge[back]] > drawn[back]]
             steps.append((live, now, edge))
-            after = now + edge + 1
+            count[live] += 1
+            after = now + self.size[edge]
             on = after < self.end[now]
             live, now, key = live[on], after[on], key[on]
-        count = np.zeros(len(node), dtype=np.int64)
-        for w, _, _ in steps:
-            count[w] += 1
         at = np.cumsum(count) - count
         out = np.empty((3, int(count.sum())), dtype=np.int64)
         for i, (w, x, e) in enumerate(steps):
@@ -223,15 +255,14 @@ class Frontier:
     def __init__(self, row: "Row", number: int, node: np.ndarray, edge: np.ndarray, word: np.ndarray, value: float, at: int, without: list[int]):
         self.node, self.edge, self.word, self.value, self.at, self.without = node, edge, word, value, at, without
         lattices = row.lattices
-        each = lattices.log_q[node, edge]
+        each = lattices.log_q[edge]
         self.log_prob = float(each.sum())
         self.sets = np.full(len(node), -np.inf)
         if at < len(node):
             before = np.concatenate(([0.0], np.cumsum(each)[:-1]))[at:]
-            rest = lattices.others(node[at:], edge[at:])
+            rest = lattices.others(edge[at:])
             if without:
-                q = lattices.q[node[at]].copy()
-                q[[*without, edge[at]]] = 0
+                _, q = lattices.at(int(node[at]), [*without, int(edge[at])])
                 rest[0] = np.log(q.sum()) if q.sum() > 0 else -np.inf
             self.sets[at:] = below(value, before + rest, uniform(row.key, 2, number, np.arange(at, len(node))))
 
@@ -275,17 +306,16 @@ def samples(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys:
             old = row.found[f]
             without = [*(old.without if at == old.at else []), int(old.edge[at])]
             old.sets[at] = -np.inf
-            q = lattices.q[old.node[at]].copy()
-            q[without] = 0
+            base_edge, q = lattices.at(int(old.node[at]), without)
             upto = np.cumsum(q)
-            choice = min(int((upto <= uniform(row.key, 3, number) * upto[-1]).sum()), int(np.flatnonzero(q)[-1]))
+            choice = base_edge + min(int((upto <= uniform(row.key, 3, number) * upto[-1]).sum()), int(np.flatnonzero(q)[-1]))
             parted.append((r, value, old, at, without, choice))
         if not parted:
             break
         starts, walk_row, walk_at = [], [], []
         for r, _, old, at, _, choice in parted:
             here = int(old.word[at])
-            after = int(old.node[at]) + choice + 1
+            after = int(old.node[at] + lattices.size[choice])
             starts += [np.array([after if after < lattices.end[old.node[at]] else -1]), base[lattices.word[first[r] + here + 1 : first[r + 1]]]]
             size = int(first[r + 1] - first[r]) - here
             walk_row.append(np.full(size, r))
@@ -314,7 +344,7 @@ def samples(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys:
 
 
 def _ids(vocabulary: Vocabulary, lattices: Lattices, f: Frontier) -> np.ndarray:
-    ids = lattices.ids[f.node, f.edge]
+    ids = lattices.ids[f.edge]
     if (ids >= 0).all():
         return ids.astype(np.uint32)
     point = lattices.points[f.node]
@@ -347,7 +377,7 @@ def encode(docs: DataFrame, path: str, k: int = SAMPLES) -> DataFrame:
 
 def _encoded(batches, vocabulary: Vocabulary, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, offsets in tb.steps(batch, "text", tb.STEP_BYTES // 2):
+        for part, data, offsets in tb.steps(batch, "text", tb.STEP_BYTES):
             ids = part.column(0).to_pylist()
             keys = np.array([(i or 0) & 0xFFFFFFFFFFFFFFFF for i in ids], dtype=np.uint64)
             rows = [(i, n, s[0].astype("<u4").tobytes(), s[1], s[2]) for i, found in zip(ids, samples(vocabulary, data, offsets, keys, k)) for n, s in enumerate(found)]
