@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 4_000_000
 
 _unset: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,17 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _unset["dir"]
 
 
-def durable(df: DataFrame) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables made durable inside are deleted at the end, but for those made with ``keep``."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here and survives lost executors.
 
-    The table is deleted when the driver's JVM ends.
+    The table is deleted at the end of the ``scope`` around it (of the one around that, with ``keep``), and at the latest
+    when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veldspar-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,9 +5,10 @@ after a few levels. A group that holds one row is final at once and leaves; a gr
 level's width has ended, and its rows are equal byte for byte. No digest takes part in deciding equality.
 
 Each level counts its groups with map-side combining and joins the groups of two rows and more back to the rows, so a
-group with a third of all rows is never gathered in a task: the joined side is one row per group, broadcast behind a
-check of its size, and beyond that a sort-merge join whose hot partitions Spark splits. Only rows that still share a
-prefix with another row carry on, with only the bytes not yet consumed, in a table in the shared folder.
+group with a third of all rows is never gathered in a task: the joined side is one row per group, in a sort-merge join
+whose hot partitions Spark splits. The first level, which all rows pass, broadcasts these rows behind a check of their
+size, so that the texts needn't be shuffled to find the few that go on. Only rows that still share a prefix with
+another row carry on, with only the bytes not yet consumed, in a table in the shared folder.
 
 Defined results: null text is the empty text; a null doc_id takes part and is smaller than any other; rows that repeat
 doc_id and text are members of one group, and all of them count as the row that stays (``keep_one`` drops the
@@ -21,11 +22,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, small_side, table, text_or_empty
+from .common import durable, scope, small_side, table, text_or_empty
 
 FIRST_WIDTH, GROWTH = 64, 8
-#: Groups of this many rows and more are broadcast only up to this number of groups (each of a digit of up to 64 bytes).
-BROADCAST_GROUPS = 200_000
+#: The first level's digits of groups of two rows and more are broadcast only up to so many bytes.
+BROADCAST_BYTES = 64_000_000
 
 
 def _levels(rows: DataFrame, first_width: int, growth: int) -> list[DataFrame]:
@@ -42,7 +43,7 @@ def _levels(rows: DataFrame, first_width: int, growth: int) -> list[DataFrame]:
         )
         n = groups.count()
         on = (F.col("k.r_digit") == F.col("g.r_digit")) & F.col("k.r_group").eqNullSafe(F.col("g.r_group"))
-        side = small_side(groups, n, BROADCAST_GROUPS * FIRST_WIDTH // width).alias("g")
+        side = small_side(groups, n if width == first_width else BROADCAST_BYTES, BROADCAST_BYTES // (width + 48)).alias("g")
         done.append(keyed.alias("k").join(side, on, "left_anti").select("r_id", F.col("r_id").alias("r_keep"), F.lit(1).cast("long").alias("r_n"), "r_sha"))
         if not n:
             return done
@@ -69,15 +70,16 @@ def exact_groups(docs: DataFrame, first_width: int = FIRST_WIDTH, growth: int =
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts, the one with the largest doc_id."""
-    found = durable(exact_groups(docs.select("doc_id", "text")).where("group_size > 1").select("doc_id", "keep_id", "text_sha256"))
+    with scope(docs.sparkSession):
+        found = durable(exact_groups(docs.select("doc_id", "text")).where("group_size > 1").select("doc_id", "keep_id", "text_sha256"), keep=True)
     n = found.count()
     named = found.select(F.col("doc_id").alias("r_id"), F.col("text_sha256").alias("r_sha"), F.col("keep_id").alias("r_keep")).distinct()
     text_sha = F.sha2(text_or_empty().cast("binary"), 256)
     met = docs.alias("d").join(small_side(named, n).alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.r_id")) & (text_sha == F.col("g.r_sha")), "left")
     own = [F.col(f"d.`{c}`") for c in docs.columns]
-    single = met.where("r_sha is null").select(*own)
-    stay = met.where("r_sha is not null and r_id <=> r_keep")
-    once = stay.groupBy("r_id", "r_sha").agg(F.min(F.struct(*own)).alias("r_row")).select("r_row.*")
+    single = met.where(F.col("g.r_sha").isNull()).select(*own)
+    stay = met.where(F.col("g.r_sha").isNotNull() & F.col("g.r_id").eqNullSafe(F.col("g.r_keep")))
+    once = stay.groupBy("g.r_id", "g.r_sha").agg(F.min(F.struct(*own)).alias("one")).select("one.*")
     return single.unionByName(once)
 
 
