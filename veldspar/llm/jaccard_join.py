@@ -3,9 +3,11 @@
 A document is the set of its k-word shingles; two link when ``100 * |A & B| >= percent * |A | B|``.
 
 1. Equal sets are one node (a 64-bit digest of the set), so copies are never compared with each other.
-2. Nodes that could link share one of their first ``n - ceil(t * n) + 1`` shingles in hash order (prefix filter, exact
-   for any order). Each of these shingles ties its nodes to the least of them: star edges, not pairs. Equal rows of a
-   task are tied together before the shuffle, so a shingle in a third of all documents sends a row per task.
+2. Nodes that could link share one of their first ``n - ceil(t * n) + 1`` shingles (prefix filter, exact for any common
+   order). The order puts shingles of a single node first, which can't meet another and are dropped, and common ones
+   last, so that a passage shared by many documents ties few of them. Each remaining shingle ties its nodes to the
+   least of them: star edges, not pairs. Counts are combined before the shuffle and joined back in joins that Spark
+   can split, so a shingle in a third of all documents fills no task.
 3. Components of these edges are clusters: no link leaves one. Clusters up to ``tile`` nodes are one tile; larger ones
    are cut into bands of size (a link spans two neighbouring bands at most) and these into blocks, and each tile
    compares two blocks of the same or of neighbouring bands.
@@ -32,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .common import durable, small_side, table
+from .common import durable, scope, small_side, table
 from .components import components
 
 #: Nodes of a tile's block, and bits of a signature.
 TILE, BITS = 1024, 1024
 
 NODES = "doc_id long, node long, n_shingles long"
-PREFIX = "shingle long, node long"
+CANDIDATES = "shingle long, node long, slack int, low boolean"
 SETS = "doc_id long, node long, n long, shingles binary, bits binary"
 
 
@@ -73,29 +75,46 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefixes_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(shingle, node): the prefixes of each step's distinct sets. Where a step has a shingle in several nodes, the
-    first alone stands for it and the others are tied to it by a pair of rows under a name of their own."""
+def candidates_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(shingle, node, slack, low): the shingles that each set's prefix can draw from. These are all that are below a
+    limit (twice the share of a prefix, so that a prefix mostly finds enough of them), and where they are too few the
+    next ones in hash order. slack is by how many they exceed the prefix."""
+    limit = np.uint64(min((1 << 64) - 1, (1 << 64) * 2 * (100 - percent) // 100))
 
     def made(batches):
         for _, sets in _sets(batches, k):
-            by_node = {_digest(s): s for s in sets if len(s)}
-            if not by_node:
+            of = {_digest(s): s for s in sets if len(s)}
+            if not of:
                 continue
-            heads = [s[: prefix_length(len(s), percent)] for s in by_node.values()]
-            node = np.repeat(np.array(list(by_node), dtype=np.int64), [len(h) for h in heads])
-            shingle = np.concatenate(heads)
-            order = np.lexsort((node, shingle))
-            shingle, node = shingle[order], node[order]
-            first = np.concatenate(([True], shingle[1:] != shingle[:-1]))
-            hub = node[np.maximum.accumulate(np.where(first, np.arange(len(node)), 0))]
-            ties = np.unique(np.stack([node[~first], hub[~first]], axis=1), axis=0)
-            name = tb.mix(tb.mix(ties[:, 0].astype(np.uint64)) * np.uint64(3) + ties[:, 1].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([shingle[first], name, name]).view(np.int64)), pa.array(np.concatenate([node[first], ties[:, 0], ties[:, 1]]))], ["shingle", "node"]
-            )
+            low = np.array([int(np.searchsorted(s, limit)) for s in of.values()])
+            need = np.array([prefix_length(len(s), percent) for s in of.values()])
+            size = np.maximum(low, need)
+            shingle = np.concatenate([s[:n] for s, n in zip(of.values(), size)])
+            slack = np.repeat((size - need).astype(np.int32), size)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(np.repeat(np.fromiter(of, dtype=np.int64, count=len(of)), size)), pa.array(slack), pa.array(shingle < limit)], ["shingle", "node", "slack", "low"])
+
+    return docs.select("doc_id", "text").mapInArrow(made, CANDIDATES)
+
+
+def hubs_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, hub): star edges that tie all nodes whose prefixes share a shingle; of documents with distinct sets.
+
+    The order of shingles puts those of one node first, as they meet no other, then the others by how many nodes have
+    them, then those above the limit. So what a prefix takes of shared shingles is what its unshared ones leave over.
+    """
+    with scope(docs.sparkSession):
+        rows = durable(candidates_of(docs, k, percent))
+        heads = durable(_heads(rows), keep=True)
+    hub = heads.groupBy("shingle").agg(F.min("node").alias("hub"))
+    return heads.join(hub, "shingle").where("node <> hub").select("node", "hub").distinct()
+
 
-    return docs.select("doc_id", "text").mapInArrow(made, PREFIX)
+def _heads(rows: DataFrame) -> DataFrame:
+    """(shingle, node): what prefixes hold of shared shingles."""
+    shared = rows.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("times")).where("a < b").select("shingle", "times")
+    own = Window.partitionBy("node")
+    met = rows.join(shared, "shingle").withColumn("place", F.row_number().over(own.orderBy(F.desc("low"), "times", "shingle"))).withColumn("met", F.count("*").over(own))
+    return met.where(F.col("place") <= F.col("met") - F.col("slack")).select("shingle", "node")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -185,8 +204,9 @@ def _tiles(members: DataFrame, percent: int, tile: int) -> DataFrame:
 def links_of(docs: DataFrame, nodes: DataFrame, k: int, percent: int, tile: int = TILE) -> DataFrame:
     """(a, b): links between nodes that connect what is connected."""
     spark = docs.sparkSession
-    heads = Window.partitionBy("shingle").orderBy("node")
-    edges = prefixes_of(docs, k, percent).select("node", F.first("node").over(heads.rowsBetween(Window.unboundedPreceding, 0)).alias("hub")).where("node <> hub").distinct()
+    least = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+    copies = durable(nodes.join(least, "node").where("doc_id <> least").select("doc_id").distinct())
+    edges = hubs_of(docs.join(small_side(copies, copies.count()), "doc_id", "left_anti"), k, percent)
     clusters = durable(components(edges.select(F.col("node").alias("a"), F.col("hub").alias("b"))).select("node", F.col("root").alias("cluster")))
     stands = durable(nodes.where("node is not null").join(clusters, "node").groupBy("node", "cluster").agg(F.min("doc_id").alias("doc_id")))
     n = stands.count()
@@ -205,6 +225,11 @@ def links_of(docs: DataFrame, nodes: DataFrame, k: int, percent: int, tile: int
 
 def jaccard_groups(docs: DataFrame, k: int, percent: int, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) for each row of ``docs`` (doc_id, text)."""
+    with scope(docs.sparkSession):
+        return durable(_groups(docs, k, percent, tile), keep=True)
+
+
+def _groups(docs: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
     nodes = durable(nodes_of(docs, k))
     roots = components(links_of(docs, nodes, k, percent, tile))
     least = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
