@@ -36,7 +36,7 @@ from .common import table
 
 CAPACITY, LEAST_CUT, END_ID = 2048, 64, 1
 #: Names of pattern pieces that a worker keeps with their ids; all are dropped when as many have come in.
-CACHE = 400_000
+CACHE = 150_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _TOP = 1, 2, 3, 0, 0x33480

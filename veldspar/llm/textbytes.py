@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document is handled alone. Temporary arrays take about 40 times as much.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15 | 1
