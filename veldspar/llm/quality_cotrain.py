@@ -164,9 +164,13 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """The model for ``docs`` (doc_id, text, lang, source, n_chars), from labels (doc_id, quality) that match its rows."""
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")]
-    ours = views_of(base.join(known, "doc_id").orderBy(*order).limit(LABELLED), {"y": F.col("y")}).collect()
-    pool = views_of(base.join(known, "doc_id", "left_anti").orderBy(*order).limit(POOL)).collect()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # only ids meet the labels; the rows of the few chosen ones come by a broadcast of these
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
+    labelled = ids.join(known, "doc_id").orderBy(*order).limit(LABELLED)
+    unlabelled = ids.join(known, "doc_id", "left_anti").orderBy(*order).limit(POOL)
+    ours = views_of(base.join(F.broadcast(labelled), "doc_id"), {"y": F.col("y"), "i": F.col("doc_id")}).orderBy("i", "content").limit(LABELLED).collect()
+    pool = views_of(base.join(F.broadcast(unlabelled), "doc_id"), {"i": F.col("doc_id")}).orderBy("i", "content").limit(POOL).collect()
     return fit(*_arrays(ours), np.array([float(r["y"]) for r in ours]), *_arrays(pool))
 
 
