@@ -34,6 +34,10 @@ DECAY, SPAN, LANDMARKS, SAMPLE, ROUNDS = 0.7, 8, 96, 1200, 4
 #: A labelled document is taken for the sample if it has at most so many characters.
 SAMPLE_CHARS = 20_000
 CACHE = 400_000
+#: Distinct tokens of clean documents that the machine is fitted to at most.
+NEGATIVES = 50_000
+#: Tokens whose features are held at once in training.
+CHUNK = 2_000
 LOWEST = -4.0
 
 
@@ -98,7 +102,8 @@ def spelled_out(data: np.ndarray, w: tb.Words) -> list[tuple[int, bytes]]:
         for r in np.unique(row[a:b]).tolist():
             inside = w.start[a:b][row[a:b] == r]
             if len(inside) >= 3:
-                out.append((r, data[inside].tobytes()))
+                run = data[inside].tobytes()
+                out += [(r, x) for x in (run, run[1:], run[:-1])]  # a one-letter word may precede or follow
     return out
 
 
@@ -216,12 +221,10 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mach
     bad = np.bincount(in_name[y[in_doc] == 1], minlength=len(names))
     good = np.bincount(in_name[y[in_doc] == 0], minlength=len(names))
     odds = np.log((bad + 0.05) / (y == 1).sum()) - np.log((good + 0.5) / (y == 0).sum())
-    token, string, value = features(data, start, end)
-    at = np.searchsorted(token, np.arange(len(names) + 1))
-
     def dense(i: int) -> np.ndarray:
+        _, string, value = features(data, start[i : i + 1], end[i : i + 1])
         out = np.zeros(STRINGS)
-        out[string[at[i] : at[i + 1]]] = value[at[i] : at[i + 1]]
+        out[string] = value
         return out
 
     # landmarks: telling tokens that differ from each other, and common ones
@@ -238,14 +241,12 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mach
     white = vectors / np.sqrt(np.maximum(values, 1e-3))
     table_of = (marks.T @ white).astype(np.float32)
     z = np.zeros((len(names), len(chosen)), dtype=np.float32)
-    for a in range(0, len(names), 5000):
-        b = min(a + 5000, len(names))
-        lo, hi = at[a], at[b]
-        if hi > lo:
-            some = token[lo:hi]
+    for a in range(0, len(names), CHUNK):
+        some, string, value = features(data, start[a : a + CHUNK], end[a : a + CHUNK])
+        if len(some):
             first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
-            z[some[first]] = np.add.reduceat(table_of[string[lo:hi]] * value[lo:hi, None].astype(np.float32), first)
-    clean = np.unique(back[y[doc] == 0])
+            z[a + some[first]] = np.add.reduceat(table_of[string] * value[:, None].astype(np.float32), first)
+    clean = np.unique(back[y[doc] == 0])[:NEGATIVES]  # names are hashes, so the first ones are a random sample
     f = np.where(bad > 0, odds, -10.0)
     toxic_rows = np.flatnonzero(y[doc] == 1)
     weights = np.zeros(z.shape[1] + 1)
@@ -262,7 +263,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mach
         f = z @ weights[:-1] + weights[-1]
     machine = Machine(table_of.astype(float) @ weights[:-1], float(weights[-1]), np.zeros(3))
     raw = [t.encode() for t in texts]
-    top = machine.strongest(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw], dtype=np.int64))))
+    top = np.vstack([machine.strongest(np.frombuffer(b"".join(part), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in part], dtype=np.int64)))) for part in (raw[i : i + 200] for i in range(0, len(raw), 200))])
     machine.curve = logistic(top, y.astype(float))
     machine._seen.clear()
     return machine
@@ -271,10 +272,13 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mach
 def training_sample(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
     """At most ``sample`` documents of each label, by hash of the id, from those that aren't held out."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pool = docs.where(~held_out).select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(known, "doc_id")
+    fits = F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS
+    # only ids meet the labels; the texts of the few chosen ones come by a broadcast of these
+    pool = docs.where(~held_out & fits).select("doc_id").distinct().join(known, "doc_id")
     rows = []
     for label in (0, 1):
-        rows += pool.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+        chosen = pool.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        rows += docs.where(fits).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(sample).collect()
     return [r["text"] or "" for r in rows], [int(r["toxic"]) for r in rows]
 
 
