@@ -257,6 +257,14 @@ def test_terms_that_reveal_an_entity_are_sanitised(spark):
     assert spans[500].startswith("term:0:4,term:5:12,email:16:28") and spans[0] == ""
 
 
+def test_entities_of_one_and_two_documents_reveal_terms(spark):
+    rows = prose(12, 200) + [(500, "ask zorblax one@mail.org today")] + [(600 + i, "ask quuxley two@mail.org today") for i in range(2)]
+    rows += [(700 + i, "ask today") for i in range(20)]
+    out = {r["doc_id"]: r["text"] for r in pii_infotheory.redact(docs_of(spark, rows)).collect()}
+    assert out[500] == "ask [TERM] [EMAIL] today" and out[600] == out[601] and "quuxley" not in out[600]
+    assert all(out[i] == t for i, t in rows if i < 500)
+
+
 def test_personal_data_of_nothing(spark):
     df = docs_of(spark, [(1, "a@b.c")]).limit(0)
     assert pii_infotheory.findings(df).count() == 0 and pii_infotheory.redact(df).columns == df.columns

@@ -5,10 +5,12 @@ protected entity. The terms within ``CONTEXT`` characters of an entity's occurre
 corpus tells how strongly a term reveals the entity: the pointwise mutual information of term and entity as a share
 of the entity's self-information,
 
-    disclosure = log(n(t, e) * N / (n(t) * n(e))) / log(N / n(e))
+    disclosure = log(P(e|t) / P(e)) / log(1 / P(e)),   P(e) = n(e) / N
+    P(e|t) = (n(t, e) + PRIOR * P(e)) / (n(t) + PRIOR)
 
-with counts of documents. It is 1 if the term occurs only with the entity, and about 0 if it tells nothing. Terms seen
-with an entity in ``LEAST_TOGETHER`` documents or more are sanitised in the entity's contexts: generalised to a placeholder from
+with counts of documents. It is near 1 if the term occurs only with the entity, and about 0 if it tells nothing; the
+prior lowers it where few documents speak for it, so no pair is left out for its count. Revealing terms
+are sanitised in the entity's contexts: generalised to a placeholder from
 ``GENERALISE`` on, and removed from ``REMOVE`` on. Documents without base spans are never changed.
 
 All of it is DataFrame functions. Patterns start only at the end of the last match or where a run of their first
@@ -28,7 +30,7 @@ from .common import durable, small_side, table, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-CONTEXT, LEAST_TOGETHER, GENERALISE, REMOVE = 100, 3, 0.85, 0.97
+CONTEXT, PRIOR, GENERALISE, REMOVE = 100, 0.5, 0.85, 0.97
 TERM = r"\p{L}{3,}+"
 
 _START = r"(?:\G|(?<![{0}]))"
@@ -118,14 +120,15 @@ def _contexts(found: DataFrame) -> DataFrame:
 def disclosures(all_texts: DataFrame, contexts: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of terms that reveal an entity; ``all_texts`` has the column p_text of every document."""
     by_doc = contexts.select("entity", "term", "p_row").distinct()
-    together = durable(by_doc.groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= LEAST_TOGETHER))
+    together = durable(by_doc.groupBy("entity", "term").agg(F.count("*").alias("n_et")))
     terms = together.select("term").distinct()
     wanted = small_side(terms.withColumnRenamed("term", "w"), together.count())
     words = all_texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("p_text"), F.lit(TERM), F.lit(0)))).alias("term"))
     n_t = words.join(wanted, F.col("term") == F.col("w"), "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     n_e = contexts.select("entity", "p_row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = float(all_texts.count())
-    share = F.log(F.col("n_et") * total / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(total) / F.col("n_e"))
+    total = float(max(1, all_texts.count()))
+    given = (F.col("n_et") + PRIOR * F.col("n_e") / F.lit(total)) / (F.col("n_t") + PRIOR)
+    share = 1 + F.log(given) / F.log(F.lit(total) / F.col("n_e"))
     known = together.join(n_t, "term").join(n_e, "entity").where(F.col("n_e") < total)
     return known.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
