@@ -265,6 +265,35 @@ def test_entities_of_one_and_two_documents_reveal_terms(spark):
     assert all(out[i] == t for i, t in rows if i < 500)
 
 
+def test_entities_of_one_and_two_documents_are_protected_in_all_of_a_text(spark):
+    stock = [f"wo{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rng = np.random.default_rng(11)
+    common = lambda n: " ".join(stock[i] for i in rng.integers(0, 60, n))
+    rows = [(i, common(80)) for i in range(300)]
+    far = common(60)
+    rows.append((500, f"zorblax {far} one@mail.org {far} Zorblax grue"))
+    rows += [(600 + i, f"quuxley {common(60)} two@mail.org, quuxley@mail.org") for i in range(2)]
+    rows.append((700, "grue " + common(40)))
+    out = {r["doc_id"]: r["text"] for r in pii_infotheory.redact(docs_of(spark, rows)).collect()}
+    assert out[500] == f"[TERM] {far} [EMAIL] {far} [TERM] grue"
+    for i in range(2):
+        assert "quuxley" not in out[600 + i] and out[600 + i].endswith("[EMAIL], [EMAIL]")
+    assert all(out[i] == t for i, t in rows if i < 500 or i == 700)
+    counted = {i: set(re.findall(r"[^\W\d_]{3,}", re.sub(PATTERNS["email"], " ", t.lower()))) for i, t in rows}
+    held = {i: {m[0].lower() for m in re.finditer(PATTERNS["email"], t)} for i, t in rows}
+    total, want = len(rows), set()
+    for i, entities in held.items():
+        for e in entities:
+            n_e = sum(e in x for x in held.values())
+            for w in counted[i]:
+                n_t, n_et = sum(w in x for x in counted.values()), sum(w in counted[j] and e in held[j] for j in held)
+                given = (n_et + pii_infotheory.PRIOR * n_e / total) / (n_t + pii_infotheory.PRIOR)
+                if 1 + math.log(given) / math.log(total / n_e) >= pii_infotheory.GENERALISE:
+                    want.add((i, w))
+    made = pii_infotheory.sanitised(docs_of(spark, rows)).select("doc_id", "text", F.explode("p_terms").alias("t")).collect()
+    assert {(r["doc_id"], r["text"][r["t"]["start"] : r["t"]["end"]].lower()) for r in made} == want
+
+
 def test_personal_data_of_nothing(spark):
     df = docs_of(spark, [(1, "a@b.c")]).limit(0)
     assert pii_infotheory.findings(df).count() == 0 and pii_infotheory.redact(df).columns == df.columns

@@ -1,21 +1,24 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that reveal them.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers (``KINDS``). Each distinct value is a
-protected entity. The terms within ``CONTEXT`` characters of an entity's occurrences are its co-occurring terms; the
-corpus tells how strongly a term reveals the entity: the pointwise mutual information of term and entity as a share
-of the entity's self-information,
+protected entity. All terms that stand outside base spans in the documents that hold an entity are its co-occurring
+terms; the corpus tells how strongly a term reveals the entity: the pointwise mutual information of term and entity as a
+share of the entity's self-information,
 
     disclosure = log(P(e|t) / P(e)) / log(1 / P(e)),   P(e) = n(e) / N
     P(e|t) = (n(t, e) + PRIOR * P(e)) / (n(t) + PRIOR)
 
 with counts of documents. It is near 1 if the term occurs only with the entity, and about 0 if it tells nothing; the
-prior lowers it where few documents speak for it, so no pair is left out for its count. Revealing terms
-are sanitised in the entity's contexts: generalised to a placeholder from
-``GENERALISE`` on, and removed from ``REMOVE`` on. Documents without base spans are never changed.
+prior lowers it where few documents speak for it, so no pair is left out for its count. Revealing terms are sanitised
+wherever they stand in the entity's documents: generalised to a placeholder from ``GENERALISE`` on, and removed from
+``REMOVE`` on. Documents without base spans hold no entity, and are never changed.
+
+A pair can reach ``GENERALISE`` only if n(t) is at most ``_most(n(e), N)``, as n(t, e) <= n(e). Pairs beyond it are not
+formed, which changes no result.
 
 All of it is DataFrame functions. Patterns start only at the end of the last match or where a run of their first
-class begins, and repeat possessively, which matches the same strings in linear time and constant stack depth. Counts
-of terms over the corpus are met by the few candidate terms in a join, broadcast behind a check of their number.
+class begins, and repeat possessively, which matches the same strings in linear time and constant stack depth. Terms
+are counted over the corpus, summed within tasks first, and met by the terms of documents with entities.
 
 Defined results: null text is empty and has no spans; repeated rows count as documents each; a null doc_id takes part;
 an empty table gives an empty result; extra columns are kept by ``sanitised`` (whose own columns start with ``p_``).
@@ -30,7 +33,9 @@ from .common import durable, small_side, table, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-CONTEXT, PRIOR, GENERALISE, REMOVE = 100, 0.5, 0.85, 0.97
+PRIOR, GENERALISE, REMOVE = 0.5, 0.85, 0.97
+#: Most rows with terms and entities, which are text, that are broadcast.
+BROADCAST_TEXTS = 500_000
 TERM = r"\p{L}{3,}+"
 
 _START = r"(?:\G|(?<![{0}]))"
@@ -44,6 +49,7 @@ PATTERNS = {
 HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
+TERM_SPANS = "array<struct<start:bigint,end:bigint,disclosure:double>>"
 
 
 def _digits(value: Column) -> Column:
@@ -102,52 +108,77 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat_ws(":", kind, F.when(kind == 0, F.lower(value)).when(kind == 1, value).otherwise(_digits(value)))
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(p_row, entity, term, start, end): whole terms near the base spans of each document."""
-    near = found.select("p_row", "p_text", F.explode("p_base").alias("s")).select(
-        "p_row", _entity(F.col("s.kind"), F.col("s.value")).alias("entity"),
-        F.explode(F.array(
-            F.struct(F.greatest(F.lit(0).cast("long"), F.col("s.start") - CONTEXT).alias("a"), F.col("s.start").alias("b"), F.lit(True).alias("left")),
-            F.struct(F.col("s.end").alias("a"), F.least(F.length("p_text").cast("long"), F.col("s.end") + CONTEXT).alias("b"), F.lit(False).alias("left")),
-        )).alias("c"), "p_text",
-    )
-    inside = F.expr("substring(p_text, int(c.a) + 1, int(c.b - c.a))")
-    terms = near.select("p_row", "entity", "c", F.length("p_text").alias("size"), F.explode(located(inside, TERM, 4)).alias("t"))
-    whole = F.when(F.col("c.left"), (F.col("c.a") == 0) | (F.col("t.start") > 0)).otherwise((F.col("c.b") == F.col("size")) | (F.col("c.a") + F.col("t.end") < F.col("c.b")))
-    return terms.where(whole).select("p_row", "entity", F.lower("t.value").alias("term"), (F.col("c.a") + F.col("t.start")).alias("start"), (F.col("c.a") + F.col("t.end")).alias("end"))
-
-
-def disclosures(all_texts: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of terms that reveal an entity; ``all_texts`` has the column p_text of every document."""
-    by_doc = contexts.select("entity", "term", "p_row").distinct()
-    together = durable(by_doc.groupBy("entity", "term").agg(F.count("*").alias("n_et")))
-    terms = together.select("term").distinct()
-    wanted = small_side(terms.withColumnRenamed("term", "w"), together.count())
-    words = all_texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("p_text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(wanted, F.col("term") == F.col("w"), "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = contexts.select("entity", "p_row").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    total = float(max(1, all_texts.count()))
+def _outside() -> Column:
+    """The text of a row of ``sanitised`` with blanks in place of its base spans."""
+
+    def add(state: Column, s: Column) -> Column:
+        gap = F.substring(F.col("p_text"), (state["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - state["at"]).cast("int"))
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(state["at"], s["start"])).cast("int"))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], F.array(gap, blank)).alias("parts"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    rest = lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("p_text"), (s["at"] + 1).cast("int"), F.length("p_text")))
+    return F.when(F.size("p_base") > 0, F.aggregate("p_base", zero, add, rest)).otherwise(F.col("p_text"))
+
+
+def _terms() -> Column:
+    """The distinct terms outside base spans."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(_outside(), F.lit(TERM), F.lit(0))), F.lower))
+
+
+def _most(n_e: Column, total: float) -> Column:
+    """No term of more documents can reveal an entity of n_e documents, as log(P(e|t)) would be too low even with all of them."""
+    return n_e * (1 + PRIOR / total) * F.pow(F.lit(total) / n_e, F.lit(1 - GENERALISE)) * (1 + 1e-9) - PRIOR
+
+
+def revealing_terms(all_rows: DataFrame) -> DataFrame:
+    """(p_row, term, disclosure) of the terms that reveal an entity of the row, at their highest disclosure."""
+    found = all_rows.where(F.size("p_base") > 0)
+    total = float(max(1, all_rows.count()))
+    held = durable(found.select("p_row", F.explode(F.array_distinct(F.transform("p_base", lambda s: _entity(s["kind"], s["value"])))).alias("entity")))
+    sizes = durable(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < total))
+    entities, widest = sizes.agg(F.count("*"), F.max("n_e")).first()
+    held = held.join(small_side(sizes, entities, BROADCAST_TEXTS), "entity")
+    words = all_rows.select((F.size("p_base") > 0).alias("near"), F.explode(_terms()).alias("term"))
+    seen = words.groupBy("term").agg(F.count("*").alias("n_t"), F.max("near").alias("near"))
+    rare = durable(seen.where(F.col("near") & (F.col("n_t") <= _most(F.lit(widest or 1), total))).select("term", "n_t"))
+    terms = found.select("p_row", F.explode(_terms()).alias("term")).join(small_side(rare, rare.count(), BROADCAST_TEXTS), "term")
+    pairs = durable(terms.join(held, "p_row").where(F.col("n_t") <= _most(F.col("n_e"), total)))
+    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
     given = (F.col("n_et") + PRIOR * F.col("n_e") / F.lit(total)) / (F.col("n_t") + PRIOR)
-    share = 1 + F.log(given) / F.log(F.lit(total) / F.col("n_e"))
-    known = together.join(n_t, "term").join(n_e, "entity").where(F.col("n_e") < total)
-    return known.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    scored = together.select("entity", "term", (1 + F.log(given) / F.log(F.lit(total) / F.col("n_e"))).alias("disclosure"))
+    strong = durable(scored.where(F.col("disclosure") >= GENERALISE))
+    chosen = pairs.select("p_row", "entity", "term").join(small_side(strong, strong.count(), BROADCAST_TEXTS), ["entity", "term"])
+    return chosen.groupBy("p_row", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def _occurrences() -> Column:
+    """Spans of all occurrences outside base spans of the terms in the map p_strong."""
+    found = F.regexp_extract_all(_outside(), F.lit(TERM), F.lit(0))
+    pairs = F.arrays_zip(F.slice(F.split(_outside(), TERM, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
+
+    def add(state: Column, p: Column) -> Column:
+        start = state["at"] + F.length(p["gap"])
+        end = start + F.length(p["value"])
+        disclosure = F.try_element_at(F.col("p_strong"), F.lower(p["value"]))
+        span = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), disclosure.alias("disclosure")))
+        return F.struct(end.cast("long").alias("at"), F.when(disclosure.isNotNull(), F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(TERM_SPANS).alias("spans"))
+    return F.aggregate(pairs, zero, add, lambda s: s["spans"])
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with p_row, p_text (never null), p_base (base spans) and p_terms (spans of revealing terms
     with their disclosure)."""
-    all_rows = durable(docs.select("*", text_or_empty().alias("p_text")).select("*", base_spans(F.col("p_text")).alias("p_base"), F.monotonically_increasing_id().alias("p_row")))
+    based = docs.select("*", base_spans(text_or_empty()).alias("p_base"), F.monotonically_increasing_id().alias("p_row"))
+    all_rows = durable(based).withColumn("p_text", text_or_empty())
     found = all_rows.where(F.size("p_base") > 0)
-    contexts = durable(_contexts(found))
-    revealing = durable(disclosures(all_rows.select("p_text"), contexts))
-    spans = (
-        contexts.join(small_side(revealing, revealing.count()), ["entity", "term"])
-        .groupBy("p_row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("p_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("p_terms"))
-    )
-    none = F.array().cast("array<struct<start:bigint,end:bigint,disclosure:double>>")
+    strong = revealing_terms(all_rows).groupBy("p_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("p_strong"))
+    none = F.array().cast(TERM_SPANS)
     clean = all_rows.where(F.size("p_base") == 0).withColumn("p_terms", none)
-    return clean.unionByName(found.join(spans, "p_row", "left").withColumn("p_terms", F.coalesce("p_terms", none)))
+    spans = F.when(F.col("p_strong").isNotNull(), _occurrences()).otherwise(none)
+    return clean.unionByName(found.join(strong, "p_row", "left").withColumn("p_terms", spans).drop("p_strong"))
 
 
 def _listed(spans: Column) -> Column:
