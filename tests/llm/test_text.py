@@ -144,6 +144,30 @@ def test_language_model_without_warm_tokens_agrees(spark, monkeypatch):
     assert lm_bloom.score(df.limit(0), fold_of() == 1).count() == 0
 
 
+@pytest.mark.parametrize("warm, bits", [(1 << 18, 1 << 29), (5, 1 << 29), (5, 400)])
+def test_language_model_knows_all_bigrams(spark, monkeypatch, warm, bits):
+    monkeypatch.setattr(lm_bloom, "WARM", warm)
+    monkeypatch.setattr(lm_bloom, "FILTER_BITS", bits)
+    rng = np.random.default_rng(13)
+    rare = [f"w{i}" for i in range(1500)]  # more types than once had counts of their own
+    rows = [(i, " ".join(f"{rare[j]} {rare[(j * 7) % 1500]}" for j in rng.integers(0, 1500, 40))) for i in range(100)] + prose(14, 40)[:1] + [(999, "")]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    tokens = {i: t.lower().split() + ["\0"] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
+    quantised = lambda n: float(lm_bloom.value(lm_bloom.level(np.array([n])))[0])
+    uni = collections.Counter(w for i, ws in tokens.items() for w in ws if not held[i])
+    bi = collections.Counter(b for i, ws in tokens.items() for b in zip(["\1", *ws], ws) if not held[i])
+    begun = collections.Counter()
+    for (v, _), n in bi.items():
+        begun[v] += quantised(n)
+    norm = sum(map(quantised, uni.values())) + 0.5 * (len(uni) + 1)
+    want = {}
+    for i, ws in tokens.items():
+        want[i] = sum(math.log10((quantised(bi[v, w]) + lm_bloom.MU * (quantised(uni[w]) + 0.5) / norm) / (begun[v] + lm_bloom.MU)) for v, w in zip(["\1", *ws], ws))
+    got = {r["doc_id"]: r["score"] for r in lm_bloom.score(docs_of(spark, rows), fold_of() == 1).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def test_filter_never_reads_too_low():
     rng = np.random.default_rng(0)
     names, n = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64)), None
