@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of (long, long) width that an operator broadcasts; 4 million of them are about 64 MB.
-BROADCAST_ROWS = 4_000_000
+#: Most rows of a few numbers that an operator broadcasts (about 64 MB as a hash table), and of rows with short texts.
+BROADCAST_ROWS, BROADCAST_TEXTS = 1_000_000, 300_000
+
+#: Bytes of an Arrow batch that goes to a Python worker, where the session doesn't say otherwise.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4000000")
 
 _unset: dict[str, str] = {}
-_scopes: list[list[str]] = []
+_own = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,14 +40,21 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _scopes() -> list[list[str]]:
+    """Of this thread."""
+    if not hasattr(_own, "scopes"):
+        _own.scopes = []
+    return _own.scopes
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables made durable inside are deleted at the end, but for those made with ``keep``."""
-    _scopes.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes().pop():
             _delete(spark, path)
 
 
@@ -56,16 +69,59 @@ def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    if len(_scopes) > keep:
-        _scopes[-1 - keep].append(path)
+    if len(_scopes()) > keep:
+        _scopes()[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_scope(spark: SparkSession, make) -> DataFrame:
+    """The table that ``make`` gives, written; all others that it made are deleted."""
+    with scope(spark):
+        return durable(make(), keep=True)
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only when its counted ``rows`` stay under ``limit``; beyond it Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df
 
 
+def arrow(df: DataFrame, made, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded bytes, whose worker hands memory back when its partition ends."""
+    if not df.sparkSession.conf.get(BATCH_BYTES[0], None):
+        df.sparkSession.conf.set(*BATCH_BYTES)
+
+    def run(batches):
+        try:
+            yield from made(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # another C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or what comes of it that no column is called, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hash_sample(df: DataFrame, key: str, most: int, parts: int = 4096) -> DataFrame:
+    """All rows if there are at most ``most``, else those whose key's hash is below a limit that leaves at most so many."""
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    limit, left = 0, most
+    for r in sorted(df.groupBy(part.alias("part")).count().collect()):  # ``parts`` rows
+        if r["count"] > left:
+            break
+        limit, left = r["part"] + 1, left - r["count"]
+    else:
+        return df
+    return df.where(part < limit)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

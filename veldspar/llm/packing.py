@@ -9,8 +9,9 @@ sequences, and the last of these into sequences of powers of two, which need no
 
 Sequence ids carry the partition's number, so they are unique without a shuffle.
 
-Tokens: pieces of the byte-level pattern are found on arrays of code points and named by 64-bit hashes; only names that
-a worker has not met lately are encoded by the vocabulary, so frequent words cost a table lookup.
+Tokens: pieces of the byte-level pattern are found on arrays of code points and named by 128-bit hashes; only names that
+a worker has not met lately are encoded by the vocabulary, so frequent words cost a table lookup. A long text is cut
+for this before blanks between letters, where a piece always begins.
 
 Defined results: null and empty texts are documents of the end id alone; repeated rows are packed as often as they
 occur; a null doc_id is packed under null; an empty table gives an empty result; extra columns are ignored.
@@ -32,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import table
+from .common import arrow, table
 
 CAPACITY, LEAST_CUT, END_ID = 2048, 64, 1
-#: Names of pattern pieces that a worker keeps with their ids; all are dropped when as many have come in.
+#: Pattern pieces that a worker keeps with their ids; all are dropped when as many have come in. One takes about 150 bytes.
 CACHE = 150_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -61,7 +62,12 @@ class Tokenizer:
         self._kind = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], _OTHER) for i in range(_TOP + 1)), dtype=np.uint8, count=_TOP + 1)
         self._kind[_SPACES] = _SPACE
         self._kind[_TOP] = _OTHER
-        self._seen: dict[int, list[int]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        #: of the pieces met: number by first name; second names, and where their ids lie
+        self._seen: dict[int, int] = {}
+        self._other, self._begin, self._size, self._ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def pieces(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Starts of the pattern's pieces in the code points of some texts, whose own starts are ``first``."""
@@ -98,34 +104,74 @@ class Tokenizer:
                 start[after] |= kind[after] == _LETTER
         return np.flatnonzero(start)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray, most: int = 2 * tb.STEP_BYTES) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, and the offsets of each text's ids."""
-        if not len(data):
+        ids, cut, n = [], [], 0
+        blocks = blocks_of(data, offsets, most)
+        for a, b in zip(blocks[:-1], blocks[1:]):
+            inside = offsets[(offsets >= a) & (offsets < b)]
+            some, at = self._block(data[a:b], inside - a)
+            ids.append(some)
+            cut.append(n + at)
+            n += len(some)
+        if not ids:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        text = data.tobytes().decode("utf-8")
-        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
-        starts = self.pieces(points, np.unique(chars[:-1][np.diff(offsets) > 0]))
-        ends = np.append(starts[1:], len(points))
-        up, down = tb.powers(len(points))
-        total = np.zeros(len(points) + 1, dtype=np.uint64)
-        np.cumsum(tb.mix(points.astype(np.uint64) + np.uint64(7)) * up[: len(points)], out=total[1:])
-        name = tb.mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        names, where, back = np.unique(name, return_index=True, return_inverse=True)
-        seen = self._seen
-        found = [seen.get(x) for x in names.tolist()]
-        if len(seen) > CACHE:
-            seen.clear()
-        for i in [i for i, x in enumerate(found) if x is None]:
-            w = where[i]
-            found[i] = seen[int(names[i])] = self._encode(text[starts[w] : ends[w]])
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((x for ids in found for x in ids), dtype=np.uint32, count=int(size.sum()))
-        begin = np.cumsum(size) - size
-        sizes = size[back]
+        last = np.full((offsets == len(data)).sum(), n)
+        return np.concatenate(ids), np.concatenate([*cut, last])
+
+    def _block(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some bytes, and how many come before each of the texts that begin at ``first``."""
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        if len(points) == len(data):
+            starts = self.pieces(points, np.unique(np.append(0, first)))
+        else:
+            leads = (data & 0xC0) != 0x80
+            chars = np.concatenate(([0], np.cumsum(leads)))
+            starts = np.flatnonzero(leads)[self.pieces(points, np.unique(np.append(0, chars[first])))]
+        ends = np.append(starts[1:], len(data))
+        name, other = tb.names(data, starts, ends, 2)
+        where, back = tb.distinct(name, other)
+        if len(self._seen) > CACHE:
+            self.clear()
+        piece = np.array([self._seen.get(x, -1) for x in name[where].tolist()], dtype=np.int64)
+        met = np.flatnonzero(piece >= 0)
+        piece[met[self._other[piece[met]] != other[where[met]]]] = -1
+        if len(new := np.flatnonzero(piece < 0)):
+            raw = data.tobytes()
+            found = [self._encode(raw[a:b].decode()) for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())]
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            piece[new] = len(self._other) + np.arange(len(new))
+            for x, i in zip(name[where[new]].tolist(), piece[new].tolist()):
+                self._seen.setdefault(x, i)
+            self._other = np.append(self._other, other[where[new]])
+            self._begin = np.append(self._begin, len(self._ids) + np.cumsum(size) - size)
+            self._size = np.append(self._size, size)
+            self._ids = np.append(self._ids, np.fromiter((x for ids in found for x in ids), dtype=np.uint32, count=int(size.sum())))
+        sizes = self._size[piece][back]
         upto = np.concatenate(([0], np.cumsum(sizes)))
-        ids = flat[np.repeat(begin[back] - upto[:-1], sizes) + np.arange(upto[-1])]
-        return ids, upto[np.searchsorted(starts, chars)]
+        ids = self._ids[np.repeat(self._begin[piece][back] - upto[:-1], sizes) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(starts, first)]
+
+
+_ASCII_LETTER = np.zeros(256, dtype=bool)
+_ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
+
+
+def blocks_of(data: np.ndarray, offsets: np.ndarray, most: int) -> list[int]:
+    """Where to cut bytes of texts into blocks of about ``most``, at a text's begin or before a blank between letters."""
+    out = [0] if len(data) else []
+    while out and out[-1] < len(data):
+        at = out[-1] + most
+        while at < len(data):
+            some = data[at - 1 : at + most + 1]
+            safe = np.flatnonzero((some[1:-1] == 32) & _ASCII_LETTER[some[:-2]] & _ASCII_LETTER[some[2:]])
+            begun = int(offsets[min(np.searchsorted(offsets, at), len(offsets) - 1)])
+            found = min(at + int(safe[0]) if len(safe) else len(data), begun if begun >= at else len(data))
+            if found < at + most:
+                break
+            at += most
+        out.append(found if at < len(data) else len(data))
+    return out
 
 
 def cuts(n: int, capacity: int = CAPACITY, least_cut: int = LEAST_CUT) -> list[int]:
@@ -199,7 +245,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, least_cut: int =
             return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:6]], pa.array(columns[6], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for batch in batches:
-            for part, data, offsets in tb.steps(batch, "text", tb.STEP_BYTES // 2):
+            for part, data, offsets in tb.steps(batch, "text"):
                 ids, at = _tokenizers[path].encode(data, offsets)
                 out = []
                 for doc_id, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
@@ -210,10 +256,11 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, least_cut: int =
                         start += size
                 if out:
                     yield table_of(out)
+        _tokenizers[path].clear()
         if rest := list(bins.close()):
             yield table_of(rest)
 
-    return docs.select("doc_id", "text").mapInArrow(made, PIECES)
+    return arrow(docs.select("doc_id", "text"), made, PIECES)
 
 
 def packed_digests(docs: DataFrame) -> DataFrame:
