@@ -1,29 +1,38 @@
 """Document quality by co-training two views.
 
 The content view describes the text: shares of kinds of characters, lengths and repetition of words and lines. The
-metadata view describes the record: language, source and stated length. Both start from the same bounded sample of labelled
-documents (``LABELLED``); in each round either view labels the documents of a bounded unlabelled pool (``POOL``) that it is
-surest of, and hands them to the other view's training set, weighing less than true labels. At the end each view's
-log-odds are calibrated and combined by a logistic curve fitted to predictions for labelled documents that the views had
-not seen (two halves, each scored by views trained on the other). The fitted views then score every document.
+metadata view describes the record: language and source, hashed into ``LANGS`` and ``SOURCES`` features, and the stated
+length. Both start from the same bounded sample of labelled documents (``LABELLED``); in each round either view labels
+the unlabelled documents of the whole table that it is surest of (at most ``PER_ROUND``), and hands them to the other
+view's training set, weighing less than true labels. At the end each view's log-odds are calibrated and combined by a
+logistic curve fitted to predictions for labelled documents that the views had not seen (two halves, each scored by
+views trained on the other). The fitted views then score every document.
+
+The two halves and the whole sample are trained side by side, so that a round is one pass over the views of all
+documents, a small table made once; only its surest rows come to the driver.
 
 Defined results: null and empty texts are described by zeros; null metadata is a value of its own; repeated rows are
 scored each; a null doc_id takes part; without both labels in the sample every score is 1 and nothing is rejected; an
-empty table gives an empty result; ``keep_good`` keeps extra columns.
+empty table gives an empty result; ``keep_good`` keeps extra columns of any type and name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .common import table
+from .common import arrow, durable, hash_sample, scope, table, unused
 from .toxicity import logistic
 
-LABELLED, POOL, ROUNDS, PER_ROUND, PSEUDO_WEIGHT, THRESHOLD = 12_000, 12_000, 4, 400, 0.3, 0.5
+LABELLED, ROUNDS, PER_ROUND, PSEUDO_WEIGHT, THRESHOLD = 12_000, 4, 400, 0.3, 0.5
+#: Log-odds from which on a view is sure of a document.
+SURE = 2.0
 LANGS, SOURCES = 16, 64
 
 _KINDS = ["lower", "upper", "digit", "blank", "newline", "stop", "mark", "wide", "other"]
@@ -43,9 +52,11 @@ CONTENT = len(_KINDS) + 7
 def describe(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The content view of some texts: one row of CONTENT numbers each."""
     rows = len(offsets) - 1
-    row = np.repeat(np.arange(rows), np.diff(offsets))
-    share = np.bincount(row * len(_KINDS) + KIND[data], minlength=rows * len(_KINDS)).reshape(rows, len(_KINDS)).astype(float)
-    share /= np.maximum(1, np.diff(offsets))[:, None]
+    share = np.zeros(rows * len(_KINDS))
+    for a in range(0, len(data), tb.STEP_BYTES):
+        row = np.repeat(np.arange(rows), np.diff(np.clip(offsets, a, a + tb.STEP_BYTES)))
+        share += np.bincount(row * len(_KINDS) + KIND[data[a : a + tb.STEP_BYTES]], minlength=len(share))
+    share = share.reshape(rows, len(_KINDS)) / np.maximum(1, np.diff(offsets))[:, None]
     w = tb.words(data, offsets)
     n = np.diff(w.first)
     many = np.maximum(1, n)
@@ -88,25 +99,40 @@ def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rounds: int = ROUNDS, each: int = PER_ROUND) -> list[np.ndarray]:
-    """Weights of each view's logistic regression after the views have taught each other."""
-    given: list[dict[int, int]] = [{}, {}]
-    weights = [logistic(x, y) for x in views]
-    share = y.mean()
+#: The surest documents of each (training, teacher, label): their rows, and their two views.
+Picks = dict[tuple[int, int, int], tuple[np.ndarray, list[np.ndarray]]]
+
+
+def cotrain(trainings: list[tuple[list[np.ndarray], np.ndarray]], surest: Callable[[list[list[np.ndarray]]], Picks], rounds: int = ROUNDS) -> list[list[np.ndarray]]:
+    """Weights of each view's logistic regression after the views have taught each other, for each training (views,
+    labels). ``surest`` gives the unlabelled documents that views of some weights are surest of."""
+    given: list[list[dict]] = [[{}, {}] for _ in trainings]
+    weights = [[logistic(x, y) for x in views] for views, y in trainings]
     for _ in range(rounds):
-        for teacher in (0, 1):
-            z = odds(pools[teacher], weights[teacher])
-            order = np.argsort(z, kind="stable")
-            low, high = max(1, int(each * (1 - share))), max(1, int(each * share))
-            for picked, label in ((order[:low], 0), (order[::-1][:high], 1)):
-                sure = picked[np.abs(z[picked]) > 2]
-                given[1 - teacher].update((int(i), label) for i in sure)
-        for v in (0, 1):
-            at, labels = np.array(list(given[v]), dtype=int), np.array(list(given[v].values()), dtype=float)
-            weights[v] = logistic(np.vstack([views[v], pools[v][at]]), np.concatenate([y, labels]), np.concatenate([np.ones(len(y)), np.full(len(at), PSEUDO_WEIGHT)]))
+        for (t, teacher, label), (rows, views) in sorted(surest(weights).items()):
+            given[t][1 - teacher].update((int(r), (label, x)) for r, x in zip(rows, views[1 - teacher]))
+        for t, (views, y) in enumerate(trainings):
+            for v in (0, 1):
+                if more := list(given[t][v].values()):
+                    weights[t][v] = logistic(
+                        np.vstack([views[v], np.stack([x for _, x in more])]), np.concatenate([y, [float(label) for label, _ in more]]),
+                        np.concatenate([np.ones(len(y)), np.full(len(more), PSEUDO_WEIGHT)]),
+                    )
     return weights
 
 
+def quotas(y: np.ndarray, each: int = PER_ROUND) -> tuple[int, int]:
+    """How many documents of either label a view hands on in a round."""
+    return max(1, int(each * (1 - y.mean()))), max(1, int(each * y.mean()))
+
+
+def surest_of(z: np.ndarray, rows: np.ndarray, label: int, most: int) -> np.ndarray:
+    """Places of the ``most`` log-odds that are surest of a label, ties to the smaller row."""
+    key = -z if label else z
+    sure = np.flatnonzero(key < -SURE)
+    return sure[np.lexsort((rows[sure], key[sure]))][:most]
+
+
 class Model:
     """Two views and their combination; with no views all documents score 1."""
 
@@ -121,82 +147,126 @@ class Model:
         return p(z[0]), p(z[1]), p(odds(np.stack(z, axis=1), self.join))
 
 
-def fit(content: np.ndarray, record: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_record: np.ndarray) -> Model:
+def fit(content: np.ndarray, record: np.ndarray, y: np.ndarray, surest: Callable[[list[list[np.ndarray]], list[tuple[int, int]]], Picks]) -> Model:
     if len(np.unique(y)) < 2 or min((y == 0).sum(), (y == 1).sum()) < 4:
         return Model()
-    views, pools = [content, record], [pool_content, pool_record]
+    views = [content, record]
     half = np.zeros(len(y), dtype=bool)
     for label in (0, 1):
         half[np.flatnonzero(y == label)[::2]] = True
+    parts = [~half, half, np.ones(len(y), dtype=bool)]
+    most = [quotas(y[part]) for part in parts]
+    weights = cotrain([([x[part] for x in views], y[part]) for part in parts], lambda w: surest(w, most))
     unseen = [np.zeros(len(y)), np.zeros(len(y))]
-    for part in (half, ~half):
-        trained = cotrain([x[~part] for x in views], y[~part], pools)
+    for part, trained_ in zip((half, ~half), weights):
         for v in (0, 1):
-            unseen[v][part] = odds(views[v][part], trained[v])
+            unseen[v][part] = odds(views[v][part], trained_[v])
     curves = [logistic(z[:, None], y) for z in unseen]
     calibrated = np.stack([odds(z[:, None], c) for z, c in zip(unseen, curves)], axis=1)
-    return Model(cotrain(views, y, pools), curves, logistic(calibrated, y))
+    return Model(weights[2], curves, logistic(calibrated, y))
+
+
+VIEWS = "m_lang int, m_source int, m_chars double, i long, content array<double>"
 
 
-def views_of(docs: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
-    """content (array), m_lang, m_source, m_chars, and ``extra`` columns of each row."""
-    extra = extra or {}
+def views_of(docs: DataFrame) -> DataFrame:
+    """m_lang, m_source, m_chars, i (doc_id) and content (array) of each row."""
 
     def made(batches):
         for batch in batches:
             for part, data, offsets in tb.steps(batch, "text"):
                 x = describe(data, offsets)
                 content = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * CONTENT), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(1, part.num_columns)], content], [*part.schema.names[1:], "content"])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(1, 5)], content], ["m_lang", "m_source", "m_chars", "i", "content"])
+
+    return arrow(docs.select("text", *metadata_columns(docs), F.col("doc_id").cast("long").alias("i")), made, VIEWS)
+
+
+def _both(found: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    """The two views of some rows."""
+    content = found["content"]
+    content = content.combine_chunks() if isinstance(content, pa.ChunkedArray) else content
+    return [content.flatten().to_numpy(zero_copy_only=False).reshape(-1, CONTENT), _record(*(found[c].to_numpy() for c in ("m_lang", "m_source", "m_chars")))]
 
-    picked = docs.select("text", *metadata_columns(docs), *[c.alias(k) for k, c in extra.items()])
-    schema = ", ".join(f"`{k}` {t}" for k, t in picked.dtypes[1:]) + ", content array<double>"
-    return picked.mapInArrow(made, schema)
 
+def _surest(pool: DataFrame, weights: list[list[np.ndarray]], most: list[tuple[int, int]]) -> Picks:
+    """Over the rows (row, and those of ``views_of``) of a table: each task hands on its surest rows, and the surest of
+    all are found in two steps, so that no task sorts all of them."""
+    held = pool.sparkSession.sparkContext.broadcast((weights, most))
+    lists = [(t, v, label) for t in range(len(weights)) for v in (0, 1) for label in (0, 1)]
 
-def _arrays(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    if not rows:
-        return np.zeros((0, CONTENT)), np.zeros((0, LANGS + SOURCES + 2))
-    return np.array([r["content"] for r in rows]), _record(*(np.array([r[c] for r in rows]) for c in ("m_lang", "m_source", "m_chars")))
+    def made(batches):
+        best: dict[int, pa.Table] = {}
+        for batch in batches:
+            views, rows = _both(batch), batch.column(0).to_numpy()
+            for n, (t, v, label) in enumerate(lists):
+                z = odds(views[v], held.value[0][t][v])
+                at = surest_of(z, rows, label, held.value[1][t][label])
+                own = pa.Table.from_batches([batch.take(pa.array(at))]).append_column("key", pa.array(z[at] * (1 - 2 * label)))
+                if n in best:
+                    own = pa.concat_tables([best[n], own])
+                    order = np.lexsort((own["row"].to_numpy(), own["key"].to_numpy()))[: held.value[1][t][label]]
+                    own = own.take(pa.array(order)).combine_chunks()
+                best[n] = own
+        for n, own in best.items():
+            yield from own.append_column("list", pa.array(np.full(own.num_rows, n, dtype=np.int32))).to_batches()
+
+    found = arrow(pool.select("row", "m_lang", "m_source", "m_chars", "content"), made, "row long, m_lang int, m_source int, m_chars double, content array<double>, key double, list int")
+    for by in (["list", F.pmod(F.xxhash64("row"), F.lit(64))], ["list"]):
+        found = found.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("key", "row"))).where(F.col("place") <= max(max(x) for x in most)).drop("place")
+    got = found.orderBy("list", "key", "row").toArrow()
+    number, views, rows = got["list"].to_numpy(), _both(got), got["row"].to_numpy()
+    out = {}
+    for n, (t, v, label) in enumerate(lists):
+        at = np.flatnonzero(number == n)[: most[t][label]]
+        out[t, v, label] = rows[at], [x[at] for x in views]
+    return out
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """The model for ``docs`` (doc_id, text, lang, source, n_chars), from labels (doc_id, quality) that match its rows."""
-    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("y"))
-    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # only ids meet the labels; the rows of the few chosen ones come by a broadcast of these
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    labelled = ids.join(known, "doc_id").orderBy(*order).limit(LABELLED)
-    unlabelled = ids.join(known, "doc_id", "left_anti").orderBy(*order).limit(POOL)
-    ours = views_of(base.join(F.broadcast(labelled), "doc_id"), {"y": F.col("y"), "i": F.col("doc_id")}).orderBy("i", "content").limit(LABELLED).collect()
-    pool = views_of(base.join(F.broadcast(unlabelled), "doc_id"), {"i": F.col("doc_id")}).orderBy("i", "content").limit(POOL).collect()
-    return fit(*_arrays(ours), np.array([float(r["y"]) for r in ours]), *_arrays(pool))
-
-
-def score(docs: DataFrame, labels: DataFrame, model: Model | None = None, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (doc_id) of each row of ``docs``, content_score, metadata_score, score and keep."""
-    carry = carry or ["doc_id"]
-    held = docs.sparkSession.sparkContext.broadcast(model or trained(docs, labels))
+    known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max("quality").cast("double").alias("y"))
+    with scope(docs.sparkSession):
+        # texts stay where they are: only their views meet the labels
+        rows = durable(views_of(docs).join(known, "i", "left").withColumn("row", F.monotonically_increasing_id()))
+        ours = hash_sample(rows.where("y is not null"), "i", LABELLED).orderBy("i", "row").toArrow()
+        pool = rows.where("y is null")
+        return fit(*_both(ours), ours["y"].to_numpy(), lambda weights, most: _surest(pool, weights, most))
 
-    def made(batches):
+
+def _scored(docs: DataFrame, model: Model, made, schema) -> DataFrame:
+    """``made(rows, their scores)`` over ``docs``, whose columns come first in the rows."""
+    names = [unused(docs.columns, n) for n in ("m_lang", "m_source", "m_chars")]
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
         for batch in batches:
-            named = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            content = named["content"].flatten().to_numpy().reshape(-1, CONTENT)
-            record = _record(*(named[c].to_numpy() for c in ("m_lang", "m_source", "m_chars")))
-            a, b, c = held.value.scores(content, record)
-            yield pa.RecordBatch.from_arrays([*[named[f"c_{i}"] for i in range(len(carry))], pa.array(a), pa.array(b), pa.array(c)], [*carry, "content_score", "metadata_score", "score"])
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    out = views_of(docs, {f"c_{i}": F.col(f"`{c}`") for i, c in enumerate(carry)}).mapInArrow(made, f"{kinds}, content_score double, metadata_score double, score double")
+            for part, data, offsets in tb.steps(batch, "text"):
+                yield made(part, held.value.scores(describe(data, offsets), _record(*(part.column(part.schema.get_field_index(n)).to_numpy() for n in names))))
+
+    return arrow(docs.select("*", *[c.alias(n) for n, c in zip(names, metadata_columns(docs))]), run, schema)
+
+
+def score(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id of each row of ``docs``, content_score, metadata_score, score and keep."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+
+    def made(part, scores):
+        return pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, scores)], ["doc_id", "content_score", "metadata_score", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = _scored(docs, model or trained(docs, labels), made, f"doc_id {kind}, content_score double, metadata_score double, score double")
     return out.withColumn("keep", F.col("score") >= THRESHOLD)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with all their columns."""
-    name = {c: f"k_{i}" for i, c in enumerate(docs.columns)}
-    asked = docs.select("*", *[F.col(f"`{c}`").alias(k) for c, k in name.items()])
-    return score(asked, labels, trained(docs, labels), list(name.values())).where("keep").select(*[F.col(k).alias(c) for c, k in name.items()])
+    n = len(docs.columns)
+
+    def made(part, scores):
+        return part.select(part.schema.names[:n]).filter(pa.array(scores[2] >= THRESHOLD))
+
+    return _scored(docs, trained(docs, labels), made, docs.schema)
 
 
 def op7_quality_cotrain(spark: SparkSession, sf_dir: str) -> DataFrame:

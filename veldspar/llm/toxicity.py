@@ -5,8 +5,8 @@ subsequence that spans s bytes weighs ``DECAY**s``, up to a span of ``SPAN``. In
 ``wor-th*less`` stays near ``worthless``; letters spelled out with blanks between are joined to a token first. The
 kernel is normalised, and its Nyström features are whitened similarities to landmark tokens.
 
-Training: a bounded sample of labelled documents (``SAMPLE`` of each label at most, by hash of the id) is cut into
-sentences. A sentence is scored by its strongest token, a document by its strongest sentences. Sentences of clean
+Training: a bounded sample of labelled documents (``SAMPLE`` of each label at most, by hash of the id, as far as
+``SAMPLE_CHARS`` reach) is cut into sentences. A sentence is scored by its strongest token, a document by its strongest sentences. Sentences of clean
 documents are negative; of each toxic one the strongest sentence is positive, chosen anew in each round (multiple
 instances). A linear machine with squared hinge loss is fitted to the features; its value at a token collapses to
 one weight per string of three symbols, so scoring a token is a sum of table lookups. A logistic curve over the two
@@ -28,16 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import fold_of, table
+from .common import arrow, fold_of, table
 
 DECAY, SPAN, LANDMARKS, SAMPLE, ROUNDS = 0.7, 8, 96, 1200, 4
-#: A labelled document is taken for the sample if it has at most so many characters.
-SAMPLE_CHARS = 20_000
-CACHE = 400_000
-#: Distinct tokens of clean documents that the machine is fitted to at most.
-NEGATIVES = 50_000
-#: Tokens whose features are held at once in training.
+#: Characters of the labelled documents of either label in the sample, all together.
+SAMPLE_CHARS = 12_000_000
+CACHE = 200_000
+#: Tokens whose features are held at once.
 CHUNK = 2_000
+#: Bytes from which on a token is read in windows.
+LONG = 1 << 15
 LOWEST = -4.0
 
 
@@ -58,7 +58,7 @@ STRINGS = 1 << 15
 
 
 def triples(data: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """(token, string, weight) arrays of the subsequences of three symbols of some tokens."""
+    """(token, string, weight, place of the first symbol among all) of the subsequences of three symbols of some tokens."""
     size = end - start
     token = np.repeat(np.arange(len(size)), size)
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
@@ -69,7 +69,7 @@ def triples(data: np.ndarray, start: np.ndarray, end: np.ndarray):
         whole = (token[wide:] == token[:-wide]) & (s[wide:] > 0) & (s[:-wide] > 0)
         for mid in range(1, wide):
             some = np.flatnonzero(whole & (s[mid : len(s) - wide + mid] > 0))
-            yield token[some], (s[some] << 10) | (s[some + mid] << 5) | s[some + wide], DECAY ** (wide + 1)
+            yield token[some], (s[some] << 10) | (s[some + mid] << 5) | s[some + wide], DECAY ** (wide + 1), some
 
 
 def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,8 +77,8 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     found = list(triples(data, start, end))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    key = np.concatenate([t * STRINGS + c for t, c, _ in found])
-    weight = np.concatenate([np.full(len(t), w) for t, _, w in found])
+    key = np.concatenate([t * STRINGS + c for t, c, *_ in found])
+    weight = np.concatenate([np.full(len(t), w) for t, _, w, _ in found])
     order = np.argsort(key)
     key, weight = key[order], weight[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
@@ -114,10 +114,30 @@ class Machine:
         self.weight, self.offset, self.curve = weight, offset, curve
         self._seen: dict[int, float] = {}
 
+    def clear(self) -> None:
+        self._seen.clear()
+
     def values(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Of tokens."""
-        token, string, value = features(data, start, end)
-        return np.maximum(np.bincount(token, weights=value * self.weight[string], minlength=len(start)) + self.offset, LOWEST)
+        out = np.empty(len(start))
+        long = end - start > LONG
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self._of_long(data, int(start[i]), int(end[i]))
+        short = np.flatnonzero(~long)
+        for a in range(0, len(short), 10 * CHUNK):
+            some = short[a : a + 10 * CHUNK]
+            token, string, value = features(data, start[some], end[some])
+            out[some] = np.bincount(token, weights=value * self.weight[string], minlength=len(some)) + self.offset
+        return np.maximum(out, LOWEST)
+
+    def _of_long(self, data: np.ndarray, start: int, end: int) -> float:
+        """Of a long token, by windows that each hold the subsequences that begin in them."""
+        total = np.zeros(STRINGS)
+        for a in range(start, end, LONG):
+            for _, string, weight, at in triples(data, np.array([a]), np.array([min(end, a + LONG + SPAN - 1)])):
+                total += weight * np.bincount(string[at < LONG], minlength=STRINGS)
+        norm = np.sqrt((total**2).sum())
+        return float(total @ self.weight / norm + self.offset) if norm else self.offset
 
     def _known(self, names: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(self._seen) > CACHE:
@@ -161,16 +181,22 @@ class Machine:
         return 1 / (1 + np.exp(-(strongest @ self.curve[:2] + self.curve[2])))
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
-    """Weights (the last is the offset) of a linear machine, by Newton steps on its active set."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, weight = np.zeros(x.shape[1]), weight / weight.sum()
-    penal = ridge * np.eye(len(w))
+def squared_hinge(z: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
+    """Weights (the last is the offset) of a linear machine for the rows ``at`` of z, by Newton steps on its active set."""
+    dims = z.shape[1] + 1
+    w, weight = np.zeros(dims), weight / weight.sum()
+    penal = ridge * np.eye(dims)
     penal[-1, -1] = 1e-9
     for _ in range(30):
-        on = y * (x @ w) < 1
-        xa = x[on] * weight[on, None]
-        new = np.linalg.solve(penal + xa.T @ x[on], xa.T @ y[on])
+        gram, side = penal.copy(), np.zeros(dims)
+        for a in range(0, len(at), 10 * CHUNK):
+            some, own = slice(a, a + 10 * CHUNK), y[a : a + 10 * CHUNK]
+            x = np.hstack([z[at[some]].astype(float), np.ones((len(own), 1))])
+            on = own * (x @ w) < 1
+            part = x[on] * weight[some][on, None]
+            gram += part.T @ x[on]
+            side += part.T @ own[on]
+        new = np.linalg.solve(gram, side)
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -246,7 +272,7 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mach
         if len(some):
             first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
             z[a + some[first]] = np.add.reduceat(table_of[string] * value[:, None].astype(np.float32), first)
-    clean = np.unique(back[y[doc] == 0])[:NEGATIVES]  # names are hashes, so the first ones are a random sample
+    clean = np.unique(back[y[doc] == 0])
     f = np.where(bad > 0, odds, -10.0)
     toxic_rows = np.flatnonzero(y[doc] == 1)
     weights = np.zeros(z.shape[1] + 1)
@@ -257,28 +283,34 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mach
         witness, times = np.unique(witness, return_counts=True)
         negative = np.log1p(good[clean])
         weights = squared_hinge(
-            np.vstack([z[witness], z[clean]]).astype(float), np.concatenate([np.ones(len(witness)), -np.ones(len(clean))]),
-            np.concatenate([times * (negative.sum() / max(1, times.sum())), negative]),
-        )
+            z, np.concatenate([witness, clean]), np.concatenate([np.ones(len(witness)), -np.ones(len(clean))]), np.concatenate([times * (negative.sum() / max(1, times.sum())), negative])
+        )
         f = z @ weights[:-1] + weights[-1]
     machine = Machine(table_of.astype(float) @ weights[:-1], float(weights[-1]), np.zeros(3))
     raw = [t.encode() for t in texts]
     top = np.vstack([machine.strongest(np.frombuffer(b"".join(part), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in part], dtype=np.int64)))) for part in (raw[i : i + 200] for i in range(0, len(raw), 200))])
     machine.curve = logistic(top, y.astype(float))
-    machine._seen.clear()
+    machine.clear()
     return machine
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``sample`` documents of each label, by hash of the id, from those that aren't held out."""
+def training_sample(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """At most ``sample`` documents of each label, by hash of the id, of at most ``chars`` characters together, from those
+    that aren't held out; of rows that repeat an id the least text."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    fits = F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS
     # only ids meet the labels; the texts of the few chosen ones come by a broadcast of these
-    pool = docs.where(~held_out & fits).select("doc_id").distinct().join(known, "doc_id")
+    ids = docs.where(~held_out).select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")).join(known, "doc_id")
     rows = []
     for label in (0, 1):
-        chosen = pool.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        rows += docs.where(fits).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(sample).collect()
+        chosen, left = [], chars
+        for r in ids.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect():
+            if r["n"] <= left:
+                chosen.append((r["doc_id"], label))
+                left -= r["n"]
+        if chosen:
+            picked = docs.sparkSession.createDataFrame(chosen, ids.select("doc_id", "toxic").schema)
+            met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+            rows += sorted(met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect())
     return [r["text"] or "" for r in rows], [int(r["toxic"]) for r in rows]
 
 
@@ -291,9 +323,10 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SA
             for part, data, offsets in tb.steps(batch, "text"):
                 p = machine.value.scores(machine.value.strongest(data, offsets))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(p)], ["doc_id", "held_out", "score"])
+        machine.value.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(made, f"doc_id {kind}, held_out boolean, score double")
+    out = arrow(docs.select("doc_id", "text", held_out.alias("held_out")), made, f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
