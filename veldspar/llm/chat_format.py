@@ -12,7 +12,7 @@ and ``unescaped`` restores any text. The loss mask is the spans of the texts of
 
 Defined results: null texts and roles are empty; rows that share a conversation and a turn follow each other in order of
 role and text; a null conversation or turn is a value that sorts first; a reply to a missing message starts a tree; messages
-that reply to each other in a circle belong to no tree; an empty table gives an empty result; extra columns are
+that reply to each other in a circle, and those that reply to these, belong to no tree; an empty table gives an empty result; extra columns are
 ignored. A conversation is one row of output, and so gathered in one task; its messages alone bound that task.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, table
+from .common import durable, in_scope, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -47,19 +47,20 @@ def unescaped_role(role: Column) -> Column:
 
 def paths(nodes: DataFrame) -> DataFrame:
     """(leaf, node, up) for every node on the way from each leaf to its root, ``up`` replies above the leaf; of nodes
-    (node, parent) with unique non-null nodes."""
+    (node, parent) with unique non-null nodes. Nodes whose way never ends are left out."""
     ids = nodes.select(F.col("node").alias("parent"))
-    jump = durable(nodes.select("node", "parent").join(ids, "parent", "left_semi").select("node", F.col("parent").alias("above")))
-    leaves = nodes.select("node").join(jump.select(F.col("above").alias("node")).distinct(), "node", "left_anti")
-    way = durable(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    reach = 1
-    while not jump.isEmpty():
-        further = way.join(jump, "node").select("leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))
-        way = durable(way.union(further))
-        jump = durable(jump.alias("a").join(jump.alias("b"), F.col("a.above") == F.col("b.node")).select("a.node", "b.above"))
-        reach *= 2
-        if reach > 1 << 40:
-            raise ValueError("messages reply to each other in a circle")
+    jumps = [durable(nodes.select("node", "parent").join(ids, "parent", "left_semi").select("node", F.col("parent").alias("above")))]
+    n = jumps[0].count()  # no way has more replies
+    while not jumps[-1].isEmpty() and 1 << (len(jumps) - 1) <= n:
+        jumps.append(durable(jumps[-1].alias("a").join(jumps[-1].alias("b"), F.col("a.above") == F.col("b.node")).select("a.node", "b.above")))
+    # what still has a node so far above it goes round in a circle, or replies to one that does
+    endless = jumps.pop().select("node")
+    circles = bool(jumps) and not endless.isEmpty()
+    all_nodes = nodes.select("node").join(endless, "node", "left_anti") if circles else nodes.select("node")
+    above = jumps[0].select(F.col("above").alias("node")).distinct() if jumps else endless
+    way = durable(all_nodes.join(above, "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
+    for i, jump in enumerate(jumps):
+        way = durable(way.union(way.join(jump, "node").select("leaf", F.col("above").alias("node"), (F.col("up") + (1 << i)).alias("up"))))
     return way
 
 
@@ -70,10 +71,10 @@ def conversations(nodes: DataFrame, branches: int = 1, trained: str = "assistant
     the place and length of its text within its block, and its place in ``formatted``, in code points.
     """
     way = paths(nodes.select("node", "parent"))
-    met = way.join(nodes.select("node", "tree", "role", "text", "score"), "node")
-    total = met.groupBy("leaf").agg(F.min("tree").alias("tree"), F.sum(F.coalesce("score", F.lit(0.0))).alias("total"))
-    ranked = total.select("leaf", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")).alias("branch"))
-    chosen = met.join(ranked.where(F.col("branch") <= branches), "leaf")
+    # branches are ranked by scores alone; texts meet only the paths that are chosen
+    total = way.join(nodes.select("node", "tree", "score"), "node").groupBy("leaf").agg(F.min("tree").alias("tree"), F.sum(F.coalesce("score", F.lit(0.0))).alias("total"))
+    ranked = total.select("leaf", "tree", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")).alias("branch"))
+    chosen = way.join(ranked.where(F.col("branch") <= branches), "leaf").join(nodes.select("node", "role", "text"), "node")
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head, body = F.concat(F.lit(OPEN), escaped_role(role), F.lit("\n")), escaped(text)
     turns = chosen.select("tree", "branch", "leaf", "up", head.alias("head"), body.alias("body"), (role == trained).alias("loss")).withColumn(
@@ -108,7 +109,7 @@ def chains(rows: DataFrame) -> DataFrame:
     to the one before."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = durable(rows.select("conv_id", "role", "text", F.row_number().over(order).alias("i")))
-    key = lambda i: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), i)
+    key = lambda i: F.concat(F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("none")), F.lit(":"), i)
     return numbered.select(key(F.col("i")).alias("node"), F.when(F.col("i") > 1, key(F.col("i") - 1)).alias("parent"), F.col("conv_id").alias("tree"), "role", "text", F.lit(0.0).alias("score"))
 
 
@@ -124,7 +125,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("<|im_end|><|im_start|>assistant ok")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    return digests(conversations(chains(rows.union(own))))
+    return in_scope(spark, lambda: digests(conversations(chains(rows.union(own)))))
 
 
 SQL = r"""

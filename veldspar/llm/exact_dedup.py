@@ -12,7 +12,8 @@ another row carry on, with only the bytes not yet consumed, in a table in the sh
 
 Defined results: null text is the empty text; a null doc_id takes part and is smaller than any other; rows that repeat
 doc_id and text are members of one group, and all of them count as the row that stays (``keep_one`` drops the
-repeats); an empty table gives an empty result; extra columns are ignored by ``exact_groups`` and kept by ``keep_one``.
+repeats); an empty table gives an empty result; extra columns are ignored by ``exact_groups`` and kept by ``keep_one``,
+whatever their names and types.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from .common import durable, scope, small_side, table, text_or_empty
+from .common import BROADCAST_TEXTS, durable, in_scope, small_side, table, text_or_empty
 
 FIRST_WIDTH, GROWTH = 64, 8
 #: The first level's digits of groups of two rows and more are broadcast only up to so many bytes.
@@ -68,23 +70,29 @@ def exact_groups(docs: DataFrame, first_width: int = FIRST_WIDTH, growth: int =
     )
 
 
+def _ordered(kind: DataType) -> bool:
+    """Whether values of a type can be compared."""
+    if isinstance(kind, StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    return _ordered(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts, the one with the largest doc_id."""
-    with scope(docs.sparkSession):
-        found = durable(exact_groups(docs.select("doc_id", "text")).where("group_size > 1").select("doc_id", "keep_id", "text_sha256"), keep=True)
-    n = found.count()
-    named = found.select(F.col("doc_id").alias("r_id"), F.col("text_sha256").alias("r_sha"), F.col("keep_id").alias("r_keep")).distinct()
-    text_sha = F.sha2(text_or_empty().cast("binary"), 256)
-    met = docs.alias("d").join(small_side(named, n).alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.r_id")) & (text_sha == F.col("g.r_sha")), "left")
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    single = met.where(F.col("g.r_sha").isNull()).select(*own)
-    stay = met.where(F.col("g.r_sha").isNotNull() & F.col("g.r_id").eqNullSafe(F.col("g.r_keep")))
-    once = stay.groupBy("g.r_id", "g.r_sha").agg(F.min(F.struct(*own)).alias("one")).select("one.*")
-    return single.unionByName(once)
+    found = in_scope(docs.sparkSession, lambda: exact_groups(docs.select("doc_id", "text")).where("group_size > 1").select("doc_id", "keep_id", "text_sha256").distinct())
+    named = found.select(F.col("doc_id").alias("r_id"), F.col("text_sha256").alias("r_sha"), F.col("keep_id").alias("r_keep"))
+    row, text_sha = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.sha2(text_or_empty().cast("binary"), 256)
+    whole = docs.select(row.alias("r_row"), F.col("doc_id").alias("r_doc"), text_sha.alias("r_text"))
+    met = whole.join(small_side(named, found.count(), BROADCAST_TEXTS), F.col("r_doc").eqNullSafe(F.col("r_id")) & (F.col("r_text") == F.col("r_sha")), "left")
+    single = met.where(F.col("r_sha").isNull()).select("r_row.*")
+    stay = met.where(F.col("r_sha").isNotNull() & F.col("r_id").eqNullSafe(F.col("r_keep")))
+    # rows that repeat doc_id and text, the least by what can be compared
+    place = F.struct(*[F.col("r_row").getField(f.name) for f in docs.schema if _ordered(f.dataType)])
+    return single.unionByName(stay.groupBy("r_id", "r_sha").agg(F.min_by("r_row", place).alias("r_row")).select("r_row.*"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return in_scope(spark, lambda: exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 SQL = """
