@@ -139,8 +139,8 @@ def test_search_agrees_with_brute_force(spark):
     bad = [(200, None, "e"), (201, [1.0, None], "e"), (202, [float("inf")] * 8, "e"), (203, [float("nan")] * 8, "e"), (None, [1.0] * 8, "e")]
     df = spark.createDataFrame(rows + bad + rows[30:32], "vec_id long, embedding array<float>, codes string").repartition(3)
     codes = np.floor(64 * x.astype(float)).astype(int)
-    for shard, block in ((4096, 512), (16, 3)):
-        got = topk_maxscore.top_k(df, F.col("vec_id") % 10 == 0, k=6, shard=shard, block=block).collect()
+    for shard, group in ((4096, 512), (16, 3)):
+        got = topk_maxscore.top_k(df, F.col("vec_id") % 10 == 0, k=6, shard=shard, group=group).collect()
         want = []
         for q in range(0, 90, 10):
             score = codes @ codes[q]
@@ -149,6 +149,21 @@ def test_search_agrees_with_brute_force(spark):
         assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_search_skips_postings_and_stays_exact():
+    rng = np.random.default_rng(6)
+    scale = np.array([40.0] * 3 + [2.0] * 29)  # a few strong terms
+    x = np.floor(rng.normal(size=(6000, 32)) * scale).astype(np.int64)
+    best, held, read = topk_maxscore.Best(np.arange(20), x[:20], 10), 0, 0
+    for a in range(0, 6000, 2000):
+        more = best.add(np.arange(a, a + 2000), x[a : a + 2000])
+        held, read = held + more[0], read + more[1]
+    assert read < 0.5 * held
+    for q in range(20):
+        score = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(6000), -score)) if i != q][:10]
+        assert best.ids[q].tolist() == want and best.scores[q].tolist() == score[want].tolist()
+
+
 def test_search_with_few_rows(spark):
     kind = "vec_id long, embedding array<float>"
     assert topk_maxscore.top_k(spark.createDataFrame([], kind), F.lit(True)).count() == 0

@@ -1,6 +1,7 @@
 """Packing, sampling, language model, toxicity, quality and personal data against brute force and round trips."""
 
 import collections
+import itertools
 import math
 import re
 import zlib
@@ -91,11 +92,17 @@ def test_every_sample_decodes_and_differs(spark):
 
 
 def test_samples_follow_the_exact_distribution():
-    vocabulary = sp_sampling.vocabulary_of(packing.vocabulary_path("piece_bpe_32k.model"))
+    vocabulary = sp_sampling.lattices_of(packing.vocabulary_path("piece_bpe_32k.model")).vocabulary
     text, n = "thin air", 3000
     raw = text.encode() * n
     offsets = np.arange(n + 1) * len(text)
-    found = sp_sampling.samples(vocabulary, np.frombuffer(raw, np.uint8), offsets, np.arange(n, dtype=np.uint64), 2)
+    lattices = sp_sampling.Lattices(vocabulary)
+    paths_, last = sp_sampling.samples(lattices, np.frombuffer(raw, np.uint8), offsets, np.arange(n, dtype=np.uint64), 2)
+    found = [[] for _ in range(n)]
+    for p_ in paths_:
+        ids, at = sp_sampling.ids_of(lattices, p_)
+        for r, a, b, log_p, score in zip(p_.row, at[:-1], at[1:], p_.log_prob, sp_sampling.inclusion(p_, last)):
+            found[r].append((ids[a:b], log_p, score))
     points = np.array([sp_sampling.MARK, *map(ord, "thin"), sp_sampling.MARK, *map(ord, "air")])
     edges = vocabulary.lattice(points, np.array([5] * 5 + [9] * 4))
 
@@ -133,46 +140,47 @@ def test_language_model_counts_are_exact(spark):
     assert all(r["score"] < 0 for r in got)
 
 
-def test_language_model_without_warm_tokens_agrees(spark, monkeypatch):
+def test_language_model_without_warm_tokens_agrees(spark):
     df = docs_of(spark, prose(4, 40))
     usual = {r["doc_id"]: r["base_score"] for r in lm_bloom.score(df, fold_of() == 1).collect()}
-    monkeypatch.setattr(lm_bloom, "WARM", 5)
-    few = {r["doc_id"]: r["base_score"] for r in lm_bloom.score(df, fold_of() == 1).collect()}
+    few = {r["doc_id"]: r["base_score"] for r in lm_bloom.score(df, fold_of() == 1, most_warm=5).collect()}
     assert all(abs(usual[i] - few[i]) < 1e-6 for i in usual)
     nothing = lm_bloom.score(df, F.lit(True)).collect()
     assert {(r["train_tokens"], r["n_known"], round(r["base_score"], 9)) for r in nothing} == {(0, 0, 0.0)}
     assert lm_bloom.score(df.limit(0), fold_of() == 1).count() == 0
+    assert lm_bloom.score(df.limit(0), fold_of() == 1, filter_bits=0).count() == 0
 
 
-@pytest.mark.parametrize("warm, bits", [(1 << 18, 1 << 29), (5, 1 << 29), (5, 400)])
-def test_language_model_knows_all_bigrams(spark, monkeypatch, warm, bits):
-    monkeypatch.setattr(lm_bloom, "WARM", warm)
-    monkeypatch.setattr(lm_bloom, "FILTER_BITS", bits)
+def test_language_model_scores_by_all_bigrams(spark):
     rng = np.random.default_rng(13)
-    rare = [f"w{i}" for i in range(1500)]  # more types than once had counts of their own
-    rows = [(i, " ".join(f"{rare[j]} {rare[(j * 7) % 1500]}" for j in rng.integers(0, 1500, 40))) for i in range(100)] + prose(14, 40)[:1] + [(999, "")]
-    rows = [(k, t) for k, (_, t) in enumerate(rows)]
-    tokens = {i: t.lower().split() + ["\0"] for i, t in rows}
+    rare = [f"w{i}" for i in range(1500)]
+    rows = [" ".join(f"{rare[j]} {rare[(j * 7) % 1500]}" for j in rng.integers(0, 1500, 40)) for _ in range(100)] + [prose(14, 40)[0][1], "", None, "é " * 3000]
+    rows = list(enumerate(rows))
+    tokens = {i: (t or "").lower().split() + ["\0"] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
     quantised = lambda n: float(lm_bloom.value(lm_bloom.level(np.array([n])))[0])
     uni = collections.Counter(w for i, ws in tokens.items() for w in ws if not held[i])
     bi = collections.Counter(b for i, ws in tokens.items() for b in zip(["\1", *ws], ws) if not held[i])
-    begun = collections.Counter()
-    for (v, _), n in bi.items():
-        begun[v] += quantised(n)
-    norm = sum(map(quantised, uni.values())) + 0.5 * (len(uni) + 1)
+    norm, begun = sum(map(quantised, uni.values())) + 0.5 * (len(uni) + 1), {**uni, "\1": sum(not h for h in held.values())}
     want = {}
     for i, ws in tokens.items():
-        want[i] = sum(math.log10((quantised(bi[v, w]) + lm_bloom.MU * (quantised(uni[w]) + 0.5) / norm) / (begun[v] + lm_bloom.MU)) for v, w in zip(["\1", *ws], ws))
-    got = {r["doc_id"]: r["score"] for r in lm_bloom.score(docs_of(spark, rows), fold_of() == 1).collect()}
-    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+        c = [(quantised(begun.get(v, 0)), quantised(bi[v, w]), (quantised(uni[w]) + 0.5) / norm) for v, w in zip(["\1", *ws], ws)]
+        want[i] = sum(math.log10((min(vw, v) + lm_bloom.MU * p) / (v + lm_bloom.MU)) for v, vw, p in c)
+    df = docs_of(spark, rows).repartition(3)
+    # in a filter so large there are no false positives
+    for bits in (1 << 30, 0):
+        got = {r["doc_id"]: r["score"] for r in lm_bloom.score(df, fold_of() == 1, shards=16, filter_bits=bits, entry_bits=256).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    whole, dealt = ({r["doc_id"]: r["score"] for r in lm_bloom.score(df, fold_of() == 1, filter_bits=b).collect()} for b in (1 << 30, 0))
+    assert whole.keys() == dealt.keys() and all(abs(whole[i] - dealt[i]) < 1e-9 for i in want)
 
 
 def test_filter_never_reads_too_low():
     rng = np.random.default_rng(0)
-    names, n = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64)), None
+    names = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
     n = rng.zipf(1.5, len(names))
-    f = lm_bloom.LogFrequencyFilter(20)
+    shard = lm_bloom.shard_of(names, 7)
+    f = lm_bloom.LogFrequencyFilter(lm_bloom.words_for(np.bincount(shard, weights=lm_bloom.level(n), minlength=7).astype(int)))
     f.add(names, lm_bloom.level(n))
     read = f.read(names)
     assert (read >= lm_bloom.level(n)).all() and (read == lm_bloom.level(n)).mean() > 0.95
@@ -214,6 +222,42 @@ def test_toxicity_finds_altered_insults_on_held_out_rows(spark):
     assert (machine.scores(strongest) >= 0.5).tolist() == [True, True, False]
 
 
+def test_kernel_features_are_weighted_subsequences():
+    words = ["grobnik", "a", "gr-o.bnik", "worthless", "00ps", "xyzzyxyzzyxyz"]
+    raw = [w.encode() for w in words]
+    end = np.cumsum([len(x) for x in raw])
+    start = end - [len(x) for x in raw]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    want = []
+    for w in raw:
+        by = collections.defaultdict(float)
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            a, b, c = (int(toxicity.SYMBOL[w[x]]) for x in (i, j, k))
+            if a and b and c and k - i < toxicity.SPAN:
+                by[(a << 10) | (b << 5) | c] += toxicity.DECAY ** (k - i + 1)
+        norm = math.sqrt(sum(v * v for v in by.values()))
+        want.append({c: v / norm for c, v in by.items()})
+    got = [{} for _ in words]
+    for t, c, v in zip(*toxicity.features(data, start, end)):
+        got[t][int(c)] = v
+    assert all(g.keys() == w.keys() and all(abs(g[c] - w[c]) < 1e-12 for c in w) for g, w in zip(got, want))
+    # Nystroem: with all tokens as landmarks the features give the kernel itself
+    x = np.zeros((len(words), toxicity.STRINGS))
+    for i, w in enumerate(want):
+        x[i, list(w)] = list(w.values())
+    values, vectors = np.linalg.eigh(x @ x.T)
+    z = x @ (x.T @ (vectors / np.sqrt(np.maximum(values, 1e-3))))
+    assert np.allclose(z @ z.T, x @ x.T, atol=2e-2)
+
+
+def test_a_very_long_token_has_the_value_of_its_whole_kernel():
+    rng = np.random.default_rng(3)
+    machine = toxicity.Machine(rng.normal(size=toxicity.STRINGS), -0.5, np.zeros(3))
+    data = rng.integers(33, 127, 3 * toxicity.LONG + 77).astype(np.uint8)
+    token, string, value = toxicity.features(data, np.array([5]), np.array([len(data)]))
+    assert abs(machine.values(data, np.array([5]), np.array([len(data)]))[0] - max(toxicity.LOWEST, float(value @ machine.weight[string]) - 0.5)) < 1e-9
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.score(docs_of(spark, prose(1, 5)), none, fold_of() == 0).collect()} == {0}
@@ -234,6 +278,52 @@ def test_quality_rejects_junk_and_keeps_columns(spark):
     assert quality_cotrain.keep_good(df.limit(0), lab).count() == 0
 
 
+def test_cotraining_agrees_with_a_plain_loop():
+    rng = np.random.default_rng(21)
+    y = (rng.random(60) < 0.6).astype(float)
+    views = [y[:, None] * 2 + rng.normal(size=(60, 3)), y[:, None] * 1.5 + rng.normal(size=(60, 2))]
+    hidden = (rng.random(500) < 0.6).astype(float)
+    pool = [hidden[:, None] * 2 + rng.normal(size=(500, 3)), hidden[:, None] * 1.5 + rng.normal(size=(500, 2))]
+    low, high = quality_cotrain.quotas(y, 30)
+
+    def surest(weights):
+        out = {}
+        for t, v in itertools.product(range(len(weights)), (0, 1)):
+            z = quality_cotrain.odds(pool[v], weights[t][v])
+            for label, most in ((0, low), (1, high)):
+                at = quality_cotrain.surest_of(z, np.arange(500), label, most)
+                out[t, v, label] = at, [x[at] for x in pool]
+        return out
+
+    got = quality_cotrain.cotrain([(views, y)], surest, rounds=3)[0]
+    mine, told = [quality_cotrain.logistic(x, y) for x in views], [{}, {}]
+    for _ in range(3):
+        for v in (0, 1):
+            z = [float(quality_cotrain.odds(p[None], mine[v])[0]) for p in pool[v]]
+            told[1 - v] |= {i: 0.0 for i in sorted((i for i in range(500) if z[i] < -2), key=lambda i: (z[i], i))[:low]}
+            told[1 - v] |= {i: 1.0 for i in sorted((i for i in range(500) if z[i] > 2), key=lambda i: (-z[i], i))[:high]}
+        for v in (0, 1):
+            rows = np.vstack([views[v], *[pool[v][i][None] for i in told[v]]])
+            mine[v] = quality_cotrain.logistic(rows, np.concatenate([y, list(told[v].values())]), np.concatenate([np.ones(60), np.full(len(told[v]), quality_cotrain.PSEUDO_WEIGHT)]))
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(got, mine)) and min(map(len, told)) > 20
+
+
+def test_the_surest_rows_of_a_table_are_those_of_a_plain_sort(spark):
+    rng = np.random.default_rng(22)
+    n = 400
+    content = rng.normal(size=(n, quality_cotrain.CONTENT))
+    meta = [(int(rng.integers(16)), int(rng.integers(64)), float(rng.random() * 9)) for _ in range(n)]
+    df = spark.createDataFrame([(i, *meta[i], content[i].tolist()) for i in range(n)], "row long, m_lang int, m_source int, m_chars double, content array<double>").repartition(5)
+    record = quality_cotrain._record(*(np.array(x) for x in zip(*meta)))
+    weights = [[rng.normal(size=quality_cotrain.CONTENT + 1), rng.normal(size=record.shape[1] + 1)] for _ in range(2)]
+    most = [(7, 12), (3, 9)]
+    got = quality_cotrain._surest(df, weights, most)
+    for (t, v, label), (rows, views) in got.items():
+        z = quality_cotrain.odds((content, record)[v], weights[t][v])
+        want = sorted((i for i in range(n) if (z[i] > 2 if label else z[i] < -2)), key=lambda i: (-z[i] if label else z[i], i))[: most[t][label]]
+        assert rows.tolist() == want and np.allclose(views[0], content[want]) and np.allclose(views[1], record[want])
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -261,7 +351,7 @@ def test_base_spans_agree_with_the_plain_patterns(spark):
     rng = np.random.default_rng(6)
     noise = ["".join("a1.@+- ()5é"[c] for c in rng.integers(0, 11, 60)) for _ in range(150)]
     rows = list(enumerate(TRICKY + noise)) + ODD
-    got = pii_infotheory.sanitised(docs_of(spark, rows).select("doc_id", "text")).select("text", pii_infotheory._listed(F.col("p_base")).alias("s")).collect()
+    got = pii_infotheory.sanitised(docs_of(spark, rows).select("doc_id", "text")).select(F.col("p_doc.text").alias("text"), pii_infotheory._listed(F.col("p_base")).alias("s")).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r["s"] == ",".join(spans_by_force(r["text"])), r["text"]
@@ -314,7 +404,7 @@ def test_entities_of_one_and_two_documents_are_protected_in_all_of_a_text(spark)
                 given = (n_et + pii_infotheory.PRIOR * n_e / total) / (n_t + pii_infotheory.PRIOR)
                 if 1 + math.log(given) / math.log(total / n_e) >= pii_infotheory.GENERALISE:
                     want.add((i, w))
-    made = pii_infotheory.sanitised(docs_of(spark, rows)).select("doc_id", "text", F.explode("p_terms").alias("t")).collect()
+    made = pii_infotheory.sanitised(docs_of(spark, rows)).select(F.col("p_doc.doc_id").alias("doc_id"), F.col("p_doc.text").alias("text"), F.explode("p_terms").alias("t")).collect()
     assert {(r["doc_id"], r["text"][r["t"]["start"] : r["t"]["end"]].lower()) for r in made} == want
 
 

@@ -49,6 +49,11 @@ def vocabulary_path(name: str) -> str:
     return str(Path(importlib.util.find_spec("public_tokenizers").origin).parent / name)
 
 
+def installed(path: str) -> str:
+    """The path, or the file of its name among the vocabularies that are installed here, on a worker."""
+    return path if Path(path).exists() else vocabulary_path(Path(path).name)
+
+
 class Tokenizer:
     """Ids of byte-level BPE for many texts at once, equal to those of the library ``tokenizers``."""
 
@@ -237,7 +242,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, least_cut: int =
 
     def made(batches):
         if path not in _tokenizers:
-            _tokenizers[path] = Tokenizer(path)
+            _tokenizers[path] = Tokenizer(installed(path))
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
 
         def table_of(rows: list[tuple]) -> pa.RecordBatch:

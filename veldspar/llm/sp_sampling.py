@@ -31,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import textbytes as tb
-from .common import table
-from .packing import vocabulary_path
+from .common import arrow, table
+from .packing import installed, vocabulary_path
 
 SAMPLES, ALPHA, RANK_OFFSET = 3, 1.0, 10.0
 MARK = 0x2581
 #: Stands for a space mark of the text itself; no character, so never a piece.
 LITERAL = 0x110000
-TABLE_BITS = 22
+TABLE_BITS = 21
+#: Nodes of words that a worker keeps from text to text; one takes about 120 bytes.
+CACHE_NODES = 1 << 19
 
 OUT = "doc_id long, sample int, ids binary, log_prob double, inclusion double"
 
@@ -46,14 +48,19 @@ OUT = "doc_id long, sample int, ids binary, log_prob double, inclusion double"
 def keyed(*keys) -> np.ndarray:
     """A 64-bit value that depends on all keys; arrays must be of one length."""
     x = np.full(1, 0x6A09E667F3BCC909, dtype=np.uint64)
-    for k in keys:
-        x = tb.mix((x ^ np.atleast_1d(np.asarray(k)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(0x3C6EF372FE94F82B))
+    for k in sorted(keys, key=np.ndim):  # single values are mixed first, and once
+        x = tb.mix((x ^ np.atleast_1d(k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(0x3C6EF372FE94F82B))
     return x
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """64-bit values as numbers in (0, 1)."""
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
 def uniform(*keys) -> np.ndarray:
     """Numbers in (0, 1) that depend on all keys."""
-    return ((keyed(*keys) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return unit(keyed(*keys))
 
 
 def below(bound: float, location: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -70,66 +77,81 @@ class Edges:
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece model file, with probabilities, found by hashes of code points."""
+    """Pieces of a SentencePiece model file, with probabilities; found by hashes of code points, then compared."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes_of, text, self.byte_id, ids = [b""] * sp.get_piece_size(), [], [0] * 256, []
+        raw, text, self.byte_id, ids = [b""] * sp.get_piece_size(), [], np.zeros(256, dtype=np.int32), []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
-                self.bytes_of[i] = bytes([int(piece[3:5], 16)])
+                raw[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 text.append(piece)
                 ids.append(i)
-                self.bytes_of[i] = piece.replace(chr(MARK), " ").encode()
+                raw[i] = piece.replace(chr(MARK), " ").encode()
         if any(chr(MARK) in p.lstrip(chr(MARK)) for p in text):
             raise ValueError("a piece spans a word's start")
+        #: each piece's bytes, eight in a number
+        self.length = np.array([len(x) for x in raw])
+        widest = -(-int(self.length.max()) // 8) * 8
+        self.eights = np.frombuffer(b"".join(x.ljust(widest, b"\0") for x in raw), dtype="<u8").reshape(len(raw), -1)
         self.longest = max(map(len, text))
         rank = np.arange(sp.get_piece_size(), dtype=float)
         log_p = -np.log(rank + RANK_OFFSET)
         log_p = ALPHA * (log_p - np.logaddexp.reduce(log_p))
-        self.byte_log_p = float(log_p[max(self.byte_id)] + log_p.min()) / 2
-        name = np.array([self._name(np.array([ord(c) for c in p], dtype=np.uint64)) for p in text], dtype=np.uint64)
+        self.byte_log_p = float(log_p[self.byte_id.max()] + log_p.min()) / 2
+        size = np.array([len(p) for p in text])
+        points = np.zeros((len(text), self.longest), dtype=np.int32)
+        points[np.arange(self.longest) < size[:, None]] = np.frombuffer("".join(text).encode("utf-32-le"), dtype=np.int32)
+        name, self.begins = np.zeros(len(text), dtype=np.uint64), np.zeros(1 << TABLE_BITS, dtype=bool)
+        for i in range(self.longest):
+            some = np.flatnonzero(size > i)
+            name[some] = self._further(name[some], points[some, i])
+            self.begins[(name[some] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         if len(np.unique(name)) < len(name):
             raise ValueError("two pieces share a name")
         order = np.argsort(name)
-        self.name, self.id = name[order], np.array(ids, dtype=np.int32)[order]
+        self.name, self.id, self.points = name[order], np.array(ids, dtype=np.int32)[order], points[order]
         self.log_p = log_p[self.id]
-        self.maybe = np.zeros(1 << TABLE_BITS, dtype=bool)
-        self.maybe[(self.name >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+        # the first piece of each run of names that begin alike, and the longest run
+        slot, first, count = np.unique(self.name >> np.uint64(64 - TABLE_BITS), return_index=True, return_counts=True)
+        self.slot, self.run = np.zeros(1 << TABLE_BITS, dtype=np.int32), int(count.max())
+        self.slot[slot.astype(np.int64)] = first
 
     @staticmethod
-    def _name(points: np.ndarray) -> int:
-        up, _ = tb.powers(len(points))
-        total = int((tb.mix(points + np.uint64(7)) * up[: len(points)]).sum(dtype=np.uint64)) + len(points) * 0xD6E8FEB86659FD93
-        return int(tb.mix(np.array([total & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))[0])
+    def _further(name: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """The name of what has one more code point."""
+        return tb.mix((name ^ point.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x3C6EF372FE94F82B))
 
     def lattice(self, points: np.ndarray, end: np.ndarray) -> "Edges":
         """All edges of words laid end to end; ``end`` is each node's word's end."""
         n = len(points)
-        up, down = tb.powers(n)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(tb.mix(points.astype(np.uint64) + np.uint64(7)) * up[:n], out=total[1:])
-        found, count, at = [], np.zeros(n, dtype=np.int64), np.arange(n)
+        found, count, at, name = [], np.zeros(n, dtype=np.int64), np.arange(n), np.zeros(n, dtype=np.uint64)
         for size in range(1, self.longest + 1):
-            at = at[at + size <= end[at]]
+            inside = at + size <= end[at]
+            at = at[inside]
             if not len(at):
                 break
-            name = tb.mix((total[at + size] - total[at]) * down[at] + np.uint64(size * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-            hit = np.flatnonzero(self.maybe[(name >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-            where = np.minimum(np.searchsorted(self.name, name[hit]), len(self.name) - 1)
-            real = self.name[where] == name[hit]
-            node, where = at[hit[real]], where[real]
+            name = self._further(name[inside], points[at + size - 1])
+            # only what begins a piece goes on
+            slot = (name >> np.uint64(64 - TABLE_BITS)).view(np.int64)
+            begun = np.flatnonzero(self.begins[slot])
+            at, name, where = at[begun], name[begun], self.slot[slot[begun]]
+            for _ in range(1, self.run):
+                where = np.minimum(where + (self.name[where] < name), len(self.name) - 1)
+            hit = np.flatnonzero(self.name[where] == name)
+            for i in range(size):
+                hit = hit[self.points[where[hit], i] == points[at[hit] + i]]
+            node, where = at[hit], where[hit]
             if size == 1:
                 bare = np.ones(n, dtype=bool)
                 bare[node] = False
                 bare = np.flatnonzero(bare)
-                point = np.where(points[bare] == LITERAL, MARK, points[bare])
-                found.append((bare, 1, np.full(len(bare), -1, dtype=np.int32), self.byte_log_p * (1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF))))
+                found.append((bare, 1, np.full(len(bare), -1, dtype=np.int32), self.byte_log_p * utf8_size(points[bare])))
                 count[bare] += 1
             found.append((node, size, self.id[where], self.log_p[where]))
             count[node] += 1
@@ -142,87 +164,176 @@ class Vocabulary:
             place[node] += 1
         return e
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of a segmentation."""
-        whole = b"".join([self.bytes_of[i] for i in ids.tolist()])
-        return (whole[1:] if whole[:1] == b" " else whole).decode()
+    def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets of the texts of some segmentations."""
+        size = self.length[ids]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        out = np.empty(upto[-1] + 8 * self.eights.shape[1], dtype=np.uint8)
+        places = np.ndarray(upto[-1] + 1, dtype="<u8", buffer=out, strides=(1,))
+        # last eights first, and within these in order: what a write has over is written again by the pieces that follow
+        for i in reversed(range(-(-int(size.max(initial=0)) // 8))):
+            some = np.flatnonzero(size > 8 * i) if i else slice(None)
+            places[upto[:-1][some] + 8 * i] = self.eights[ids[some], i]
+        out = out[: upto[-1]]
+        offsets = upto[offsets]
+        lead = np.diff(offsets) > 0
+        lead[lead] = out[offsets[:-1][lead]] == 32  # the mark that leads every text
+        return np.delete(out, offsets[:-1][lead]), offsets - np.concatenate(([0], np.cumsum(lead)))
+
+
+def utf8_size(point: np.ndarray) -> np.ndarray:
+    """Bytes of code points; of LITERAL those of the mark."""
+    return np.where(point == LITERAL, 3, 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF))
+
+
+class Rows:
+    """A column that grows; ``now`` is what it holds."""
+
+    def __init__(self, kind, first: int | None = None):
+        self.held, self.now = np.empty(1 << 16, dtype=kind), None
+        self.set(np.array([] if first is None else [first], dtype=kind))
+
+    def set(self, values: np.ndarray) -> None:
+        self.held[: len(values)] = values
+        self.now = self.held[: len(values)]
+
+    def extend(self, values: np.ndarray) -> None:
+        n = len(self.now) + len(values)
+        if n > len(self.held):
+            self.held = np.concatenate([self.now, np.empty(n, dtype=self.held.dtype)])
+        self.held[n - len(values) : n] = values
+        self.now = self.held[:n]
 
 
 class Lattices:
-    """Distinct words of some texts with their edges, edge probabilities and places."""
-
-    def __init__(self, vocabulary: Vocabulary, text: str, chars: np.ndarray):
-        # a mark leads every text that isn't empty
-        own = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        own[own == MARK] = LITERAL
-        own[own == 32] = MARK
-        full = np.diff(chars) > 0
-        points = np.insert(own, chars[:-1][full], MARK)
-        first = chars + np.concatenate(([0], np.cumsum(full)))
-        n = len(points)
-        mark = points == MARK
-        start = np.zeros(n, dtype=bool)
-        start[1:] = mark[1:] & ~mark[:-1]
-        start[first[:-1][full]] = True
-        begin = np.flatnonzero(start)
-        size = np.diff(np.append(begin, n))
-        up, down = tb.powers(n)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(tb.mix(points.astype(np.uint64) + np.uint64(7)) * up[:n], out=total[1:])
-        name = tb.mix((total[begin + size] - total[begin]) * down[begin] + size.astype(np.uint64))
-        _, where, self.word = np.unique(name, return_index=True, return_inverse=True)
-        self.first = np.searchsorted(begin, first)
-        # distinct words end to end
-        size = size[where]
-        self.base = np.concatenate(([0], np.cumsum(size)))
-        n = self.base[-1]
-        self.points = points[np.repeat(begin[where] - self.base[:-1], size) + np.arange(n)]
-        self.end = np.repeat(self.base[1:], size)
-        e = vocabulary.lattice(self.points, self.end)
-        self.first_edge, self.ids, self.size = e.first, e.id, e.size
+    """Distinct words with their edges, edge probabilities and places, laid end to end in the order in which they came.
+
+    A worker keeps them from text to text; when there are CACHE_NODES nodes, words that didn't come again go.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.clear()
+
+    def clear(self) -> None:
+        #: words by name
+        self.order = np.zeros(0, np.int64)
+        #: by word: both names, in how many steps it came, and its first node (one more tells the end)
+        self._name, self._other, self._times, self._base = Rows(np.uint64), Rows(np.uint64), Rows(np.int32), Rows(np.int64, 0)
+        #: by node: code point, its word's end, and its first edge (one more tells the end)
+        self._points, self._end, self._first_edge = Rows(np.int32), Rows(np.int64), Rows(np.int64, 0)
+        #: by edge: id, code points, log probability, and where its share of its node's unit begins
+        self._ids, self._size, self._log_q, self._before = Rows(np.int32), Rows(np.int16), Rows(float), Rows(float)
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        """What a column holds."""
+        return self.__dict__[f"_{name}"].now
+
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The word of each span of bytes, whose blanks stand for marks."""
+        if len(self.points) > CACHE_NODES:
+            self._thin()
+        name, other = tb.names(data, start, end, 2)
+        first, back = tb.distinct(name, other)
+        name, other = name[first], other[first]
+        word = np.full(len(name), -1)
+        if len(self.order):
+            sorted_ = self.name[self.order]
+            for side in ("left", "right"):  # two words may share a name, and are side by side then
+                at = np.searchsorted(sorted_, name, side) - (side == "right")
+                near = self.order[np.clip(at, 0, len(sorted_) - 1)]
+                hit = (self.name[near] == name) & (self.other[near] == other)
+                word[hit] = near[hit]
+        new = np.flatnonzero(word < 0)
+        if len(new):
+            word[new] = len(self.other) + np.arange(len(new))
+            self._name.extend(name[new])
+            self._other.extend(other[new])
+            self.order = np.argsort(self.name)
+            self._times.extend(np.zeros(len(new), np.int32))
+            self._add(data, start[first[new]], end[first[new]])
+        self.times[word] += 1
+        return word[back]
+
+    def _thin(self) -> None:
+        """Keep the words that came in most steps, of half the nodes at most."""
+        least, size = 2, np.diff(self.base)
+        while size[self.times >= least].sum() > CACHE_NODES // 2:
+            least *= 2
+        word = np.flatnonzero(self.times >= least)
+
+        def spread(first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Places of what some numbers hold, end to end, and the new offsets."""
+            count = first[of + 1] - first[of]
+            upto = np.concatenate(([0], np.cumsum(count)))
+            return np.repeat(first[of] - upto[:-1], count) + np.arange(upto[-1]), upto
+
+        node, base = spread(self.base, word)
+        edge, first_edge = spread(self.first_edge, node)
+        moved = np.repeat(base[:-1] - self.base[word], np.diff(base))
+        self._end.set(self.end[node] + moved)
+        self._before.set(self.before[edge] + np.repeat(moved, np.diff(first_edge)))
+        self._times.set(self.times[word] // 2)
+        for column, at in ((self._points, node), (self._ids, edge), (self._size, edge), (self._log_q, edge), (self._name, word), (self._other, word)):
+            column.set(column.now[at])
+        self._base.set(base)
+        self._first_edge.set(first_edge)
+        self.order = np.argsort(self.name)
+
+    def _add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        size = end - start
+        upto = np.concatenate(([0], np.cumsum(size)))
+        flat = data[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])]
+        points = np.frombuffer(flat.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.int32).copy()
+        points[points == MARK] = LITERAL
+        points[points == 32] = MARK
+        base = np.concatenate(([0], np.cumsum((flat & 0xC0) != 0x80)))[upto]
+        n, nodes, edges = len(points), len(self.points), len(self.ids)
+        own_end = np.repeat(base[1:], np.diff(base))
+        e = self.vocabulary.lattice(points, own_end)
         # backward: total log probability from each node to its word's end, by distance from the end; place n is an end
         back = np.zeros(n + 1)
-        left = self.end - np.arange(n)
+        left = own_end - np.arange(n)
         order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
         count = np.diff(e.first)[order]
         upto = np.concatenate(([0], np.cumsum(count)))
         edge = np.repeat(e.first[:-1][order] - upto[:-1], count) + np.arange(upto[-1])
         ahead = e.node + e.size
-        ahead = np.where(ahead < self.end[e.node], ahead, n)
+        ahead = np.where(ahead < own_end[e.node], ahead, n)
         log_p, to = e.log_p[edge], ahead[edge]
         level = np.searchsorted(left[order], np.arange(1, left.max(initial=0) + 2))
         for a, b in zip(level[:-1].tolist(), level[1:].tolist()):
             if a < b:
                 lo, hi = upto[a], upto[b]
                 back[order[a:b]] = np.logaddexp.reduceat(log_p[lo:hi] + back[to[lo:hi]], upto[a:b] - lo)
-        self.log_q = e.log_p + back[ahead] - back[e.node]
-        self.q = np.exp(self.log_q)
+        log_q = e.log_p + back[ahead] - back[e.node]
+        q = np.exp(log_q)
         starts = e.first[:-1]
-        # for each edge the total of the others; beside the strongest one they are summed alone, to keep their digits
-        most = np.maximum.reduceat(self.q, starts)[e.node] if n else self.q
-        top = self.q == most
-        if n:
-            rest = np.add.reduceat(np.where(top, 0.0, self.q), starts)[e.node]
-            ties = np.add.reduceat(top.astype(np.int64), starts)[e.node]
-            self.beside = np.where(top, rest + (ties - 1) * most, np.maximum(rest + ties * most - self.q, 0.0))
-            total = np.cumsum(self.q)
-            inside = total - (total[starts] - self.q[starts])[e.node]
-            upto = e.node + np.minimum(inside, 1.0)
-            # where an edge's share of its node's unit begins
-            self.before = np.concatenate(([0.0], upto[:-1]))
-            self.before[starts] = np.arange(n)
-
-    def others(self, edge: np.ndarray) -> np.ndarray:
-        """Log of the total probability of the other edges of the edges' nodes."""
-        with np.errstate(divide="ignore"):
-            return np.log(self.beside[edge])
-
-    def at(self, node: int, without: list[int]) -> tuple[int, np.ndarray]:
-        """(first edge, probabilities) of a node's edges, 0 for some."""
-        a, b = self.first_edge[node], self.first_edge[node + 1]
-        q = self.q[a:b].copy()
-        q[np.array(without) - a] = 0
-        return int(a), q
+        total = np.cumsum(q)
+        inside = total - (total[starts] - q[starts])[e.node]
+        before = np.concatenate(([0.0], (e.node + np.minimum(inside, 1.0))[:-1]))
+        before[starts] = np.arange(n)
+        for column, values in (
+            (self._base, base[1:] + nodes), (self._points, points), (self._end, own_end + nodes), (self._first_edge, e.first[1:] + edges), (self._ids, e.id), (self._size, e.size),
+            (self._log_q, log_q), (self._before, before + nodes),
+        ):
+            column.extend(values)
+
+    def parted(self, node: np.ndarray, without: list[list[int]], draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each node an edge drawn from all but some, and the total probability of what is left then."""
+        first, count = self.first_edge[node], self.first_edge[node + 1] - self.first_edge[node]
+        lead = np.cumsum(count) - count
+        of = np.repeat(np.arange(len(node)), count)
+        edge = (first - lead)[of] + np.arange(len(of))
+        q = np.exp(self.log_q[edge])
+        q[np.array([e + int(lead[i]) - int(first[i]) for i, some in enumerate(without) for e in some])] = 0
+        share = np.cumsum(q / np.add.reduceat(q, lead)[of])
+        share -= np.where(lead > 0, share[lead - 1], 0.0)[of]
+        share[np.maximum.reduceat(np.where(q > 0, np.arange(len(q)), 0), lead)] = 2.0
+        hit = np.flatnonzero((q > 0) & (share > draw[of]))
+        chosen = hit[np.searchsorted(of[hit], np.arange(len(node)))]
+        q[chosen] = 0
+        return edge[chosen], np.add.reduceat(q, lead)
 
     def forward(self, node: np.ndarray, *keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sample from each node to its word's end: (walk, node, edge) of all steps, in order of walks."""
@@ -232,7 +343,7 @@ class Lattices:
         count = np.zeros(len(node), dtype=np.int64)
         while len(live):
             # from the longest edge, which is mostly the likeliest, back to the one that holds the draw
-            edge, drawn = self.first_edge[now + 1] - 1, now + uniform(key, len(steps))
+            edge, drawn = self.first_edge[now + 1] - 1, now + unit(tb.mix(key + np.uint64(len(steps))))
             back = np.flatnonzero(self.before[edge] > drawn)
             while len(back):
                 edge[back] -= 1
@@ -240,180 +351,205 @@ class Lattices:
             steps.append((live, now, edge))
             count[live] += 1
             after = now + self.size[edge]
-            on = after < self.end[now]
+            on = np.flatnonzero(after < self.end[now])
             live, now, key = live[on], after[on], key[on]
         at = np.cumsum(count) - count
-        out = np.empty((3, int(count.sum())), dtype=np.int64)
+        nodes, edges = np.empty((2, int(count.sum())), dtype=np.int64)
         for i, (w, x, e) in enumerate(steps):
-            out[:, at[w] + i] = w, x, e
-        return out[0], out[1], out[2]
-
-
-class Frontier:
-    """A sampled path of a text, the values of the sets that part from it, and where it may be parted from."""
-
-    def __init__(self, row: "Row", number: int, node: np.ndarray, edge: np.ndarray, word: np.ndarray, value: float, at: int, without: list[int]):
-        self.node, self.edge, self.word, self.value, self.at, self.without = node, edge, word, value, at, without
-        lattices = row.lattices
-        each = lattices.log_q[edge]
-        self.log_prob = float(each.sum())
+            to = at[w] + i
+            nodes[to], edges[to] = x, e
+        return np.repeat(np.arange(len(count)), count), nodes, edges
+
+
+class Paths:
+    """A sampled path for each of some texts, end to end, and the values of the sets that part from its nodes.
+
+    Path p belongs to text row[p], takes first[p] to first[p + 1], and may be parted from at its node at[p] and later,
+    there but by the edges without[p].
+    """
+
+    def __init__(self, lattices: Lattices, keys: np.ndarray, number: int, row: np.ndarray, first: np.ndarray, node: np.ndarray, edge: np.ndarray, word: np.ndarray, value: np.ndarray, at: np.ndarray, without: list[list[int]], left: np.ndarray | None = None):
+        """``left``: the total probability of what each path may be parted by at its node at[p]."""
+        self.row, self.first, self.node, self.edge, self.word, self.at, self.without = row, first, node, edge, word, at, without
+        upto = np.concatenate(([0.0], np.cumsum(lattices.log_q[edge])))
+        self.log_prob = upto[first[1:]] - upto[first[:-1]]
+        path = np.repeat(np.arange(len(row)), np.diff(first))
+        place = np.arange(len(node)) - first[path]
+        open_ = np.flatnonzero(place >= at[path]) if number else np.arange(len(node))
+        # log of the total probability of a node's other edges; an only edge has a log probability of 0
+        with np.errstate(divide="ignore"):
+            rest = np.log(np.maximum(-np.expm1(lattices.log_q[edge[open_]]), 0.0))
+            if left is not None:
+                rest[place[open_] == at[path[open_]]] = np.log(left)
+        of = path[open_]
         self.sets = np.full(len(node), -np.inf)
-        if at < len(node):
-            before = np.concatenate(([0.0], np.cumsum(each)[:-1]))[at:]
-            rest = lattices.others(edge[at:])
-            if without:
-                _, q = lattices.at(int(node[at]), [*without, int(edge[at])])
-                rest[0] = np.log(q.sum()) if q.sum() > 0 else -np.inf
-            self.sets[at:] = below(value, before + rest, uniform(row.key, 2, number, np.arange(at, len(node))))
-
-
-class Row:
-    """The search of one text."""
-
-    def __init__(self, lattices: Lattices, key: int):
-        self.lattices, self.key, self.found = lattices, key, []
-
-    def best(self) -> tuple[float, int, int] | None:
-        """(value, frontier, place) of the best open set."""
-        top = [(float(f.sets.max()), i, int(f.sets.argmax())) for i, f in enumerate(self.found) if len(f.sets)]
-        value = max(top, default=(-np.inf, 0, 0), key=lambda x: x[0])
-        return None if np.isneginf(value[0]) else value
-
-
-def samples(vocabulary: Vocabulary, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
-    """For each text up to k distinct segmentations, best first: (ids, log probability, inclusion score)."""
-    text = data.tobytes().decode("utf-8")
-    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
-    lattices = Lattices(vocabulary, text, chars)
-    first, base = lattices.first, lattices.base
-    rows = [Row(lattices, int(key)) for key in keys]
-    word_row = np.repeat(np.arange(len(rows)), np.diff(first))
+        self.sets[open_] = below(value[of], upto[open_] - upto[first[:-1]][of] + rest, uniform(keys[row][of], 2, number, place[open_]))
+        self.top, self.top_at = np.full(len(row), -np.inf), first[:-1].copy()
+        if len(node):
+            full = np.diff(first) > 0
+            self.top[full] = np.maximum.reduceat(self.sets, first[:-1][full])
+            hit = np.flatnonzero(self.sets == self.top[path])
+            of = path[hit]
+            lead = np.ones(len(hit), dtype=bool)
+            lead[1:] = of[1:] != of[:-1]
+            self.top_at[of[lead]] = hit[lead]
+
+    def take(self, p: int) -> int:
+        """The place of the best open set of a path, which is closed."""
+        i, a, b = int(self.top_at[p]), int(self.first[p]), int(self.first[p + 1])
+        self.sets[i] = -np.inf
+        self.top_at[p] = j = a + int(self.sets[a:b].argmax())
+        self.top[p] = self.sets[j]
+        return i
+
+
+def samples(lattices: Lattices, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> tuple[list[Paths], np.ndarray]:
+    """Up to k distinct segmentations of each text, best first, one Paths for each number; and each text's (k + 1)-th value."""
+    full = np.diff(offsets) > 0
+    # a mark leads every text that isn't empty
+    data = np.insert(data, offsets[:-1][full], 32)
+    offsets = offsets + np.concatenate(([0], np.cumsum(full)))
+    mark = data == 32
+    start = np.zeros(len(data), dtype=bool)
+    start[1:] = mark[1:] & ~mark[:-1]
+    start[offsets[:-1][full]] = True
+    begin = np.flatnonzero(start)
+    word = lattices.numbers(data, begin, np.append(begin[1:], len(data))) if len(begin) else np.zeros(0, np.int64)
+    first, rows = np.searchsorted(begin, offsets), np.arange(len(keys))
+    word_row = np.repeat(rows, np.diff(first))
     word_at = np.arange(len(word_row)) - first[word_row]
-    key_of = np.asarray(keys, dtype=np.uint64)
-    walk, node, edge = lattices.forward(base[lattices.word], key_of[word_row], 1, 0, word_at)
-    cut = np.searchsorted(walk, first)
-    for r, row in enumerate(rows):
-        a, b = cut[r], cut[r + 1]
-        value = float(-np.log(-np.log(uniform(row.key, 0)))[0])
-        row.found.append(Frontier(row, 0, node[a:b], edge[a:b], walk[a:b] - first[r], value, 0, []))
+    walk, node, edge = lattices.forward(lattices.base[word], keys[word_row], 1, 0, word_at)
+    value = -np.log(-np.log(uniform(keys, 0)))
+    found = [Paths(lattices, keys, 0, rows, np.searchsorted(walk, first), node, edge, word_at[walk], value, np.zeros(len(rows), np.int64), [[]] * len(rows))]
+    path_of = [rows]
     for number in range(1, k):
-        # each text's best open set, the edge by which it parts, and the walks that end its best path
-        parted = []
-        for r, row in enumerate(rows):
-            if not (top := row.best()):
-                continue
-            value, f, at = top
-            old = row.found[f]
-            without = [*(old.without if at == old.at else []), int(old.edge[at])]
-            old.sets[at] = -np.inf
-            base_edge, q = lattices.at(int(old.node[at]), without)
-            upto = np.cumsum(q)
-            choice = base_edge + min(int((upto <= uniform(row.key, 3, number) * upto[-1]).sum()), int(np.flatnonzero(q)[-1]))
-            parted.append((r, value, old, at, without, choice))
-        if not parted:
+        tops = np.stack([np.where(at >= 0, f.top[at], -np.inf) if len(f.top) else np.full(len(rows), -np.inf) for f, at in zip(found, path_of)])
+        which, value = tops.argmax(axis=0), tops.max(axis=0, initial=-np.inf)
+        parted = np.flatnonzero(value > -np.inf)
+        if not len(parted):
             break
-        starts, walk_row, walk_at = [], [], []
-        for r, _, old, at, _, choice in parted:
-            here = int(old.word[at])
-            after = int(old.node[at] + lattices.size[choice])
-            starts += [np.array([after if after < lattices.end[old.node[at]] else -1]), base[lattices.word[first[r] + here + 1 : first[r + 1]]]]
-            size = int(first[r + 1] - first[r]) - here
-            walk_row.append(np.full(size, r))
-            walk_at.append(here + np.arange(size))
-        start, walk_row, walk_at = np.concatenate(starts), np.concatenate(walk_row), np.concatenate(walk_at)
-        walk, node, edge = lattices.forward(start, key_of[walk_row], 1, number, walk_at)
-        a = w = 0
-        for r, value, old, at, without, choice in parted:
-            w += int(first[r + 1] - first[r]) - int(old.word[at])
-            b = int(np.searchsorted(walk, w))
-            row = rows[r]
-            row.found.append(
-                Frontier(
-                    row, number, np.concatenate([old.node[: at + 1], node[a:b]]), np.concatenate([old.edge[:at], [choice], edge[a:b]]),
-                    np.concatenate([old.word[: at + 1], walk_at[walk[a:b]]]), value, at, without,
-                )
-            )
-            a = b
-    out = []
-    for row in rows:
-        top = row.best()
-        # with no path left over, all are included for sure
-        scores = [1.0 if top is None else float(-np.expm1(-np.exp(f.log_prob - top[0]))) for f in row.found]
-        out.append([(_ids(vocabulary, lattices, f), f.log_prob, s) for f, s in zip(row.found, scores)])
-    return out
-
-
-def _ids(vocabulary: Vocabulary, lattices: Lattices, f: Frontier) -> np.ndarray:
+        # each text's best open set, the edge by which it parts, and the walks that end its best path
+        where, without, heads = [], [], []
+        for r in parted.tolist():
+            f = found[which[r]]
+            p = int(path_of[which[r]][r])
+            a, i = int(f.first[p]), f.take(p)
+            without.append([*(f.without[p] if i - a == f.at[p] else []), int(f.edge[i])])
+            where.append((int(f.node[i]), int(f.word[i]), i - a))
+            heads.append((f.node[a : i + 1], f.edge[a : i + 1], f.word[a : i + 1]))
+        node, here, at = np.array(where).T
+        choice, left = lattices.parted(node, without, uniform(keys[parted], 3, number))
+        after = node + lattices.size[choice]
+        after = np.where(after < lattices.end[node], after, -1)
+        size = np.diff(first)[parted] - here
+        ends = np.cumsum(size)
+        lead = np.repeat(ends - size, size)
+        walk_row = np.repeat(parted, size)
+        walk_at = np.repeat(here, size) + np.arange(len(lead)) - lead
+        begin = lattices.base[word[first[walk_row] + walk_at]]
+        begin[ends - size] = after
+        walk, node, edge = lattices.forward(begin, keys[walk_row], 1, number, walk_at)
+        cut = np.concatenate(([0], np.searchsorted(walk, ends))).tolist()
+        of_word = walk_at[walk]
+        parts = [[x for j, h in enumerate(heads) for x in (h[c], tail[cut[j] : cut[j + 1]])] for c, tail in enumerate((node, edge, of_word))]
+        upto = np.concatenate(([0], np.cumsum(at + 1 + np.diff(cut))))
+        node, edge, of_word = (np.concatenate(x) for x in parts)
+        edge[upto[:-1] + at] = choice
+        found.append(Paths(lattices, keys, number, parted, upto, node, edge, of_word, value[parted], at, without, left))
+        own = np.full(len(rows), -1)
+        own[parted] = np.arange(len(parted))
+        path_of.append(own)
+    last = np.full(len(rows), -np.inf)
+    for f in found:
+        last[f.row] = np.maximum(last[f.row], f.top)
+    return found, last
+
+
+def inclusion(f: Paths, last: np.ndarray) -> np.ndarray:
+    """Each path's probability to be among the first k; with no path left over, all are included for sure."""
+    with np.errstate(over="ignore"):
+        return np.where(np.isneginf(last[f.row]), 1.0, -np.expm1(-np.exp(f.log_prob - last[f.row])))
+
+
+def ids_of(lattices: Lattices, f: Paths) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the paths, and the offsets of each path's ids; a bare character becomes its bytes' pieces."""
     ids = lattices.ids[f.edge]
-    if (ids >= 0).all():
-        return ids.astype(np.uint32)
-    point = lattices.points[f.node]
-    bare = ids < 0
-    if (point[bare] < 128).all():
-        ids[bare] = np.array(vocabulary.byte_id)[point[bare]]
-        return ids.astype(np.uint32)
-    return np.array(
-        [x for i, p in zip(ids.tolist(), point.tolist()) for x in ([i] if i >= 0 else [vocabulary.byte_id[b] for b in chr(MARK if p == LITERAL else p).encode()])], dtype=np.uint32
-    )
+    if not len(bare := np.flatnonzero(ids < 0)):
+        return ids, f.first
+    point = lattices.points[f.node[bare]]
+    size, point = utf8_size(point), np.where(point == LITERAL, MARK, point)
+    more = np.concatenate(([0], np.cumsum(size - 1)))  # places that came in before
+    times = np.ones(len(ids), dtype=np.int64)
+    times[bare] = size
+    out = np.repeat(ids, times) if more[-1] else ids
+    for j in range(int(size.max())):
+        some = np.flatnonzero(size > j)
+        x, m = point[some], size[some]
+        byte = np.array([0, 0, 0xC0, 0xE0, 0xF0])[m] | (x >> 6 * (m - 1)) if j == 0 else 0x80 | (x >> 6 * (m - 1 - j)) & 0x3F
+        out[bare[some] + more[some] + j] = lattices.vocabulary.byte_id[byte]
+    return out, f.first + more[np.searchsorted(bare, f.first)]
 
 
-_vocabularies: dict[str, Vocabulary] = {}
+_lattices: dict[str, Lattices] = {}
 
 
-def vocabulary_of(path: str) -> Vocabulary:
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary(path)
-    return _vocabularies[path]
+def lattices_of(path: str) -> Lattices:
+    if path not in _lattices:
+        _lattices[path] = Lattices(Vocabulary(installed(path)))
+    return _lattices[path]
 
 
 def encode(docs: DataFrame, path: str, k: int = SAMPLES) -> DataFrame:
     """doc_id, sample (from 0), ids (little-endian unsigned 32-bit), log_prob and inclusion for each row's samples."""
 
     def made(batches) -> Iterator[pa.RecordBatch]:
-        yield from _encoded(batches, vocabulary_of(path), k)
+        for doc_id, number, ids, offsets, log_prob, included in _encoded(batches, lattices_of(path), k):
+            packed = pa.Array.from_buffers(pa.large_binary(), len(log_prob), [None, pa.py_buffer(4 * offsets), pa.py_buffer(ids.astype("<u4"))])
+            yield pa.RecordBatch.from_arrays([doc_id, number, packed.cast(pa.binary()), pa.array(log_prob), pa.array(included)], ["doc_id", "sample", "ids", "log_prob", "inclusion"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, OUT)
+    return arrow(docs.select("doc_id", "text"), made, OUT)
 
 
-def _encoded(batches, vocabulary: Vocabulary, k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, data, offsets in tb.steps(batch, "text", tb.STEP_BYTES):
-            ids = part.column(0).to_pylist()
-            keys = np.array([(i or 0) & 0xFFFFFFFFFFFFFFFF for i in ids], dtype=np.uint64)
-            rows = [(i, n, s[0].astype("<u4").tobytes(), s[1], s[2]) for i, found in zip(ids, samples(vocabulary, data, offsets, keys, k)) for n, s in enumerate(found)]
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.float64())],
-                ["doc_id", "sample", "ids", "log_prob", "inclusion"],
-            )
+def _encoded(batches, lattices: Lattices, k: int) -> Iterator[tuple]:
+    """(doc_id, sample, ids, their offsets, log probability, inclusion score) of the samples of one number of some rows."""
+    try:
+        for batch in batches:
+            for part, data, offsets in tb.steps(batch, "text", 2 * tb.STEP_BYTES):
+                doc_id = part.column(0).cast(pa.int64())
+                keys = doc_id.fill_null(0).to_numpy().astype(np.uint64)
+                found, last = samples(lattices, data, offsets, keys, k)
+                for number, f in enumerate(found):
+                    yield doc_id.take(pa.array(f.row)), pa.array(np.full(len(f.row), number, dtype=np.int32)), *ids_of(lattices, f), f.log_prob, inclusion(f, last)
+    finally:
+        lattices.clear()
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, sample and text of rows (doc_id, sample, ids)."""
 
     def made(batches) -> Iterator[pa.RecordBatch]:
-        vocabulary = vocabulary_of(path)
+        vocabulary = lattices_of(path).vocabulary
         for batch in batches:
-            text = [vocabulary.decode(np.frombuffer(x, dtype="<u4")) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["doc_id", "sample", "text"])
+            data, offsets = tb.buffer_of(batch.column(2).cast(pa.large_binary()))
+            text, at = vocabulary.decoded(data.view("<u4"), offsets // 4)
+            texts = pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(at), pa.py_buffer(text)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts.cast(pa.string())], ["doc_id", "sample", "text"])
 
-    return encoded.select("doc_id", "sample", "ids").mapInArrow(made, "doc_id long, sample int, text string")
+    return arrow(encoded.select("doc_id", "sample", "ids"), made, "doc_id long, sample int, text string")
 
 
 def digests(docs: DataFrame, path: str, k: int = SAMPLES) -> DataFrame:
     """One row per sample, with digests of its ids and of the text that they decode to."""
 
     def made(batches) -> Iterator[pa.RecordBatch]:
-        vocabulary = vocabulary_of(path)
-        for batch in _encoded(batches, vocabulary, k):
-            raw = batch.column(2).to_pylist()
-            text = [zlib.crc32(vocabulary.decode(np.frombuffer(x, dtype="<u4")).encode()) for x in raw]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(text, pa.int64()), batch.column(3), batch.column(4)],
-                ["doc_id", "sample", "n_tokens", "ids_crc32", "decoded_crc32", "log_prob", "inclusion"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, sample int, n_tokens long, ids_crc32 long, decoded_crc32 long, log_prob double, inclusion double")
+        lattices = lattices_of(path)
+        crc = lambda raw, at: pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64())
+        for doc_id, number, ids, offsets, log_prob, included in _encoded(batches, lattices, k):
+            text, at = lattices.vocabulary.decoded(ids, offsets)
+            columns = [doc_id, number, pa.array(np.diff(offsets)), crc(ids.astype("<u4"), offsets), crc(text, at), pa.array(log_prob), pa.array(included)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sample", "n_tokens", "ids_crc32", "decoded_crc32", "log_prob", "inclusion"])
+
+    return arrow(docs.select("doc_id", "text"), made, "doc_id long, sample int, n_tokens long, ids_crc32 long, decoded_crc32 long, log_prob double, inclusion double")
 
 
 def op2_sp_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
