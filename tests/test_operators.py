@@ -1,8 +1,11 @@
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veldspar.operators import governance, knn, raster, selection, strata
+from veldspar.operators import governance, knn, manifests, metrics, order, raster, selection, strata
 from veldspar.sources import files
 
 
@@ -35,35 +38,63 @@ def test_nearest_leaves_out_vectors_that_are_not_finite(spark):
     assert knn.nearest(vectors(spark, [[0, 0]]), bank.limit(0), 2).count() == 0
 
 
-def test_greedy_coreset_agrees_with_a_direct_loop(spark):
-    x = np.random.default_rng(3).normal(size=(60, 5)).astype(np.float32).astype(float)
+def greedy_by_force(x, anchors, size):
+    """The rule as stated: mean distance to the anchors, lowered by each centre; chosen rows are out."""
+    x = np.asarray(x, float)
+    least = np.mean([np.sqrt(((x - x[a]) ** 2).sum(axis=1)) for a in anchors], axis=0)
+    out = []
+    for _ in range(min(size, len(x))):
+        i = int(np.argmax(np.where(np.isin(np.arange(len(x)), out), -np.inf, least)))
+        out.append(i)
+        least = np.minimum(least, np.sqrt(((x - x[i]) ** 2).sum(axis=1)))
+    return out
+
+
+@pytest.mark.parametrize("pool", [3, 17, 2048])
+def test_greedy_coreset_agrees_with_a_direct_loop(spark, pool):
+    x = np.random.default_rng(3).normal(size=(200, 4)).astype(np.float32).astype(float)
     df = vectors(spark, x)
     anchors = [r["vec_id"] for r in df.orderBy(F.xxhash64("vec_id"), "vec_id").limit(10).collect()]
-    least = np.mean([np.sqrt(((x - x[a]) ** 2).sum(axis=1)) for a in anchors], axis=0)
-    want, open_ = [], np.ones(60, bool)
-    for step in range(12):
-        i = int(np.flatnonzero(open_)[np.argmax(least[open_])])
-        want.append(i)
-        open_[i] = False
-        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
-        least = d if step == 0 else np.minimum(least, d)
-    got = [r["id"] for r in knn.greedy_coreset(df, 12).orderBy("selection_order").collect()]
-    assert got == want
-
-
-def test_coreset_stops_when_all_rows_are_covered(spark):
-    assert knn.greedy_coreset(vectors(spark, [[1, 1]] * 5 + [[2, 2]]), 6).count() == 2
+    got = [r["id"] for r in knn.greedy_coreset(df.repartition(3), 40, pool=pool).orderBy("selection_order").collect()]
+    assert got == greedy_by_force(x, anchors, 40)
+
+
+def test_coreset_goes_on_over_repeated_rows(spark):
+    x = [[1, 1]] * 5 + [[2, 2]]
+    anchors = list(range(6))
+    got = [r["id"] for r in knn.greedy_coreset(vectors(spark, x), 4, pool=2).orderBy("selection_order").collect()]
+    assert got == greedy_by_force(x, anchors, 4)
+    assert [r["id"] for r in knn.greedy_coreset(vectors(spark, [[1, 1]] * 12), 12, pool=4).orderBy("selection_order").collect()] == list(range(12))
+    assert knn.greedy_coreset(vectors(spark, [[2, -3]]), 3).count() == 1
     assert knn.greedy_coreset(vectors(spark, [[1, 1]]).limit(0), 6).count() == 0
 
 
-def test_near_pairs_finds_every_pair(spark):
+def test_near_pairs_finds_every_pair_of_codes(spark):
     rng = np.random.default_rng(5)
     codes = [int(c) for c in rng.integers(-(2**63), 2**63, 30)]
     codes += [c ^ (1 << int(rng.integers(0, 62))) for c in codes[:12]] + [c ^ 3 for c in codes[:6]] + codes[:3]
     df = spark.createDataFrame(list(enumerate(codes)), "id int, code long")
-    got = {(r["a"], r["b"], r["distance"]) for r in governance.near_pairs(df, "id", "code", 2).collect()}
+    got = {(r["a"], r["b"], r["distance"], r["copies_a"], r["copies_b"]) for r in governance.near_pairs(df, "id", "code", 2).collect()}
     bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
-    assert got == {(i, j, bits(a, b)) for i, a in enumerate(codes) for j, b in enumerate(codes) if i < j and bits(a, b) <= 2}
+    first = {c: codes.index(c) for c in codes}
+    assert got == {(first[a], first[b], bits(a, b), codes.count(a), codes.count(b)) for a in first for b in first if first[a] < first[b] and bits(a, b) <= 2}
+    assert {(r["id"], r["representative"]) for r in governance.code_members(df, "id", "code").collect()} == {(i, first[c]) for i, c in enumerate(codes)}
+    with pytest.raises(ValueError):
+        governance.near_pairs(df, "id", "code", 15, 16)
+
+
+def test_quantiles_agree_with_numpy_by_group(spark):
+    rng = np.random.default_rng(8)
+    rows = [(str(i % 3), float(v)) for i, v in enumerate(np.round(rng.normal(size=200), 1))] + [(None, 2.0), (None, 5.0), ("1", None), ("1", float("nan")), ("x", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    named = {"a": 0.1, "b": 0.5, "c": 0.77}
+    for got, method in ((order.linear_quantiles(df, "v", named, ["g"]), "linear"), (order.higher_quantiles(df, "v", named, ["g"]), "higher")):
+        found = {r["g"]: [r["a"], r["b"], r["c"]] for r in got.collect()}
+        groups = {g: [v for h, v in rows if h == g and v is not None and v == v] for g in ("0", "1", "2", None)}
+        assert found.keys() == groups.keys() and all(np.allclose(found[g], np.quantile(v, list(named.values()), method=method)) for g, v in groups.items())
+    whole = order.linear_quantiles(df, "v", {"m": 0.5}).collect()
+    assert abs(whole[0]["m"] - np.median([v for _, v in rows if v is not None and v == v])) < 1e-12
+    assert order.with_quantiles(df.groupBy("g").count(), df, {"v": {"m": 0.5}}, ["g"]).count() == 5
 
 
 def test_splits_keep_groups_whole_and_sized(spark):
@@ -86,24 +117,90 @@ def test_violations_and_lookup(spark):
 def test_frozen_protocol_notices_changes(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.0)], "a int, b double")
     path = str(tmp_path / "p.json")
-    governance.freeze(path, {"t": df}, {"seed": 1})
-    governance.verify(path, {"t": df}, {"seed": 1})
-    with pytest.raises(ValueError, match="table"):
-        governance.verify(path, {"t": df.union(df)}, {"seed": 1})
+    governance.freeze(spark, path, {"t": df}, {"seed": 1})
+    governance.verify(spark, path, {"t": df}, {"seed": 1})
+    with pytest.raises(ValueError, match="t: not as frozen"):
+        governance.verify(spark, path, {"t": df.union(df)}, {"seed": 1})
+    assert governance.changed_tables(spark, path, {}, {"seed": 2}) == ["settings", "t"]
     with pytest.raises(FileExistsError):
-        governance.freeze(path, {"t": df}, {"seed": 1})
+        governance.freeze(spark, path, {"t": df}, {"seed": 1})
     with pytest.raises(RuntimeError):
-        governance.claim(str(tmp_path / "second"), after=str(tmp_path / "first"))
+        governance.claim(spark, str(tmp_path / "second"), after=str(tmp_path / "first"))
 
 
-def test_write_same_accepts_equal_content_only(tmp_path):
+def test_write_same_accepts_equal_content_only(spark, tmp_path):
     path = str(tmp_path / "x.json")
-    files.write_same(path, {"a": 1})
-    files.write_same(path, {"a": 1})
+    files.write_same(spark, path, {"a": 1})
+    files.write_same(spark, path, {"a": 1})
     with pytest.raises(ValueError):
-        files.write_same(path, {"a": 2})
+        files.write_same(spark, path, {"a": 2})
     with pytest.raises(ValueError):
-        files.write_once(str(tmp_path / "y.json"), float("nan"))
+        files.write_once(spark, str(tmp_path / "y.json"), float("nan"))
+
+
+def test_joins_stop_at_repeated_keys(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    right = spark.createDataFrame([(1, "z", 5)], "k int, v string, w int")
+    assert sorted(tuple(r) for r in governance.one_to_one(left, right, ["k"]).collect()) == [(1, "a", 5), (2, "b", None)]
+    for a, b in ((left.union(left), right), (left, right.union(right))):
+        with pytest.raises(ValueError):
+            governance.one_to_one(a, b, ["k"])
+
+
+def test_guards_stop_at_numbers_that_cannot_be_used(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 0)], "x double, y int")
+    assert manifests.require_sound(df, ["x"], ["y"]).count() == 2
+    for x, y in ((float("nan"), 1), (float("inf"), 1), (None, 1), (1.0, 2), (1.0, None)):
+        with pytest.raises(ValueError):
+            manifests.require_sound(df.union(spark.createDataFrame([(x, y)], df.schema)), ["x"], ["y"])
+    with pytest.raises(ValueError):
+        manifests.require_sound(df.limit(0), ["x"])
+    with pytest.raises(ValueError):
+        manifests.first_existing(df, ["a", "b"])
+
+
+def test_paths_are_allowed_by_parts_and_suffix(spark):
+    rows = {"src/Data/Images/Normal/a.JPG": True, "src/Data/Images/Normal/a.jpeg": True, "/src/Data/Images/Normal/a.jpg": False, "src/Data/Images/../a.jpg": False, "src/Data/Images/Normal/x/a.jpg": False, "src/Data/Images/Normal/a.gif": False, "src/Data/Images/Normal/jpg": False, "": False}
+    df = spark.createDataFrame([(p,) for p in rows] + [(None,)], "p string")
+    ok = manifests.allowed_path(F.col("p"), [F.lit(x) for x in ("src", "Data", "Images", "Normal")], manifests.SUFFIXES)
+    assert {r["p"]: r["ok"] for r in df.select("p", ok.alias("ok")).collect()} == rows | {None: False}
+
+
+def test_a_manifest_without_a_column_says_so(spark):
+    df = spark.createDataFrame([("a", "b")], "image_id string, label string")
+    assert {r["id"] for r in manifests.manifest_violations(df).collect()} == {"image_path", "mask_path", "official_split", "split", "sha256", "duplicate_group"}
+
+
+def png(pixels):
+    """A PNG of bytes (height, width) or (height, width, 3)."""
+    h, w = pixels.shape[:2]
+    raw = b"".join(b"\0" + pixels[y].tobytes() for y in range(h))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if pixels.ndim == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images_and_masks_are_decoded(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    colour, mask = rng.integers(0, 256, (5, 7, 3)).astype(np.uint8), (rng.random((6, 4)) < 0.4).astype(np.uint8) * 255
+    (tmp_path / "a.png").write_bytes(png(colour))
+    (tmp_path / "m.png").write_bytes(png(mask))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    got = {r["path"].rpartition("/")[2]: r for r in files.read_images(spark, str(tmp_path)).collect()}
+    assert got.keys() == {"a.png", "m.png"}
+    assert np.array_equal(np.frombuffer(got["a.png"]["data"], np.uint8).reshape(5, 7, 3)[:, :, ::-1], colour)
+    assert [r["path"].rpartition("/")[2] for r in files.undecoded(spark, str(tmp_path)).collect()] == ["broken.png"]
+    small = {r["path"].rpartition("/")[2]: np.array(r["mask"]).reshape(3, 2) for r in raster.masks(files.read_images(spark, str(tmp_path), "m.png"), 3, 2).collect()}
+    assert np.array_equal(small["m.png"], mask[1::2, 1::2] > 0)
+    rgb = {r["path"].rpartition("/")[2]: np.array(r["rgb"]).reshape(r["height"], r["width"], 3) for r in raster.decoded(files.read_images(spark, str(tmp_path), "a.png")).collect()}
+    assert np.allclose(rgb["a.png"], colour / 255)
+
+
+def test_features_come_from_a_registered_extractor(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 3.0])], "image int, v array<double>")
+    with pytest.raises(KeyError):
+        raster.features(df, "image", "v", 2, "no such extractor")
+    raster.register("corner", lambda image: [float(image[0, 0]), float(image.sum())])
+    assert [tuple(r) for r in raster.features(df, "image", "v", 2, "corner").collect()] == [(1, [0.0, 6.0])]
 
 
 def test_priority_selection_appends_later_rules(spark):
@@ -128,10 +225,46 @@ def test_peak_ties_and_overlap(spark):
     assert raster.overlap(px.withColumn("truth", F.lit(False)), ["image"], F.col("truth"), F.lit(False)).first()["iou"] is None
 
 
+def flooded(mask, diagonal):
+    """Numbers of components by flooding from each pixel in turn."""
+    out, n = np.zeros(mask.shape, int), 0
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
+    for y, x in zip(*np.nonzero(mask)):
+        if out[y, x]:
+            continue
+        n += 1
+        out[y, x], open_ = n, [(y, x)]
+        while open_:
+            p, q = open_.pop()
+            for a, b in steps:
+                if 0 <= p + a < mask.shape[0] and 0 <= q + b < mask.shape[1] and mask[p + a, q + b] and not out[p + a, q + b]:
+                    out[p + a, q + b] = n
+                    open_.append((p + a, q + b))
+    return out, n
+
+
 def test_components_join_diagonally(spark):
     mask = np.array([[1, 0, 0, 1], [0, 1, 0, 0], [0, 0, 0, 1], [1, 0, 0, 1]], bool)
     assert raster.labelled(mask)[1] == 4 and raster.labelled(mask, diagonal=False)[1] == 5
     assert raster.extent(np.zeros((3, 3), bool)) == {"components": 0, "box_area": 0, "box_share": 0.0}
+    rng = np.random.default_rng(0)
+    for share in (0.3, 0.5, 0.6, 0.8):
+        mask = rng.random((17, 23)) < share
+        for diagonal in (True, False):
+            got, want = raster.labelled(mask, diagonal), flooded(mask, diagonal)
+            assert got[1] == want[1] and np.array_equal(got[0], want[0])
+
+
+def test_closing_agrees_with_its_definition():
+    rng = np.random.default_rng(4)
+    mask = rng.random((12, 15)) < 0.3
+    near = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
+    at = lambda m, y, x: 0 <= y < m.shape[0] and 0 <= x < m.shape[1] and m[y, x]
+    each = lambda f, m: np.array([[f(bool(at(m, y + a, x + b)) for a, b in near) for x in range(m.shape[1])] for y in range(m.shape[0])])
+    want = mask
+    for f in (any, any, all, all):
+        want = each(f, want)
+    assert np.array_equal(raster.closed(mask, 2), want)
 
 
 def test_turning_twice_changes_nothing(spark):
@@ -142,11 +275,42 @@ def test_turning_twice_changes_nothing(spark):
     assert {(r["y"], r["x"], r["v"]) for r in raster.turned(px, 2, 3, F.lit(True)).collect()} >= {(1, 2, 0.0), (0, 0, 5.0)}
 
 
+def scene(above=True):
+    rgb = np.full((160, 256, 3), 0.2)
+    rgb[60:110, 50:200] = (0.1, 0.4, 0.7)
+    for x in (100, 115, 130):
+        rgb[(45 if above else 110) : (60 if above else 125), x : x + 2] = 0.8
+    return rgb
+
+
+def test_boards_are_found_by_colour():
+    found = raster.board(scene())
+    assert found["box"] == (50, 60, 200, 110) and found["failure"] is None and abs(found["share"] - 150 * 50 / (160 * 256)) < 0.01
+    assert (found["left"], found["top"], found["right"], found["bottom"]) == (38, 37, 212, 133)
+    assert raster.board(np.full((20, 30, 3), 0.5))["failure"] == "no component" and raster.board(np.full((20, 30, 3), 0.5))["right"] == 30
+    tiny = np.full((100, 100, 3), 0.2)
+    tiny[:5, :5] = (0.1, 0.4, 0.7)
+    assert raster.board(tiny)["failure"] == "share out of bounds"
+    wide = np.repeat(np.repeat(scene(), 4, axis=0), 4, axis=1)  # looked at on a copy of half the width
+    assert max(abs(a - 4 * b) for a, b in zip(raster.board(wide)["box"], (50, 60, 200, 110))) <= 4
+
+
+def test_pose_follows_the_pins():
+    for above in (True, False):
+        rgb = scene(above)
+        box = raster.board(rgb)["box"]
+        got = raster.pose(rgb, box, 256)
+        assert got["pose"] == ("canonical" if above else "reversed_180") and got["top_pins" if above else "bottom_pins"] == 3
+        turned = raster.pose(rgb[::-1, ::-1], (256 - box[2], 160 - box[3], 256 - box[0], 160 - box[1]), 256)
+        assert turned["pose"] == ("reversed_180" if above else "canonical")
+    both = np.maximum(scene(True), scene(False))
+    assert raster.pose(both, (50, 60, 200, 110), 256)["reason"] == "ambiguous"
+    assert raster.pose(both, None)["reason"] == "no board" and raster.pose(both, (50, 60, 100, 110), 256)["reason"] == "not lying"
+    x = raster.tensor(np.full((2, 2, 3), 0.485))
+    assert x.shape == (3, 2, 2) and abs(x[0]).max() < 1e-12 and abs(x[1, 0, 0] - (0.485 - 0.456) / 0.224) < 1e-12
+
+
 def test_geometry_of_images():
-    image = np.zeros((40, 60))
-    image[8:30, 10:45] = 1
-    assert raster.largest_box(image > 0, most=0.9) == (10, 8, 45, 30)
-    assert raster.largest_box(np.zeros((5, 5), bool)) is None
     square, g = raster.boxed(np.full((20, 10), 7.0), 20)
     assert (g["content_height"], g["content_width"], g["pad_y"], g["pad_x"]) == (20, 10, 0, 5)
     assert square[0, 0] == 128 and square[0, 5] == 7
@@ -155,8 +319,36 @@ def test_geometry_of_images():
     assert np.allclose(raster.resized(np.arange(16.0).reshape(4, 4), 4, 4), np.arange(16).reshape(4, 4))
 
 
-def test_pose_follows_a_turn():
-    image = np.zeros((10, 40))
-    image[:, 5] = image[:, 9] = 10
-    assert raster.pose(image) == "canonical" and raster.pose(image[::-1, ::-1]) == "reversed_180" and raster.pose(np.zeros((10, 40))) == "uncertain"
+def test_hashes_tell_where_brightness_rises():
     assert raster.difference_hash(np.tile(np.arange(18.0), (16, 1))) == -1 and raster.difference_hash(np.zeros((16, 18))) == 0
+
+
+def test_p_values_agree_with_known_ones(spark):
+    # two-sided tails of Student's t from tables
+    for t, degrees, p in ((2.228, 10, 0.05), (12.706, 1, 0.05), (1.96, 1e7, 0.05), (0.0, 5, 1.0), (3.169, 10, 0.01)):
+        assert abs(metrics.student_p(t, degrees) - p) < 2e-4
+    assert metrics.spearman_p(1.0, 10) == 0.0 and metrics.spearman_p(0.5, 2) is None
+    row = spark.range(1).select(metrics.kolmogorov_p(F.lit(0.0), F.lit(50), F.lit(60)).alias("a"), metrics.kolmogorov_p(F.lit(1.0), F.lit(50), F.lit(60)).alias("b")).first()
+    assert row["a"] == 1.0 and row["b"] < 1e-12
+
+
+def test_a_model_is_saved_and_read_again(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    normal, calibration, other = (vectors(spark, rng.normal(size=(n, 4)), range(a, a + n)) for n, a in ((40, 0), (20, 100), (10, 200)))
+    model = knn.fit(normal, calibration, 0.9)
+    knn.save(model, str(tmp_path / "m"))
+    again = knn.load(spark, str(tmp_path / "m"))
+    assert again.threshold == model.threshold
+    assert sorted(map(tuple, knn.inspected(again, other).collect())) == sorted(map(tuple, knn.inspected(model, other).collect()))
+    assert knn.inspected(model, calibration).where("flagged").count() <= 2
+    with pytest.raises(Exception):
+        knn.save(model, str(tmp_path / "m"))
+
+
+def test_maps_hold_each_patch(spark):
+    rows = [(1, 0, 5, 1.0), (1, 1, 6, 3.0), (1, 3, 7, 3.0), (2, 2, 1, 0.5)]
+    patches = spark.createDataFrame(rows, "image_id int, patch long, bank_id long, distance double")
+    got = {r["image_id"]: r for r in knn.image_scores(patches, 2, 2).collect()}
+    assert (got[1]["patch"], got[1]["row"], got[1]["column"], got[1]["bank_id"], got[1]["score"]) == (1, 0, 1, 6, 3.0) and got[2]["row"] == 1
+    maps = {r["image_id"]: r["map"] for r in knn.image_maps(patches, 2, 2, 2).collect()}
+    assert maps == {1: [1.0, 3.0, 0.0, 3.0], 2: [0.0, 0.0, 0.5, 0.0]}

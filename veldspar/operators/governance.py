@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hamming
-from .order import running
+from ..sources.files import create, exists, read_text, write_once
+from .order import linear_quantiles, running
 
 
 def violations(df: DataFrame, id_col: str, rules: dict[str, Column], grouped: dict[str, tuple[list[str], Column]] | None = None) -> DataFrame:
@@ -58,26 +58,41 @@ def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).distinct().join(b.select(key), key, "left_semi")
 
 
+def code_members(df: DataFrame, id_col: str, code: str) -> DataFrame:
+    """(id, representative): of rows with one code the least id stands for all."""
+    rows = df.where(F.col(code).isNotNull()).select(F.col(id_col).alias("id"), F.col(code).alias("c"))
+    least = rows.groupBy("c").agg(F.min("id").alias("representative"))
+    return rows.join(least, "c").select("id", "representative")
+
+
 def near_pairs(df: DataFrame, id_col: str, code: str, most: int, bands: int = 4) -> DataFrame:
-    """(a, b, distance) of rows a < b whose 64-bit codes differ in at most ``most`` bits, most < bands.
+    """(a, b, distance, copies_a, copies_b) of codes that differ in 1 to ``most`` bits, a < b being the least ids of either
+    code, which so many rows have. Rows of one code are told by ``code_members``, so copies never make pairs.
 
-    By the pigeonhole principle such codes agree in one of ``bands`` equal parts: an equi-join on (band, part) finds them.
-    Rows of equal codes are one node first, so copies meet only at the end, where all their pairs are asked for.
+    By the pigeonhole principle such codes agree in one of ``bands`` equal parts, if most < bands: an equi-join on (band,
+    part) finds them. A band must be wide enough that unlike codes seldom meet.
     """
     if not most < bands <= 64 or 64 % bands:
         raise ValueError("more bands than differing bits are needed")
+    if 64 // bands < 12:
+        raise ValueError("bands of under 12 bits would join everything with everything")
     width = 64 // bands
-    codes = df.where(F.col(code).isNotNull()).select(F.col(code).alias("c")).distinct()
+    codes = df.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("c")).agg(F.min(id_col).alias("i"), F.count("*").alias("m"))
     part = lambda i: F.shiftrightunsigned("c", i * width).bitwiseAND(F.lit((1 << width) - 1))
-    parts = codes.select("c", F.posexplode(F.array(*[part(i) for i in range(bands)])).alias("band", "part"))
+    parts = codes.select("*", F.posexplode(F.array(*[part(i) for i in range(bands)])).alias("band", "part"))
     x, y = parts.alias("x"), parts.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.c") < F.col("y.c")))
-    near = met.select(F.col("x.c").alias("p"), F.col("y.c").alias("q"), hamming(F.col("x.c"), F.col("y.c")).alias("distance")).where(F.col("distance") <= most).distinct()
-    same = codes.select(F.col("c").alias("p"), F.col("c").alias("q"), F.lit(0).alias("distance"))
-    rows = df.select(F.col(id_col).alias("id"), F.col(code).alias("c"))
-    both = near.unionByName(same).join(rows.select(F.col("id").alias("i"), F.col("c").alias("p")), "p").join(rows.select(F.col("id").alias("j"), F.col("c").alias("q")), "q")
-    pair = both.where((F.col("p") != F.col("q")) | (F.col("i") < F.col("j")))
-    return pair.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("distance"))
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.i") < F.col("y.i")))
+    near = met.withColumn("distance", hamming(F.col("x.c"), F.col("y.c"))).where(F.col("distance") <= most)
+    return near.select(F.col("x.i").alias("a"), F.col("y.i").alias("b"), "distance", F.col("x.m").alias("copies_a"), F.col("y.m").alias("copies_b")).distinct()
+
+
+def closest_pairs(pairs: DataFrame, rows: DataFrame, id_col: str, columns: list[str], n: int = 20) -> DataFrame:
+    """The n pairs of the least distance, ties to the smaller ids, with what both sides' rows say, for a review."""
+    first = pairs.orderBy("distance", "a", "b").limit(n)
+    for side in ("a", "b"):
+        named = rows.select(F.col(id_col).alias(f"_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        first = named.join(F.broadcast(first), F.col(f"_{side}") == F.col(side), "right").drop(f"_{side}")  # n rows
+    return first
 
 
 def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -92,31 +107,42 @@ def table_digest(df: DataFrame) -> str:
     return hashlib.sha256(json.dumps([sorted(df.dtypes), row[0], str(row[1])]).encode()).hexdigest()
 
 
-def freeze(path: str, tables: dict[str, DataFrame], settings: dict) -> dict:
-    """Write, once, what a run depends on: settings and the digests of its tables."""
-    from ..sources.files import write_once
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join whose keys must be unique on both sides, with those columns of the right side that the left one lacks."""
+    require_empty(left.groupBy(*keys).count().where("count > 1"), "keys of the left side aren't unique")
+    return unique_lookup(left, right.select(*keys, *[c for c in right.columns if c not in left.columns]), keys, "left", must_match=False)
+
 
+def freeze(spark: SparkSession, path: str, tables: dict[str, DataFrame], settings: dict) -> dict:
+    """Write, once, what a run depends on: settings and the digests of its tables."""
     protocol = {"settings": settings, "tables": {k: table_digest(v) for k, v in tables.items()}}
-    write_once(path, protocol)
+    write_once(spark, path, protocol)
     return protocol
 
 
-def verify(path: str, tables: dict[str, DataFrame], settings: dict) -> None:
+def changed_tables(spark: SparkSession, path: str, tables: dict[str, DataFrame], settings: dict) -> list[str]:
+    """Which tables differ from what was frozen, or are missing; "settings" if these differ."""
+    frozen = json.loads(read_text(spark, path))
+    changed = [] if frozen["settings"] == settings else ["settings"]
+    return changed + [name for name, digest in frozen["tables"].items() if name not in tables or table_digest(tables[name]) != digest]
+
+
+def verify(spark: SparkSession, path: str, tables: dict[str, DataFrame], settings: dict) -> None:
     """Raise if a table or a setting differs from what was frozen."""
-    with open(path) as f:
-        frozen = json.load(f)
-    if frozen["settings"] != settings:
-        raise ValueError("settings differ from the frozen ones")
-    for name, digest in frozen["tables"].items():
-        if name not in tables or table_digest(tables[name]) != digest:
-            raise ValueError(f"table {name} differs from the frozen one")
+    if changed := changed_tables(spark, path, tables, settings):
+        raise ValueError(f"{', '.join(changed)}: not as frozen")
 
 
-def claim(path: str, after: str | None = None) -> None:
+def claim(spark: SparkSession, path: str, after: str | None = None) -> None:
     """Take a step that may be taken once, and only after another one."""
-    if after and not os.path.exists(after):
+    if after and not exists(spark, after):
         raise RuntimeError(f"{after} comes first")
-    os.close(os.open(path, os.O_CREAT | os.O_EXCL))
+    create(spark, path, "")
+
+
+def median_within(df: DataFrame, by: list[str], value: str, limit: float) -> DataFrame:
+    """(by..., median_s, within): each group's median against a limit."""
+    return linear_quantiles(df, value, {"median_s": 0.5}, by).withColumn("within", F.col("median_s") <= limit)
 
 
 def within(seconds: float, action: Callable, clock: Callable[[], float] = time.monotonic):

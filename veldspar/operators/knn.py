@@ -1,12 +1,15 @@
 """Nearest-neighbour joins, projection, greedy coresets and coverage.
 
-Queries and bank go in blocks of bounded size, met through a join on the block's number; distances are computed block by
-block from differences in doubles, and each pair of blocks hands on k rows a query at most.
+Queries and bank go in blocks of bounded size, met through a join on the block's number. In a pair of blocks one matrix
+product tells which rows may be among the k nearest; their distances are taken from differences in doubles, and each pair
+of blocks hands on k rows a query at most.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalar import strictly_above
+from ..sources.files import read_text, write_once, write_parquet
 from ..sources.scratch import stored
+from .order import higher_quantile, linear_quantiles
+from .raster import per_image, resized
 
+#: Farthest rows that a pass of the coreset brings to the driver, and centres that it measures at once.
+POOL, CENTRES = 2048, 256
 QUERY_BLOCK, BANK_BLOCK = 256, 2048
+#: Pairs of rows measured at once.
+PAIRS = 1 << 16
 #: Bank blocks are broadcast up to this number (64 times 2,048 vectors of 64 doubles are 64 MB).
 BROADCAST_BLOCKS = 64
 
@@ -40,13 +51,39 @@ def _matrix(ids: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(values, dtype=np.float64).reshape(len(ids), -1)
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean, by differences and one dimension at a time, in memory of the result's size."""
-    out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        d = a[:, j, None] - b[None, :, j]
-        out += d * d
-    return np.sqrt(out)
+def distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean, of pairs of rows, by differences: equal rows have equal distances to the last digit."""
+    out = np.empty(len(i))
+    for x in range(0, len(i), PAIRS):
+        d = a[i[x : x + PAIRS]] - b[j[x : x + PAIRS]]
+        out[x : x + PAIRS] = np.sqrt((d * d).sum(axis=1))
+    return out
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all pairs by one matrix product, and how far off they may be."""
+    norms = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None]
+    return norms - 2 * (a @ b.T), 1e-12 * norms * max(1, a.shape[1])
+
+
+def least_distances(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Of each row of a the least distance from a row of b, or ``below`` if that is less."""
+    found, off = squares(a, b)
+    most = np.minimum(below**2, (found + off).min(axis=1))
+    i, j = np.nonzero(found - off <= most[:, None])
+    out = below.copy()
+    np.minimum.at(out, i, distances(a, b, i, j))
+    return out
+
+
+def k_nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the k nearest rows of b, and all that are as near, by row, distance, row of b."""
+    found, off = squares(a, b)
+    most = np.partition(found + off, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+    i, j = np.nonzero(found - off <= most[:, None])
+    d = distances(a, b, i, j)
+    order = np.lexsort((j, d, i))
+    return i[order], j[order], d[order]
 
 
 def nearest(queries: DataFrame, bank: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -64,14 +101,17 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, id_col: str = "vec_id",
             for r in batch.to_pylist():
                 (q, x), (b, y) = _matrix(r["q_ids"], r["q_values"]), _matrix(r["b_ids"], r["b_values"])
                 order = np.argsort(b, kind="stable")
-                b, d = b[order], distances(x, y[order])
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                least = d.min(axis=1)
-                same = (d == least[:, None]).sum(axis=1)
+                b = b[order]
+                i, j, d = k_nearest(x, y[order], k)
+                begin = np.searchsorted(i, np.arange(len(q)))
+                least = d[begin]
+                same = np.bincount(i, weights=d == least[i], minlength=len(q)).astype(np.int64)
+                place = np.arange(len(i)) - begin[i]
+                near = np.flatnonzero(place < k)
+                of = i[near]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q, near.shape[1])), pa.array(b[near].ravel()), pa.array(np.take_along_axis(d, near, 1).ravel()), pa.array(np.tile(np.arange(near.shape[1]) == 0, len(q))), pa.array(np.repeat(least, near.shape[1])), pa.array(np.repeat(same, near.shape[1]))],
-                    ["query_id", "bank_id", "distance", "first", "least", "same"],
-                )
+                    [pa.array(q[of]), pa.array(b[j[near]]), pa.array(d[near]), pa.array(place[near] == 0), pa.array(least[of]), pa.array(same[of])], ["query_id", "bank_id", "distance", "first", "least", "same"]
+                )
 
     rows = met.mapInArrow(measured, "query_id long, bank_id long, distance double, first boolean, least double, same long")
     own = Window.partitionBy("query_id")
@@ -92,57 +132,152 @@ def projected(df: DataFrame, matrix: np.ndarray, vector: str = "embedding") -> D
     at = df.columns.index(vector)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims, to = held.value.shape
         for batch in batches:
-            out = [None if v is None or len(v) != len(held.value) or None in v else (np.asarray(v, dtype=float) @ held.value).tolist() for v in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names, "projected"])
+            column = batch.column(at)
+            sizes = column.value_lengths().fill_null(-1).to_numpy()
+            right = np.flatnonzero(sizes == dims)
+            x = column.take(pa.array(right)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dims)
+            if np.isnan(x).any():  # nulls, too, are read as such
+                whole = np.array([None not in v for v in column.take(pa.array(right)).to_pylist()], dtype=bool)
+                right, x = right[whole], x[whole]
+            offsets = np.zeros(batch.num_rows + 1, dtype=np.int32)
+            offsets[right + 1] = to
+            gone = np.ones(batch.num_rows, dtype=bool)
+            gone[right] = False
+            out = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array((x @ held.value).ravel()), mask=pa.array(gone))
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "projected"])
 
     return df.mapInArrow(made, schema)
 
 
-def _updated(df: DataFrame, centres: list[list[float]], chosen: int | None, mean: bool = False) -> DataFrame:
-    """The column least lowered to the distance from a centre (or set to the mean distance from several), and -1 for the
-    row that is chosen."""
+def _updated(df: DataFrame, centres: np.ndarray, chosen: list[int], mean: bool = False) -> DataFrame:
+    """(id, v, least): the column least lowered to the least distance from some centres (or set to the mean distance),
+    and -1 for the rows that are chosen."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, least = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             x = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
-            d = distances(x, np.asarray(centres))
-            new = d.mean(axis=1) if mean else np.where(least < 0, least, np.minimum(least, d[:, 0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.where(ids == chosen, -1.0, new) if chosen is not None else new)], ["id", "v", "least"])
+            if mean:  # a few centres
+                every = np.arange(len(ids))
+                new = sum(distances(x, centres, every, np.full(len(ids), j)) for j in range(len(centres))) / len(centres)
+            else:
+                new = least
+                for a in range(0, len(centres), CENTRES):
+                    new = least_distances(x, centres[a : a + CENTRES], new)
+            new = np.where((least < 0) | np.isin(ids, chosen), -1.0, new)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new)], ["id", "v", "least"])
 
     return df.mapInArrow(made, "id long, v array<double>, least double")
 
 
-def greedy_coreset(df: DataFrame, size: int, id_col: str = "vec_id", vector: str = "embedding", anchors: int = 10, keep_every: int = 8) -> DataFrame:
-    """(selection_order, id, distance) of a greedy k-centre selection.
+def _from_pool(ids: np.ndarray, x: np.ndarray, least: np.ndarray, more: bool, size: int) -> list[tuple[int, float]]:
+    """Places and distances of the next centres, up to ``size``, among the rows with the greatest distances, in order.
+
+    Distances only shrink, so while the farthest row of the pool comes before the pool's last row as it was, no row
+    outside (``more``: there are some) can be farther.
+    """
+    out, last = [], (-least[-1], ids[-1])
+    least = least.copy()
+    while len(out) < size:
+        i = int(np.lexsort((ids, -least))[0])
+        if least[i] < 0 or (more and out and (-least[i], ids[i]) > last):
+            break
+        out.append((i, float(least[i])))
+        least = np.minimum(least, distances(x, x, np.arange(len(x)), np.full(len(x), i)))
+        least[i] = -1.0
+    return out
+
+
+def greedy_coreset(df: DataFrame, size: int, id_col: str = "vec_id", vector: str = "embedding", anchors: int = 10, pool: int = POOL) -> DataFrame:
+    """(selection_order, id, distance) of a greedy k-centre selection of ``size`` rows, or of all if there are fewer.
 
-    The first centre is farthest on average from ``anchors`` rows chosen by hash; each next one is the row farthest from
-    the centres so far, ties to the smaller id. A step is one aggregation over the rows, whose running least distance is
-    stored every ``keep_every`` steps; the driver sees one row a step.
+    A row's distance begins as the mean distance from ``anchors`` rows chosen by hash, and shrinks to its distance from
+    the centres chosen so far; each centre is the farthest row, ties to the smaller id. Chosen rows aren't chosen again.
+    A pass over the rows brings the ``pool`` farthest ones to the driver, which goes on with these as long as none of the
+    others can be farther; the next pass lowers all distances at once. So there are far fewer passes than centres.
     """
     spark = df.sparkSession
-    x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("least")).where("id is not null and v is not null")
+    fine = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("least")).where(fine)
     first = [r["v"] for r in x.orderBy(F.xxhash64("id"), "id").limit(anchors).collect()]
     if not first:
         return spark.createDataFrame([], "selection_order int, id long, distance double")
-    now, chosen = stored(_updated(x, first, None, mean=True)), []
-    plain = now.withColumn("least", F.lit(float("inf")))
-    for step in range(size):
-        far = now.where("least >= 0").agg(F.min(F.struct((-F.col("least")).alias("a"), "id", "v")).alias("m")).first()["m"]
-        if far is None or (step and far["a"] == 0):
+    now, chosen = stored(_updated(x, np.asarray(first), [], mean=True)), []
+    while len(chosen) < size:
+        rows = now.where("least >= 0").orderBy(F.desc("least"), "id").limit(pool + 1).collect()
+        if not rows:
             break
-        chosen.append((step, far["id"], -far["a"]))
-        now = _updated(now if step else plain, [far["v"]], far["id"])
-        if step % keep_every == keep_every - 1:
-            now = stored(now)
+        more, rows = len(rows) > pool, rows[:pool]
+        ids, points = np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows])
+        found = _from_pool(ids, points, np.array([r["least"] for r in rows]), more, size - len(chosen))
+        chosen += [(len(chosen) + n, int(ids[i]), d) for n, (i, d) in enumerate(found)]
+        if len(chosen) < size:
+            at = [i for i, _ in found]
+            now = stored(_updated(now, points[at], ids[at].tolist()), instead_of=now)
     return spark.createDataFrame(chosen, "selection_order int, id long, distance double")
 
 
 def coverage(least: DataFrame, distance_col: str = "distance") -> DataFrame:
     """count, mean, median, p95 (linear), max and the share of zeros of nearest distances."""
     d = F.col(distance_col)
-    return least.agg(
-        F.count("*").alias("n"), F.avg(d).alias("mean"), F.percentile(d, F.lit(0.5)).alias("median"), F.percentile(d, F.lit(0.95)).alias("p95"), F.max(d).alias("max"),
-        F.avg((d == 0).cast("double")).alias("zero_share"),
-    )
+    sums = least.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.max(d).alias("max"), F.avg((d == 0).cast("double")).alias("zero_share"))
+    quantiles = linear_quantiles(least, distance_col, {"median": 0.5, "p95": 0.95})
+    return sums.crossJoin(F.broadcast(quantiles)).select("n", "mean", "median", "p95", "max", "zero_share")  # a row each
+
+
+def image_scores(patches: DataFrame, height: int, width: int) -> DataFrame:
+    """(image_id, patch, row, column, bank_id, reference_row, reference_column, score) of each image's farthest patch, the
+    first on ties; of patches (image_id, patch, bank_id, distance) of a grid, numbered by rows."""
+    place = F.struct((-F.col("distance")).alias("d"), "patch", "bank_id")
+    top = patches.groupBy("image_id").agg(F.min(place).alias("m")).select("image_id", "m.patch", "m.bank_id", (-F.col("m.d")).alias("score"))
+    at = lambda c: (F.expr(f"{c} div {width}") % height, F.col(c) % width)
+    (row, column), (reference_row, reference_column) = at("patch"), at("bank_id")
+    return top.select("image_id", "patch", row.alias("row"), column.alias("column"), "bank_id", reference_row.alias("reference_row"), reference_column.alias("reference_column"), "score")
+
+
+def image_maps(patches: DataFrame, height: int, width: int, size: int) -> DataFrame:
+    """(image_id, map, total, most): each image's distances by patch, bilinear at size x size; absent patches are 0."""
+    rows = patches.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("patch", "distance"))).alias("d"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda i: F.coalesce(F.try_element_at("d", i.cast("long")), F.lit(0.0)))
+    return per_image(rows.select("image_id", whole.alias("v")), "image_id", "v", width, lambda a: _map_of(a, size), "map array<double>, total double, most double")
+
+
+def _map_of(a: np.ndarray, size: int) -> dict:
+    out = resized(a, size, size)
+    return {"map": out.ravel().tolist(), "total": float(out.sum()), "most": float(out.max())}
+
+
+@dataclass(frozen=True)
+class Detector:
+    """A memory of normal vectors (vec_id, embedding) and the threshold of distances from it."""
+
+    memory: DataFrame
+    threshold: float
+
+
+def fit(normals: DataFrame, calibration: DataFrame, q: float) -> Detector:
+    """The memory is all normals; the threshold the higher q-quantile of the calibration's distances."""
+    memory = normals.select("vec_id", "embedding")
+    found = higher_quantile(nearest(calibration, memory, 1), "distance", q).first()
+    if found is None:
+        raise ValueError("the calibration has no distance")
+    return Detector(memory, float(found["threshold"]))
+
+
+def save(detector: Detector, path: str) -> None:
+    """Under a folder that must not exist: the memory as Parquet, the threshold as JSON with all its digits."""
+    spark = detector.memory.sparkSession
+    write_parquet(detector.memory, f"{path}/memory")
+    write_once(spark, f"{path}/threshold.json", {"threshold": detector.threshold})
+
+
+def load(spark, path: str) -> Detector:
+    return Detector(spark.read.parquet(f"{path}/memory"), json.loads(read_text(spark, f"{path}/threshold.json"))["threshold"])
+
+
+def inspected(detector: Detector, rows: DataFrame) -> DataFrame:
+    """(vec_id, distance, flagged) of rows (vec_id, embedding)."""
+    near = nearest(rows, detector.memory, 1)
+    return near.select(F.col("query_id").alias("vec_id"), "distance", strictly_above(F.col("distance"), F.lit(detector.threshold)).alias("flagged"))

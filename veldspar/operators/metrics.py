@@ -80,12 +80,13 @@ def kolmogorov_smirnov(df: DataFrame, value: str, second: Column) -> DataFrame:
     return cum.crossJoin(F.broadcast(totals)).agg(F.max(gap).alias("statistic"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
 
 
-def kolmogorov_p(statistic: float, n_a: int, n_b: int) -> float:
+def kolmogorov_p(statistic: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column:
     """The asymptotic p-value of the two-sample statistic."""
-    root = math.sqrt(n_a * n_b / (n_a + n_b))
+    root = F.sqrt(n_a.cast("double") * n_b / (n_a + n_b))
     x = (root + 0.12 + 0.11 / root) * statistic
-    total = sum(2 * (-1) ** (j - 1) * math.exp(-2 * (j * x) ** 2) for j in range(1, 101)) if x > 0.2 else 1.0
-    return min(1.0, max(0.0, total))
+    one = lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2 * F.pow(j * x, F.lit(2)))
+    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(terms)), one), F.lit(0.0), lambda s, t: s + t)
+    return F.when(x > 0.2, F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))).otherwise(1.0)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -95,9 +96,41 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("rho"))
 
 
+def student_p(t: float, degrees: float) -> float:
+    """The two-sided p-value of Student's t, by the continued fraction of the incomplete beta function."""
+    if math.isinf(t):
+        return 0.0
+    x, a, b = degrees / (degrees + t * t), degrees / 2, 0.5
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        x, a, b = 1 - x, b, a
+    if x == 0:
+        return 1.0 if swap else 0.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    f, c, d = 1.0, 1.0, 0.0
+    for i in range(400):
+        m = i // 2
+        step = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + step * d or tiny)
+        c = 1 + step / c or tiny
+        f *= c * d
+        if abs(1 - c * d) < 1e-14:
+            break
+    p = front * (f - 1)
+    return 1 - p if swap else p
+
+
+def spearman_p(rho: float | None, n: int) -> float | None:
+    """The two-sided p-value of a rank correlation of n rows; none for fewer than three."""
+    if rho is None or n < 3 or rho != rho:
+        return None
+    return student_p(math.inf if abs(rho) >= 1 else rho * math.sqrt((n - 2) / (1 - rho * rho)), n - 2)
+
+
 def flagged(df: DataFrame, score: str, thresholds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``df`` with threshold, flagged, margin and ratio; thresholds are one row, or one per group."""
-    met = df.join(F.broadcast(thresholds), by) if by else df.crossJoin(F.broadcast(thresholds))
+    met = df.join(thresholds, by) if by else df.crossJoin(F.broadcast(thresholds))  # one row
     return met.withColumns({
         "flagged": strictly_above(F.col(score), F.col("threshold")), "margin": F.col(score) - F.col("threshold"), "ratio": safe_ratio(F.col(score), F.col("threshold")),
     })

@@ -14,13 +14,18 @@ from pyspark.sql.window import Window
 RANGES = 64
 
 
-def range_of(df: DataFrame, value: str, ranges: int = RANGES) -> Column:
-    """The number of the range that holds a value, by approximate quantiles of the column."""
-    cuts = [c for c in df.stat.approxQuantile(value, [i / ranges for i in range(1, ranges)], 0.25 / ranges) if c == c]
-    cuts = sorted(set(cuts))
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(value)))
+def _on(left: DataFrame, right: DataFrame, by: list[str], more: list[str] = ()) -> DataFrame:
+    """A join on groups, null ones too, with the left side's group columns."""
+    renamed = right.withColumnsRenamed({k: f"_by_{k}" for k in [*by, *more]})
+    keys = [left[k].eqNullSafe(renamed[f"_by_{k}"]) for k in [*by, *more]]
+    met = left.join(renamed, keys) if keys else left.crossJoin(F.broadcast(renamed))  # one row
+    return met.drop(*[f"_by_{k}" for k in [*by, *more]])
+
+
+def ranged(df: DataFrame, value: str, by: list[str], ranges: int = RANGES) -> DataFrame:
+    """``df`` with _range, the number of the range that holds a row's value, between approximate quantiles of its group."""
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 16 * ranges).alias("_cuts"))
+    return _on(df, cuts, by).withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
 
 
 def running(df: DataFrame, value: str, sums: list[str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
@@ -29,17 +34,16 @@ def running(df: DataFrame, value: str, sums: list[str], by: list[str] | None = N
     ``df`` has one row per group and value.
     """
     by = by or []
-    dealt = df.withColumn("_range", range_of(df, value))
+    dealt = ranged(df, value, by)
     order = F.desc(value) if descending else F.asc(value)
     before = F.desc("_range") if descending else F.asc("_range")
     totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    earlier = Window.partitionBy(*by).orderBy(before).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy(before).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
     offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums])
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = dealt.select("*", *[F.sum(c).over(inside).alias(f"_l_{c}") for c in sums])
-    keys = [local[k].eqNullSafe(offsets[k]) for k in [*by, "_range"]]
-    met = local.join(offsets, [k for k in keys] if len(keys) > 1 else keys[0])
-    return met.select(*[local[c] for c in df.columns], *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums])
+    met = _on(local, offsets, [*by, "_range"])
+    return met.select(*df.columns, *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums])
 
 
 def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -48,24 +52,52 @@ def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> Data
     return df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*(by or []), value).agg(F.count("*").alias("n"))
 
 
+def _with_totals(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., value, n, cum_n, total): each value's count, the running one and its group's."""
+    counts = value_counts(df, value, by)
+    met = _on(running(counts, value, ["n"], by), counts.groupBy(*by).agg(F.sum("n").alias("total")), by)
+    return met.select(*by, F.col(value).alias("_v"), "n", "cum_n", "total")
+
+
+def _at(place: Column) -> Column:
+    """The value at a place of the group's order, counted from 0."""
+    return F.max(F.when((F.col("cum_n") - F.col("n") <= place) & (place < F.col("cum_n")), F.col("_v")))
+
+
+def higher_quantiles(df: DataFrame, value: str, named: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(by..., n, and a column for each named q): the sorted value at place ceil(q * (n - 1)), counted from 0."""
+    found = [_at(F.ceil(F.lit(q) * (F.col("total") - 1))).alias(name) for name, q in named.items()]
+    return _with_totals(df, value, by or []).groupBy(*(by or [])).agg(F.max("total").alias("n"), *found).where(F.col("n").isNotNull())
+
+
 def higher_quantile(df: DataFrame, value: str, q: float, by: list[str] | None = None) -> DataFrame:
-    """(by..., threshold, n): the sorted value at place ceil(q * (n - 1)), counted from 0."""
-    by = by or []
-    counts = running(value_counts(df, value, by), value, ["n"], by)
-    totals = value_counts(df, value, by).groupBy(*by).agg(F.sum("n").alias("total"))
-    met = counts.join(totals, [counts[k].eqNullSafe(totals[k]) for k in by]) if by else counts.crossJoin(F.broadcast(totals))
-    place = F.ceil(F.lit(q) * (F.col("total") - 1)) + 1
-    hit = (F.col("cum_n") - F.col("n") < place) & (place <= F.col("cum_n"))
-    return met.where(hit).select(*[counts[k] for k in by], counts[value].alias("threshold"), F.col("total").alias("n"))
+    """(by..., threshold, n) as of ``higher_quantiles``."""
+    return higher_quantiles(df, value, {"threshold": q}, by).select(*(by or []), "threshold", "n")
+
+
+def linear_quantiles(df: DataFrame, value: str, named: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(by..., and a column for each named q): quantiles with linear interpolation between neighbours. One pass for all q;
+    groups without a number have no row, but for one of nulls if there are no groups."""
+    place = lambda q: F.lit(q) * (F.col("total") - 1)
+    both = [c for name, q in named.items() for c in (_at(F.floor(place(q))).alias(f"{name}_0"), _at(F.ceil(place(q))).alias(f"{name}_1"))]
+    met = _with_totals(df, value, by or []).groupBy(*(by or [])).agg(F.max("total").alias("total"), *both)
+    share = lambda q: place(q) - F.floor(place(q))
+    return met.select(*(by or []), *[(F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * share(q)).alias(name) for name, q in named.items()])
+
+
+def with_quantiles(aggregated: DataFrame, df: DataFrame, named: dict[str, dict[str, float]], by: list[str]) -> DataFrame:
+    """``aggregated`` (a row for each group of ``df``) with linear quantiles of several columns: {column: {name: q}}."""
+    for value, quantiles in named.items():
+        found = linear_quantiles(df, value, quantiles, by).withColumnsRenamed({k: f"_by_{k}" for k in by})
+        on = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]
+        aggregated = aggregated.join(found, on, "left").drop(*[f"_by_{k}" for k in by])
+    return aggregated
 
 
 def ecdf(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(by..., value, n, cumulative share)."""
-    by = by or []
-    counts = running(value_counts(df, value, by), value, ["n"], by)
-    totals = value_counts(df, value, by).groupBy(*by).agg(F.sum("n").alias("total"))
-    met = counts.join(totals, [counts[k].eqNullSafe(totals[k]) for k in by]) if by else counts.crossJoin(F.broadcast(totals))
-    return met.select(*[counts[k] for k in by], counts[value], counts["n"], (F.col("cum_n") / F.col("total")).alias("share"))
+    met = _with_totals(df, value, by or [])
+    return met.select(*(by or []), F.col("_v").alias(value), "n", (F.col("cum_n") / F.col("total")).alias("share"))
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:

@@ -97,10 +97,13 @@ def per_image(df: DataFrame, image: str, values: str, width: int, function: Call
 
 
 def labelled(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
-    """Numbers of the connected components of a mask, 0 outside, in order of their first pixel; by union-find over runs
-    of adjacent pixels."""
-    h, w = mask.shape
-    root = np.arange(h * w)
+    """Numbers of the connected components of a mask, 0 outside, in order of their first pixel; by union-find over runs of
+    pixels in rows, which touch runs of the row above."""
+    edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    ys, begin = np.nonzero(edges == 1)
+    end = np.nonzero(edges == -1)[1]
+    first = np.searchsorted(ys, np.arange(mask.shape[0] + 1)).tolist()
+    begin, end, root, more = begin.tolist(), end.tolist(), list(range(len(ys))), int(diagonal)
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -108,18 +111,20 @@ def labelled(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
             i = root[i]
         return i
 
-    steps = [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * diagonal
-    for dy, dx in steps:
-        a = mask[: h - dy, max(0, -dx) : w - max(0, dx)] & mask[dy:, max(0, dx) : w - max(0, -dx)]
-        for y, x in zip(*np.nonzero(a)):
-            i = y * w + x + max(0, -dx)
-            p, q = find(i), find(i + dy * w + dx)
-            if p != q:
+    for y in range(1, mask.shape[0]):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if begin[i] < end[j] + more and begin[j] < end[i] + more:
+                p, q = find(i), find(j)
                 root[max(p, q)] = min(p, q)
-    out, names = np.zeros(h * w, dtype=int), {}
-    for i in np.flatnonzero(mask.ravel()):
-        out[i] = names.setdefault(find(i), len(names) + 1)
-    return out.reshape(h, w), len(names)
+            if end[i] <= end[j]:
+                i += 1
+            else:
+                j += 1
+    out, names = np.zeros(mask.shape, dtype=int), {}
+    for i, y in enumerate(ys.tolist()):
+        out[y, begin[i] : end[i]] = names.setdefault(find(i), len(names) + 1)
+    return out, len(names)
 
 
 def extent(mask: np.ndarray) -> dict:
@@ -140,27 +145,42 @@ def dilated(mask: np.ndarray) -> np.ndarray:
 
 
 def closed(mask: np.ndarray, times: int = 3) -> np.ndarray:
-    """Dilation, then erosion, each so many times; what is outside the image counts as background for both."""
-    out = np.pad(mask, times)
+    """Dilation, then erosion by four neighbours, each so many times; what is outside the image counts as background for
+    both, so that erosion eats in from the border."""
+    out = mask
     for _ in range(times):
         out = dilated(out)
     for _ in range(times):
-        out = ~dilated(~out)
-    return out[times:-times, times:-times] if times else out
-
-
-def largest_box(mask: np.ndarray, least: float = 0.02, most: float = 0.65) -> tuple[int, int, int, int] | None:
-    """(left, top, right, bottom) of the largest component of a closed mask; none if its share of the image is out of
-    bounds, and the caller falls back to the whole image."""
-    names, n = labelled(closed(mask))
-    if not n:
-        return None
-    sizes = np.bincount(names.ravel())[1:]
-    share = sizes.max() / mask.size
-    if not least <= share <= most:
-        return None
+        out = ~dilated(np.pad(~out, 1, constant_values=True))[1:-1, 1:-1]
+    return out
+
+
+def coloured(rgb: np.ndarray, blue: float = 0.05, green: float = 0.03, saturation: float = 0.12) -> np.ndarray:
+    """Pixels of an image (height, width, 3; 0 to 1) whose blue and green exceed red by so much, and that are saturated."""
+    high, low = rgb.max(axis=2), rgb.min(axis=2)
+    return (rgb[:, :, 2] - rgb[:, :, 0] > blue) & (rgb[:, :, 1] - rgb[:, :, 0] > green) & ((high - low) / np.maximum(high, 1e-6) > saturation)
+
+
+def board(rgb: np.ndarray, width: int = 512, least: float = 0.02, most: float = 0.65, margins: tuple[float, float] = (0.08, 0.45)) -> dict:
+    """The board on an image (height, width, 3; 0 to 1): the largest component of four neighbours of closed coloured pixels
+    on a copy of ``width`` at most, its box on the image, and the crop with margins in parts of the board's sides. If no
+    component's share of the image is within bounds, the crop is the whole image and ``failure`` tells why."""
+    h, w = rgb.shape[:2]
+    dw = min(w, width)
+    dh = max(1, round(h * dw / w))
+    small = np.stack([resized(rgb[:, :, i], dh, dw) for i in range(3)], axis=2) if (dh, dw) != (h, w) else rgb
+    names, n = labelled(closed(coloured(small)), diagonal=False)
+    sizes = np.bincount(names.ravel(), minlength=n + 1)[1:]
+    share = float(sizes.max() / names.size) if n else 0.0
+    out = {"left": 0, "top": 0, "right": w, "bottom": h, "share": share, "box": None, "failure": None}
+    if not n or not least <= share <= most:
+        return out | {"failure": "share out of bounds" if n else "no component"}
     ys, xs = np.nonzero(names == 1 + int(sizes.argmax()))
-    return int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1
+    x0, y0 = int(np.floor(xs.min() * w / dw)), int(np.floor(ys.min() * h / dh))
+    x1, y1 = int(np.ceil((xs.max() + 1) * w / dw)), int(np.ceil((ys.max() + 1) * h / dh))
+    mx, my = margins[0] * (x1 - x0), margins[1] * (y1 - y0)
+    crop = {"left": max(0, int(np.floor(x0 - mx))), "top": max(0, int(np.floor(y0 - my))), "right": min(w, int(np.ceil(x1 + mx))), "bottom": min(h, int(np.ceil(y1 + my)))}
+    return out | crop | {"box": (x0, y0, x1, y1)}
 
 
 def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -185,6 +205,17 @@ def letterbox(height: Column, width: Column, size: int) -> Column:
     return F.struct(ch.alias("content_height"), cw.alias("content_width"), half(ch).alias("pad_y"), half(cw).alias("pad_x"))
 
 
+def cell_centre(row: Column, column: Column, box: Column, left: Column, top: Column, height: Column, width: Column, cell: int = 8) -> Column:
+    """Where the centre of a cell of a letterboxed map lies: nx and ny within the crop's content (0 to 1), source_x and
+    source_y on the image, padding if it is outside the content, and the third of the crop that holds it."""
+    nx = ((column + 0.5) * cell - box["pad_x"]) / box["content_width"]
+    ny = ((row + 0.5) * cell - box["pad_y"]) / box["content_height"]
+    padding = ~((nx >= 0) & (nx < 1) & (ny >= 0) & (ny < 1))
+    third = lambda v: F.least(F.lit(2), F.floor(v * 3).cast("int")).cast("string")
+    region = F.when(padding, "padding_center").otherwise(F.concat(F.lit("row"), third(ny), F.lit("_col"), third(nx)))
+    return F.struct(nx.alias("nx"), ny.alias("ny"), (left + nx * width).alias("source_x"), (top + ny * height).alias("source_y"), padding.alias("padding"), region.alias("region"))
+
+
 def boxed(image: np.ndarray, size: int, grey: float = 128.0) -> tuple[np.ndarray, dict]:
     """An image fitted into a square on grey, with its geometry."""
     h, w = image.shape
@@ -207,19 +238,62 @@ def unboxed(score: np.ndarray, geometry: dict, crop: tuple[int, int, int, int],
     return out
 
 
-def median_filtered(row: np.ndarray, width: int = 15) -> np.ndarray:
-    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(row, width // 2, mode="edge"), width), axis=-1)
+def tensor(rgb: np.ndarray, means: tuple = (0.485, 0.456, 0.406), spreads: tuple = (0.229, 0.224, 0.225)) -> np.ndarray:
+    """Channels first, less their means, in units of their spreads; of an image (height, width, 3; 0 to 1)."""
+    return ((rgb - np.array(means)) / np.array(spreads)).transpose(2, 0, 1)
+
+
+def median_rows(image: np.ndarray, width: int = 15) -> np.ndarray:
+    """Each pixel's median over ``width`` pixels of its row, which is mirrored at its ends."""
+    half = width // 2
+    wide = np.pad(image, ((0, 0), (half, half)), mode="symmetric")
+    return np.median(np.lib.stride_tricks.sliding_window_view(wide, width, axis=1), axis=-1)
+
+
+def opened_down(mask: np.ndarray, length: int) -> np.ndarray:
+    """What of a mask lies in vertical runs of ``length`` and more."""
+    out = np.zeros_like(mask)
+    for x in range(mask.shape[1]):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], mask[:, x].astype(np.int8), [0]))))
+        for a, b in zip(edges[::2], edges[1::2]):
+            out[a:b, x] = b - a >= length
+    return out
 
 
-def pose(image: np.ndarray, ratio: float = 1.25, width: int = 15) -> str:
-    """canonical, reversed_180 or uncertain: in which half the sharp columns (against a running median) stand out."""
-    line = image.mean(axis=0)
-    ridge = np.abs(line - median_filtered(line, min(width, len(line) | 1)))
-    half = len(line) // 2
-    left, right = float(ridge[:half].sum()), float(ridge[len(line) - half :].sum())
-    if max(left, right) == 0 or max(left, right) < ratio * min(left, right):
-        return "uncertain"
-    return "canonical" if left > right else "reversed_180"
+def pins(ridge: np.ndarray, length: int) -> tuple[int, int]:
+    """(components, pixels) of upright strokes: components of four neighbours at least ``length`` high and three times as
+    high as wide."""
+    names, n = labelled(opened_down(ridge, length), diagonal=False)
+    count = pixels = 0
+    for i in range(1, n + 1):
+        ys, xs = np.nonzero(names == i)
+        height, width = int(np.ptp(ys)) + 1, int(np.ptp(xs)) + 1
+        if height >= length and height >= 3 * width:
+            count, pixels = count + 1, pixels + len(ys)
+    return count, pixels
+
+
+def pose(rgb: np.ndarray, box: tuple[int, int, int, int] | None, width: int = 512) -> dict:
+    """Which way up a board lies, by the pins that stand out above or below its box on a copy of ``width``: bright grey
+    ridges against a running median of their rows. canonical if the pins are above, reversed_180 if below, else uncertain,
+    with the reason."""
+    none = {"pose": "uncertain", "top_pins": 0, "bottom_pins": 0, "top_pixels": 0, "bottom_pixels": 0, "dominance": None}
+    if box is None:
+        return none | {"reason": "no board"}
+    scale = width / rgb.shape[1]
+    x0, y0, x1, y1 = (v * scale for v in box)
+    if (x1 - x0) / (y1 - y0) < 1.4:
+        return none | {"reason": "not lying"}
+    height = max(1, round(rgb.shape[0] * scale))
+    small = np.stack([resized(rgb[:, :, i], height, width) for i in range(3)], axis=2) if (height, width) != rgb.shape[:2] else rgb
+    grey = small.mean(axis=2)
+    ridge = (grey - median_rows(grey) > 0.08) & (grey > 0.35) & (np.ptp(small, axis=2) < 0.20)
+    left, right, length = max(0, round(x0 + 0.30 * (x1 - x0))), min(width, round(x0 + 0.70 * (x1 - x0))), max(3, round(0.10 * (y1 - y0)))
+    reach = 0.45 * (y1 - y0)
+    (top, top_pixels), (bottom, bottom_pixels) = (pins(ridge[max(0, a) : min(height, b), left:right], length) for a, b in ((round(y0 - reach), round(y0)), (round(y1), round(y1 + reach))))
+    found = "canonical" if top >= 2 and top_pixels >= 3 * max(1, bottom_pixels) else "reversed_180" if bottom >= 2 and bottom_pixels >= 3 * max(1, top_pixels) else "uncertain"
+    dominance = max(top_pixels, bottom_pixels) / max(1, min(top_pixels, bottom_pixels))
+    return {"pose": found, "top_pins": top, "bottom_pins": bottom, "top_pixels": top_pixels, "bottom_pixels": bottom_pixels, "dominance": dominance, "reason": "ambiguous" if found == "uncertain" else ""}
 
 
 def difference_hash(image: np.ndarray) -> int:
@@ -227,3 +301,47 @@ def difference_hash(image: np.ndarray) -> int:
     small = resized(image, 8, 9)
     bits = np.packbits((small[:, 1:] > small[:, :-1]).ravel())
     return int(bits.view(">i8")[0])
+
+
+#: Functions from an image to a list of numbers, by name; a network that needs libraries of its own is put here.
+EXTRACTORS: dict[str, Callable[[np.ndarray], list[float]]] = {}
+
+
+def register(name: str, extractor: Callable[[np.ndarray], list[float]]) -> None:
+    EXTRACTORS[name] = extractor
+
+
+def features(df: DataFrame, image: str, values: str, width: int, name: str) -> DataFrame:
+    """(image, features) of arrays by rows, by a registered extractor, which goes to the workers."""
+    extractor = EXTRACTORS[name]
+    return per_image(df, image, values, width, lambda a: {"features": [float(x) for x in extractor(a)]}, "features array<double>")
+
+
+def _bytes_of(row: pd.Series) -> np.ndarray:
+    return np.frombuffer(row["data"], dtype=np.uint8).reshape(row["height"], row["width"], row["channels"])
+
+
+def decoded(images: DataFrame) -> DataFrame:
+    """(path, height, width, rgb) of decoded images (path, height, width, channels, data): by rows, red first, 0 to 1; grey
+    is repeated, and a fourth channel is left out."""
+
+    def made(batches):
+        for batch in batches:
+            rgb = [np.repeat(p, 3, axis=2) if p.shape[2] == 1 else p[:, :, 2::-1] for p in (_bytes_of(r) for _, r in batch.iterrows())]
+            yield pd.DataFrame({"path": batch["path"], "height": batch["height"], "width": batch["width"], "rgb": [(p / 255).ravel().tolist() for p in rgb]})
+
+    return images.select("path", "height", "width", "channels", "data").mapInPandas(made, "path string, height int, width int, rgb array<double>")
+
+
+def masks(images: DataFrame, height: int, width: int) -> DataFrame:
+    """(path, mask) of decoded masks at another size by the nearest pixel: whether it is above 0 in any channel."""
+
+    def at(n: int, to: int) -> np.ndarray:
+        return np.minimum(((np.arange(to) + 0.5) * n / to).astype(int), n - 1)
+
+    def made(batches):
+        for batch in batches:
+            found = [(_bytes_of(r) > 0).any(axis=2) for _, r in batch.iterrows()]
+            yield pd.DataFrame({"path": batch["path"], "mask": [m[at(m.shape[0], height)][:, at(m.shape[1], width)].ravel().tolist() for m in found]})
+
+    return images.select("path", "height", "width", "channels", "data").mapInPandas(made, "path string, mask array<boolean>")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .order import higher_quantile, running
+from .order import higher_quantile, linear_quantiles, running, value_counts
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int = 1, rank: str = "rank") -> DataFrame:
@@ -27,8 +27,7 @@ def best(df: DataFrame, by: list[str], key: list[Column], columns: list[str]) ->
 
 def nearest_to_median(df: DataFrame, by: list[str], value: str, id_col: str) -> DataFrame:
     """The row of each group that is closest to its median; ties to the smaller id."""
-    medians = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    met = df.join(F.broadcast(medians), by)
+    met = df.join(linear_quantiles(df, value, {"median": 0.5}, by), by)
     return best(met, by, [F.abs(F.col(value) - F.col("median")), F.col(id_col)], [id_col, value, "median"])
 
 
@@ -38,7 +37,25 @@ def at_places(df: DataFrame, order: list[str], places: DataFrame) -> DataFrame:
     cum = running(counts, order[0], ["n"]).select(F.col(order[0]).alias("_v"), (F.col("cum_n") - F.col("n")).alias("_before"))
     own = Window.partitionBy(order[0]).orderBy(*order[1:])
     numbered = df.join(cum, F.col(order[0]) == F.col("_v")).withColumn("place", F.col("_before") + F.row_number().over(own) - 1).drop("_v", "_before")
-    return numbered.join(F.broadcast(places), "place")
+    return numbered.join(places, "place")
+
+
+def middle_rows(df: DataFrame, by: list[str], value: str, id_col: str) -> DataFrame:
+    """The row at place n // 2 of each group by value, then id: the value comes from running counts, and only the rows that
+    have it are numbered."""
+    counts = value_counts(df, value, by)
+    cum = running(counts, value, ["n"], by).select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col(value).alias("_v"), "n", "cum_n")
+    totals = counts.groupBy(*[F.col(k).alias(f"_of_{k}") for k in by]).agg(F.sum("n").alias("_total"))
+    hit = cum.join(totals, [F.col(f"_by_{k}").eqNullSafe(F.col(f"_of_{k}")) for k in by]).where("_total div 2 >= cum_n - n AND _total div 2 < cum_n")
+    hit = hit.withColumn("_place", F.expr("_total div 2 - (cum_n - n)")).select(*[f"_by_{k}" for k in by], "_v", "_place")
+    met = df.join(hit, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by] + [F.col(value) == F.col("_v")])
+    numbered = met.withColumn("_i", F.row_number().over(Window.partitionBy(*[f"_by_{k}" for k in by]).orderBy(id_col)) - 1)
+    return numbered.where(F.col("_i") == F.col("_place")).select(*df.columns)
+
+
+def with_reasons(tagged: DataFrame, id_col: str, reason: str) -> DataFrame:
+    """(id, reasons): all reasons of each id, in order of their names."""
+    return tagged.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set(reason)), "|").alias("reasons"))
 
 
 def by_priority(tagged: DataFrame, id_col: str, rule: str, most: int) -> DataFrame:

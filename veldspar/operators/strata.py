@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_ratio
-from .order import higher_quantile
+from .order import higher_quantiles, with_quantiles
 
 
 def quartile_edges(df: DataFrame, value: str) -> DataFrame:
     """One row e1, e2, e3: the quartiles' upper edges, as sorted values at places rounded up."""
-    each = [higher_quantile(df, value, q).select(F.lit(i).alias("i"), "threshold") for i, q in ((1, 0.25), (2, 0.5), (3, 0.75))]
-    rows = each[0].unionByName(each[1]).unionByName(each[2])
-    return rows.agg(*[F.max(F.when(F.col("i") == i, F.col("threshold"))).alias(f"e{i}") for i in (1, 2, 3)])
+    return higher_quantiles(df, value, {"e1": 0.25, "e2": 0.5, "e3": 0.75}).agg(*[F.max(e).alias(e) for e in ("e1", "e2", "e3")])
 
 
 def band(value: Column, edges: list[Column], names: list[str]) -> Column:
@@ -37,19 +35,16 @@ def keep_groups(dimension: DataFrame, aggregated: DataFrame, keys: list[str], co
 def summary(df: DataFrame, by: list[str], flag: str, size: str, score: str, margin: str) -> DataFrame:
     """Counts, recall, range of sizes and medians of each group."""
     f = F.col(flag)
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_if(f).alias("detected"), F.count_if(~f).alias("missed"), safe_ratio(F.count_if(f), F.count("*")).alias("recall"),
-        F.min(size).alias("min_size"), F.max(size).alias("max_size"), F.percentile(size, F.lit(0.5)).alias("median_size"),
-        F.percentile(score, F.lit(0.5)).alias("median_score"), F.percentile(margin, F.lit(0.5)).alias("median_margin"),
-    )
-
-
-def spread(x: str, names: str = "") -> list[Column]:
-    """count, median, quartiles and range of a column, by linear quantiles."""
-    return [
-        F.count(x).alias(f"{names}count"), F.percentile(x, F.lit(0.5)).alias(f"{names}median"), F.percentile(x, F.lit(0.25)).alias(f"{names}p25"),
-        F.percentile(x, F.lit(0.75)).alias(f"{names}p75"), F.min(x).alias(f"{names}min"), F.max(x).alias(f"{names}max"),
-    ]
+    counts = df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(f).alias("detected"), F.count_if(~f).alias("missed"), safe_ratio(F.count_if(f), F.count("*")).alias("recall"), F.min(size).alias("min_size"), F.max(size).alias("max_size")
+    )
+    return with_quantiles(counts, df, {size: {"median_size": 0.5}, score: {"median_score": 0.5}, margin: {"median_margin": 0.5}}, by)
+
+
+def spread(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """Of each group and column, under its prefix: count, median, quartiles by linear quantiles, and range."""
+    sums = df.groupBy(*by).agg(*[f(x).alias(p + n) for x, p in columns.items() for f, n in ((F.count, "count"), (F.min, "min"), (F.max, "max"))])
+    return with_quantiles(sums, df, {x: {f"{p}median": 0.5, f"{p}p25": 0.25, f"{p}p75": 0.75} for x, p in columns.items()}, by)
 
 
 def members(*groups: tuple[Column, str]) -> Column:

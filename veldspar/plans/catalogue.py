@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import governance, io, ranking, rasters, selection, strata, vectors  # noqa: F401
+from . import governance, io, manifests, ranking, rasters, selection, strata, vectors  # noqa: F401
 from .base import CATALOGUE
 
 

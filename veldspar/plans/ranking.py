@@ -23,15 +23,13 @@ def higher_quantile_threshold(spark, sf_dir):
 round(stddev_samp(score), 6) AS std, round(quantile_cont(score, 0.9), 6) AS p90, round(quantile_cont(score, 0.95), 6) AS p95, round(quantile_cont(score, 0.99), 6) AS p99,
 round(avg(CASE WHEN score > 100 THEN 1.0 ELSE 0.0 END), 6) AS share_above FROM pred WHERE label = 0 GROUP BY kind""")
 def normal_distribution(spark, sf_dir):
-    q = lambda p: F.percentile("score", F.lit(p))
-    out = predictions(spark, sf_dir).where("label = 0").groupBy("kind").agg(
-        F.count("*").alias("n"), F.avg("score").alias("mean"), q(0.5).alias("median"), F.stddev_samp("score").alias("std"), q(0.9).alias("p90"), q(0.95).alias("p95"), q(0.99).alias("p99"),
-        F.avg((F.col("score") > 100).cast("double")).alias("share_above"),
-    )
+    p = predictions(spark, sf_dir).where("label = 0")
+    sums = p.groupBy("kind").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"), F.avg((F.col("score") > 100).cast("double")).alias("share_above"))
+    out = order.with_quantiles(sums, p, {"score": {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}}, ["kind"])
     return six(out, "mean", "median", "std", "p90", "p95", "p99", "share_above")
 
 
-@query("F1 F2 F3 F9 F10", f"""WITH {PREDICTIONS}, t AS (SELECT score AS threshold FROM (SELECT score, row_number() OVER (ORDER BY score) AS i, count(*) OVER () AS n FROM pred WHERE label = 0)
+@query("F1 F2 F3", f"""WITH {PREDICTIONS}, t AS (SELECT score AS threshold FROM (SELECT score, row_number() OVER (ORDER BY score) AS i, count(*) OVER () AS n FROM pred WHERE label = 0)
 WHERE i = CAST(ceil(0.95 * (n - 1)) AS BIGINT) + 1)
 SELECT image_id, CASE WHEN label = 1 AND score > threshold THEN 'TP' WHEN label = 1 THEN 'FN' WHEN score > threshold THEN 'FP' ELSE 'TN' END AS outcome,
 round(score - threshold, 6) AS margin, round(score / nullif(threshold, 0), 6) AS ratio FROM pred, t""")
@@ -91,9 +89,11 @@ def wilson_ci(spark, sf_dir):
 
 @query("A23", f"""WITH {PREDICTIONS}, g AS (SELECT score, count(*) FILTER (label = 0) AS a, count(*) FILTER (label = 1) AS b FROM pred GROUP BY score),
 c AS (SELECT sum(a) OVER w / sum(a) OVER () AS fa, sum(b) OVER w / sum(b) OVER () AS fb, sum(a) OVER () AS n_a, sum(b) OVER () AS n_b FROM g WINDOW w AS (ORDER BY score))
-SELECT round(max(abs(fa - fb)), 6) AS statistic, CAST(max(n_a) AS BIGINT) AS n_a, CAST(max(n_b) AS BIGINT) AS n_b FROM c""")
+, s AS (SELECT max(abs(fa - fb)) AS statistic, CAST(max(n_a) AS BIGINT) AS n_a, CAST(max(n_b) AS BIGINT) AS n_b FROM c), x AS (SELECT *, sqrt(n_a::DOUBLE * n_b / (n_a + n_b)) AS root FROM s), y AS (SELECT *, (root + 0.12 + 0.11 / root) * statistic AS z FROM x)
+SELECT round(statistic, 6) AS statistic, n_a, n_b, round(CASE WHEN z > 0.2 THEN least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101), lambda j: (CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END)::DOUBLE * exp(-2 * power(j * z, 2)))))) ELSE 1.0 END, 6) AS p_value FROM y""")
 def kolmogorov_smirnov(spark, sf_dir):
-    return six(metrics.kolmogorov_smirnov(predictions(spark, sf_dir), "score", F.col("label") == 1), "statistic")
+    out = metrics.kolmogorov_smirnov(predictions(spark, sf_dir), "score", F.col("label") == 1)
+    return six(out.withColumn("p_value", metrics.kolmogorov_p(F.col("statistic"), F.col("n_a"), F.col("n_b"))), "statistic", "p_value")
 
 
 @query("A24", f"""WITH {PREDICTIONS}, r AS (SELECT rank() OVER (ORDER BY size) + (count(*) OVER (PARTITION BY size) - 1) / 2 AS a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS b FROM pred)
@@ -114,14 +114,14 @@ def metric_comparison(spark, sf_dir):
     return met.select("kind", same.alias("same"), (F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("in_both"))
 
 
-@query("Q16 O7", f"""WITH {PREDICTIONS}, m AS (SELECT grp, avg(CASE WHEN score > 60 THEN 1.0 ELSE 0.0 END) FILTER (label = 1) AS recall, avg(CASE WHEN score > 60 THEN 1.0 ELSE 0.0 END) FILTER (label = 0) AS fpr,
+@query("Q16", f"""WITH {PREDICTIONS}, m AS (SELECT grp, avg(CASE WHEN score > 60 THEN 1.0 ELSE 0.0 END) FILTER (label = 1) AS recall, avg(CASE WHEN score > 60 THEN 1.0 ELSE 0.0 END) FILTER (label = 0) AS fpr,
 quantile_cont(size, 0.5) AS latency, count(*) AS n FROM pred GROUP BY grp)
 SELECT grp, recall >= 0.28 AS recall_ok, fpr <= 0.31 AS fpr_ok, latency <= 50 AS latency_ok, n >= 100 AS count_ok, recall >= 0.28 AND fpr <= 0.31 AND latency <= 50 AND n >= 100 AS accepted FROM m""")
 def acceptance_gate(spark, sf_dir):
     hit = (F.col("score") > 60).cast("double")
-    m = predictions(spark, sf_dir).groupBy("grp").agg(
-        F.avg(F.when(F.col("label") == 1, hit)).alias("recall"), F.avg(F.when(F.col("label") == 0, hit)).alias("fpr"), F.percentile("size", F.lit(0.5)).alias("latency"), F.count("*").alias("n")
-    )
+    p = predictions(spark, sf_dir)
+    m = p.groupBy("grp").agg(F.avg(F.when(F.col("label") == 1, hit)).alias("recall"), F.avg(F.when(F.col("label") == 0, hit)).alias("fpr"), F.count("*").alias("n"))
+    m = order.with_quantiles(m, p.withColumn("size", F.col("size").cast("double")), {"size": {"latency": 0.5}}, ["grp"])
     ok = {"recall_ok": F.col("recall") >= 0.28, "fpr_ok": F.col("fpr") <= 0.31, "latency_ok": F.col("latency") <= 50, "count_ok": F.col("n") >= 100}
     return m.select("grp", *[c.alias(k) for k, c in ok.items()], (ok["recall_ok"] & ok["fpr_ok"] & ok["latency_ok"] & ok["count_ok"]).alias("accepted"))
 
@@ -138,18 +138,44 @@ def rank_diagnostics(spark, sf_dir):
     top = lambda k, c="score": F.avg(F.when(F.col("rank") <= k, F.col(c)))
     out = r.groupBy("user_id").agg(
         F.min(F.when(F.col("label") == 1, F.col("rank"))).alias("first_rank"), top(1).alias("top1"), top(3).alias("top3"), top(10).alias("top10"), top(5, "label").alias("truth5"),
-        F.percentile("score", F.lit(0.9)).alias("p90"), F.percentile("score", F.lit(0.99)).alias("p99"), F.avg(F.when(F.col("rank") <= F.ceil(0.01 * F.col("n")), F.col("score"))).alias("top_percent"),
+        F.avg(F.when(F.col("rank") <= F.ceil(0.01 * F.col("n")), F.col("score"))).alias("top_percent"),
     )
+    out = order.with_quantiles(out, r, {"score": {"p90": 0.9, "p99": 0.99}}, ["user_id"])
     return six(out, "top1", "top3", "top10", "truth5", "p90", "p99", "top_percent")
 
 
-@query("Q11 Q12", f"""WITH {PREDICTIONS}, f AS (SELECT image_id, concat_ws('|', CASE WHEN score < 10 THEN 'F1' END, CASE WHEN size > 80 THEN 'F2' END, CASE WHEN grp = 0 THEN 'F3' END, CASE WHEN score > 150 THEN 'F4' END) AS flags FROM pred)
+@query("Q11", f"""WITH {PREDICTIONS}, f AS (SELECT image_id, concat_ws('|', CASE WHEN score < 10 THEN 'F1' END, CASE WHEN size > 80 THEN 'F2' END, CASE WHEN grp = 0 THEN 'F3' END, CASE WHEN score > 150 THEN 'F4' END) AS flags FROM pred)
 SELECT image_id, CASE WHEN flags = '' THEN 'F5' ELSE flags END AS flags FROM f""")
 def failure_flags(spark, sf_dir):
     c = F.col
     return predictions(spark, sf_dir).select("image_id", piped((c("score") < 10, "F1"), (c("size") > 80, "F2"), (c("grp") == 0, "F3"), (c("score") > 150, "F4"), otherwise="F5").alias("flags"))
 
 
+@query("A24")
+def spearman_test(spark, sf_dir):
+    """The rank correlation with its p-value; SQL has no Student distribution."""
+    r = metrics.spearman(predictions(spark, sf_dir), "size", "score").first()
+    return spark.createDataFrame([(r["n"], r["rho"], metrics.spearman_p(r["rho"], r["n"]))], "n long, rho double, p_value double")
+
+
+@query("K8", f"""WITH {PREDICTIONS} SELECT image_id, round(least(2.0, greatest(0.0, score / 60)), 6) AS ratio, CAST(least(4, floor(least(2.0, greatest(0.0, score / 60)) / 2 * 5)) AS INTEGER) AS shade FROM pred""")
+def ratio_scale(spark, sf_dir):
+    """A score as a share of the threshold on a fixed scale of 0 to 2, and its shade of five; what a picture of it shows."""
+    ratio = F.least(F.lit(2.0), F.greatest(F.lit(0.0), safe_ratio(F.col("score"), F.lit(60.0))))
+    return predictions(spark, sf_dir).select("image_id", rounded(ratio).alias("ratio"), F.least(F.lit(4), F.floor(ratio / 2 * 5)).cast("int").alias("shade"))
+
+
+@query("Q12", f"""WITH {PREDICTIONS}, u AS (SELECT user_id, max(score) FILTER (label = 1) AS inside, max(score) FILTER (label = 0) AS outside, count(*) FILTER (size > 60) > 0 AS detected FROM pred GROUP BY user_id),
+c AS (SELECT user_id, concat_ws('|', CASE WHEN inside <= 60 THEN 'low_response' END, CASE WHEN outside > inside THEN 'higher_outside' END, CASE WHEN NOT detected AND inside > 60 THEN 'evidence_unflagged' END) AS categories FROM u WHERE inside IS NOT NULL)
+SELECT user_id, CASE WHEN categories = '' THEN 'unclear_or_mixed' ELSE categories END AS categories FROM c""")
+def case_categories(spark, sf_dir):
+    """What the evidence says of each case: a weak response, a stronger one elsewhere, evidence without a flag, or neither."""
+    best = lambda v: F.max(F.when(F.col("label") == v, F.col("score")))
+    u = predictions(spark, sf_dir).groupBy("user_id").agg(best(1).alias("inside"), best(0).alias("outside"), (F.count_if(F.col("size") > 60) > 0).alias("detected")).where("inside IS NOT NULL")
+    c = F.col
+    return u.select("user_id", piped((c("inside") <= 60, "low_response"), (c("outside") > c("inside"), "higher_outside"), (~c("detected") & (c("inside") > 60), "evidence_unflagged"), otherwise="unclear_or_mixed").alias("categories"))
+
+
 @query("A17 W15", f"""WITH {PREDICTIONS} SELECT kind, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(sum(score) / sum(sum(score)) OVER (), 6) AS score_share FROM pred GROUP BY kind""")
 def composition(spark, sf_dir):
     g = predictions(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"), F.sum("score").alias("s"))
@@ -168,7 +194,8 @@ def value_counts(spark, sf_dir):
 SELECT grp, round(max(CASE WHEN label = 1 THEN med END) / nullif(max(CASE WHEN label = 0 THEN med END), 0), 6) AS median_ratio,
 round(max(CASE WHEN label = 1 THEN burden END) / nullif(sum(burden), 0), 6) AS burden_share FROM m GROUP BY grp""")
 def burden_contrast(spark, sf_dir):
-    m = predictions(spark, sf_dir).groupBy("grp", "label").agg(F.percentile("score", F.lit(0.5)).alias("med"), F.sum("size").alias("burden"))
+    p = predictions(spark, sf_dir)
+    m = order.with_quantiles(p.groupBy("grp", "label").agg(F.sum("size").alias("burden")), p, {"score": {"med": 0.5}}, ["grp", "label"])
     of = lambda c, v: F.max(F.when(F.col("label") == v, F.col(c)))
     out = m.groupBy("grp").agg(safe_ratio(of("med", 1), of("med", 0)).alias("median_ratio"), safe_ratio(of("burden", 1), F.sum("burden")).alias("burden_share"))
     return six(out, "median_ratio", "burden_share")

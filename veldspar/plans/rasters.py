@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded, safe_ratio
+from ..operators import governance, knn
 from ..operators import raster as ops
+from ..sources.scratch import shared_dir, stored
 from .base import RASTER, query, raster, raster_rows, six
 
 
@@ -43,14 +48,14 @@ def mean_raster(spark, sf_dir):
     return six(px.groupBy("label", "y", "x").agg(F.avg("score").alias("mean"), F.avg((F.col("score") > 0.12).cast("double")).alias("above")), "mean", "above")
 
 
-@query("G13 G14", f"""WITH {RASTER}, c AS (SELECT vec_id, y // 2 AS cy, x // 2 AS cx, avg(CASE WHEN truth THEN 1.0 ELSE 0.0 END) AS share FROM px GROUP BY vec_id, y // 2, x // 2),
+@query("G13", f"""WITH {RASTER}, c AS (SELECT vec_id, y // 2 AS cy, x // 2 AS cx, avg(CASE WHEN truth THEN 1.0 ELSE 0.0 END) AS share FROM px GROUP BY vec_id, y // 2, x // 2),
 r AS (SELECT DISTINCT a.vec_id, a.cy, a.cx FROM c a JOIN c b ON a.vec_id = b.vec_id AND greatest(abs(a.cy - b.cy), abs(a.cx - b.cx)) = 1 AND b.share > 0)
 SELECT c.vec_id, c.cy, c.cx, round(c.share, 6) AS share, c.share > 0 AS inside, r.vec_id IS NOT NULL AND c.share = 0 AS ring FROM c LEFT JOIN r ON c.vec_id = r.vec_id AND c.cy = r.cy AND c.cx = r.cx""")
 def mask_cells(spark, sf_dir):
     return six(ops.footprint(raster(spark, sf_dir), "vec_id", F.col("truth"), 2), "share")
 
 
-@query("G6 G7 G15", f"""WITH {RASTER}, b AS (SELECT vec_id, y, x, truth, score FROM px), a AS (SELECT vec_id, CASE WHEN label % 2 = 1 THEN 7 - y ELSE y END AS y, CASE WHEN label % 2 = 1 THEN 7 - x ELSE x END AS x, score FROM px), m AS (SELECT b.vec_id, b.truth AS t, b.score AS a, a.score AS b FROM b JOIN a USING (vec_id, y, x))
+@query("G6 G15", f"""WITH {RASTER}, b AS (SELECT vec_id, y, x, truth, score FROM px), a AS (SELECT vec_id, CASE WHEN label % 2 = 1 THEN 7 - y ELSE y END AS y, CASE WHEN label % 2 = 1 THEN 7 - x ELSE x END AS x, score FROM px), m AS (SELECT b.vec_id, b.truth AS t, b.score AS a, a.score AS b FROM b JOIN a USING (vec_id, y, x))
 SELECT vec_id, count(*) FILTER (a > 0.12 AND NOT b > 0.12 AND t) AS removed_inside, count(*) FILTER (a > 0.12 AND NOT b > 0.12 AND NOT t) AS removed_outside, count(*) FILTER (NOT a > 0.12 AND b > 0.12 AND t) AS added_inside, count(*) FILTER (NOT a > 0.12 AND b > 0.12 AND NOT t) AS added_outside,
 round(avg(b - a), 6) + 0.0 AS mean_delta, round(min(b - a), 6) AS min_delta, round(max(b - a), 6) AS max_delta, round(max(abs(b - a)), 6) AS max_abs_delta FROM m GROUP BY vec_id""")
 def map_change(spark, sf_dir):
@@ -84,13 +89,13 @@ def sampled_truth(spark, sf_dir):
     return r.select("vec_id", (ops.sampled(F.col("score"), F.col("vec_id") % 23 / 2.0 - 1, F.col("vec_id") % 31 / 3.0, 8, 8) > 0.1).alias("hit"))
 
 
-@query("G10 G1")
+@query("G10")
 def map_components(spark, sf_dir):
     """Components and bounding box of what is above the threshold, per image."""
     return ops.per_image(raster_rows(spark, sf_dir), "vec_id", "score", 8, lambda a: ops.extent(a > 0.12), "components int, box_area int, box_share double")
 
 
-@query("G12 G3 G4")
+@query("G12 G4")
 def resampled_maps(spark, sf_dir):
     """Range of each map after resampling to 16 x 16, and after a round trip through a padded square."""
 
@@ -103,10 +108,69 @@ def resampled_maps(spark, sf_dir):
     return ops.per_image(raster_rows(spark, sf_dir), "vec_id", "score", 8, f, "least double, most double, drift double")
 
 
-@query("G5 G16")
-def map_pose(spark, sf_dir):
-    """Pose and difference hash of each map."""
-    return ops.per_image(raster_rows(spark, sf_dir), "vec_id", "score", 8, lambda a: {"pose": ops.pose(a), "dhash": ops.difference_hash(a)}, "pose string, dhash long")
+def _scene(a):
+    """An image of a board with pins, drawn from a map: place, size and side follow its values."""
+    x0, y0 = 50 + int(20 * abs(a[0, 0])), 45 + int(30 * abs(a[1, 0]))
+    wide, high = 130 + int(100 * abs(a[2, 0])), 45 + int(45 * abs(a[3, 0]))
+    rgb = np.full((160, 256, 3), 0.2)
+    rgb[y0 : y0 + high, x0 : x0 + wide] = (0.1, 0.4, 0.7)
+    above = a[4, 0] > 0
+    for i in range(4):
+        x = x0 + int(wide * (0.35 + 0.08 * i))
+        rgb[(y0 - 15 if above else y0 + high) : (y0 if above else y0 + high + 15), x : x + 2] = 0.8
+    return rgb, above
+
+
+def _seen(a):
+    rgb, above = _scene(a)
+    found = ops.board(rgb)
+    way = ops.pose(rgb, found["box"], 256)
+    square, geometry = ops.boxed(rgb[found["top"] : found["bottom"], found["left"] : found["right"]].mean(axis=2), 64)
+    crop = (found["left"], found["top"], found["right"], found["bottom"])
+    back = ops.unboxed(square, geometry, crop, 160, 256, turn=way["pose"] == "reversed_180")
+    return {
+        "left": found["left"], "top": found["top"], "right": found["right"], "bottom": found["bottom"], "share": round(found["share"], 6), "pose": way["pose"], "pins": way["top_pins"] + way["bottom_pins"],
+        "expected": "canonical" if above else "reversed_180", "mean": round(float(ops.tensor(rgb)[2].mean()), 6), "outside": round(float(np.abs(back).sum() - np.abs(back[crop[1] : crop[3], crop[0] : crop[2]]).sum()), 6),
+    }
+
+
+@query("G1 G3 G4 G5 G7")
+def board_poses(spark, sf_dir):
+    """Boards found on drawn images, their crops and poses, one channel of the tensor, and a map put back on its source."""
+    schema = "left int, top int, right int, bottom int, share double, pose string, pins int, expected string, mean double, outside double"
+    return ops.per_image(raster_rows(spark, sf_dir), "vec_id", "score", 8, _seen, schema)
+
+
+def _board_means(a):
+    """What an extractor sees of a drawn image: the board's crop, upright, as means on an 8 x 8 grid."""
+    rgb, _ = _scene(a)
+    found = ops.board(rgb)
+    crop = rgb[found["top"] : found["bottom"], found["left"] : found["right"]].mean(axis=2)
+    upright = crop[::-1, ::-1] if ops.pose(rgb, found["box"], 256)["pose"] == "reversed_180" else crop
+    return (ops.resized(upright, 8, 8) + 0.3 * a).ravel()
+
+
+@query("V12 V9")
+def inspector(spark, sf_dir):
+    """From images to decisions: board, crop, pose, features by a registered extractor, distance from a frozen memory whose
+    identity is checked first, and the flag."""
+    ops.register("board_means", _board_means)
+    rows = raster_rows(spark, sf_dir)
+    seen = ops.features(rows, "vec_id", "score", 8, "board_means").withColumnRenamed("features", "embedding").join(rows.select("vec_id", "label"), "vec_id")
+    seen = stored(seen.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(3))))
+    model = knn.fit(seen.where("label <> 9 AND part > 0"), seen.where("label <> 9 AND part = 0"), 0.95)
+    path = f"{shared_dir(spark)}/veldspar-{uuid.uuid4().hex}"
+    knn.save(model, path)
+    governance.freeze(spark, f"{path}.json", {"memory": model.memory}, {"q": 0.95})
+    frozen = knn.load(spark, path)
+    governance.verify(spark, f"{path}.json", {"memory": frozen.memory}, {"q": 0.95})
+    return six(knn.inspected(frozen, seen.where("label = 9")), "distance")
+
+
+@query("G16")
+def map_hashes(spark, sf_dir):
+    """Difference hash of each map."""
+    return ops.per_image(raster_rows(spark, sf_dir), "vec_id", "score", 8, lambda a: {"dhash": ops.difference_hash(a)}, "dhash long")
 
 
 @query("G17", f"""WITH {RASTER}, s AS (SELECT vec_id, count(*) FILTER (truth) AS before, count(*) FILTER (truth AND y % 2 = 1 AND x % 2 = 1) AS kept FROM px GROUP BY vec_id)

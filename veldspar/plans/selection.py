@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalar import rounded
 from ..operators import selection
+from ..operators.order import with_quantiles
 from ..sources.files import read_table
 from .base import PREDICTIONS, predictions, query, six
 
@@ -25,7 +26,7 @@ def first_per_group(spark, sf_dir):
     return selection.best(predictions(spark, sf_dir), ["user_id"], [-F.col("score"), F.col("image_id")], ["image_id", "score"])
 
 
-@query("W5 W6", f"""WITH {PREDICTIONS}, t AS (
+@query("W5", f"""WITH {PREDICTIONS}, t AS (
 SELECT image_id, 1 AS rule FROM (SELECT image_id FROM pred WHERE label = 1 ORDER BY score DESC, image_id LIMIT 8) UNION ALL SELECT image_id, 2 FROM (SELECT image_id FROM pred ORDER BY score, image_id LIMIT 8) UNION ALL
 SELECT image_id, 3 FROM (SELECT image_id FROM pred ORDER BY abs(score - 60), image_id LIMIT 8) UNION ALL SELECT image_id, 4 FROM (SELECT image_id FROM pred ORDER BY score DESC, image_id LIMIT 12)),
 a AS (SELECT image_id, min(rule) AS first_rule, list_sort(list(DISTINCT rule)) AS rules FROM t GROUP BY image_id)
@@ -38,11 +39,27 @@ def priority_selection(spark, sf_dir):
     return selection.by_priority(tagged, "image_id", "rule", 24)
 
 
+_PICKS = {"strongest": ("label = 1 AND score > 60", "size DESC, image_id"), "weakest": ("label = 1 AND score > 60", "size, image_id"), "nearest below": ("label = 1 AND NOT score > 60", "score DESC, image_id"), "lowest": ("label = 1 AND NOT score > 60", "score, image_id"), "smallest": ("label = 1", "size, image_id")}
+
+
+@query("W6", f"""WITH {PREDICTIONS}, t AS (""" + " UNION ALL ".join(f"SELECT image_id, '{name}' AS reason FROM (SELECT image_id FROM pred WHERE {rows} ORDER BY {order} LIMIT 1)" for name, (rows, order) in _PICKS.items()) + """
+UNION ALL SELECT image_id, 'middle of ' || kind FROM (SELECT kind, image_id, row_number() OVER (PARTITION BY kind ORDER BY score, image_id) AS i, count(*) OVER (PARTITION BY kind) AS n FROM pred) WHERE i = n // 2 + 1)
+SELECT image_id, string_agg(reason, '|' ORDER BY reason) AS reasons FROM t GROUP BY image_id""")
+def reasoned_examples(spark, sf_dir):
+    """One example for each reason, without a cap; an image that several reasons pick has them all."""
+    p = predictions(spark, sf_dir)
+    tagged = None
+    for name, (rows, order) in _PICKS.items():
+        keys = [F.desc(k.split()[0]) if k.endswith(" DESC") else F.asc(k) for k in order.split(", ")]
+        one = p.where(rows).orderBy(*keys).limit(1).select("image_id", F.lit(name).alias("reason"))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    middle = selection.middle_rows(p, ["kind"], "score", "image_id").select("image_id", F.concat(F.lit("middle of "), "kind").alias("reason"))
+    return selection.with_reasons(tagged.unionByName(middle), "image_id", "reason")
+
+
 @query("W7", f"""WITH {PREDICTIONS}, r AS (SELECT kind, image_id, score, row_number() OVER (PARTITION BY kind ORDER BY score, image_id) AS i, count(*) OVER (PARTITION BY kind) AS n FROM pred) SELECT kind, image_id, score FROM r WHERE i = n // 2 + 1""")
 def middle_element(spark, sf_dir):
-    own = Window.partitionBy("kind")
-    r = predictions(spark, sf_dir).withColumns({"i": F.row_number().over(own.orderBy("score", "image_id")), "n": F.count("*").over(own)})
-    return r.where("i = n div 2 + 1").select("kind", "image_id", "score")
+    return selection.middle_rows(predictions(spark, sf_dir), ["kind"], "score", "image_id").select("kind", "image_id", "score")
 
 
 @query("W8", f"""WITH {PREDICTIONS}, m AS (SELECT kind, quantile_cont(score, 0.5) AS median FROM pred GROUP BY kind)
@@ -89,10 +106,11 @@ def uniform_memory(spark, sf_dir):
     return v.join(F.broadcast(chosen), "vec_id", "left").select("vec_id", "label", F.coalesce("selected", F.lit(False)).alias("selected"))
 
 
-@query("O15 O14 F14", """SELECT o_orderpriority AS phase, count(*) AS runs, round(quantile_cont(o_totalprice, 0.5), 6) AS median_s, round(quantile_cont(o_totalprice, 0.95), 6) AS p95_s,
+@query("O15 O14", """SELECT o_orderpriority AS phase, count(*) AS runs, round(quantile_cont(o_totalprice, 0.5), 6) AS median_s, round(quantile_cont(o_totalprice, 0.95), 6) AS p95_s,
 CAST(epoch(max(o_orderdate)) - epoch(min(o_orderdate)) AS BIGINT) AS span_s FROM orders GROUP BY o_orderpriority""")
 def runtime_phases(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
     span = F.unix_timestamp(F.max("o_orderdate")) - F.unix_timestamp(F.min("o_orderdate"))
-    g = o.groupBy(F.col("o_orderpriority").alias("phase")).agg(F.count("*").alias("runs"), F.percentile("o_totalprice", F.lit(0.5)).alias("median_s"), F.percentile("o_totalprice", F.lit(0.95)).alias("p95_s"), span.alias("span_s"))
+    o = o.withColumnRenamed("o_orderpriority", "phase")
+    g = with_quantiles(o.groupBy("phase").agg(F.count("*").alias("runs"), span.alias("span_s")), o, {"o_totalprice": {"median_s": 0.5, "p95_s": 0.95}}, ["phase"])
     return g.withColumns({c: rounded(F.col(c)) for c in ("median_s", "p95_s")})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import chebyshev, labels_of, rounded, safe_ratio
 from ..operators import strata
+from ..operators.order import with_quantiles
 from .base import PREDICTIONS, predictions, query, six
 
 _EDGES = f"""WITH {PREDICTIONS}, s AS (SELECT size, row_number() OVER (ORDER BY size) - 1 AS i, count(*) OVER () AS n FROM pred WHERE size IS NOT NULL),
@@ -42,7 +43,7 @@ def group_summary_keep_empty(spark, sf_dir):
 @query("A4", f"""WITH {PREDICTIONS} SELECT kind, count(score) AS count, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.75), 6) AS p75,
 min(score) AS min, max(score) AS max FROM pred GROUP BY kind""")
 def type_distribution(spark, sf_dir):
-    return six(predictions(spark, sf_dir).groupBy("kind").agg(*strata.spread("score")), "median", "p25", "p75")
+    return six(strata.spread(predictions(spark, sf_dir), ["kind"], {"score": ""}), "median", "p25", "p75")
 
 
 _LABELS = "list_filter([CASE WHEN size < 30 THEN 'small' END, CASE WHEN score > 90 THEN 'bright' END, CASE WHEN grp IN (1, 2) THEN 'left' END], lambda v: v IS NOT NULL)"
@@ -56,8 +57,8 @@ def _labels():
 SELECT type, count(*) AS n, count(*) FILTER (score > 60) AS detected, round(avg(CASE WHEN score > 60 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(quantile_cont(score, 0.5), 6) AS median_score FROM l GROUP BY type""")
 def multilabel_recall(spark, sf_dir):
     rows = strata.per_label(predictions(spark, sf_dir).withColumn("labels", _labels()), "labels", "type")
-    g = rows.groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 60).alias("detected"), F.avg((F.col("score") > 60).cast("double")).alias("recall"), F.percentile("score", F.lit(0.5)).alias("median_score"))
-    return six(g, "recall", "median_score")
+    g = rows.groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 60).alias("detected"), F.avg((F.col("score") > 60).cast("double")).alias("recall"))
+    return six(with_quantiles(g, rows, {"score": {"median_score": 0.5}}, ["type"]), "recall", "median_score")
 
 
 @query("A27 R10", f"""WITH {PREDICTIONS}, l AS (SELECT grp, {_LABELS} AS labels FROM pred) SELECT grp, CAST(sum(len(labels)) AS BIGINT) AS memberships, count(*) FILTER (list_contains(labels, 'small')) AS with_small FROM l GROUP BY grp""")
@@ -83,10 +84,10 @@ def trace_offset_summary(spark, sf_dir):
     d = chebyshev(F.col("size") % 10 - F.col("user_id") % 10, F.expr("size div 10") - F.bround("score").cast("long") % 10)
     o = p.select(F.when(F.col("grp") != 6, F.concat(F.lit("g"), F.col("grp").cast("string"))).alias("grp"), d.alias("d"))
     g = o.groupBy("grp").agg(
-        F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("median"), F.percentile("d", F.lit(0.9)).alias("p90"), F.count_if(F.col("d") <= 1).alias("within_1"), F.count_if(F.col("d") <= 3).alias("within_3"),
+        F.count("*").alias("n"), F.count_if(F.col("d") <= 1).alias("within_1"), F.count_if(F.col("d") <= 3).alias("within_3"),
         F.avg((F.col("d") <= 3).cast("double")).alias("rate_3"),
     )
-    return six(g, "median", "p90", "rate_3")
+    return six(with_quantiles(g, o, {"d": {"median": 0.5, "p90": 0.9}}, ["grp"]), "median", "p90", "rate_3")
 
 
 @query("A10 A11", f"""WITH {PREDICTIONS}, g AS (SELECT kind, grp, count(*) AS n, avg(CASE WHEN score > 60 THEN 1.0 ELSE 0.0 END) AS rate, quantile_cont(score, 0.5) AS med, quantile_cont(score, 0.25) AS q25, quantile_cont(score, 0.75) AS q75,
@@ -98,25 +99,27 @@ def pose_summary(spark, sf_dir):
     p = predictions(spark, sf_dir)
     wrong = F.when((F.col("label") == 0) & (F.col("score") > 60), F.col("size")).otherwise(0)
     g = p.groupBy("kind", "grp").agg(
-        F.count("*").alias("n"), F.avg((F.col("score") > 60).cast("double")).alias("rate"), F.percentile("score", F.lit(0.5)).alias("median"), F.percentile("score", F.lit(0.25)).alias("q25"),
-        F.percentile("score", F.lit(0.75)).alias("q75"), F.max("score").alias("max"), F.sum(wrong).alias("burden"),
+        F.count("*").alias("n"), F.avg((F.col("score") > 60).cast("double")).alias("rate"), F.max("score").alias("max"), F.sum(wrong).alias("burden"),
     )
+    g = with_quantiles(g, p, {"score": {"median": 0.5, "q25": 0.25, "q75": 0.75}}, ["kind", "grp"])
     return six(g.withColumn("burden_share", safe_ratio(F.col("burden"), F.sum("burden").over(Window.partitionBy()))), "rate", "median", "q25", "q75", "burden_share")
 
 
-@query("A15 A14", f"""WITH {PREDICTIONS}, u AS (SELECT kind, user_id, count(*) AS pairs, quantile_cont(score, 0.5) AS med, min(score) AS lo FROM pred GROUP BY kind, user_id)
+@query("A15", f"""WITH {PREDICTIONS}, u AS (SELECT kind, user_id, count(*) AS pairs, quantile_cont(score, 0.5) AS med, min(score) AS lo FROM pred GROUP BY kind, user_id)
 SELECT kind, count(*) AS images, CAST(sum(pairs) AS BIGINT) AS pairs, round(quantile_cont(med, 0.5), 6) AS median_of_medians, min(med) AS min_median, max(med) AS max_median, round(avg(lo), 6) AS mean_min FROM u GROUP BY kind""")
 def image_weighted_summary(spark, sf_dir):
-    u = predictions(spark, sf_dir).groupBy("kind", "user_id").agg(F.count("*").alias("pairs"), F.percentile("score", F.lit(0.5)).alias("med"), F.min("score").alias("lo"))
-    g = u.groupBy("kind").agg(F.count("*").alias("images"), F.sum("pairs").alias("pairs"), F.percentile("med", F.lit(0.5)).alias("median_of_medians"), F.min("med").alias("min_median"), F.max("med").alias("max_median"), F.avg("lo").alias("mean_min"))
-    return six(g, "median_of_medians", "mean_min")
+    p = predictions(spark, sf_dir)
+    u = with_quantiles(p.groupBy("kind", "user_id").agg(F.count("*").alias("pairs"), F.min("score").alias("lo")), p, {"score": {"med": 0.5}}, ["kind", "user_id"])
+    g = u.groupBy("kind").agg(F.count("*").alias("images"), F.sum("pairs").alias("pairs"), F.min("med").alias("min_median"), F.max("med").alias("max_median"), F.avg("lo").alias("mean_min"))
+    return six(with_quantiles(g, u, {"med": {"median_of_medians": 0.5}}, ["kind"]), "median_of_medians", "mean_min")
 
 
 @query("A19 A6 O13", f"""WITH {PREDICTIONS}, u AS (SELECT kind, 'score' AS metric, score AS v FROM pred UNION ALL SELECT kind, 'size', size FROM pred)
 SELECT kind, metric, min(v) AS min, round(quantile_cont(v, 0.5), 6) AS median, max(v) AS max FROM u GROUP BY kind, metric""")
 def statistic_map(spark, sf_dir):
     long = strata.unpivoted(predictions(spark, sf_dir), ["kind"], ["score", "size"], "metric", "v")
-    return six(long.groupBy("kind", "metric").agg(F.min("v").alias("min"), F.percentile("v", F.lit(0.5)).alias("median"), F.max("v").alias("max")), "median")
+    g = long.groupBy("kind", "metric").agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    return six(with_quantiles(g, long, {"v": {"median": 0.5}}, ["kind", "metric"]), "median")
 
 
 _PAIR = f"""WITH {PREDICTIONS}, r AS (SELECT image_id, score AS d1, score * 0.9 + size * 0.2 AS d2, size / 100.0 AS ap1, (size * 7 % 100) / 100.0 AS ap2 FROM pred)"""
