@@ -5,7 +5,8 @@ docs. All but the last return the columns of documents. Labels are joined on doc
 which of them it learns from.
 
 Defined results: an empty table passes through every stage; null texts count as empty, and are kept as null until
-packing; extra columns are carried as far as the personal-data stage.
+packing; extra columns of any name and type are carried as far as the personal-data stage; rows that repeat doc_id and
+text are one document from the exact stage on.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veldspar.llm import exact_dedup, jaccard_join, packing, pii_infotheory, quality_cotrain
-from veldspar.llm.common import durable, table
+from veldspar.llm.common import durable, scope, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scope(spark):
+        docs = table(spark, sf_dir, "documents")
+        for _, stage in STAGES[:-1]:
+            docs = durable(stage(spark, docs, sf_dir))
+        return durable(STAGES[-1][1](spark, docs, sf_dir), keep=True)
