@@ -21,7 +21,7 @@ class begins, and repeat possessively, which matches the same strings in linear
 are counted over the corpus, summed within tasks first, and met by the terms of documents with entities.
 
 Defined results: null text is empty and has no spans; repeated rows count as documents each; a null doc_id takes part;
-an empty table gives an empty result; extra columns are kept by ``sanitised`` (whose own columns start with ``p_``).
+an empty table gives an empty result; ``redact`` keeps extra columns, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -29,13 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, small_side, table, text_or_empty
+from .common import BROADCAST_TEXTS, durable, in_scope, scope, small_side, table, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 PRIOR, GENERALISE, REMOVE = 0.5, 0.85, 0.97
-#: Most rows with terms and entities, which are text, that are broadcast.
-BROADCAST_TEXTS = 500_000
 TERM = r"\p{L}{3,}+"
 
 _START = r"(?:\G|(?<![{0}]))"
@@ -48,6 +46,8 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 HINTS = {"email": "@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: Elements that a fold over an array gathers at once.
+RUN = 256
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 TERM_SPANS = "array<struct<start:bigint,end:bigint,disclosure:double>>"
 
@@ -75,20 +75,44 @@ CHECKS = {
 }
 
 
-def located(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of all matches: the lengths of what lies between matches and of matches add up to their places."""
+def _let(value: Column, use) -> Column:
+    """``use(value)``, where the value is made once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sums_before(sizes: Column, at: Column) -> Column:
+    zero = F.struct(at.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    add = lambda s, x: F.struct((s["at"] + x).cast("long").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    return F.aggregate(sizes, zero, add, lambda s: s["out"])
+
+
+def starts(sizes: Column) -> Column:
+    """``at``, where elements of some sizes begin that lie end to end: in runs of RUN, as a fold copies what it has."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / RUN).cast("int")), lambda i: F.slice(sizes, i * RUN + 1, F.lit(RUN)))
+
+    def placed(r: Column) -> Column:
+        begin = _sums_before(F.transform(r, lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))
+        return F.flatten(F.zip_with(r, begin, lambda run, at: _sums_before(run, at)))
+
+    return _let(runs, placed)
+
+
+def _matches(text: Column, pattern: str, use) -> Column:
+    """``use(match, its start)`` of all matches: the lengths of what lies between matches and of matches add up to their
+    places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
+    pairs = _let(found, lambda f: F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(f)).alias("gap"), f.alias("value")))
+
+    def made(p: Column) -> Column:
+        at = starts(F.transform(p, lambda x: (F.length(x["gap"]) + F.length(x["value"])).cast("long")))
+        return F.zip_with(p, at, lambda x, a: use(x["value"], (a + F.length(x["gap"])).cast("long")))
 
-    def add(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["gap"])
-        end = start + F.length(p["value"])
-        span = F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end"), p["value"].alias("value"))
-        return F.struct(end.cast("long").alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    return _let(pairs, made)
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-    return F.aggregate(pairs, zero, add, lambda s: s["spans"])
+
+def located(text: Column, pattern: str, kind: int) -> Column:
+    """Spans of all matches."""
+    return _matches(text, pattern, lambda v, a: F.struct(a.alias("start"), F.lit(kind).alias("kind"), (a + F.length(v)).cast("long").alias("end"), v.alias("value")))
 
 
 def _passes(kind: str):
@@ -154,27 +178,18 @@ def revealing_terms(all_rows: DataFrame) -> DataFrame:
 
 def _occurrences() -> Column:
     """Spans of all occurrences outside base spans of the terms in the map p_strong."""
-    found = F.regexp_extract_all(_outside(), F.lit(TERM), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(_outside(), TERM, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-
-    def add(state: Column, p: Column) -> Column:
-        start = state["at"] + F.length(p["gap"])
-        end = start + F.length(p["value"])
-        disclosure = F.try_element_at(F.col("p_strong"), F.lower(p["value"]))
-        span = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), disclosure.alias("disclosure")))
-        return F.struct(end.cast("long").alias("at"), F.when(disclosure.isNotNull(), F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(TERM_SPANS).alias("spans"))
-    return F.aggregate(pairs, zero, add, lambda s: s["spans"])
+    spans = _matches(_outside(), TERM, lambda v, a: F.struct(a.alias("start"), (a + F.length(v)).cast("long").alias("end"), F.try_element_at(F.col("p_strong"), F.lower(v)).alias("disclosure")))
+    return F.filter(spans, lambda s: s["disclosure"].isNotNull())
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with p_row, p_text (never null), p_base (base spans) and p_terms (spans of revealing terms
-    with their disclosure)."""
-    based = docs.select("*", base_spans(text_or_empty()).alias("p_base"), F.monotonically_increasing_id().alias("p_row"))
-    all_rows = durable(based).withColumn("p_text", text_or_empty())
-    found = all_rows.where(F.size("p_base") > 0)
-    strong = revealing_terms(all_rows).groupBy("p_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("p_strong"))
+    """p_doc (a row of ``docs``), p_row, p_text (never null), p_base (base spans) and p_terms (spans of revealing terms with
+    their disclosure)."""
+    based = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("p_doc"), base_spans(text_or_empty()).alias("p_base"), F.monotonically_increasing_id().alias("p_row"))
+    with scope(docs.sparkSession):
+        all_rows = durable(based, keep=True).withColumn("p_text", F.coalesce(F.col("p_doc.text"), F.lit("")))
+        found = all_rows.where(F.size("p_base") > 0)
+        strong = durable(revealing_terms(all_rows).groupBy("p_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("p_strong")), keep=True)
     none = F.array().cast(TERM_SPANS)
     clean = all_rows.where(F.size("p_base") == 0).withColumn("p_terms", none)
     spans = F.when(F.col("p_strong").isNotNull(), _occurrences()).otherwise(none)
@@ -212,19 +227,20 @@ def redacted() -> Column:
 def findings(docs: DataFrame) -> DataFrame:
     count = lambda i: F.size(F.filter("p_base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
     return sanitised(docs.select("doc_id", "text")).select(
-        "doc_id", *[count(i) for i in range(4)], F.sha2(_listed(F.col("p_base")), 256).alias("base_sha256"), _listed(all_spans()).alias("spans")
-    )
+        F.col("p_doc.doc_id").alias("doc_id"), *[count(i) for i in range(4)], F.sha2(_listed(F.col("p_base")), 256).alias("base_sha256"), _listed(all_spans()).alias("spans"),
+        F.size("p_base").cast("long").alias("n_base"), F.size("p_terms").cast("long").alias("n_term"),
+    )
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with redacted texts, and n_chars (where there is such a column) as the new length; all columns stay."""
-    out = sanitised(docs).withColumn("p_new", F.when(F.size("p_base") > 0, redacted()).otherwise(F.col("p_text")))
-    own = {c: F.col(f"`{c}`") for c in docs.columns}
-    own["text"] = F.when(F.col("text").isNotNull(), F.col("p_new")).alias("text")
+    new, has = F.when(F.size("p_base") > 0, redacted()).otherwise(F.col("p_text")), F.size("p_base") > 0
+    own = {c: F.col("p_doc").getField(c).alias(c) for c in docs.columns}
+    own["text"] = F.when(F.col("p_doc.text").isNotNull(), new).alias("text")
     if "n_chars" in own:
-        own["n_chars"] = F.when(F.size("p_base") > 0, F.length("p_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
-    return out.select(*own.values())
+        own["n_chars"] = F.when(has, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("p_doc.n_chars")).alias("n_chars")
+    return sanitised(docs).select(*own.values())
 
 
 def op8_pii_infotheory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(table(spark, sf_dir, "documents"))
+    return in_scope(spark, lambda: findings(table(spark, sf_dir, "documents")))

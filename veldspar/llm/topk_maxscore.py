@@ -1,14 +1,15 @@
-"""Exact top-k inner products by MaxScore over shards of vectors.
+"""Exact top-k inner products by MaxScore over postings of shards of vectors.
 
-Every dimension is a query term. With ``lo`` and ``hi`` a shard's least and greatest code in it, a vector's code x adds
-``|q| * (x - lo)`` where q > 0 and ``|q| * (hi - x)`` where q < 0 to a constant of the query, so each term's score is at
-least 0 and at most ``|q| * (hi - lo)``. Terms are ordered by that bound. Given the k-th best score so far, the
-non-essential terms are the largest set of lowest bounds whose sum stays below it: they can't carry a vector alone.
-The essential terms are traversed for all vectors, then the non-essential ones are probed, strongest half first, for
-the vectors that are still competitive only. Shards give k rows a query at most, merged by a window over the query.
+Every dimension is a query term, and a shard holds a postings list for each: the codes of its vectors in that dimension.
+With ``lo`` and ``hi`` the shard's least and greatest code in it, a vector's code x adds ``|q| * (x - lo)`` where q > 0
+and ``|q| * (hi - x)`` where q < 0 to a constant of the query, so each term's score is at least 0 and at most
+``|q| * (hi - lo)``. Terms are ordered by that bound. Given the k-th best score so far, the non-essential terms are the
+largest set of lowest bounds whose sum stays below it: they can't carry a vector alone. Only the essential terms'
+postings are traversed; the others are probed, strongest first, for the vectors that are still competitive, until none
+is. The k-th best score of a query rises from shard to shard of a task, and a task hands on k rows a query.
 
-Queries go in blocks, met with every shard through a join on the block's number; a block and a shard have a bounded
-size, so work per task is bounded, and blocks are broadcast only behind a check of their number.
+Queries go in groups of bounded size, each broadcast to one pass over the vectors, which stay where they are: only
+results are shuffled, and merged by a window over the query.
 
 Defined results: vectors null, or holding null or non-finite components, take no part; shorter vectors count as padded
 with zeros and an empty one scores 0; a row isn't a candidate of a query with its own vec_id; rows that repeat a
@@ -19,6 +20,7 @@ gives an empty result; extra columns are ignored. Scores are exact while sums st
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, small_side, table
+from .common import arrow, durable, scope, table
 
-SHARD, BLOCK = 4096, 512
-PACKED = "dims int, ids binary, codes binary"
+#: Vectors of a shard, those scored in full to begin with, dimensions probed at once, and queries of a group (with 64
+#: dimensions 32 MB as broadcast, and 20 MB of results in a task).
+SHARD, FIRST, PROBE, GROUP = 8192, 512, 8, 65_536
+FOUND = "query_id long, vec_id long, score long"
+NONE = np.iinfo(np.int64).min
 
 
 def codes_of(vectors: DataFrame, scale: int) -> DataFrame:
@@ -40,103 +45,145 @@ def codes_of(vectors: DataFrame, scale: int) -> DataFrame:
     )
 
 
-def _packed(ids: np.ndarray, codes: pa.ListArray) -> tuple[int, bytes, bytes]:
-    sizes = codes.value_lengths().to_numpy(zero_copy_only=False)
-    dims = int(sizes.max(initial=0))
-    out = np.zeros((len(ids), dims), dtype=np.int64)
-    out[np.repeat(np.arange(len(ids)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = codes.flatten().to_numpy()
-    return dims, ids.tobytes(), out.tobytes()
-
-
-def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, most):
-            part = batch.slice(a, most)
-            dims, ids, codes = _packed(part.column(0).to_numpy(), part.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([ids], pa.binary()), pa.array([codes], pa.binary())], ["dims", "ids", "codes"])
-
-
-def _unpacked(dims: int, ids: bytes, codes: bytes, to: int) -> tuple[np.ndarray, np.ndarray]:
-    out = np.frombuffer(codes, dtype=np.int64).reshape(-1, dims) if dims else np.zeros((len(ids) // 8, 0), np.int64)
-    return np.frombuffer(ids, dtype=np.int64), np.pad(out, ((0, 0), (0, to - dims)))
-
-
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best vectors of a shard, its own left out; by MaxScore."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    most = int(np.abs(q).sum(axis=1).max(initial=0)) * int(np.abs(x).max(initial=0)) * 2 + 1
-    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
-    lo, hi = x.min(axis=0), x.max(axis=0)
-    fixed = (np.where(q > 0, q * lo, q * hi)).sum(axis=1)
-    bound = np.abs(q) * (hi - lo)
-    by_bound = np.argsort(bound, axis=1, kind="stable")  # weakest first
-    reached = np.cumsum(np.take_along_axis(bound, by_bound, axis=1), axis=1)
-    qk, xk = q.astype(kind), x.astype(kind)
-    repeats = len(ids) - len(np.unique(ids))
-    want = min(len(ids), k + 1 + repeats)
-    # the k-th best of a first few vectors, scored in full, is the first threshold
-    first = min(len(ids), max(256, 4 * want))
-    seen = np.where(ids[None, :first] == q_ids[:, None], np.iinfo(np.int64).min, (qk @ xk[:first].T).astype(np.int64))
-    rank = k + repeats
-    least = np.sort(seen, axis=1)[:, -rank] if first >= rank else np.full(len(q), np.iinfo(np.int64).min)
-    gap = np.where(least == np.iinfo(np.int64).min, 0, least - fixed)
-    weak = np.empty(bound.shape, dtype=bool)
-    np.put_along_axis(weak, by_bound, reached < gap[:, None], axis=1)
-    strongest_weak = np.empty(bound.shape, dtype=bool)
-    np.put_along_axis(strongest_weak, by_bound, (reached < gap[:, None]) & (np.arange(bound.shape[1]) >= (reached < gap[:, None]).sum(axis=1, keepdims=True) // 2), axis=1)
-    part = (np.where(weak, 0, qk).astype(kind) @ xk.T).astype(np.int64)
-    open_bound = np.where(weak, np.maximum(q * lo, q * hi), 0)
-    rows, cols = np.nonzero(part + open_bound.sum(axis=1)[:, None] >= least[:, None])
-    score = part[rows, cols]
-    for terms in (weak & strongest_weak, weak & ~strongest_weak):
-        open_bound = np.where(terms, 0, open_bound)
-        if len(rows) * 4 > part.size:
-            score = score + (np.where(terms, qk, 0).astype(kind) @ xk.T).astype(np.int64)[rows, cols]
-        else:
-            for a in range(0, len(rows), 1 << 16):
-                r, c = rows[a : a + (1 << 16)], cols[a : a + (1 << 16)]
-                score[a : a + (1 << 16)] += (np.where(terms, q, 0)[r] * x[c]).sum(axis=1)
-        live = score + open_bound.sum(axis=1)[rows] >= least[rows]
-        rows, cols, score = rows[live], cols[live], score[live]
-    live = ids[cols] != q_ids[rows]
-    rows, cols, score = rows[live], cols[live], score[live]
-    if repeats:
-        order = np.lexsort((-score, ids[cols], rows))
-        rows, cols, score = rows[order], cols[order], score[order]
-        once = np.concatenate(([True], (rows[1:] != rows[:-1]) | (ids[cols][1:] != ids[cols][:-1])))[: len(rows)]
-        rows, cols, score = rows[once], cols[once], score[once]
-    order = np.lexsort((ids[cols], -score, rows))
-    rows, cols, score = rows[order], cols[order], score[order]
-    start = np.searchsorted(rows, np.arange(len(q)))
-    live = np.arange(len(rows)) - start[rows] < k
-    return q_ids[rows[live]], ids[cols[live]], score[live]
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k best among the other rows of ``vectors`` (vec_id, embedding)."""
-    codes = codes_of(vectors, scale)
-    asked = durable(codes.where(is_query))
-    blocks = max(1, -(-asked.count() // block))
-    dealt = asked.repartition(blocks, F.pmod(F.xxhash64("vec_id", "codes"), F.lit(blocks))).select("vec_id", "codes")
-    packed = durable(dealt.mapInArrow(lambda b: _pack(b, block), PACKED).select(*[F.col(c).alias(f"q_{c}") for c in ("dims", "ids", "codes")]).withColumn("q_at", F.monotonically_increasing_id()))
-    n = packed.count()
-    numbered = durable(packed.join(small_side(packed.select("q_at", F.row_number().over(Window.orderBy("q_at")).alias("block")), n), "q_at").drop("q_at"))
-    shards = codes.mapInArrow(lambda b: _pack(b, shard), PACKED).withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(n)))) if n else None
-    if shards is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    met = shards.join(small_side(numbered, n, 64), "block").repartition(F.xxhash64("ids", "q_ids")).select("dims", "ids", "codes", "q_dims", "q_ids", "q_codes")
-
-    def scored(batches):
+def matrix(codes: pa.ListArray | pa.ChunkedArray, dims: int = 0) -> np.ndarray:
+    """Codes by row, padded with zeros to the longest one, and to ``dims`` at least."""
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    sizes = codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(sizes), max(dims, int(sizes.max(initial=0)))), dtype=np.int64)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = codes.flatten().to_numpy()
+    return out
+
+
+class Postings:
+    """A shard: for each dimension the codes of all its vectors, with their least and greatest."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, most: int):
+        """``most``: the greatest sum of absolute codes of a query."""
+        reach = most * int(np.abs(x).max(initial=0)) * 2 + 1
+        kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64
+        self.ids, self.lists = ids, np.ascontiguousarray(x.T).astype(kind)
+        self.lo, self.hi = x.min(axis=0), x.max(axis=0)
+        #: entries of postings lists, and how many of them were read
+        self.held, self.read = 0, 0
+
+    def beaten(self, q: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, scores) of all that score ``least`` or more."""
+        n = len(self.ids)
+        self.held += q.size * n
+        bound = np.abs(q) * (self.hi - self.lo)
+        order = np.argsort(bound, kind="stable")  # weakest first
+        fixed = int(np.where(q > 0, q * self.lo, q * self.hi).sum())
+        weak = int((np.cumsum(bound[order]) < least - fixed).sum()) if least > NONE else 0
+        kind = self.lists.dtype
+        essential = order[weak:]
+        score = q[essential].astype(kind) @ self.lists[essential]
+        self.read += len(essential) * n
+        most = np.maximum(q * self.lo, q * self.hi)[order]
+        open_ = int(most[:weak].sum())
+        live = np.flatnonzero(score + open_ >= least) if least > NONE else np.arange(n)
+        score = score[live]
+        for end in range(weak, 0, -PROBE):
+            if not len(live):
+                break
+            some = order[max(0, end - PROBE) : end]
+            # a gather of some vectors costs about as much as reading the lists of all of them in a row
+            lists = self.lists[some][:, live] if 2 * len(live) > n else self.lists[some[:, None], live]
+            score = score + q[some].astype(kind) @ lists
+            self.read += len(some) * len(live)
+            open_ -= int(most[max(0, end - PROBE) : end].sum())
+            if least > NONE:
+                on = np.flatnonzero(score + open_ >= least)
+                live, score = live[on], score[on]
+        return live, score.astype(np.int64)
+
+
+class Best:
+    """The k best vectors of each query so far."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int):
+        self.q_ids, self.q, self.k = q_ids, q, k
+        self.ids: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q_ids)
+        self.scores: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q_ids)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> tuple[int, int]:
+        """(entries, those read) of the postings of some vectors, whose best join."""
+        if x.shape[1] < self.q.shape[1]:
+            x = np.pad(x, ((0, 0), (0, self.q.shape[1] - x.shape[1])))
+        most, held, read = int(np.abs(self.q).sum(axis=1).max(initial=0)), 0, 0
+        begun = all(len(s) == self.k for s in self.scores)
+        cuts = [0, len(ids)] if begun or len(ids) <= 2 * FIRST else [0, FIRST, len(ids)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            # what queries have no dimension for adds nothing
+            shard = Postings(ids[a:b], x[a:b, : self.q.shape[1]], most)
+            for i in range(len(self.q_ids)):
+                least = int(self.scores[i][-1]) if len(self.scores[i]) == self.k else NONE
+                at, score = shard.beaten(self.q[i], least)
+                if len(at):
+                    self._join(i, shard.ids[at], score)
+            held, read = held + shard.held, read + shard.read
+        return held, read
+
+    def _join(self, i: int, ids: np.ndarray, score: np.ndarray) -> None:
+        others = ids != self.q_ids[i]
+        ids, score = np.concatenate([self.ids[i], ids[others]]), np.concatenate([self.scores[i], score[others]])
+        if len(ids) > 8 * self.k:  # more of an id than the k best of it can't matter, so few need sorting
+            repeats = len(ids) - len(np.unique(ids))
+            if (want := self.k + repeats) < len(ids):
+                some = score >= np.partition(score, len(score) - want)[len(score) - want]
+                ids, score = ids[some], score[some]
+        order = np.lexsort((ids, -score))
+        ids, score = ids[order], score[order]
+        _, first = np.unique(ids, return_index=True)
+        first = np.sort(first)[: self.k]
+        self.ids[i], self.scores[i] = ids[first], score[first]
+
+    def rows(self) -> pa.RecordBatch:
+        sizes = [len(x) for x in self.ids]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.q_ids, sizes)), pa.array(np.concatenate([*self.ids, np.zeros(0, np.int64)])), pa.array(np.concatenate([*self.scores, np.zeros(0, np.int64)]))], ["query_id", "vec_id", "score"])
+
+
+def _searched(codes: DataFrame, group: DataFrame, k: int, shard: int) -> DataFrame:
+    """The k best vectors of each task for the queries of a group, which is collected: GROUP bounds it."""
+    found = group.toArrow()
+    asked = codes.sparkSession.sparkContext.broadcast((found["vec_id"].to_numpy(), matrix(found["codes"])))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, waiting, rows = Best(*asked.value, k), [], 0
+
+        def flush() -> None:
+            whole = pa.Table.from_batches(waiting).combine_chunks()
+            best.add(whole.column(0).to_numpy(), matrix(whole.column(1)))
+
         for batch in batches:
-            for r in batch.to_pylist():
-                to = max(r["dims"], r["q_dims"])
-                a, b, c = best(*_unpacked(r["q_dims"], r["q_ids"], r["q_codes"], to), *_unpacked(r["dims"], r["ids"], r["codes"], to), k)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["query_id", "vec_id", "score"])
+            for a in range(0, batch.num_rows, shard):
+                waiting.append(batch.slice(a, shard))
+                rows += waiting[-1].num_rows
+                if rows >= shard:
+                    flush()
+                    waiting, rows = [], 0
+        if waiting:
+            flush()
+        yield best.rows()
+
+    return arrow(codes, made, FOUND)
 
-    found = met.mapInArrow(scored, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard: int = SHARD, group: int = GROUP) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's k best among the other rows of ``vectors`` (vec_id, embedding)."""
+    spark = vectors.sparkSession
+    codes = codes_of(vectors, scale)
+    with scope(spark):
+        asked = durable(codes.where(is_query).distinct())
+        n = asked.count()
+        groups = max(1, -(-n // group))
+        dealt = asked.withColumn("g", F.pmod(F.xxhash64("vec_id", "codes"), F.lit(groups))) if groups > 1 else asked.withColumn("g", F.lit(0))
+        parts = [_searched(codes, dealt.where(F.col("g") == i).select("vec_id", "codes"), k, shard) for i in range(groups if n else 0)]
+        if not parts:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        found = durable(reduce(DataFrame.union, parts), keep=True)
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
