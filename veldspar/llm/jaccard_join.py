@@ -338,3 +338,28 @@ def keep_representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=90)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS shingles
+  FROM w
+), e AS (
+  SELECT r, unnest(shingles) AS shingle FROM s
+), p AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS shared FROM e a JOIN e b ON a.shingle = b.shingle AND a.r < b.r GROUP BY a.r, b.r
+), l AS (
+  SELECT x, y FROM p JOIN s a ON a.r = x JOIN s b ON b.r = y WHERE 100 * shared >= 90 * (len(a.shingles) + len(b.shingles) - shared)
+), reach AS (
+  SELECT r AS x, r AS y FROM s
+  UNION
+  SELECT reach.x, z.y FROM reach JOIN (SELECT x, y FROM l UNION ALL SELECT y, x FROM l) z ON z.x = reach.y
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
+FROM s JOIN reach ON reach.x = s.r JOIN s t ON t.r = reach.y GROUP BY s.r, s.doc_id, len(s.shingles)
+"""

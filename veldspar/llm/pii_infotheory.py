@@ -244,3 +244,58 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def op8_pii_infotheory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_scope(spark, lambda: findings(table(spark, sf_dir, "documents")))
+
+
+def _sql_matches(name: str, source: str, pattern: str, columns: str, where: str = "TRUE") -> str:
+    """Two tables: all matches of a pattern in the texts (r, t) of a table, and these with their starts."""
+    return rf"""
+{name}_all AS (
+  SELECT r, {columns}, unnest(string_split_regex(t, '{pattern}')) AS gap, unnest(list_append(regexp_extract_all(t, '{pattern}'), NULL)) AS value, generate_subscripts(list_append(regexp_extract_all(t, '{pattern}'), NULL), 1) AS j
+  FROM {source} WHERE {where}
+), {name} AS (
+  SELECT *, CAST(sum(length(gap)) OVER way + coalesce(sum(length(value)) OVER (way ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+  FROM {name}_all WINDOW way AS (PARTITION BY r ORDER BY j) QUALIFY value IS NOT NULL
+)"""
+
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{_sql_matches("email", "d", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "0 AS i, 'email' AS kind", "contains(t, '@')")},
+{_sql_matches("ip", "d", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "1 AS i, 'ip' AS kind")},
+{_sql_matches("card", "d", r"[0-9](?:[\x20-]?[0-9])+", "2 AS i, 'card' AS kind")},
+{_sql_matches("phone", "d", r"\+[0-9][\x20().0-9-]+[0-9]", "3 AS i, 'phone' AS kind", "contains(t, '+')")},
+found AS (
+  SELECT r, i, kind, s, s + length(value) AS e, value, regexp_replace(value, '[^0-9]', '', 'g') AS digits
+  FROM (SELECT * FROM email UNION ALL SELECT * FROM ip UNION ALL SELECT * FROM card UNION ALL SELECT * FROM phone)
+), base AS (
+  SELECT * FROM found WHERE CASE i WHEN 0 THEN TRUE
+    WHEN 1 THEN len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND CAST(list_sum(list_transform(range(1, length(digits) + 1), lambda p:
+      CASE WHEN p % 2 = 1 THEN CAST(substr(reverse(digits), p, 1) AS INTEGER)
+           WHEN CAST(substr(reverse(digits), p, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(reverse(digits), p, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(reverse(digits), p, 1) AS INTEGER) END)) AS BIGINT) % 10 = 0
+    ELSE length(digits) BETWEEN 10 AND 15 END
+), spans AS (SELECT r, list(struct_pack(s := s, e := e)) AS held FROM base GROUP BY r),
+outside AS (
+  SELECT d.r, held IS NOT NULL AS near, CASE WHEN held IS NULL THEN t
+    ELSE array_to_string(list_transform(range(1, length(t) + 1), lambda p: CASE WHEN len(list_filter(held, lambda h: p > h.s AND p <= h.e)) > 0 THEN ' ' ELSE substr(t, p, 1) END), '') END AS t
+  FROM d LEFT JOIN spans USING (r)
+), terms AS (SELECT DISTINCT r, term FROM (SELECT r, lower(unnest(regexp_extract_all(t, '\p{{L}}{{3,}}'))) AS term FROM outside)),
+n_t AS (SELECT term, count(*) AS n_t FROM terms GROUP BY term),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
+held AS (SELECT DISTINCT r, i || ':' || CASE i WHEN 0 THEN lower(value) WHEN 1 THEN value ELSE digits END AS entity FROM base),
+n_e AS (SELECT entity, count(*) AS n_e FROM held GROUP BY entity),
+pairs AS (SELECT r, entity, term FROM held JOIN terms USING (r)),
+strong AS (
+  SELECT entity, term FROM (SELECT entity, term, count(*) AS n_et FROM pairs GROUP BY entity, term) JOIN n_t USING (term) JOIN n_e USING (entity) CROSS JOIN total
+  WHERE n_e < n AND 1 + ln((n_et + {PRIOR} * n_e / n) / (n_t + {PRIOR})) / ln(n / n_e) >= {GENERALISE}
+), chosen AS (SELECT DISTINCT r, term FROM pairs JOIN strong USING (entity, term)),
+near AS (SELECT r, t FROM outside WHERE near),
+{_sql_matches("seen", "near", r"\p{L}{3,}", "4 AS i, 'term' AS kind")},
+spanned AS (
+  SELECT r, i, kind, s, e FROM base UNION ALL SELECT seen.r, i, kind, s, s + length(value) FROM seen JOIN chosen ON chosen.r = seen.r AND chosen.term = lower(value)
+)
+SELECT doc_id, count(*) FILTER (i = 0) AS n_email, count(*) FILTER (i = 1) AS n_ip, count(*) FILTER (i = 2) AS n_card, count(*) FILTER (i = 3) AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, i) FILTER (i < 4), '')) AS base_sha256, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, i), '') AS spans,
+       count(*) FILTER (i < 4) AS n_base, count(*) FILTER (i = 4) AS n_term
+FROM d LEFT JOIN spanned USING (r) GROUP BY d.r, doc_id
+"""

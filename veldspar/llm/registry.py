@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_topk_maxscore": topk_maxscore.SQL}
+    return {"op1_chat_format": chat_format.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_pii_infotheory": pii_infotheory.SQL, "op9_topk_maxscore": topk_maxscore.SQL, "op10_jaccard_join": jaccard_join.SQL}
