@@ -9,8 +9,9 @@ from ..functions.scalar import strictly_above
 
 
 def score_stream(stream: DataFrame, thresholds: DataFrame, key: str, value: str) -> DataFrame:
-    """A stream of records with threshold and flagged; thresholds are a small static table (key, threshold)."""
-    return stream.join(F.broadcast(thresholds), key, "left").withColumn("flagged", strictly_above(F.col(value), F.col("threshold")))
+    """A stream of records with threshold and flagged; thresholds are a static table (key, threshold), which Spark broadcasts
+    if its size allows."""
+    return stream.join(thresholds, key, "left").withColumn("flagged", strictly_above(F.col(value), F.col("threshold")))
 
 
 def flag_rates(stream: DataFrame, time: str, key: str, value: str, thresholds: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
