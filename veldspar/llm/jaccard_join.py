@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textbytes as tb
-from .common import arrow, durable, in_scope, scope, small_side, table, text_or_empty
+from .common import arrow, durable, in_scope, small_side, table, text_or_empty
 from .components import components
 
 #: Nodes of a tile's block, where one of so many shingles counts as two, and bits of a signature.
@@ -122,9 +122,8 @@ def hubs_of(docs: DataFrame, k: int, percent: int, clashes: frozenset[int] = fro
     The order of shingles puts those of one node first, as they meet no other, then the others by how many nodes have
     them, then those above the limit. So what a prefix takes of shared shingles is what its unshared ones leave over.
     """
-    with scope(docs.sparkSession):
-        rows = durable(candidates_of(docs, k, percent, clashes))
-        heads = durable(_heads(rows), keep=True)
+    # shingled twice, as writing all rows down would cost more than that
+    heads = durable(_heads(candidates_of(docs, k, percent, clashes)))
     hub = heads.groupBy("shingle").agg(F.min("node").alias("hub"))
     return heads.join(hub, "shingle").where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("shared"))
 

@@ -18,7 +18,8 @@ formed, which changes no result.
 
 All of it is DataFrame functions. Patterns start only at the end of the last match or where a run of their first
 class begins, and repeat possessively, which matches the same strings in linear time and constant stack depth. Terms
-are counted over the corpus, summed within tasks first, and met by the terms of documents with entities.
+are counted over the corpus, summed within tasks first, and met by the terms of documents with entities. The documents
+are read three times, so they must be the same each time; only those with base spans are written.
 
 Defined results: null text is empty and has no spans; repeated rows count as documents each; a null doc_id takes part;
 an empty table gives an empty result; ``redact`` keeps extra columns, whatever their names and types.
@@ -155,15 +156,14 @@ def _most(n_e: Column, total: float) -> Column:
     return n_e * (1 + PRIOR / total) * F.pow(F.lit(total) / n_e, F.lit(1 - GENERALISE)) * (1 + 1e-9) - PRIOR
 
 
-def revealing_terms(all_rows: DataFrame) -> DataFrame:
-    """(p_row, term, disclosure) of the terms that reveal an entity of the row, at their highest disclosure."""
-    found = all_rows.where(F.size("p_base") > 0)
-    total = float(max(1, all_rows.count()))
+def revealing_terms(found: DataFrame, clean: DataFrame, total: float) -> DataFrame:
+    """(p_row, term, disclosure) of the terms that reveal an entity of the row, at their highest disclosure; of the rows with
+    base spans and of all others, ``total`` together."""
     held = durable(found.select("p_row", F.explode(F.array_distinct(F.transform("p_base", lambda s: _entity(s["kind"], s["value"])))).alias("entity")))
     sizes = durable(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < total))
     entities, widest = sizes.agg(F.count("*"), F.max("n_e")).first()
     held = held.join(small_side(sizes, entities, BROADCAST_TEXTS), "entity")
-    words = all_rows.select((F.size("p_base") > 0).alias("near"), F.explode(_terms()).alias("term"))
+    words = found.select(F.lit(True).alias("near"), F.explode(_terms()).alias("term")).union(clean.select(F.lit(False).alias("near"), F.explode(_terms()).alias("term")))
     seen = words.groupBy("term").agg(F.count("*").alias("n_t"), F.max("near").alias("near"))
     rare = durable(seen.where(F.col("near") & (F.col("n_t") <= _most(F.lit(widest or 1), total))).select("term", "n_t"))
     terms = found.select("p_row", F.explode(_terms()).alias("term")).join(small_side(rare, rare.count(), BROADCAST_TEXTS), "term")
@@ -185,15 +185,17 @@ def _occurrences() -> Column:
 def sanitised(docs: DataFrame) -> DataFrame:
     """p_doc (a row of ``docs``), p_row, p_text (never null), p_base (base spans) and p_terms (spans of revealing terms with
     their disclosure)."""
-    based = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("p_doc"), base_spans(text_or_empty()).alias("p_base"), F.monotonically_increasing_id().alias("p_row"))
+    row, none = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("p_doc"), F.array().cast(f"array<{SPAN}>")
+    base, text = base_spans(text_or_empty()), F.coalesce(F.col("p_doc.text"), F.lit("")).alias("p_text")
+    # texts without base spans are read again where they are needed, not written
+    clean = docs.where(F.size(base) == 0).select(row, none.alias("p_base"), F.lit(None).cast("long").alias("p_row")).withColumn("p_text", text)
     with scope(docs.sparkSession):
-        all_rows = durable(based, keep=True).withColumn("p_text", F.coalesce(F.col("p_doc.text"), F.lit("")))
-        found = all_rows.where(F.size("p_base") > 0)
-        strong = durable(revealing_terms(all_rows).groupBy("p_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("p_strong")), keep=True)
+        found = durable(docs.select(row, base.alias("p_base")).where(F.size("p_base") > 0).withColumn("p_row", F.monotonically_increasing_id()), keep=True).withColumn("p_text", text)
+        terms = revealing_terms(found, clean, float(max(1, docs.count())))
+        strong = durable(terms.groupBy("p_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("p_strong")), keep=True)
     none = F.array().cast(TERM_SPANS)
-    clean = all_rows.where(F.size("p_base") == 0).withColumn("p_terms", none)
     spans = F.when(F.col("p_strong").isNotNull(), _occurrences()).otherwise(none)
-    return clean.unionByName(found.join(strong, "p_row", "left").withColumn("p_terms", spans).drop("p_strong"))
+    return clean.withColumn("p_terms", none).unionByName(found.join(strong, "p_row", "left").withColumn("p_terms", spans).drop("p_strong"))
 
 
 def _listed(spans: Column) -> Column:
