@@ -53,6 +53,11 @@ def keyed(*keys) -> np.ndarray:
     return x
 
 
+def placed(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Keys of some rows' places, whose rows' keys are mixed already."""
+    return tb.mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """64-bit values as numbers in (0, 1)."""
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -107,16 +112,27 @@ class Vocabulary:
         size = np.array([len(p) for p in text])
         points = np.zeros((len(text), self.longest), dtype=np.int32)
         points[np.arange(self.longest) < size[:, None]] = np.frombuffer("".join(text).encode("utf-32-le"), dtype=np.int32)
-        name, self.begins = np.zeros(len(text), dtype=np.uint64), np.zeros(1 << TABLE_BITS, dtype=bool)
+        #: by the first bits of names: whether they may be of a piece, and of what a longer piece begins with
+        name, self.whole, self.begins = np.zeros(len(text), dtype=np.uint64), np.zeros(1 << TABLE_BITS, dtype=bool), np.zeros(1 << TABLE_BITS, dtype=bool)
         for i in range(self.longest):
             some = np.flatnonzero(size > i)
             name[some] = self._further(name[some], points[some, i])
-            self.begins[(name[some] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+            slot = (name[some] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+            self.whole[slot[size[some] == i + 1]] = True
+            self.begins[slot[size[some] > i + 1]] = True
         if len(np.unique(name)) < len(name):
             raise ValueError("two pieces share a name")
         order = np.argsort(name)
-        self.name, self.id, self.points = name[order], np.array(ids, dtype=np.int32)[order], points[order]
+        self.name, self.id = name[order], np.array(ids, dtype=np.int32)[order]
+        #: the pieces' code points, three in a number
+        self.threes = np.stack([packed(np.pad(points, ((0, 0), (0, 2))), i)[order] for i in range(0, self.longest, 3)], axis=1)
         self.log_p = log_p[self.id]
+        # single code points: their names, their pieces (-1 for none), and whether longer pieces begin with them
+        self.one_name = self._further(np.zeros(LITERAL + 1, dtype=np.uint64), np.arange(LITERAL + 1))
+        self.one_piece, self.one_begins = np.full(LITERAL + 1, -1, dtype=np.int32), np.zeros(LITERAL + 1, dtype=bool)
+        single = np.flatnonzero(size[order] == 1)
+        self.one_piece[points[order][single, 0]] = single
+        self.one_begins[points[size > 1, 0]] = True
         # the first piece of each run of names that begin alike, and the longest run
         slot, first, count = np.unique(self.name >> np.uint64(64 - TABLE_BITS), return_index=True, return_counts=True)
         self.slot, self.run = np.zeros(1 << TABLE_BITS, dtype=np.int32), int(count.max())
@@ -130,31 +146,34 @@ class Vocabulary:
     def lattice(self, points: np.ndarray, end: np.ndarray) -> "Edges":
         """All edges of words laid end to end; ``end`` is each node's word's end."""
         n = len(points)
-        found, count, at, name = [], np.zeros(n, dtype=np.int64), np.arange(n), np.zeros(n, dtype=np.uint64)
-        for size in range(1, self.longest + 1):
-            inside = at + size <= end[at]
+        threes = packed(np.append(points, [0, 0]))
+        where = self.one_piece[points]
+        node, bare = np.flatnonzero(where >= 0), np.flatnonzero(where < 0)
+        found = [(bare, 1, np.full(len(bare), -1, dtype=np.int32), self.byte_log_p * utf8_size(points[bare])), (node, 1, self.id[where[node]], self.log_p[where[node]])]
+        count = np.ones(n, dtype=np.int64)
+        at = np.flatnonzero(self.one_begins[points])
+        name = self.one_name[points[at]]
+        for size in range(2, self.longest + 1):
+            inside = np.flatnonzero(at + size <= end[at])
             at = at[inside]
             if not len(at):
                 break
             name = self._further(name[inside], points[at + size - 1])
-            # only what begins a piece goes on
             slot = (name >> np.uint64(64 - TABLE_BITS)).view(np.int64)
-            begun = np.flatnonzero(self.begins[slot])
-            at, name, where = at[begun], name[begun], self.slot[slot[begun]]
+            may = np.flatnonzero(self.whole[slot])
+            where, names = self.slot[slot[may]], name[may]
             for _ in range(1, self.run):
-                where = np.minimum(where + (self.name[where] < name), len(self.name) - 1)
-            hit = np.flatnonzero(self.name[where] == name)
-            for i in range(size):
-                hit = hit[self.points[where[hit], i] == points[at[hit] + i]]
-            node, where = at[hit], where[hit]
-            if size == 1:
-                bare = np.ones(n, dtype=bool)
-                bare[node] = False
-                bare = np.flatnonzero(bare)
-                found.append((bare, 1, np.full(len(bare), -1, dtype=np.int32), self.byte_log_p * utf8_size(points[bare])))
-                count[bare] += 1
+                where = np.minimum(where + (self.name[where] < names), len(self.name) - 1)
+            hit = np.flatnonzero(self.name[where] == names)
+            node, where = at[may[hit]], where[hit]
+            for i in range(0, size, 3):
+                same = np.flatnonzero(self.threes[where, i // 3] == threes[node + i] & _LOW_THREE[min(3, size - i)])
+                node, where = node[same], where[same]
             found.append((node, size, self.id[where], self.log_p[where]))
             count[node] += 1
+            # only what a longer piece begins with goes on
+            more = np.flatnonzero(self.begins[slot])
+            at, name = at[more], name[more]
         first = np.concatenate(([0], np.cumsum(count)))
         e = Edges(first, np.repeat(np.arange(n), count), np.empty(first[-1], np.int64), np.empty(first[-1], np.int32), np.empty(first[-1]))
         place = first[:-1].copy()
@@ -181,6 +200,15 @@ class Vocabulary:
         return np.delete(out, offsets[:-1][lead]), offsets - np.concatenate(([0], np.cumsum(lead)))
 
 
+_LOW_THREE = np.array([0, (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1], dtype=np.int64)
+
+
+def packed(points: np.ndarray, at: int | None = None) -> np.ndarray:
+    """Three code points that follow each other in a number: of an array from each place on, of a matrix from column ``at``."""
+    a, b, c = (points[:-2], points[1:-1], points[2:]) if at is None else (points[:, at], points[:, at + 1], points[:, at + 2])
+    return a.astype(np.int64) | b.astype(np.int64) << 21 | c.astype(np.int64) << 42
+
+
 def utf8_size(point: np.ndarray) -> np.ndarray:
     """Bytes of code points; of LITERAL those of the mark."""
     return np.where(point == LITERAL, 3, 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF))
@@ -222,8 +250,9 @@ class Lattices:
         self._name, self._other, self._times, self._base = Rows(np.uint64), Rows(np.uint64), Rows(np.int32), Rows(np.int64, 0)
         #: by node: code point, its word's end, and its first edge (one more tells the end)
         self._points, self._end, self._first_edge = Rows(np.int32), Rows(np.int64), Rows(np.int64, 0)
-        #: by edge: id, code points, log probability, and where its share of its node's unit begins
-        self._ids, self._size, self._log_q, self._before = Rows(np.int32), Rows(np.int16), Rows(float), Rows(float)
+        #: by edge: id, the node that it leads to (-1 for the word's end), log probability, and where its share of its node's
+        #: unit begins
+        self._ids, self._ahead, self._log_q, self._before = Rows(np.int32), Rows(np.int32), Rows(float), Rows(float)
 
     def __getattr__(self, name: str) -> np.ndarray:
         """What a column holds."""
@@ -272,9 +301,12 @@ class Lattices:
         edge, first_edge = spread(self.first_edge, node)
         moved = np.repeat(base[:-1] - self.base[word], np.diff(base))
         self._end.set(self.end[node] + moved)
-        self._before.set(self.before[edge] + np.repeat(moved, np.diff(first_edge)))
+        by_edge = np.repeat(moved, np.diff(first_edge))
+        self._before.set(self.before[edge] + by_edge)
+        ahead = self.ahead[edge]
+        self._ahead.set(np.where(ahead < 0, ahead, ahead + by_edge))
         self._times.set(self.times[word] // 2)
-        for column, at in ((self._points, node), (self._ids, edge), (self._size, edge), (self._log_q, edge), (self._name, word), (self._other, word)):
+        for column, at in ((self._points, node), (self._ids, edge), (self._log_q, edge), (self._name, word), (self._other, word)):
             column.set(column.now[at])
         self._base.set(base)
         self._first_edge.set(first_edge)
@@ -314,7 +346,7 @@ class Lattices:
         before = np.concatenate(([0.0], (e.node + np.minimum(inside, 1.0))[:-1]))
         before[starts] = np.arange(n)
         for column, values in (
-            (self._base, base[1:] + nodes), (self._points, points), (self._end, own_end + nodes), (self._first_edge, e.first[1:] + edges), (self._ids, e.id), (self._size, e.size),
+            (self._base, base[1:] + nodes), (self._points, points), (self._end, own_end + nodes), (self._first_edge, e.first[1:] + edges), (self._ids, e.id), (self._ahead, np.where(ahead < n, ahead + nodes, -1)),
             (self._log_q, log_q), (self._before, before + nodes),
         ):
             column.extend(values)
@@ -335,11 +367,12 @@ class Lattices:
         q[chosen] = 0
         return edge[chosen], np.add.reduceat(q, lead)
 
-    def forward(self, node: np.ndarray, *keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sample from each node to its word's end: (walk, node, edge) of all steps, in order of walks."""
+    def forward(self, node: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sample from each node to its word's end: (walk, node, edge) of all steps, in order of walks. Draws depend on a
+        walk's key and place."""
         live = np.flatnonzero(node >= 0)
         steps: list[tuple] = []
-        now, key = node[live], keyed(*keys)[live]
+        now, key = node[live], placed(key[live], place[live])
         count = np.zeros(len(node), dtype=np.int64)
         while len(live):
             # from the longest edge, which is mostly the likeliest, back to the one that holds the draw
@@ -350,9 +383,9 @@ class Lattices:
                 back = back[self.before[edge[back]] > drawn[back]]
             steps.append((live, now, edge))
             count[live] += 1
-            after = now + self.size[edge]
-            on = np.flatnonzero(after < self.end[now])
-            live, now, key = live[on], after[on], key[on]
+            after = self.ahead[edge]
+            on = np.flatnonzero(after >= 0)
+            live, now, key = live[on], after[on].astype(np.int64), key[on]
         at = np.cumsum(count) - count
         nodes, edges = np.empty((2, int(count.sum())), dtype=np.int64)
         for i, (w, x, e) in enumerate(steps):
@@ -371,28 +404,31 @@ class Paths:
     def __init__(self, lattices: Lattices, keys: np.ndarray, number: int, row: np.ndarray, first: np.ndarray, node: np.ndarray, edge: np.ndarray, word: np.ndarray, value: np.ndarray, at: np.ndarray, without: list[list[int]], left: np.ndarray | None = None):
         """``left``: the total probability of what each path may be parted by at its node at[p]."""
         self.row, self.first, self.node, self.edge, self.word, self.at, self.without = row, first, node, edge, word, at, without
-        upto = np.concatenate(([0.0], np.cumsum(lattices.log_q[edge])))
+        each = lattices.log_q[edge]
+        upto = np.concatenate(([0.0], np.cumsum(each)))
         self.log_prob = upto[first[1:]] - upto[first[:-1]]
-        path = np.repeat(np.arange(len(row)), np.diff(first))
-        place = np.arange(len(node)) - first[path]
-        open_ = np.flatnonzero(place >= at[path]) if number else np.arange(len(node))
+        # the nodes that may be parted from, path by path
+        size = first[1:] - first[:-1] - at
+        lead = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(row)), size)
+        node_at = (first[:-1] + at - lead)[of] + np.arange(len(of))
         # log of the total probability of a node's other edges; an only edge has a log probability of 0
         with np.errstate(divide="ignore"):
-            rest = np.log(np.maximum(-np.expm1(lattices.log_q[edge[open_]]), 0.0))
+            rest = np.log(np.maximum(-np.expm1(each[node_at]), 0.0))
             if left is not None:
-                rest[place[open_] == at[path[open_]]] = np.log(left)
-        of = path[open_]
+                rest[lead] = np.log(left)
+        draw = unit(placed(keyed(keys[row], 2, number)[of], node_at - first[of]))
+        values = below(value[of], upto[node_at] - upto[first[:-1]][of] + rest, draw)
         self.sets = np.full(len(node), -np.inf)
-        self.sets[open_] = below(value[of], upto[open_] - upto[first[:-1]][of] + rest, uniform(keys[row][of], 2, number, place[open_]))
+        self.sets[node_at] = values
         self.top, self.top_at = np.full(len(row), -np.inf), first[:-1].copy()
-        if len(node):
-            full = np.diff(first) > 0
-            self.top[full] = np.maximum.reduceat(self.sets, first[:-1][full])
-            hit = np.flatnonzero(self.sets == self.top[path])
-            of = path[hit]
-            lead = np.ones(len(hit), dtype=bool)
-            lead[1:] = of[1:] != of[:-1]
-            self.top_at[of[lead]] = hit[lead]
+        if len(values):
+            some = size > 0
+            self.top[some] = np.maximum.reduceat(values, lead[some])
+            hit = np.flatnonzero(values == self.top[of])
+            begins = np.ones(len(hit), dtype=bool)
+            begins[1:] = of[hit[1:]] != of[hit[:-1]]
+            self.top_at[of[hit[begins]]] = node_at[hit[begins]]
 
     def take(self, p: int) -> int:
         """The place of the best open set of a path, which is closed."""
@@ -418,7 +454,7 @@ def samples(lattices: Lattices, data: np.ndarray, offsets: np.ndarray, keys: np.
     first, rows = np.searchsorted(begin, offsets), np.arange(len(keys))
     word_row = np.repeat(rows, np.diff(first))
     word_at = np.arange(len(word_row)) - first[word_row]
-    walk, node, edge = lattices.forward(lattices.base[word], keys[word_row], 1, 0, word_at)
+    walk, node, edge = lattices.forward(lattices.base[word], keyed(keys, 1, 0)[word_row], word_at)
     value = -np.log(-np.log(uniform(keys, 0)))
     found = [Paths(lattices, keys, 0, rows, np.searchsorted(walk, first), node, edge, word_at[walk], value, np.zeros(len(rows), np.int64), [[]] * len(rows))]
     path_of = [rows]
@@ -439,8 +475,7 @@ def samples(lattices: Lattices, data: np.ndarray, offsets: np.ndarray, keys: np.
             heads.append((f.node[a : i + 1], f.edge[a : i + 1], f.word[a : i + 1]))
         node, here, at = np.array(where).T
         choice, left = lattices.parted(node, without, uniform(keys[parted], 3, number))
-        after = node + lattices.size[choice]
-        after = np.where(after < lattices.end[node], after, -1)
+        after = lattices.ahead[choice]
         size = np.diff(first)[parted] - here
         ends = np.cumsum(size)
         lead = np.repeat(ends - size, size)
@@ -448,7 +483,7 @@ def samples(lattices: Lattices, data: np.ndarray, offsets: np.ndarray, keys: np.
         walk_at = np.repeat(here, size) + np.arange(len(lead)) - lead
         begin = lattices.base[word[first[walk_row] + walk_at]]
         begin[ends - size] = after
-        walk, node, edge = lattices.forward(begin, keys[walk_row], 1, number, walk_at)
+        walk, node, edge = lattices.forward(begin, keyed(keys, 1, number)[walk_row], walk_at)
         cut = np.concatenate(([0], np.searchsorted(walk, ends))).tolist()
         of_word = walk_at[walk]
         parts = [[x for j, h in enumerate(heads) for x in (h[c], tail[cut[j] : cut[j + 1]])] for c, tail in enumerate((node, edge, of_word))]
