@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, jaccard_join, lm_bloom, packing, pii_infotheory, quality_cotrain, sp_sampling, topk_maxscore, toxicity
+from . import chat_format, exact_dedup, hard_negatives, jaccard_join, lm_bloom, packing, pii_infotheory, prefix_trie, quality_cotrain, sp_sampling, topk_maxscore, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_pii_infotheory": pii_infotheory.op8_pii_infotheory,
         "op9_topk_maxscore": topk_maxscore.op9_topk_maxscore,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.SQL, "op6_exact_dedup": exact_dedup.SQL, "op8_pii_infotheory": pii_infotheory.SQL, "op9_topk_maxscore": topk_maxscore.SQL, "op10_jaccard_join": jaccard_join.SQL}
+    return {
+        "op1_chat_format": chat_format.SQL,
+        "op6_exact_dedup": exact_dedup.SQL,
+        "op8_pii_infotheory": pii_infotheory.SQL,
+        "op9_topk_maxscore": topk_maxscore.SQL,
+        "op10_jaccard_join": jaccard_join.SQL,
+        "op12_prefix_trie": prefix_trie.SQL,
+        "op13_hard_negatives": hard_negatives.SQL,
+    }
