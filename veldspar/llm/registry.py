@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, hard_negatives, jaccard_join, lm_bloom, packing, pii_infotheory, prefix_trie, quality_cotrain, sp_sampling, topk_maxscore, toxicity
+from . import chat_format, exact_dedup, hard_negatives, jaccard_join, language_crf, lm_bloom, packing, pii_infotheory, prefix_trie, quality_cotrain, sp_sampling, topk_maxscore, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_pii_infotheory": pii_infotheory.op8_pii_infotheory,
         "op9_topk_maxscore": topk_maxscore.op9_topk_maxscore,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_language_crf": language_crf.op11_language_crf,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
