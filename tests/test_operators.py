@@ -20,16 +20,34 @@ def test_nearest_breaks_ties_by_the_smaller_id_and_counts_them(spark):
 
 
 def test_nearest_agrees_with_numpy_over_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(knn, "BANK_BLOCK", 13)
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 0)
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, 3, (20, 4)), rng.integers(0, 3, (50, 4))
+    y[10:40] = y[3]  # more copies than a block keeps
     d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
-    got = knn.nearest(vectors(spark, x), vectors(spark, y).repartition(3), 4).collect()
+    index = knn.indexed(vectors(spark, y).repartition(3), 4, block=7, cell_rows=10)
+    assert len(index.pivots) > 2 and index.blocks.count() > 3
+    got = knn.nearest(vectors(spark, x), index, 4).collect()
     assert len(got) == 80
     for r in got:
         order = np.lexsort((np.arange(50), d[r["query_id"]]))
         assert r["bank_id"] == order[r["rank"] - 1] and r["ties"] == (d[r["query_id"]] == d[r["query_id"]].min()).sum()
+    with pytest.raises(ValueError, match="for 4 neighbours"):
+        knn.nearest(vectors(spark, x), index, 5)
+
+
+def test_nearest_meets_few_blocks_of_a_bank_in_clusters(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 6)) * 10
+    bank, asked = (centres[rng.integers(0, 30, n)] + rng.normal(size=(n, 6)) * 0.2 for n in (3000, 400))
+    index = knn.indexed(vectors(spark, bank), 3, block=64, cell_rows=60)
+    asked_blocks, pairs = knn.pairs_met(vectors(spark, asked), index, 3)
+    assert pairs.count() < 0.4 * asked_blocks.count() * index.blocks.count()
+    plan = knn.nearest(vectors(spark, asked), index, 3)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+    d = np.sqrt(((np.float32(asked).astype(float)[:, None] - np.float32(bank).astype(float)[None]) ** 2).sum(axis=2))
+    for r in knn.nearest(vectors(spark, asked), index, 3).collect():
+        assert r["bank_id"] == np.lexsort((np.arange(3000), d[r["query_id"]]))[r["rank"] - 1]
 
 
 def test_nearest_leaves_out_vectors_that_are_not_finite(spark):

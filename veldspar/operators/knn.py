@@ -1,8 +1,10 @@
 """Nearest-neighbour joins, projection, greedy coresets and coverage.
 
-Queries and bank go in blocks of bounded size, met through a join on the block's number. In a pair of blocks one matrix
-product tells which rows may be among the k nearest; their distances are taken from differences in doubles, and each pair
-of blocks hands on k rows a query at most.
+The bank of a join is dealt to cells around pivots and cut into blocks by distance from the pivot, so a block is a shell
+[r_min, r_max] about its pivot. Queries go in blocks too, each query with a bound on its k-th distance, from a sample of
+the bank. By the triangle inequality no row of a shell is nearer to q than its distance from the pivot's shell, so a block
+of queries meets the shells that may hold one of its k nearest rows, and no others; within a pair of blocks one matrix
+product tells which rows may be among the k, and their distances are taken from differences in doubles.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,30 +28,23 @@ from .raster import per_image, resized
 
 #: Farthest rows that a pass of the coreset brings to the driver, and centres that it measures at once.
 POOL, CENTRES = 2048, 256
-QUERY_BLOCK, BANK_BLOCK = 256, 2048
+QUERY_BLOCK, TOGETHER, BANK_BLOCK = 256, 8, 2048
+#: Most pivots, the rows of a cell that they aim at, and most rows and bytes of the sample that bounds k-th distances.
+CELLS, CELL_ROWS, PROBES, PROBE_BYTES = 1024, 1024, 8192, 16_000_000
 #: Pairs of rows measured at once.
 PAIRS = 1 << 16
-#: Bank blocks are broadcast up to this number (64 times 2,048 vectors of 64 doubles are 64 MB).
-BROADCAST_BLOCKS = 64
+#: Bytes of packed blocks that are broadcast; more are shuffled.
+BROADCAST_BYTES = 64_000_000
 
 
-def _packed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, most):
-            part = batch.slice(a, most)
-            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([part.column(1).flatten().to_numpy().tobytes()], pa.binary())], ["ids", "values"])
-
-
-def blocks_of(df: DataFrame, id_col: str, vector: str, most: int, prefix: str) -> DataFrame:
-    """(ids, values): packed blocks of rows whose vector is there and finite."""
+def _whole(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, v): rows whose id and vector are there, and whose vector is finite."""
     fine = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    picked = df.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>"))
-    return picked.mapInArrow(lambda b: _packed(b, most), "ids binary, values binary").select(F.col("ids").alias(f"{prefix}_ids"), F.col("values").alias(f"{prefix}_values"))
+    return df.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
-def _matrix(ids: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, dtype=np.int64)
-    return ids, np.frombuffer(values, dtype=np.float64).reshape(len(ids), -1)
+def _vectors(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
 def distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -76,36 +72,196 @@ def least_distances(a: np.ndarray, b: np.ndarray, below: np.ndarray) -> np.ndarr
     return out
 
 
-def k_nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, distance) of the k nearest rows of b, and all that are as near, by row, distance, row of b."""
+def k_nearest(a: np.ndarray, b: np.ndarray, k: int, below: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the k nearest rows of b, and all that are as near, by row, distance, row of b; of
+    those at most as far as ``below`` says, and rounding."""
     found, off = squares(a, b)
     most = np.partition(found + off, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+    if below is not None:
+        most = np.minimum(most, below**2 * (1 + 1e-12) + off.max(axis=1))
     i, j = np.nonzero(found - off <= most[:, None])
     d = distances(a, b, i, j)
     order = np.lexsort((j, d, i))
     return i[order], j[order], d[order]
 
 
-def nearest(queries: DataFrame, bank: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """A bank in cells: ``blocks`` (block, cell, r_min, r_max, rows, ids, values, times) are shells of cells around
+    ``pivots``; ``probes`` are a sample of its vectors. A vector that a block holds more than k times is there with its k
+    smallest ids; times say how many rows each stands for."""
+
+    pivots: np.ndarray
+    probes: np.ndarray
+    blocks: DataFrame
+    rows: int
+    k: int
+
+    @property
+    def bytes(self) -> int:
+        return self.rows * (8 * self.pivots.shape[1] + 16)
+
+
+def indexed(bank: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = BANK_BLOCK, cell_rows: int = CELL_ROWS) -> Index | None:
+    """An index for searches of up to k neighbours; None of an empty bank. Rows are dealt by ranges of (cell, distance from
+    the pivot, id), so a cell that holds any share of the bank is spread over tasks."""
+    whole = _whole(bank, id_col, vector)
+    n = whole.count()
+    if not n:
+        return None
+    dims = whole.select(F.size("v").alias("d")).first()["d"]
+    sample = whole.orderBy(F.xxhash64("id"), "id").limit(min(PROBES, PROBE_BYTES // (8 * max(1, dims)), max(k, n // 16))).select("v").toArrow()["v"].combine_chunks()
+    probes = _vectors(sample, len(sample))
+    pivots = np.unique(probes[: max(1, min(CELLS, n // cell_rows))], axis=0)
+    held = bank.sparkSession.sparkContext.broadcast(pivots)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _vectors(batch.column(1), batch.num_rows)
+            cell = squares(x, held.value)[0].argmin(axis=1) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(distances(x, held.value, np.arange(len(x)), cell)), *batch.columns], ["cell", "r", "id", "v"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in order of cell and distance, blocks of one cell each."""
+        number, now = TaskContext.get().partitionId() << 40, None
+        for cell, r, ids, x in _runs(batches, block):
+            if now is not None and (now[0] != cell or len(now[2]) >= block):
+                yield _block(number, *now)
+                number, now = number + 1, None
+            now = (cell, r, ids, x, np.ones(len(ids), np.int64)) if now is None else (cell, *(np.concatenate(p) for p in zip(now[1:], (r, ids, x, np.ones(len(ids), np.int64)))))
+            now = (cell, *_collapsed(*now[1:], k))
+        if now is not None:
+            yield _block(number, *now)
+
+    rows = whole.mapInArrow(dealt, "cell int, r double, id long, v array<double>").repartitionByRange("cell", "r", "id").sortWithinPartitions("cell", "r", "id")
+    blocks = stored(rows.mapInArrow(packed, "block long, cell int, r_min double, r_max double, rows long, ids binary, values binary, times binary"))
+    return Index(pivots, probes, blocks, n, k)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
+    """(cell, distances, ids, vectors) of runs of one cell, of so many rows at most."""
+    for batch in batches:
+        cell, r, ids = (batch.column(i).to_numpy() for i in range(3))
+        x = _vectors(batch.column(3), batch.num_rows)
+        cuts = np.flatnonzero(np.diff(cell)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)]):
+            for c in range(a, b, most):
+                some = slice(c, min(b, c + most))
+                yield int(cell[c]), r[some], ids[some], x[some]
+
+
+def _collapsed(r: np.ndarray, ids: np.ndarray, x: np.ndarray, times: np.ndarray, k: int) -> tuple:
+    """Rows with at most k of each vector, those of the smallest ids; the first one's times count for those left out."""
+    if len(np.unique(r)) == len(r):  # equal vectors are as far from the pivot
+        return r, ids, x, times
+    _, of = np.unique(x, axis=0, return_inverse=True)
+    order = np.lexsort((ids, of.ravel()))
+    first = np.searchsorted(of.ravel()[order], np.arange(of.max() + 1))
+    place = np.arange(len(order)) - first[of.ravel()[order]]
+    kept = order[place < k]
+    out = times.copy()
+    lost = np.bincount(of.ravel()[order[place >= k]], weights=times[order[place >= k]], minlength=len(first)).astype(np.int64)
+    out[order[first]] += lost
+    kept = kept[np.lexsort((ids[kept], r[kept]))]
+    return r[kept], ids[kept], x[kept], out[kept]
+
+
+def _block(number: int, cell: int, r: np.ndarray, ids: np.ndarray, x: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    fields = ([number], pa.int64()), ([cell], pa.int32()), ([r.min()], pa.float64()), ([r.max()], pa.float64()), ([len(ids)], pa.int64())
+    raw = [pa.array([v.tobytes()], pa.binary()) for v in (ids, x, times)]
+    return pa.RecordBatch.from_arrays([*[pa.array(v, t) for v, t in fields], *raw], ["block", "cell", "r_min", "r_max", "rows", "ids", "values", "times"])
+
+
+def _asked(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """(q_block, q_ids, q_values, q_below, cell, low, high): blocks of queries near each other, with the bounds on their k-th
+    distances, and the cells that may hold something: the shells there that reach into [low, high]."""
+    extents = {r["cell"]: (r["low"], r["high"]) for r in index.blocks.groupBy("cell").agg(F.min("r_min").alias("low"), F.max("r_max").alias("high")).collect()}  # CELLS rows
+    held = queries.sparkSession.sparkContext.broadcast((index.pivots, index.probes, extents))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _vectors(batch.column(1), batch.num_rows)
+            home = np.zeros(len(x), np.int32)
+            far = np.zeros(len(x))
+            if len(x):
+                found, _ = squares(x, held.value[0])
+                home = found.argmin(axis=1).astype(np.int32)
+                far = np.sqrt(np.maximum(0, found.min(axis=1)))
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(far), *batch.columns], ["home", "far", "id", "v"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        pivots, probes, cells = held.value
+        for batch in batches:
+            for part in _near_each_other(batch):
+                x = _vectors(part.column(3), part.num_rows)
+                below = np.full(len(x), np.inf)
+                if len(probes) >= k:
+                    found, off = squares(x, probes)
+                    below = np.sqrt(np.partition(found + off, k - 1, axis=1)[:, k - 1])
+                found, off = squares(x, pivots)
+                low, high = np.sqrt(np.maximum(0, found - off)) - below[:, None], np.sqrt(found + off) + below[:, None]
+                wide = 1e-9 * (1 + np.abs(high).max(axis=0, initial=0, where=np.isfinite(high)))
+                low, high = low.min(axis=0) - wide, high.max(axis=0) + wide
+                met = [c for c, (r_min, r_max) in cells.items() if r_max >= low[c] and r_min <= high[c]]
+                raw = [pa.array([v.tobytes()], pa.binary()) for v in (part.column(2).to_numpy(), x, below)]
+                lists = [pa.array([v], pa.list_(t)) for v, t in ((met, pa.int32()), (low[met], pa.float64()), (high[met], pa.float64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *raw, *lists], ["q_block", "q_ids", "q_values", "q_below", "cell", "low", "high"])
+                number += 1
+
+    rows = _whole(queries, "id", "v").mapInArrow(dealt, "home int, far double, id long, v array<double>").repartitionByRange("home", "far", "id").sortWithinPartitions("home", "far", "id")
+    return rows.mapInArrow(packed, "q_block long, q_ids binary, q_values binary, q_below binary, cell array<int>, low array<double>, high array<double>")
+
+
+def _near_each_other(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Cuts of a batch in order of home cells, where a few rows are together and the home changes, or at QUERY_BLOCK rows."""
+    home, a = batch.column(0).to_numpy(), 0
+    for b in [*(np.flatnonzero(np.diff(home)) + 1).tolist(), len(home)]:
+        while b - a >= QUERY_BLOCK or b - a >= TOGETHER or (b == len(home) and b > a):
+            yield batch.slice(a, min(b - a, QUERY_BLOCK))
+            a += min(b - a, QUERY_BLOCK)
+
+
+def pairs_met(queries: DataFrame, index: Index, k: int, id_col: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """The blocks of queries (q_block, q_ids, q_values, q_below), and which blocks of the index each of them meets (q_block,
+    block)."""
+    asked = stored(_asked(queries.select(F.col(id_col).alias("id"), F.col(vector).alias("v")), index, k))
+    shells = index.blocks.select("block", F.col("cell").alias("_cell"), "r_min", "r_max")
+    reach = asked.select("q_block", F.explode(F.arrays_zip("cell", "low", "high")).alias("m")).select("q_block", "m.*")
+    pairs = reach.join(shells, (F.col("cell") == F.col("_cell")) & (F.col("r_max") >= F.col("low")) & (F.col("r_min") <= F.col("high")))
+    return asked.select("q_block", "q_ids", "q_values", "q_below"), pairs.select("q_block", "block")
+
+
+def nearest(queries: DataFrame, bank: DataFrame | Index, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, bank_id, distance, ties): the k nearest bank rows of each query, ties to the smaller id; ties
-    counts the bank rows at the least distance."""
-    found = stored(blocks_of(bank, id_col, vector, BANK_BLOCK, "b").withColumn("at", F.monotonically_increasing_id()))
-    n = found.count()
-    numbered = found.withColumn("block", F.row_number().over(Window.orderBy("at"))).drop("at")
-    asked = blocks_of(queries, id_col, vector, QUERY_BLOCK, "q").withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")))
-    met = asked.join(F.broadcast(numbered) if n <= BROADCAST_BLOCKS else numbered, "block").drop("block")
-    met = met.repartition(F.xxhash64("q_ids", "b_ids"))
+    counts the bank rows at the least distance. A bank that is searched more than once may be given as its index."""
+    spark = queries.sparkSession
+    index = bank if isinstance(bank, Index) else indexed(bank, k, id_col, vector)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, bank_id long, distance double, ties long")
+    if k > index.k:
+        raise ValueError(f"the index is for {index.k} neighbours")
+    asked, pairs = pairs_met(queries, index, k, id_col, vector)
+    dims = index.pivots.shape[1]
+    blocks = index.blocks.select("block", "ids", "values", "times")
+    # pairs are dealt out by numbers alone, before they meet vectors
+    met = pairs.repartition(F.xxhash64("q_block", "block")).join(F.broadcast(blocks) if index.bytes <= BROADCAST_BYTES else blocks, "block").join(asked, "q_block")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                (q, x), (b, y) = _matrix(r["q_ids"], r["q_values"]), _matrix(r["b_ids"], r["b_values"])
+            for row in zip(*(batch.column(i) for i in range(6))):
+                raw = [np.frombuffer(v.as_buffer(), dtype=t) for v, t in zip(row, (np.int64, float, np.int64, np.int64, float, float))]
+                b, y, times, q, x, below = raw
                 order = np.argsort(b, kind="stable")
-                b = b[order]
-                i, j, d = k_nearest(x, y[order], k)
+                b, times, y = b[order], times[order], y.reshape(len(b), dims)[order]
+                i, j, d = k_nearest(x.reshape(len(q), dims), y, k, below)
+                if not len(i):
+                    continue
                 begin = np.searchsorted(i, np.arange(len(q)))
-                least = d[begin]
-                same = np.bincount(i, weights=d == least[i], minlength=len(q)).astype(np.int64)
+                least = np.full(len(q), np.inf)
+                has = np.searchsorted(i, np.arange(len(q)), side="right") > begin
+                least[has] = d[begin[has]]
+                same = np.bincount(i, weights=(d == least[i]) * times[j], minlength=len(q)).astype(np.int64)
                 place = np.arange(len(i)) - begin[i]
                 near = np.flatnonzero(place < k)
                 of = i[near]
@@ -113,7 +269,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int, id_col: str = "vec_id",
                     [pa.array(q[of]), pa.array(b[j[near]]), pa.array(d[near]), pa.array(place[near] == 0), pa.array(least[of]), pa.array(same[of])], ["query_id", "bank_id", "distance", "first", "least", "same"]
                 )
 
-    rows = met.mapInArrow(measured, "query_id long, bank_id long, distance double, first boolean, least double, same long")
+    rows = met.select("ids", "values", "times", "q_ids", "q_values", "q_below").mapInArrow(measured, "query_id long, bank_id long, distance double, first boolean, least double, same long")
     own = Window.partitionBy("query_id")
     ranked = rows.withColumn("_least", F.min("least").over(own)).withColumn("rank", F.row_number().over(own.orderBy("distance", "bank_id")))
     tied = F.sum(F.when(F.col("first") & (F.col("least") == F.col("_least")), F.col("same"))).over(own)
