@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veldspar.operators import governance, knn, manifests, metrics, order, raster, selection, strata
+from veldspar.operators import boards, components, governance, knn, manifests, metrics, order, raster, selection, strata
 from veldspar.sources import files
 
 
@@ -301,39 +301,74 @@ def scene(above=True):
     return rgb
 
 
-def test_boards_are_found_by_colour():
-    found = raster.board(scene())
-    assert found["box"] == (50, 60, 200, 110) and found["failure"] is None and abs(found["share"] - 150 * 50 / (160 * 256)) < 0.01
-    assert (found["left"], found["top"], found["right"], found["bottom"]) == (38, 37, 212, 133)
-    assert raster.board(np.full((20, 30, 3), 0.5))["failure"] == "no component" and raster.board(np.full((20, 30, 3), 0.5))["right"] == 30
+def images(spark, **named):
+    return spark.createDataFrame([(k, x.shape[0], x.shape[1], x.ravel().tolist()) for k, x in named.items()], "image string, height int, width int, rgb array<double>")
+
+
+def test_boards_are_found_by_colour(spark):
     tiny = np.full((100, 100, 3), 0.2)
     tiny[:5, :5] = (0.1, 0.4, 0.7)
-    assert raster.board(tiny)["failure"] == "share out of bounds"
     wide = np.repeat(np.repeat(scene(), 4, axis=0), 4, axis=1)  # looked at on a copy of half the width
-    assert max(abs(a - 4 * b) for a, b in zip(raster.board(wide)["box"], (50, 60, 200, 110))) <= 4
+    found = {r["image"]: r for r in boards.boards(images(spark, usual=scene(), grey=np.full((20, 30, 3), 0.5), tiny=tiny, wide=wide)).collect()}
+    box = lambda r: (r["x0"], r["y0"], r["x1"], r["y1"])
+    crop = lambda r: (r["left"], r["top"], r["right"], r["bottom"])
+    usual = found["usual"]
+    assert box(usual) == (50, 60, 200, 110) and usual["failure"] is None and abs(usual["share"] - 150 * 50 / (160 * 256)) < 0.01 and crop(usual) == (38, 37, 212, 133)
+    assert found["grey"]["failure"] == "no component" and crop(found["grey"]) == (0, 0, 30, 20) and box(found["grey"]) == (None,) * 4
+    assert found["tiny"]["failure"] == "share out of bounds" and crop(found["tiny"]) == (0, 0, 100, 100)
+    assert max(abs(a - 4 * b) for a, b in zip(box(found["wide"]), (50, 60, 200, 110))) <= 4
 
 
-def test_pose_follows_the_pins():
-    for above in (True, False):
-        rgb = scene(above)
-        box = raster.board(rgb)["box"]
-        got = raster.pose(rgb, box, 256)
-        assert got["pose"] == ("canonical" if above else "reversed_180") and got["top_pins" if above else "bottom_pins"] == 3
-        turned = raster.pose(rgb[::-1, ::-1], (256 - box[2], 160 - box[3], 256 - box[0], 160 - box[1]), 256)
-        assert turned["pose"] == ("reversed_180" if above else "canonical")
+def test_pose_follows_the_pins(spark):
     both = np.maximum(scene(True), scene(False))
-    assert raster.pose(both, (50, 60, 200, 110), 256)["reason"] == "ambiguous"
-    assert raster.pose(both, None)["reason"] == "no board" and raster.pose(both, (50, 60, 100, 110), 256)["reason"] == "not lying"
+    seen = images(spark, above=scene(True), below=scene(False), turned=np.ascontiguousarray(scene(True)[::-1, ::-1]), both=both, none=both, upright=both)
+    at = {"above": (50, 60, 200, 110), "below": (50, 60, 200, 110), "turned": (56, 50, 206, 100), "both": (50, 60, 200, 110), "none": (None,) * 4, "upright": (50, 60, 100, 110)}
+    given = spark.createDataFrame([(k, *v) for k, v in at.items()], "image string, x0 int, y0 int, x1 int, y1 int")
+    got = {r["image"]: r for r in boards.poses(seen, given, 256).collect()}
+    assert {k: r["pose"] for k, r in got.items()} == {"above": "canonical", "below": "reversed_180", "turned": "reversed_180", "both": "uncertain", "none": "uncertain", "upright": "uncertain"}
+    assert (got["above"]["pins_above"], got["above"]["pins_below"], got["turned"]["pins_below"]) == (3, 0, 3) and got["above"]["dominance"] == 90.0
+    assert [got[k]["reason"] for k in ("above", "both", "none", "upright")] == ["", "ambiguous", "no board", "not lying"]
     x = raster.tensor(np.full((2, 2, 3), 0.485))
     assert x.shape == (3, 2, 2) and abs(x[0]).max() < 1e-12 and abs(x[1, 0, 0] - (0.485 - 0.456) / 0.224) < 1e-12
 
 
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_components_of_tiles_are_those_of_the_whole_raster(spark, diagonal):
+    rng = np.random.default_rng(12)
+    masks = {"thin": rng.random((40, 70)) < 0.55, "spiral": np.zeros((41, 41), bool), "empty": np.zeros((9, 9), bool)}
+    for i in range(0, 20, 2):  # rings, each open at one place
+        masks["spiral"][i : 41 - i, i : 41 - i] = True
+        masks["spiral"][i + 1 : 40 - i, i + 1 : 40 - i] = False
+        masks["spiral"][i + 1, i : i + 2] = True
+    tiles = []
+    for name, mask in masks.items():
+        ys, xs = ([0, *sorted(rng.choice(np.arange(1, n), 5, replace=False).tolist()), n] for n in mask.shape)
+        tiles += [(name, a, c, d - c, mask[a:b, c:d].ravel().tolist()) for a, b in zip(ys, ys[1:]) for c, d in zip(xs, xs[1:])]
+    runs = components.components(spark.createDataFrame(tiles, "image string, top int, left int, width int, mask array<boolean>").repartition(5), diagonal=diagonal)
+    rows = runs.collect()
+    for name, mask in masks.items():
+        names, n = raster.labelled(mask, diagonal)
+        pairs = {(r["component"], int(names[r["y"], x])) for r in rows if r["image"] == name for x in range(r["first"], r["last"] + 1)}
+        assert len(pairs) == n == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+        assert sum(r["last"] - r["first"] + 1 for r in rows if r["image"] == name) == mask.sum()
+    biggest = components.extents(runs).where("image = 'spiral'").orderBy(F.desc("pixels")).first()
+    assert (biggest["x0"], biggest["y0"], biggest["x1"], biggest["y1"], biggest["top"], biggest["left_of_top"]) == (0, 0, 40, 40, 0, 0)
+
+
+def test_components_of_a_long_way_and_of_none(spark):
+    way = [(i, i + 1) for i in range(500)] + [(1000 + i, 1000) for i in range(50)] + [(7, 7)]
+    got = {r["node"]: r["root"] for r in components.unite(spark.createDataFrame(way, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(501), 0), **dict.fromkeys(range(1000, 1050), 1000)}
+    assert components.unite(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_geometry_of_images():
     square, g = raster.boxed(np.full((20, 10), 7.0), 20)
     assert (g["content_height"], g["content_width"], g["pad_y"], g["pad_x"]) == (20, 10, 0, 5)
     assert square[0, 0] == 128 and square[0, 5] == 7
     back = raster.unboxed(square, g, (2, 3, 12, 23), 30, 20)
     assert back[0, 0] == 0 and back[3, 2] == 7 and back[22, 11] == 7
+    assert raster.unboxed(square, g, (0, 0, 20, 30), 30, 20, common=5).tolist() == np.full((5, 5), 7.0).tolist()
     assert np.allclose(raster.resized(np.arange(16.0).reshape(4, 4), 4, 4), np.arange(16).reshape(4, 4))
 
 

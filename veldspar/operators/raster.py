@@ -155,34 +155,6 @@ def closed(mask: np.ndarray, times: int = 3) -> np.ndarray:
     return out
 
 
-def coloured(rgb: np.ndarray, blue: float = 0.05, green: float = 0.03, saturation: float = 0.12) -> np.ndarray:
-    """Pixels of an image (height, width, 3; 0 to 1) whose blue and green exceed red by so much, and that are saturated."""
-    high, low = rgb.max(axis=2), rgb.min(axis=2)
-    return (rgb[:, :, 2] - rgb[:, :, 0] > blue) & (rgb[:, :, 1] - rgb[:, :, 0] > green) & ((high - low) / np.maximum(high, 1e-6) > saturation)
-
-
-def board(rgb: np.ndarray, width: int = 512, least: float = 0.02, most: float = 0.65, margins: tuple[float, float] = (0.08, 0.45)) -> dict:
-    """The board on an image (height, width, 3; 0 to 1): the largest component of four neighbours of closed coloured pixels
-    on a copy of ``width`` at most, its box on the image, and the crop with margins in parts of the board's sides. If no
-    component's share of the image is within bounds, the crop is the whole image and ``failure`` tells why."""
-    h, w = rgb.shape[:2]
-    dw = min(w, width)
-    dh = max(1, round(h * dw / w))
-    small = np.stack([resized(rgb[:, :, i], dh, dw) for i in range(3)], axis=2) if (dh, dw) != (h, w) else rgb
-    names, n = labelled(closed(coloured(small)), diagonal=False)
-    sizes = np.bincount(names.ravel(), minlength=n + 1)[1:]
-    share = float(sizes.max() / names.size) if n else 0.0
-    out = {"left": 0, "top": 0, "right": w, "bottom": h, "share": share, "box": None, "failure": None}
-    if not n or not least <= share <= most:
-        return out | {"failure": "share out of bounds" if n else "no component"}
-    ys, xs = np.nonzero(names == 1 + int(sizes.argmax()))
-    x0, y0 = int(np.floor(xs.min() * w / dw)), int(np.floor(ys.min() * h / dh))
-    x1, y1 = int(np.ceil((xs.max() + 1) * w / dw)), int(np.ceil((ys.max() + 1) * h / dh))
-    mx, my = margins[0] * (x1 - x0), margins[1] * (y1 - y0)
-    crop = {"left": max(0, int(np.floor(x0 - mx))), "top": max(0, int(np.floor(y0 - my))), "right": min(w, int(np.ceil(x1 + mx))), "bottom": min(h, int(np.ceil(y1 + my)))}
-    return out | crop | {"box": (x0, y0, x1, y1)}
-
-
 def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear, by pixel centres, clamped at the border."""
     def axis(n: int, to: int):
@@ -227,15 +199,16 @@ def boxed(image: np.ndarray, size: int, grey: float = 128.0) -> tuple[np.ndarray
     return out, {"content_height": ch, "content_width": cw, "pad_y": py, "pad_x": px}
 
 
-def unboxed(score: np.ndarray, geometry: dict, crop: tuple[int, int, int, int], height: int, width: int, turn: bool = False) -> np.ndarray:
-    """A square map back on its source: without padding, turned if asked, resized to the crop, 0 outside it."""
+def unboxed(score: np.ndarray, geometry: dict, crop: tuple[int, int, int, int], height: int, width: int, turn: bool = False, common: int | None = None) -> np.ndarray:
+    """A square map back on its source: without padding, turned if asked, resized to the crop, 0 outside it; then at a common
+    size of so many pixels a side, if asked."""
     y, x = geometry["pad_y"], geometry["pad_x"]
     inner = score[y : y + geometry["content_height"], x : x + geometry["content_width"]]
     inner = inner[::-1, ::-1] if turn else inner
     left, top, right, bottom = crop
     out = np.zeros((height, width))
     out[top:bottom, left:right] = resized(inner, bottom - top, right - left)
-    return out
+    return out if common is None else resized(out, common, common)
 
 
 def tensor(rgb: np.ndarray, means: tuple = (0.485, 0.456, 0.406), spreads: tuple = (0.229, 0.224, 0.225)) -> np.ndarray:
@@ -250,52 +223,6 @@ def median_rows(image: np.ndarray, width: int = 15) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(wide, width, axis=1), axis=-1)
 
 
-def opened_down(mask: np.ndarray, length: int) -> np.ndarray:
-    """What of a mask lies in vertical runs of ``length`` and more."""
-    out = np.zeros_like(mask)
-    for x in range(mask.shape[1]):
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], mask[:, x].astype(np.int8), [0]))))
-        for a, b in zip(edges[::2], edges[1::2]):
-            out[a:b, x] = b - a >= length
-    return out
-
-
-def pins(ridge: np.ndarray, length: int) -> tuple[int, int]:
-    """(components, pixels) of upright strokes: components of four neighbours at least ``length`` high and three times as
-    high as wide."""
-    names, n = labelled(opened_down(ridge, length), diagonal=False)
-    count = pixels = 0
-    for i in range(1, n + 1):
-        ys, xs = np.nonzero(names == i)
-        height, width = int(np.ptp(ys)) + 1, int(np.ptp(xs)) + 1
-        if height >= length and height >= 3 * width:
-            count, pixels = count + 1, pixels + len(ys)
-    return count, pixels
-
-
-def pose(rgb: np.ndarray, box: tuple[int, int, int, int] | None, width: int = 512) -> dict:
-    """Which way up a board lies, by the pins that stand out above or below its box on a copy of ``width``: bright grey
-    ridges against a running median of their rows. canonical if the pins are above, reversed_180 if below, else uncertain,
-    with the reason."""
-    none = {"pose": "uncertain", "top_pins": 0, "bottom_pins": 0, "top_pixels": 0, "bottom_pixels": 0, "dominance": None}
-    if box is None:
-        return none | {"reason": "no board"}
-    scale = width / rgb.shape[1]
-    x0, y0, x1, y1 = (v * scale for v in box)
-    if (x1 - x0) / (y1 - y0) < 1.4:
-        return none | {"reason": "not lying"}
-    height = max(1, round(rgb.shape[0] * scale))
-    small = np.stack([resized(rgb[:, :, i], height, width) for i in range(3)], axis=2) if (height, width) != rgb.shape[:2] else rgb
-    grey = small.mean(axis=2)
-    ridge = (grey - median_rows(grey) > 0.08) & (grey > 0.35) & (np.ptp(small, axis=2) < 0.20)
-    left, right, length = max(0, round(x0 + 0.30 * (x1 - x0))), min(width, round(x0 + 0.70 * (x1 - x0))), max(3, round(0.10 * (y1 - y0)))
-    reach = 0.45 * (y1 - y0)
-    (top, top_pixels), (bottom, bottom_pixels) = (pins(ridge[max(0, a) : min(height, b), left:right], length) for a, b in ((round(y0 - reach), round(y0)), (round(y1), round(y1 + reach))))
-    found = "canonical" if top >= 2 and top_pixels >= 3 * max(1, bottom_pixels) else "reversed_180" if bottom >= 2 and bottom_pixels >= 3 * max(1, top_pixels) else "uncertain"
-    dominance = max(top_pixels, bottom_pixels) / max(1, min(top_pixels, bottom_pixels))
-    return {"pose": found, "top_pins": top, "bottom_pins": bottom, "top_pixels": top_pixels, "bottom_pixels": bottom_pixels, "dominance": dominance, "reason": "ambiguous" if found == "uncertain" else ""}
-
-
 def difference_hash(image: np.ndarray) -> int:
     """64 bits that tell where brightness rises to the right on a 9 x 8 thumbnail, as a signed number."""
     small = resized(image, 8, 9)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded, safe_ratio
-from ..operators import governance, knn
+from ..operators import boards, components, governance, knn
 from ..operators import raster as ops
 from ..sources.scratch import shared_dir, stored
 from .base import RASTER, query, raster, raster_rows, six
@@ -89,10 +89,30 @@ def sampled_truth(spark, sf_dir):
     return r.select("vec_id", (ops.sampled(F.col("score"), F.col("vec_id") % 23 / 2.0 - 1, F.col("vec_id") % 31 / 3.0, 8, 8) > 0.1).alias("hit"))
 
 
-@query("G10")
+_RUNS = """r AS (SELECT image, y, min(x) AS a, max(x) AS b FROM (SELECT image, y, x, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS g FROM on_) GROUP BY image, y, g),
+c AS (SELECT image, y, a, b, y AS ry, a AS ra FROM r UNION SELECT n.image, n.y, n.a, n.b, c.ry, c.ra FROM c JOIN r n ON n.image = c.image AND abs(n.y - c.y) = 1 AND n.a <= c.b + {0} AND n.b >= c.a - {0}),
+k AS (SELECT image, y, a, b, min(struct_pack(y := ry, x := ra)) AS root FROM c GROUP BY image, y, a, b)"""
+
+
+@query("G10", f"""WITH RECURSIVE {RASTER}, on_ AS (SELECT vec_id AS image, y, x FROM px WHERE score > 0.12), {_RUNS.format(1)},
+s AS (SELECT image, count(DISTINCT root) AS n, (max(b) - min(a) + 1) * (max(y) - min(y) + 1) AS area FROM k GROUP BY image)
+SELECT vec_id, CAST(coalesce(n, 0) AS INTEGER) AS components, CAST(coalesce(area, 0) AS INTEGER) AS box_area, coalesce(area, 0) / 64 AS box_share FROM embeddings LEFT JOIN s ON image = vec_id""")
 def map_components(spark, sf_dir):
     """Components and bounding box of what is above the threshold, per image."""
-    return ops.per_image(raster_rows(spark, sf_dir), "vec_id", "score", 8, lambda a: ops.extent(a > 0.12), "components int, box_area int, box_share double")
+    rows = raster_rows(spark, sf_dir)
+    tiles = rows.select("vec_id", *components.whole(F.transform("score", lambda x: x > 0.12), 8))
+    each = components.extents(components.components(tiles, "vec_id"), "vec_id").groupBy("vec_id")
+    area = (F.max("x1") - F.min("x0") + 1) * (F.max("y1") - F.min("y0") + 1)
+    found = rows.select("vec_id").join(each.agg(F.count("*").cast("int").alias("components"), area.cast("int").alias("box_area")), "vec_id", "left").fillna(0)
+    return found.withColumn("box_share", F.col("box_area") / 64)
+
+
+@query("G10", f"""WITH RECURSIVE {RASTER}, on_ AS (SELECT 0 AS image, vec_id * 8 + y AS y, x FROM px WHERE score > 0.1), {_RUNS.format(1)}
+SELECT min(y) AS top, min(root.x) AS left_of_top, CAST(sum(b - a + 1) AS BIGINT) AS pixels, min(a) AS x0, min(y) AS y0, max(b) AS x1, max(y) AS y1 FROM k GROUP BY root""")
+def strip_components(spark, sf_dir):
+    """All maps below each other are one raster, of which each is a tile: components across the tiles."""
+    tiles = raster_rows(spark, sf_dir).select(F.lit(0).alias("image"), (F.col("vec_id") * 8).alias("top"), F.lit(0).alias("left"), F.lit(8).alias("width"), F.transform("score", lambda x: x > 0.1).alias("mask"))
+    return components.extents(components.components(tiles)).drop("image")
 
 
 @query("G12 G4")
@@ -108,63 +128,93 @@ def resampled_maps(spark, sf_dir):
     return ops.per_image(raster_rows(spark, sf_dir), "vec_id", "score", 8, f, "least double, most double, drift double")
 
 
-def _scene(a):
-    """An image of a board with pins, drawn from a map: place, size and side follow its values."""
-    x0, y0 = 50 + int(20 * abs(a[0, 0])), 45 + int(30 * abs(a[1, 0]))
-    wide, high = 130 + int(100 * abs(a[2, 0])), 45 + int(45 * abs(a[3, 0]))
-    rgb = np.full((160, 256, 3), 0.2)
-    rgb[y0 : y0 + high, x0 : x0 + wide] = (0.1, 0.4, 0.7)
-    above = a[4, 0] > 0
-    for i in range(4):
-        x = x0 + int(wide * (0.35 + 0.08 * i))
-        rgb[(y0 - 15 if above else y0 + high) : (y0 if above else y0 + high + 15), x : x + 2] = 0.8
-    return rgb, above
-
-
-def _seen(a):
-    rgb, above = _scene(a)
-    found = ops.board(rgb)
-    way = ops.pose(rgb, found["box"], 256)
-    square, geometry = ops.boxed(rgb[found["top"] : found["bottom"], found["left"] : found["right"]].mean(axis=2), 64)
-    crop = (found["left"], found["top"], found["right"], found["bottom"])
-    back = ops.unboxed(square, geometry, crop, 160, 256, turn=way["pose"] == "reversed_180")
-    return {
-        "left": found["left"], "top": found["top"], "right": found["right"], "bottom": found["bottom"], "share": round(found["share"], 6), "pose": way["pose"], "pins": way["top_pins"] + way["bottom_pins"],
-        "expected": "canonical" if above else "reversed_180", "mean": round(float(ops.tensor(rgb)[2].mean()), 6), "outside": round(float(np.abs(back).sum() - np.abs(back[crop[1] : crop[3], crop[0] : crop[2]]).sum()), 6),
-    }
-
-
-@query("G1 G3 G4 G5 G7")
-def board_poses(spark, sf_dir):
-    """Boards found on drawn images, their crops and poses, one channel of the tensor, and a map put back on its source."""
-    schema = "left int, top int, right int, bottom int, share double, pose string, pins int, expected string, mean double, outside double"
-    return ops.per_image(raster_rows(spark, sf_dir), "vec_id", "score", 8, _seen, schema)
-
-
-def _board_means(a):
-    """What an extractor sees of a drawn image: the board's crop, upright, as means on an 8 x 8 grid."""
-    rgb, _ = _scene(a)
-    found = ops.board(rgb)
-    crop = rgb[found["top"] : found["bottom"], found["left"] : found["right"]].mean(axis=2)
-    upright = crop[::-1, ::-1] if ops.pose(rgb, found["box"], 256)["pose"] == "reversed_180" else crop
-    return (ops.resized(upright, 8, 8) + 0.3 * a).ravel()
+@query("G7 G6", f"""WITH {RASTER}, s AS (SELECT vec_id, CASE WHEN vec_id % 2 = 1 THEN 7 - y ELSE y END AS y, CASE WHEN vec_id % 2 = 1 THEN 7 - x ELSE x END AS x, score FROM px)
+SELECT vec_id, round(sum(score * ((y + 1) * 12 + x + 2)), 6) AS moment, round(sum(score * ((y + 1) * 12 + x + 2)), 6) AS common_moment FROM s GROUP BY vec_id""")
+def turned_back(spark, sf_dir):
+    """Maps put back on a source of 12 x 12, of which every second one was looked at upside down: what lies where, and the
+    same at the common size, which is that of the source."""
+    weight = np.arange(144.0).reshape(12, 12)
+
+    def f(a):
+        vec_id, a = a[0], a[1:].reshape(8, 8)
+        square, geometry = ops.boxed(a, 8)
+        back = [ops.unboxed(square, geometry, (2, 1, 10, 9), 12, 12, turn=bool(vec_id % 2), common=c) for c in (None, 12)]
+        return {n: float((b * weight).sum()) for n, b in zip(("moment", "common_moment"), back)}
+
+    rows = raster_rows(spark, sf_dir).withColumn("score", F.concat(F.array(F.col("vec_id").cast("double")), "score"))
+    return six(ops.per_image(rows, "vec_id", "score", 65, lambda a: f(a.ravel()), "moment double, common_moment double"), "moment", "common_moment")
+
+
+def _photographs(spark, sf_dir):
+    """(image, height, width, rgb): three vectors in a row are the red, green and blue planes of an image, whose pixels are
+    four by four squares."""
+    v = raster_rows(spark, sf_dir).select(F.expr("vec_id div 3").alias("image"), (F.col("vec_id") % 3).alias("plane"), "score")
+    planes = v.groupBy("image").agg(*[F.max(F.when(F.col("plane") == i, F.col("score"))).alias(f"p{i}") for i in range(3)]).dropna()
+    at = lambda i: (F.floor(i / 96 / 4) * 8 + F.floor(F.floor(i / 3) % 32 / 4) + 1).cast("int")
+    value = lambda i: F.element_at(F.when(i % 3 == 0, F.col("p0")).when(i % 3 == 1, F.col("p1")).otherwise(F.col("p2")), at(i))
+    return planes.select("image", F.lit(32).alias("height"), F.lit(32).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(3071)), value).alias("rgb"))
+
+
+_PLANES = """p AS (SELECT a.vec_id // 3 AS image, a.embedding AS r, b.embedding AS g, c.embedding AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 3 = 0),
+q AS (SELECT image, y, x, CAST(r[y // 4 * 8 + x // 4 + 1] AS DOUBLE) AS r, CAST(g[y // 4 * 8 + x // 4 + 1] AS DOUBLE) AS g, CAST(b[y // 4 * 8 + x // 4 + 1] AS DOUBLE) AS b FROM p, (SELECT unnest(range(32)) AS y), (SELECT unnest(range(32)) AS x))"""
+_BALL = "(SELECT dy, dx FROM (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx) WHERE abs(dy) + abs(dx) <= 3)"
+
+
+@query("G1 G5", f"""WITH RECURSIVE {_PLANES}, m AS (SELECT image, y, x FROM q WHERE b > r + 0.05 AND g > r + 0.03 AND greatest(r, g, b) - least(r, g, b) > 0.12 * greatest(r, g, b, 1e-6)),
+d AS (SELECT DISTINCT image, y + dy AS y, x + dx AS x FROM m, {_BALL} WHERE y + dy BETWEEN 0 AND 31 AND x + dx BETWEEN 0 AND 31),
+on_ AS (SELECT image, e.y - dy AS y, e.x - dx AS x FROM d e, {_BALL} GROUP BY 1, 2, 3 HAVING count(*) = 25), {_RUNS.format(0)},
+s AS (SELECT image, root, sum(b - a + 1) AS pixels, min(a) AS x0, min(y) AS y0, max(b) + 1 AS x1, max(y) + 1 AS y1 FROM k GROUP BY image, root QUALIFY row_number() OVER (PARTITION BY image ORDER BY sum(b - a + 1) DESC, root) = 1),
+t AS (SELECT p.image, coalesce(pixels / 1024, 0.0) AS share, pixels IS NULL AS none, coalesce(pixels / 1024 BETWEEN 0.02 AND 0.65, false) AS ok, x0, y0, x1, y1 FROM p LEFT JOIN s USING (image))
+SELECT image, round(share, 6) AS share, CAST(CASE WHEN ok THEN x0 END AS INTEGER) AS x0, CAST(CASE WHEN ok THEN y0 END AS INTEGER) AS y0, CAST(CASE WHEN ok THEN x1 END AS INTEGER) AS x1, CAST(CASE WHEN ok THEN y1 END AS INTEGER) AS y1,
+CAST(CASE WHEN ok THEN greatest(0, floor(x0 - 0.08 * (x1 - x0))) ELSE 0 END AS INTEGER) AS "left", CAST(CASE WHEN ok THEN greatest(0, floor(y0 - 0.45 * (y1 - y0))) ELSE 0 END AS INTEGER) AS top,
+CAST(CASE WHEN ok THEN least(32, ceil(x1 + 0.08 * (x1 - x0))) ELSE 32 END AS INTEGER) AS "right", CAST(CASE WHEN ok THEN least(32, ceil(y1 + 0.45 * (y1 - y0))) ELSE 32 END AS INTEGER) AS bottom,
+CASE WHEN none THEN 'no component' WHEN NOT ok THEN 'share out of bounds' END AS failure,
+CASE WHEN NOT ok THEN 'no board' WHEN (x1 - x0) < 1.4 * (y1 - y0) THEN 'not lying' ELSE 'lying' END AS stance FROM t""")
+def stored_boards(spark, sf_dir):
+    """Boards on stored images: share, box, crop and why there is none; and what of the pose their boxes decide."""
+    images = stored(_photographs(spark, sf_dir))
+    found = stored(boards.boards(images))
+    stance = F.when(F.col("reason").isin("", "ambiguous"), "lying").otherwise(F.col("reason"))
+    return six(found.join(boards.poses(images, found).select("image", stance.alias("stance")), "image"), "share")
+
+
+@query("G3", f"""WITH {_PLANES} SELECT image, round(avg((r - 0.485) / 0.229), 6) AS red, round(avg((g - 0.456) / 0.224), 6) AS green, round(avg((b - 0.406) / 0.225), 6) AS blue FROM q GROUP BY image""")
+def tensor_means(spark, sf_dir):
+    """Channels of normalised tensors, by their means."""
+
+    def f(a):
+        return dict(zip(("red", "green", "blue"), ops.tensor(a.reshape(32, 32, 3)).mean(axis=(1, 2)).tolist()))
+
+    return six(ops.per_image(_photographs(spark, sf_dir), "image", "rgb", 96, f, "red double, green double, blue double"), "red", "green", "blue")
+
+
+def _grey_grid(a):
+    """A crop's grey values on an 8 x 8 grid; of (width, turned, values by rows)."""
+    width, turn, values = int(a[0]), bool(a[1]), a[2:]
+    grey = values.reshape(-1, width, 3).mean(axis=2)
+    return ops.resized(grey[::-1, ::-1] if turn else grey, 8, 8).ravel()
 
 
 @query("V12 V9")
 def inspector(spark, sf_dir):
-    """From images to decisions: board, crop, pose, features by a registered extractor, distance from a frozen memory whose
-    identity is checked first, and the flag."""
-    ops.register("board_means", _board_means)
-    rows = raster_rows(spark, sf_dir)
-    seen = ops.features(rows, "vec_id", "score", 8, "board_means").withColumnRenamed("features", "embedding").join(rows.select("vec_id", "label"), "vec_id")
-    seen = stored(seen.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(3))))
-    model = knn.fit(seen.where("label <> 9 AND part > 0"), seen.where("label <> 9 AND part = 0"), 0.95)
+    """From stored images to decisions: board, crop, pose, features of the upright crop by a registered extractor, distance
+    from a frozen memory whose identity is checked first, and the flag."""
+    ops.register("grey_grid", lambda a: _grey_grid(a.ravel()))
+    images = stored(_photographs(spark, sf_dir))
+    found = stored(boards.boards(images))
+    seen = images.join(found, "image").join(boards.poses(images, found).select("image", "pose"), "image")
+    y, x = (lambda i: F.floor(i / 96)), (lambda i: F.floor(i / 3) % 32)
+    inside = F.filter(F.transform("rgb", lambda v, i: F.when((y(i) >= F.col("top")) & (y(i) < F.col("bottom")) & (x(i) >= F.col("left")) & (x(i) < F.col("right")), v)), lambda v: v.isNotNull())
+    packed = F.concat(F.array((F.col("right") - F.col("left")).cast("double"), (F.col("pose") == "reversed_180").cast("int").cast("double")), inside)
+    rows = ops.features(seen.select(F.col("image").alias("vec_id"), packed.alias("values")), "vec_id", "values", 1, "grey_grid").withColumnRenamed("features", "embedding")
+    rows = stored(rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(4))))
+    model = knn.fit(rows.where("part > 1"), rows.where("part = 1"), 0.95)
     path = f"{shared_dir(spark)}/veldspar-{uuid.uuid4().hex}"
     knn.save(model, path)
     governance.freeze(spark, f"{path}.json", {"memory": model.memory}, {"q": 0.95})
     frozen = knn.load(spark, path)
     governance.verify(spark, f"{path}.json", {"memory": frozen.memory}, {"q": 0.95})
-    return six(knn.inspected(frozen, seen.where("label = 9")), "distance")
+    return six(knn.inspected(frozen, rows.where("part = 0")), "distance")
 
 
 @query("G16")
