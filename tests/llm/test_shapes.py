@@ -36,6 +36,16 @@ def test_stages_keep_clashing_and_map_columns(spark, tmp_path):
     assert "[EMAIL]" in pii_infotheory.redact(docs).where("doc_id = 100").first()["text"]
 
 
+def test_a_hash_sample_is_whole_at_any_size_and_skew(spark):
+    rows = spark.range(1_000_000).select(F.col("id").alias("i"), F.col("id").alias("row"))
+    got = [r["i"] for r in common.hash_sample(rows, "i", 240, "row").collect()]
+    assert sorted(got) == sorted(r["i"] for r in rows.orderBy(F.xxhash64("i")).limit(240).collect()) and len(got) == 240
+    one = spark.range(15_000).select(F.lit(7).cast("long").alias("i"), F.col("id").alias("row"))
+    both = one.union(spark.range(8, 4000).select("id", "id"))
+    assert common.hash_sample(both, "i", 12_000, "row").count() == 12_000 and common.hash_sample(both, "i", 20_000, "row").count() == both.count()
+    assert common.hash_sample(one, "i", 100, "row", parts=4).count() == 100
+
+
 def test_structured_texts_have_names_of_their_own(spark):
     for a in MORSE:
         b = a.translate(str.maketrans("ab", "ba"))

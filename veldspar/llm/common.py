@@ -109,17 +109,20 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
-def hash_sample(df: DataFrame, key: str, most: int, parts: int = 4096) -> DataFrame:
-    """All rows if there are at most ``most``, else those whose key's hash is below a limit that leaves at most so many."""
-    part = F.pmod(F.xxhash64(key), F.lit(parts))
-    limit, left = 0, most
+def hash_sample(df: DataFrame, key: str, most: int, tie: str, parts: int = 4096) -> DataFrame:
+    """The ``most`` rows of the smallest hashes of ``key``, ties by ``tie``; all rows if there are no more.
+
+    A count of hashes by their leading bits tells which rows can be among them, so few more than ``most`` are sorted."""
+    h = F.xxhash64(key)
+    # hashes are spread over all longs, so equal steps from the least one hold about as many rows
+    part = F.floor((h.cast("double") + 2.0**63) / (2.0**64 / parts))
+    last, left = None, most
     for r in sorted(df.groupBy(part.alias("part")).count().collect()):  # ``parts`` rows
-        if r["count"] > left:
+        left -= r["count"]
+        if left < 0:
+            last = r["part"]
             break
-        limit, left = r["part"] + 1, left - r["count"]
-    else:
-        return df
-    return df.where(part < limit)
+    return df if last is None else df.where(part <= last).orderBy(h, tie).limit(most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

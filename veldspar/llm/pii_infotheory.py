@@ -9,12 +9,16 @@ share of the entity's self-information,
     P(e|t) = (n(t, e) + PRIOR * P(e)) / (n(t) + PRIOR)
 
 with counts of documents. It is near 1 if the term occurs only with the entity, and about 0 if it tells nothing; the
-prior lowers it where few documents speak for it, so no pair is left out for its count. Revealing terms are sanitised
-wherever they stand in the entity's documents: generalised to a placeholder from ``GENERALISE`` on, and removed from
-``REMOVE`` on. Documents without base spans hold no entity, and are never changed.
+prior lowers it where few documents speak for it. That a rare word stands in the one document of an entity says nothing
+of either, so a pair also needs support: ``SUPPORT`` documents that hold both, or a term that is tied to the entity, as a
+part of the entity's own value (a name in an e-mail address). Revealing terms are sanitised wherever they stand in the
+entity's documents: from ``GENERALISE`` on they are generalised to their class, which is the kind of entity that they
+reveal most and whether they are written as names are, and from ``REMOVE`` on removed. Documents without base spans hold
+no entity, and are never changed.
 
-A pair can reach ``GENERALISE`` only if n(t) is at most ``_most(n(e), N)``, as n(t, e) <= n(e). Pairs beyond it are not
-formed, which changes no result.
+Entities that the same documents hold co-occur alike with every term, so they are one group: a list of addresses that
+stand nowhere else is one, however long. A pair can reach ``GENERALISE`` only if n(t) is at most ``_most(n(e), N)``, as n(t, e) <= n(e). Pairs
+beyond it are not formed, which changes no result.
 
 All of it is DataFrame functions. Patterns start only at the end of the last match or where a run of their first
 class begins, and repeat possessively, which matches the same strings in linear time and constant stack depth. Terms
@@ -34,7 +38,7 @@ from .common import BROADCAST_TEXTS, durable, in_scope, scope, small_side, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-PRIOR, GENERALISE, REMOVE = 0.5, 0.85, 0.97
+PRIOR, GENERALISE, REMOVE, SUPPORT = 0.5, 0.85, 0.97, 2
 TERM = r"\p{L}{3,}+"
 
 _START = r"(?:\G|(?<![{0}]))"
@@ -50,7 +54,7 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Elements that a fold over an array gathers at once.
 RUN = 256
 SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
-TERM_SPANS = "array<struct<start:bigint,end:bigint,disclosure:double>>"
+TERM_SPANS = "array<struct<start:bigint,end:bigint,disclosure:double,kind:int>>"
 
 
 def _digits(value: Column) -> Column:
@@ -156,35 +160,54 @@ def _most(n_e: Column, total: float) -> Column:
     return n_e * (1 + PRIOR / total) * F.pow(F.lit(total) / n_e, F.lit(1 - GENERALISE)) * (1 + 1e-9) - PRIOR
 
 
+def _tied(kind: Column, value: Column) -> Column:
+    """Terms that are parts of an entity's value."""
+    return F.when(kind == 0, F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit(TERM), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+
+
 def revealing_terms(found: DataFrame, clean: DataFrame, total: float) -> DataFrame:
-    """(p_row, term, disclosure) of the terms that reveal an entity of the row, at their highest disclosure; of the rows with
-    base spans and of all others, ``total`` together."""
-    held = durable(found.select("p_row", F.explode(F.array_distinct(F.transform("p_base", lambda s: _entity(s["kind"], s["value"])))).alias("entity")))
-    sizes = durable(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < total))
-    entities, widest = sizes.agg(F.count("*"), F.max("n_e")).first()
-    held = held.join(small_side(sizes, entities, BROADCAST_TEXTS), "entity")
+    """(p_row, term, disclosure, kind) of the terms that reveal an entity of the row, at their highest disclosure and of what
+    kind; of the rows with base spans and of all others, ``total`` together."""
+    entities = F.array_distinct(F.transform("p_base", lambda s: F.struct(_entity(s["kind"], s["value"]).alias("entity"), s["kind"].alias("kind"), _tied(s["kind"], s["value"]).alias("parts"))))
+    held = durable(found.select("p_row", F.explode(entities).alias("e")).select("p_row", "e.*"))
+    # two sums of the rows' hashes stand for the set of rows
+    mark = [F.sum(F.xxhash64("p_row", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+    sizes = durable(held.groupBy("entity").agg(F.count("*").alias("n_e"), *mark).where(F.col("n_e") < total))
+    n_sizes, widest = sizes.agg(F.count("*"), F.max("n_e")).first()
+    held = durable(held.join(small_side(sizes, n_sizes, BROADCAST_TEXTS), "entity"))
     words = found.select(F.lit(True).alias("near"), F.explode(_terms()).alias("term")).union(clean.select(F.lit(False).alias("near"), F.explode(_terms()).alias("term")))
     seen = words.groupBy("term").agg(F.count("*").alias("n_t"), F.max("near").alias("near"))
     rare = durable(seen.where(F.col("near") & (F.col("n_t") <= _most(F.lit(widest or 1), total))).select("term", "n_t"))
-    terms = found.select("p_row", F.explode(_terms()).alias("term")).join(small_side(rare, rare.count(), BROADCAST_TEXTS), "term")
-    pairs = durable(terms.join(held, "p_row").where(F.col("n_t") <= _most(F.col("n_e"), total)))
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    terms = durable(found.select("p_row", F.explode(_terms()).alias("term")).join(small_side(rare, rare.count(), BROADCAST_TEXTS), "term"))
+    possible = F.col("n_t") <= _most(F.col("n_e"), total)
+    # groups of entities that several documents hold, with the terms of several documents
+    group = F.concat_ws(":", "n_e", "s1", "s2")
+    groups = held.where(F.col("n_e") >= SUPPORT).groupBy("p_row", group.alias("who"), "n_e").agg(F.min("kind").alias("kind"))
+    shared = terms.where(F.col("n_t") >= SUPPORT).join(groups, "p_row").where(possible).select("p_row", "who", "term", "n_t", "n_e", "kind")
+    own = held.where(F.size("parts") > 0).select("p_row", F.col("entity").alias("who"), "n_e", "kind", F.explode("parts").alias("term"))
+    tied = own.join(terms, ["p_row", "term"]).where(possible).select("p_row", F.concat(F.lit("="), "who").alias("who"), "term", "n_t", "n_e", "kind")
+    pairs = durable(shared.withColumn("tied", F.lit(False)).union(tied.withColumn("tied", F.lit(True))))
+    together = pairs.groupBy("who", "term").agg(F.count("*").alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.first("tied").alias("tied"))
     given = (F.col("n_et") + PRIOR * F.col("n_e") / F.lit(total)) / (F.col("n_t") + PRIOR)
-    scored = together.select("entity", "term", (1 + F.log(given) / F.log(F.lit(total) / F.col("n_e"))).alias("disclosure"))
+    scored = together.where(F.col("tied") | (F.col("n_et") >= SUPPORT)).select("who", "term", (1 + F.log(given) / F.log(F.lit(total) / F.col("n_e"))).alias("disclosure"))
     strong = durable(scored.where(F.col("disclosure") >= GENERALISE))
-    chosen = pairs.select("p_row", "entity", "term").join(small_side(strong, strong.count(), BROADCAST_TEXTS), ["entity", "term"])
-    return chosen.groupBy("p_row", "term").agg(F.max("disclosure").alias("disclosure"))
+    chosen = pairs.select("p_row", "who", "term", "kind").join(small_side(strong, strong.count(), BROADCAST_TEXTS), ["who", "term"])
+    most = chosen.groupBy("p_row", "term").agg(F.max(F.struct("disclosure", (-F.col("kind")).alias("k"))).alias("m"))
+    return most.select("p_row", "term", F.col("m.disclosure").alias("disclosure"), (-F.col("m.k")).cast("int").alias("kind"))
 
 
 def _occurrences() -> Column:
     """Spans of all occurrences outside base spans of the terms in the map p_strong."""
-    spans = _matches(_outside(), TERM, lambda v, a: F.struct(a.alias("start"), (a + F.length(v)).cast("long").alias("end"), F.try_element_at(F.col("p_strong"), F.lower(v)).alias("disclosure")))
-    return F.filter(spans, lambda s: s["disclosure"].isNotNull())
+    def made(v: Column, a: Column) -> Column:
+        told = F.try_element_at(F.col("p_strong"), F.lower(v))
+        return F.struct(a.alias("start"), (a + F.length(v)).cast("long").alias("end"), told["disclosure"].alias("disclosure"), told["kind"].alias("kind"))
+
+    return F.filter(_matches(_outside(), TERM, made), lambda s: s["disclosure"].isNotNull())
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """p_doc (a row of ``docs``), p_row, p_text (never null), p_base (base spans) and p_terms (spans of revealing terms with
-    their disclosure)."""
+    their disclosure, and the kind of entity that they reveal)."""
     row, none = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("p_doc"), F.array().cast(f"array<{SPAN}>")
     base, text = base_spans(text_or_empty()), F.coalesce(F.col("p_doc.text"), F.lit("")).alias("p_text")
     # texts without base spans are read again where they are needed, not written
@@ -192,7 +215,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     with scope(docs.sparkSession):
         found = durable(docs.select(row, base.alias("p_base")).where(F.size("p_base") > 0).withColumn("p_row", F.monotonically_increasing_id()), keep=True).withColumn("p_text", text)
         terms = revealing_terms(found, clean, float(max(1, docs.count())))
-        strong = durable(terms.groupBy("p_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("p_strong")), keep=True)
+        strong = durable(terms.groupBy("p_row").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("disclosure", "kind")))).alias("p_strong")), keep=True)
     none = F.array().cast(TERM_SPANS)
     spans = F.when(F.col("p_strong").isNotNull(), _occurrences()).otherwise(none)
     return clean.withColumn("p_terms", none).unionByName(found.join(strong, "p_row", "left").withColumn("p_terms", spans).drop("p_strong"))
@@ -214,7 +237,13 @@ def redacted() -> Column:
     Where spans overlap, the first one's placeholder stands for all that they cover together."""
     place = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS[:4]) for x in (i, PLACEHOLDERS[k])])
     base = F.transform("p_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), place[s["kind"]].alias("by")))
-    terms = F.transform("p_terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= REMOVE, "").otherwise("[TERM]").alias("by")))
+
+    def general(t: Column) -> Column:
+        """A term's class: what it reveals, and whether it begins as a name does."""
+        written = F.substring(F.col("p_text"), (t["start"] + 1).cast("int"), F.lit(1))
+        return F.concat(F.regexp_replace(place[t["kind"]], "\\]", " "), F.when(written == F.lower(written), "TERM]").otherwise("NAME]"))
+
+    terms = F.transform("p_terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= REMOVE, "").otherwise(general(t)).alias("by")))
 
     def add(state: Column, s: Column) -> Column:
         between = F.substring(F.col("p_text"), (state["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - state["at"]).cast("int"))
@@ -284,12 +313,12 @@ outside AS (
 ), terms AS (SELECT DISTINCT r, term FROM (SELECT r, lower(unnest(regexp_extract_all(t, '\p{{L}}{{3,}}'))) AS term FROM outside)),
 n_t AS (SELECT term, count(*) AS n_t FROM terms GROUP BY term),
 total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
-held AS (SELECT DISTINCT r, i || ':' || CASE i WHEN 0 THEN lower(value) WHEN 1 THEN value ELSE digits END AS entity FROM base),
+held AS (SELECT r, i || ':' || CASE i WHEN 0 THEN lower(value) WHEN 1 THEN value ELSE digits END AS entity, CASE WHEN min(i) = 0 THEN regexp_extract_all(lower(min(value)), '\p{{L}}{{3,}}') ELSE [] END AS parts FROM base GROUP BY 1, 2),
 n_e AS (SELECT entity, count(*) AS n_e FROM held GROUP BY entity),
-pairs AS (SELECT r, entity, term FROM held JOIN terms USING (r)),
+pairs AS (SELECT r, entity, term, list_contains(parts, term) AS tied FROM held JOIN terms USING (r)),
 strong AS (
-  SELECT entity, term FROM (SELECT entity, term, count(*) AS n_et FROM pairs GROUP BY entity, term) JOIN n_t USING (term) JOIN n_e USING (entity) CROSS JOIN total
-  WHERE n_e < n AND 1 + ln((n_et + {PRIOR} * n_e / n) / (n_t + {PRIOR})) / ln(n / n_e) >= {GENERALISE}
+  SELECT entity, term FROM (SELECT entity, term, count(*) AS n_et, bool_or(tied) AS tied FROM pairs GROUP BY entity, term) JOIN n_t USING (term) JOIN n_e USING (entity) CROSS JOIN total
+  WHERE n_e < n AND (tied OR n_et >= {SUPPORT}) AND 1 + ln((n_et + {PRIOR} * n_e / n) / (n_t + {PRIOR})) / ln(n / n_e) >= {GENERALISE}
 ), chosen AS (SELECT DISTINCT r, term FROM pairs JOIN strong USING (entity, term)),
 near AS (SELECT r, t FROM outside WHERE near),
 {_sql_matches("seen", "near", r"\p{L}{3,}", "4 AS i, 'term' AS kind")},

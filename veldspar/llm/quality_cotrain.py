@@ -229,7 +229,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     with scope(docs.sparkSession):
         # texts stay where they are: only their views meet the labels
         rows = durable(views_of(docs).join(known, "i", "left").withColumn("row", F.monotonically_increasing_id()))
-        ours = hash_sample(rows.where("y is not null"), "i", LABELLED).orderBy("i", "row").toArrow()
+        ours = hash_sample(rows.where("y is not null"), "i", LABELLED, "row").orderBy("i", "row").toArrow()
         pool = rows.where("y is null")
         return fit(*_both(ours), ours["y"].to_numpy(), lambda weights, most: _surest(pool, weights, most))
 
