@@ -1,11 +1,12 @@
 import struct
+import threading
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veldspar.operators import boards, components, governance, knn, manifests, metrics, order, raster, selection, strata
+from veldspar.operators import boards, components, governance, knn, links, manifests, metrics, order, raster, selection, strata
 from veldspar.sources import files
 
 
@@ -101,6 +102,83 @@ def test_near_pairs_finds_every_pair_of_codes(spark):
         governance.near_pairs(df, "id", "code", 15, 16)
 
 
+def test_near_pairs_split_crowded_keys_and_form_few_pairs(spark):
+    rng = np.random.default_rng(6)
+    base = int(rng.integers(0, 2**62)) & ~0xFFFFFFFF
+    codes = [base | int(c) for c in rng.integers(0, 2**32, 400)]  # all share two bands
+    codes += [c ^ (1 << int(rng.integers(0, 60))) ^ (1 << int(rng.integers(0, 60))) for c in codes[:60]] + codes[:5]
+    df = spark.createDataFrame(list(enumerate(codes)), "id int, code long")
+    bits = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    first = {}
+    for i, c in enumerate(codes):
+        first.setdefault(c, i)
+    want = {(first[a], first[b], bits(a, b)) for a in first for b in first if first[a] < first[b] and bits(a, b) <= 2}
+    for hot in (20, 100_000):
+        rows = governance.near_pairs(df, "id", "code", 2, hot=hot).collect()
+        assert len(rows) == len(want) and {(r["a"], r["b"], r["distance"]) for r in rows} == want
+    everything, split = (governance.pair_candidates(df, "id", "code", 2, hot=h).count() for h in (100_000, 20))
+    assert everything > 400 * 399 / 2 and split < 1000
+
+
+def test_closure_over_links_with_circles(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("x", "y"), ("y", "a"), (None, "a"), ("a", None), ("a", "b")]
+    reached = lambda seeds: {(r["node"], r["hops"]) for r in links.reachable(spark.createDataFrame(edges, "source string, target string"), spark.createDataFrame([(s,) for s in seeds], "node string")).collect()}
+    assert reached(["a"]) == {("a", 0), ("b", 1), ("c", 2), ("d", 3)} and reached(["d", "x"]) == {("d", 0), ("x", 0), ("y", 1), ("a", 2), ("b", 3), ("c", 4)}
+    assert reached([]) == set() and reached(["unknown"]) == {("unknown", 0)}
+
+
+def test_digests_name_partitions_and_notice_crafted_rows(spark):
+    rows = [(i % 3, i, f"v{i}") for i in range(30)] + [(0, None, None)]
+    frame = lambda r: spark.createDataFrame(r, "k int, a int, b string")
+    part = F.col("k")
+    assert governance.changed_partitions(frame(rows), frame(rows[::-1]).repartition(3), part) == []
+    assert governance.changed_partitions(frame(rows), frame([(k, a, "x" if a == 4 else b) for k, a, b in rows]), part) == ["1"]
+    # two rows that have exchanged their values, a row that is there twice in place of another, a null in place of an empty text
+    swapped = [(k, {3: 6, 6: 3}.get(a, a), b) for k, a, b in rows]
+    assert governance.changed_partitions(frame(rows), frame(swapped), part) == ["0"]
+    assert governance.changed_partitions(frame(rows), frame([rows[5] if r == rows[8] else r for r in rows]), part) == ["2"]
+    assert governance.changed_partitions(frame(rows), frame(rows[:-1] + [(0, None, "")]), part) == ["0"]
+    assert governance.changed_partitions(frame(rows), frame([*rows, (7, 1, "new")]), part) == ["7"]
+    leaves = {str(i): str(i) for i in range(50)}
+    assert governance.merkle_root(leaves) == governance.merkle_root(dict(reversed(leaves.items()))) != governance.merkle_root(leaves | {"9": "8", "8": "9"})
+    with pytest.raises(ValueError, match="more than 2 partitions"):
+        governance.partition_digests(frame(rows), part, 2)
+
+
+def test_of_two_writers_of_a_table_one_stays(spark, tmp_path):
+    path, rows = f"file://{tmp_path}/t", spark.range(50).withColumn("v", F.col("id") * 2)
+    outcomes = []
+
+    def write(df):
+        try:
+            outcomes.append(governance.commit_once(df, path))
+        except FileExistsError:
+            outcomes.append("refused")
+
+    writers = [threading.Thread(target=write, args=(rows.withColumn("v", F.col("v") + i),)) for i in range(3)]
+    [w.start() for w in writers]
+    [w.join() for w in writers]
+    assert sorted(outcomes) == ["refused", "refused", "written"]
+    held = governance.committed(spark, path)
+    shift = held.agg(F.min("v")).first()[0]
+    assert held.count() == 50 and governance.commit_once(rows.withColumn("v", F.col("v") + shift).repartition(4), path) == "kept"
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("rows-")]) == 1
+    with pytest.raises(RuntimeError, match="comes first"):
+        governance.commit_once(rows, f"{path}-next", after=f"{path}-none")
+
+
+def test_selected_vectors_are_recovered_in_order(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5))
+    df = vectors(spark, x, range(60))
+    chosen = knn.greedy_coreset(df, 7)
+    rows = knn.recovered(chosen, df).orderBy("selection_order").collect()
+    assert [r["vec_id"] for r in rows] == [r["id"] for r in chosen.orderBy("selection_order").collect()] and len(rows) == 7
+    assert all(np.allclose(r["embedding"], x[r["vec_id"]], atol=1e-6) for r in rows)
+    with pytest.raises(ValueError, match="no row"):
+        knn.recovered(chosen, df.where("vec_id > 30"))
+
+
 def test_quantiles_agree_with_numpy_by_group(spark):
     rng = np.random.default_rng(8)
     rows = [(str(i % 3), float(v)) for i, v in enumerate(np.round(rng.normal(size=200), 1))] + [(None, 2.0), (None, 5.0), ("1", None), ("1", float("nan")), ("x", None)]

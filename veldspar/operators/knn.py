@@ -102,15 +102,15 @@ class Index:
         return self.rows * (8 * self.pivots.shape[1] + 16)
 
 
-def indexed(bank: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = BANK_BLOCK, cell_rows: int = CELL_ROWS) -> Index | None:
-    """An index for searches of up to k neighbours; None of an empty bank. Rows are dealt by ranges of (cell, distance from
+def indexed(bank: DataFrame, k: int | None, id_col: str = "vec_id", vector: str = "embedding", block: int = BANK_BLOCK, cell_rows: int = CELL_ROWS) -> Index | None:
+    """An index for searches of up to k neighbours, or with all rows (k None); None of an empty bank. Rows are dealt by ranges of (cell, distance from
     the pivot, id), so a cell that holds any share of the bank is spread over tasks."""
     whole = _whole(bank, id_col, vector)
     n = whole.count()
     if not n:
         return None
     dims = whole.select(F.size("v").alias("d")).first()["d"]
-    sample = whole.orderBy(F.xxhash64("id"), "id").limit(min(PROBES, PROBE_BYTES // (8 * max(1, dims)), max(k, n // 16))).select("v").toArrow()["v"].combine_chunks()
+    sample = whole.orderBy(F.xxhash64("id"), "id").limit(min(PROBES, PROBE_BYTES // (8 * max(1, dims)), max(k or 1, n // 16))).select("v").toArrow()["v"].combine_chunks()
     probes = _vectors(sample, len(sample))
     pivots = np.unique(probes[: max(1, min(CELLS, n // cell_rows))], axis=0)
     held = bank.sparkSession.sparkContext.broadcast(pivots)
@@ -129,13 +129,13 @@ def indexed(bank: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embe
                 yield _block(number, *now)
                 number, now = number + 1, None
             now = (cell, r, ids, x, np.ones(len(ids), np.int64)) if now is None else (cell, *(np.concatenate(p) for p in zip(now[1:], (r, ids, x, np.ones(len(ids), np.int64)))))
-            now = (cell, *_collapsed(*now[1:], k))
+            now = (cell, *_collapsed(*now[1:], k)) if k else now
         if now is not None:
             yield _block(number, *now)
 
     rows = whole.mapInArrow(dealt, "cell int, r double, id long, v array<double>").repartitionByRange("cell", "r", "id").sortWithinPartitions("cell", "r", "id")
     blocks = stored(rows.mapInArrow(packed, "block long, cell int, r_min double, r_max double, rows long, ids binary, values binary, times binary"))
-    return Index(pivots, probes, blocks, n, k)
+    return Index(pivots, probes, blocks, n, k or n)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
@@ -307,25 +307,79 @@ def projected(df: DataFrame, matrix: np.ndarray, vector: str = "embedding") -> D
     return df.mapInArrow(made, schema)
 
 
-def _updated(df: DataFrame, centres: np.ndarray, chosen: list[int], mean: bool = False) -> DataFrame:
-    """(id, v, least): the column least lowered to the least distance from some centres (or set to the mean distance),
-    and -1 for the rows that are chosen."""
+LEAST = "block long, ids binary, least binary, most double"
+
+
+def _lowered(blocks: DataFrame, state: DataFrame, index: Index, centres: np.ndarray, chosen: list[int], mean: bool = False) -> DataFrame:
+    """``state`` (block, ids, least, most) after some centres: each row's least distance lowered to that from the centres (or
+    set to the mean distance), and -1 for the rows that are chosen. Vectors are read only of blocks whose shell is nearer
+    to a centre than its farthest row is to the centres so far."""
+    if not mean:
+        far = np.sqrt(((centres[:, None] - index.pivots[None]) ** 2).sum(axis=2)) if len(centres) * len(index.pivots) <= PAIRS else np.sqrt(np.maximum(0, squares(centres, index.pivots)[0]))
+        reach = state.sparkSession.createDataFrame(pa.table({"cell": pa.array(range(len(index.pivots)), pa.int32()), "far": pa.array([np.unique(x) for x in far.T], pa.list_(pa.float64()))}))  # CELLS x POOL numbers
+        shell = lambda x: F.greatest(F.lit(0.0), x - F.col("r_max"), F.col("r_min") - x) - 1e-6 * (1 + F.col("r_max") + x)
+        least = blocks.select("block", "cell", "r_min", "r_max").join(F.broadcast(reach), "cell").select("block", F.array_min(F.transform("far", shell)).alias("nearest"))
+        state = state.join(least, "block")
+    else:
+        state = state.withColumn("nearest", F.lit(-1.0))
+    met = state.withColumn("open", F.col("nearest") < F.col("most"))
+    reached = met.where("open").select("block", "least").join(blocks.select("block", "ids", "values"), "block")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, least, ids, values in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 4))):
+                ids = np.frombuffer(ids.as_buffer(), dtype=np.int64)
+                least, x = np.frombuffer(least.as_buffer()), np.frombuffer(values.as_buffer()).reshape(len(ids), -1)
+                if mean:  # a few centres
+                    every = np.arange(len(ids))
+                    new = sum(distances(x, centres, every, np.full(len(ids), j)) for j in range(len(centres))) / len(centres)
+                else:
+                    new = least
+                    for a in range(0, len(centres), CENTRES):
+                        new = least_distances(x, centres[a : a + CENTRES], new)
+                new = np.where((least < 0) | np.isin(ids, chosen), -1.0, new)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([ids.tobytes()]), pa.array([new.tobytes()]), pa.array([new.max()])], ["block", "ids", "least", "most"])
+
+    lowered = reached.select("block", "least", "ids", "values").mapInArrow(made, LEAST)
+    return lowered.union(met.where("NOT open").select("block", "ids", "least", "most"))
+
+
+def _farthest(state: DataFrame, n: int) -> list:
+    """The n rows (id, block, least) with the greatest distances, ties to the smaller id."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in batches:
+            for block, ids, least in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                ids, least = np.frombuffer(ids.as_buffer(), dtype=np.int64), np.frombuffer(least.as_buffer())
+                on = least >= 0
+                held = [np.concatenate(p) for p in zip(held, (ids[on], np.full(on.sum(), block), least[on]))]
+                if len(held[0]) > n:
+                    order = np.lexsort((held[0], -held[2]))[:n]
+                    held = [p[order] for p in held]
+        yield pa.RecordBatch.from_arrays([pa.array(p) for p in held], ["id", "block", "least"])
+
+    found = state.where("most >= 0").select("block", "ids", "least").mapInArrow(made, "id long, block long, least double")
+    return found.orderBy(F.desc("least"), "id").limit(n).collect()
+
+
+def _picked(blocks: DataFrame, rows: list) -> np.ndarray:
+    """The vectors of some rows (id, block), in their order."""
+    wanted = {}
+    for r in rows:
+        wanted.setdefault(r["block"], []).append(r["id"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, least = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            x = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
-            if mean:  # a few centres
-                every = np.arange(len(ids))
-                new = sum(distances(x, centres, every, np.full(len(ids), j)) for j in range(len(centres))) / len(centres)
-            else:
-                new = least
-                for a in range(0, len(centres), CENTRES):
-                    new = least_distances(x, centres[a : a + CENTRES], new)
-            new = np.where((least < 0) | np.isin(ids, chosen), -1.0, new)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new)], ["id", "v", "least"])
+            for block, ids, values in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                ids = np.frombuffer(ids.as_buffer(), dtype=np.int64)
+                at = np.flatnonzero(np.isin(ids, wanted[block]))
+                x = np.frombuffer(values.as_buffer()).reshape(len(ids), -1)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], ["id", "v"])
 
-    return df.mapInArrow(made, "id long, v array<double>, least double")
+    found = blocks.where(F.col("block").isin(list(wanted))).select("block", "ids", "values").mapInArrow(made, "id long, v array<double>")
+    by = {r["id"]: r["v"] for r in found.collect()}
+    return np.array([by[r["id"]] for r in rows])
 
 
 def _from_pool(ids: np.ndarray, x: np.ndarray, least: np.ndarray, more: bool, size: int) -> list[tuple[int, float]]:
@@ -352,29 +406,41 @@ def greedy_coreset(df: DataFrame, size: int, id_col: str = "vec_id", vector: str
     A row's distance begins as the mean distance from ``anchors`` rows chosen by hash, and shrinks to its distance from
     the centres chosen so far; each centre is the farthest row, ties to the smaller id. Chosen rows aren't chosen again.
     A pass over the rows brings the ``pool`` farthest ones to the driver, which goes on with these as long as none of the
-    others can be farther; the next pass lowers all distances at once. So there are far fewer passes than centres.
+    others can be farther; the next pass lowers all distances at once. So there are far fewer passes than centres. The
+    vectors stay where they are; a pass writes eight bytes and an id for each row, and reads only vectors that it can change.
     """
     spark = df.sparkSession
-    fine = F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("least")).where(fine)
-    first = [r["v"] for r in x.orderBy(F.xxhash64("id"), "id").limit(anchors).collect()]
-    if not first:
+    index = indexed(df, None, id_col, vector)
+    if index is None:
         return spark.createDataFrame([], "selection_order int, id long, distance double")
-    now, chosen = stored(_updated(x, np.asarray(first), [], mean=True)), []
+    first = [r["v"] for r in _whole(df, id_col, vector).orderBy(F.xxhash64("id"), "id").limit(anchors).collect()]
+    begun = index.blocks.select("block", "ids", F.col("times").alias("least"), F.lit(float("inf")).alias("most"))  # as many bytes, none of them read
+    now, chosen = stored(_lowered(index.blocks, begun, index, np.asarray(first), [], mean=True)), []
     while len(chosen) < size:
-        rows = now.where("least >= 0").orderBy(F.desc("least"), "id").limit(pool + 1).collect()
+        rows = _farthest(now, pool + 1)
         if not rows:
             break
         more, rows = len(rows) > pool, rows[:pool]
-        ids, points = np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows])
+        ids, points = np.array([r["id"] for r in rows]), _picked(index.blocks, rows)
         found = _from_pool(ids, points, np.array([r["least"] for r in rows]), more, size - len(chosen))
         chosen += [(len(chosen) + n, int(ids[i]), d) for n, (i, d) in enumerate(found)]
         if len(chosen) < size:
             at = [i for i, _ in found]
-            now = stored(_updated(now, points[at], ids[at].tolist()), instead_of=now)
+            now = stored(_lowered(index.blocks, now, index, points[at], ids[at].tolist()), instead_of=now)
     return spark.createDataFrame(chosen, "selection_order int, id long, distance double")
 
 
+def recovered(chosen: DataFrame, rows: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """``rows`` of a selection (selection_order, id, distance) with its order and distance, such as the full vectors of a
+    selection among projected ones; ids that have no row are an error."""
+    n = chosen.count()
+    found = F.broadcast(chosen) if n <= BROADCAST_BYTES // 64 else chosen
+    met = stored(rows.join(found.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id")).drop("_id"))
+    if met.select("selection_order").distinct().count() != n:
+        raise ValueError("a selected id has no row")
+    return met
+
+
 def coverage(least: DataFrame, distance_col: str = "distance") -> DataFrame:
     """count, mean, median, p95 (linear), max and the share of zeros of nearest distances."""
     d = F.col(distance_col)

@@ -86,12 +86,15 @@ def linear_quantiles(df: DataFrame, value: str, named: dict[str, float], by: lis
 
 
 def with_quantiles(aggregated: DataFrame, df: DataFrame, named: dict[str, dict[str, float]], by: list[str]) -> DataFrame:
-    """``aggregated`` (a row for each group of ``df``) with linear quantiles of several columns: {column: {name: q}}."""
-    for value, quantiles in named.items():
-        found = linear_quantiles(df, value, quantiles, by).withColumnsRenamed({k: f"_by_{k}" for k in by})
-        on = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]
-        aggregated = aggregated.join(found, on, "left").drop(*[f"_by_{k}" for k in by])
-    return aggregated
+    """``aggregated`` (a row for each group of ``df``) with linear quantiles of several columns: {column: {name: q}}. The
+    columns are one long table of values, so all quantiles of all of them are one pass and one join."""
+    each = [F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in named]
+    long = df.select(*by, F.explode(F.array(*each)).alias("_m")).select(*by, "_m._column", "_m._value")
+    asked = sorted({q for quantiles in named.values() for q in quantiles.values()})
+    found = linear_quantiles(long, "_value", {f"_q{i}": q for i, q in enumerate(asked)}, [*by, "_column"])
+    wide = [F.max(F.when(F.col("_column") == c, F.col(f"_q{asked.index(q)}"))).alias(name) for c, quantiles in named.items() for name, q in quantiles.items()]
+    right = found.groupBy(*by).agg(*wide).withColumnsRenamed({k: f"_by_{k}" for k in by})
+    return aggregated.join(right, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by], "left").drop(*[f"_by_{k}" for k in by])
 
 
 def ecdf(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .order import higher_quantile, linear_quantiles, running, value_counts
+from .order import linear_quantiles, running, value_counts
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int = 1, rank: str = "rank") -> DataFrame:
@@ -69,6 +69,3 @@ def hashed_sample(df: DataFrame, id_col: str, n: int, seed: str = "42") -> DataF
     """n rows without replacement, by SHA-256 of seed and id."""
     key = F.sha2(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")), 256)
     return df.withColumn("sample_key", key).orderBy("sample_key").limit(n)
-
-
-__all__ = ["at_places", "best", "by_priority", "first_rows", "hashed_sample", "higher_quantile", "nearest_to_median", "top_rows"]

@@ -76,7 +76,7 @@ def near_duplicate_review(spark, sf_dir):
     return met.select("a", "b", "distance", "label_a", "label_b", rounded(mean).alias("mean_difference"))
 
 
-@query("J1 J5 F18", """SELECT o_orderkey, c_name, n_name, coalesce(r_name, 'not_labeled') AS region, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+@query("J1 J5", """SELECT o_orderkey, c_name, n_name, coalesce(r_name, 'not_labeled') AS region, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 LEFT JOIN region ON n_regionkey = r_regionkey AND r_name LIKE 'A%'""")
 def validated_lookup(spark, sf_dir):
     t = lambda n: read_table(spark, sf_dir, n)

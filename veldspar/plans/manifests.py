@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import platform
 import uuid
 from importlib.metadata import version
@@ -9,9 +10,9 @@ from importlib.metadata import version
 from pyspark.sql import functions as F
 
 from ..functions.scalar import identity
-from ..operators import governance, manifests
+from ..operators import governance, links, manifests
 from ..sources import files
-from ..sources.scratch import shared_dir
+from ..sources.scratch import shared_dir, stored
 from .base import predictions, query, six
 
 _M = """WITH m AS (SELECT doc_id, substr(sha256(concat_ws('|', source, doc_id)), 1, 24) AS plain_id, sha256(coalesce(text, '')) AS sha256, coalesce(source, '') AS object, doc_id % 6 = 0 AS odd FROM documents),
@@ -128,13 +129,16 @@ def guard_counts(spark, sf_dir):
     return manifests.guard_counts(e.select(x.alias("log_value"), F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "click", 2).otherwise(0).alias("label")), ["log_value"], ["label"])
 
 
-_SETTINGS = {"memory_count": "4096", "projection_seed": "43", "comparison": ">", "retuning": "false", "method": "higher"}
+#: Which region some nations are to have; one of them is wrong, and one isn't there.
+_SETTINGS = {"NATION_3": "3", "NATION_7": "2", "NATION_8": "9", "ATLANTIS": "1"}
 
 
-@query("F8", """SELECT key, expected, found FROM (VALUES ('projection_seed', '43', '42'), ('retuning', 'false', NULL)) t(key, expected, found)""")
+@query("F8", """SELECT x.key, expected, CAST(n_regionkey AS VARCHAR) AS found FROM (VALUES ('NATION_3', '3'), ('NATION_7', '2'), ('NATION_8', '9'), ('ATLANTIS', '1')) x(key, expected) LEFT JOIN nation ON n_name = x.key
+WHERE n_regionkey IS NULL OR expected <> CAST(n_regionkey AS VARCHAR)""")
 def setting_violations(spark, sf_dir):
-    held = F.from_json(F.lit('{"memory_count": 4096, "projection_seed": 42, "comparison": ">", "method": "higher", "note": "free"}'), "map<string,string>")
-    return manifests.setting_violations(spark.range(1).select(F.explode(held).alias("key", "value")), _SETTINGS)
+    """Settings that a table holds, against fixed ones."""
+    held = files.read_table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    return manifests.setting_violations(held, _SETTINGS)
 
 
 @query("F14", """SELECT 'orders' AS source, round(sum(o_totalprice), 2) AS total FROM orders UNION ALL SELECT 'lineitem', round(sum(l_extendedprice), 2) FROM lineitem UNION ALL SELECT 'events', round(sum(value), 2) FROM events""")
@@ -174,32 +178,98 @@ def frozen_identities(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, n long, changed boolean")
 
 
-@query("K3 K4", "SELECT attempt, outcome FROM (VALUES (1, 'written'), (2, 'kept'), (3, 'refused'), (4, 'refused'), (5, 'refused')) t(attempt, outcome)")
+@query("K3 K4", """SELECT attempt, outcome, customers FROM (VALUES (1, 'written'), (2, 'kept'), (3, 'refused'), (4, 'refused'), (5, 'refused')) t(attempt, outcome), (SELECT count(*) AS customers FROM customer)""")
 def immutable_sinks(spark, sf_dir):
-    """A result written, written again with equal and with other content, as a new file, and with a number that JSON lacks."""
+    """A table's figures written, written again with equal and with other content, as a new file, and with a number that JSON
+    lacks; and what is read back each time."""
     path = f"{shared_dir(spark)}/veldspar-{uuid.uuid4().hex}.json"
+    held = {r["c_mktsegment"]: r["n"] for r in files.read_table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")).collect()}
     out = []
-    for attempt, (write, value) in enumerate(((files.write_once, {"a": 1.5}), (files.write_same, {"a": 1.5}), (files.write_same, {"a": 2}), (files.write_once, {"a": 1.5}), (files.write_same, {"a": float("nan")})), 1):
+    for attempt, (write, value) in enumerate(((files.write_once, held), (files.write_same, held), (files.write_same, held | {"more": 1}), (files.write_once, held), (files.write_same, held | {"more": float("nan")})), 1):
         try:
             write(spark, path, value)
-            out.append((attempt, "written" if attempt == 1 else "kept"))
+            outcome = "written" if attempt == 1 else "kept"
         except (FileExistsError, ValueError):
-            out.append((attempt, "refused"))
-    return spark.createDataFrame(out, "attempt int, outcome string")
+            outcome = "refused"
+        out.append((attempt, outcome, sum(json.loads(files.read_text(spark, path)).values())))
+    files.delete(spark, path)
+    return spark.createDataFrame(out, "attempt int, outcome string, customers long")
+
+
+def _months(spark, sf_dir):
+    o = files.read_table(spark, sf_dir, "orders")
+    cents = F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")) * 100).cast("long")
+    return o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), cents.alias("cents"))
+
+
+@query("K2 K4 O6", """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, CAST(round(sum(CAST(o_totalprice AS DECIMAL(18, 2))) * 100) AS BIGINT) AS cents, 'refused,written,kept,refused' AS outcomes FROM orders GROUP BY 1""")
+def committed_months(spark, sf_dir):
+    """A table that is written once: first before the one that it must follow, then rightly, again with equal rows in another
+    order, and with other rows. What is there at the end are the first writer's rows."""
+    base, rows, outcomes = f"{shared_dir(spark)}/veldspar-{uuid.uuid4().hex}", _months(spark, sf_dir), []
+    for step, df in enumerate((rows, rows, rows.orderBy(F.desc("month")), rows.where("n > 1").withColumn("n", F.col("n") + 1))):
+        if step == 1:
+            governance.commit_once(files.read_table(spark, sf_dir, "region"), f"{base}/first")
+        try:
+            outcomes.append(governance.commit_once(df, f"{base}/months", after=f"{base}/first"))
+        except (FileExistsError, RuntimeError):
+            outcomes.append("refused")
+    out = stored(governance.committed(spark, f"{base}/months").withColumn("outcomes", F.lit(",".join(outcomes))))
+    files.delete(spark, base)
+    return out
 
 
-@query("O6", "SELECT step, taken FROM (VALUES (1, 'secondary refused'), (2, 'primary'), (3, 'primary refused'), (4, 'secondary')) t(step, taken)")
+@query("O6", """SELECT step, taken, nations FROM (VALUES (1, 'secondary refused'), (2, 'primary'), (3, 'primary refused'), (4, 'secondary')) t(step, taken), (SELECT count(*) AS nations FROM nation)""")
 def unseal_order(spark, sf_dir):
-    """Steps that may be taken once, in order; what is refused says so."""
+    """Steps that may be taken once, in order, each with a table that is open once it is taken; what is refused says so."""
     base = f"{shared_dir(spark)}/veldspar-{uuid.uuid4().hex}"
-    out = []
+    out, n = [], files.read_table(spark, sf_dir, "nation").count()
     for step, (name, after) in enumerate((("secondary", "primary"), ("primary", None), ("primary", None), ("secondary", "primary")), 1):
         try:
             governance.claim(spark, f"{base}-{name}", f"{base}-{after}" if after else None)
-            out.append((step, name))
+            out.append((step, name, n))
         except (FileExistsError, RuntimeError):
-            out.append((step, f"{name} refused"))
-    return spark.createDataFrame(out, "step int, taken string")
+            out.append((step, f"{name} refused", n))
+    for name in ("primary", "secondary"):
+        files.delete(spark, f"{base}-{name}")
+    return spark.createDataFrame(out, "step int, taken string, nations long")
+
+
+@query("O4 O5 O9", """WITH a AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderkey % 16 AS part FROM orders), b AS (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 160 = 3 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 16 = 5 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, part FROM a WHERE o_orderkey % 320 <> 7
+  UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice, part FROM a WHERE o_orderkey % 320 = 9),
+c AS (SELECT * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+SELECT DISTINCT 'orders[' || part || ']' AS changed FROM c""")
+def changed_orders(spark, sf_dir):
+    """Which partitions of a frozen table have changed: rows with other values, rows gone and rows that are there twice."""
+    a = files.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    key = F.col("o_orderkey")
+    b = a.where(key % 320 != 7).select(key, F.when(key % 160 == 3, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(key % 16 == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice")).union(a.where(key % 320 == 9))
+    path, by = f"{shared_dir(spark)}/veldspar-{uuid.uuid4().hex}.json", {"orders": key % 16}
+    governance.freeze(spark, path, {"orders": a}, {}, by)
+    changed = governance.changed_tables(spark, path, {"orders": b}, {}, by)
+    files.delete(spark, path)
+    return spark.createDataFrame([(c,) for c in changed], "changed string")
+
+
+_LINKS = """p AS (SELECT page_id, lower(regexp_extract(html, '<title>([^ <]+)', 1)) AS word, list_distinct(list_transform(regexp_extract_all(html, 'href="/([^"]+)"', 1), lambda w: lower(w))) AS links FROM pages),
+e AS (SELECT DISTINCT s.page_id AS source, t.page_id AS target FROM (SELECT page_id, unnest(links) AS word FROM p) s JOIN p t ON t.word = s.word AND t.word <> '' WHERE s.page_id <> t.page_id)"""
+
+
+@query("O12", f"""WITH RECURSIVE {_LINKS}, c AS (SELECT page_id AS node, 0 AS hops FROM pages WHERE page_id % 40 = 1 UNION SELECT target, hops + 1 FROM c JOIN e ON source = node WHERE hops < 40)
+SELECT node, min(hops) AS hops FROM c GROUP BY node""")
+def linked_pages(spark, sf_dir):
+    """Closure over links with circles: a page links to those whose title begins with the word of a link; what is reached from
+    some pages, by how few links."""
+    pages = files.read_table(spark, sf_dir, "pages")
+    word = F.lower(F.regexp_extract("html", "<title>([^ <]+)", 1))
+    found = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("word")).select("page_id", F.lower("word").alias("word")).distinct()
+    # pages of one word are one node between, so a word's pages are never paired with the pages that link to it
+    out = found.select(F.concat(F.lit("p"), "page_id").alias("source"), F.concat(F.lit("w"), "word").alias("target"))
+    into = pages.select(F.concat(F.lit("w"), word).alias("source"), F.concat(F.lit("p"), "page_id").alias("target")).where(F.col("source") != "w")
+    seeds = pages.where("page_id % 40 = 1").select(F.concat(F.lit("p"), "page_id").alias("node"))
+    reached = links.reachable(out.union(into), seeds).where(F.col("node").startswith("p"))
+    return reached.select(F.substring("node", 2, 30).cast("long").alias("node"), F.expr("hops div 2").cast("int").alias("hops"))
 
 
 @query("O7", """SELECT phase, round(quantile_cont(v, 0.5), 6) AS median_s, quantile_cont(v, 0.5) <= 60 AS within FROM (SELECT event_type AS phase, value AS v FROM events) GROUP BY phase""")
@@ -212,5 +282,6 @@ def resource_gate(spark, sf_dir):
 def environment(spark, sf_dir):
     """What a run was made with: versions of the interpreter and libraries, and the settings that shape its plans."""
     rows = [("python", platform.python_version()), ("spark", spark.version), *[(n, version(n)) for n in ("numpy", "pandas", "pyarrow")]]
+    rows += [(f"rows of {n}", str(files.read_table(spark, sf_dir, n).count())) for n in ("documents", "embeddings", "orders", "events")]
     rows += [(k, spark.conf.get(k)) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone")]
     return spark.createDataFrame(rows, "name string, value string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -97,7 +98,16 @@ def gaussian_projection(spark, sf_dir):
     return p.select("vec_id", rounded(norm("embedding")).alias("length"), rounded(norm("projected")).alias("projected_length"))
 
 
-@query("V4 V5 W14 T13")
+@query("V5 V3")
+def coreset_vectors(spark, sf_dir):
+    """24 centres selected among projected vectors, and their full vectors in order of selection, told by their digests."""
+    v = _vectors(spark, sf_dir)
+    projected = knn.projected(v.select("vec_id", "embedding"), knn.projection(64, 16)).select("vec_id", "projected")
+    full = knn.recovered(knn.greedy_coreset(projected, 24, vector="projected"), v)
+    return six(full.select("selection_order", "vec_id", "label", F.sha2(F.to_json("embedding"), 256).alias("vector_sha256"), "distance"), "distance")
+
+
+@query("V4 W14")
 def greedy_coreset(spark, sf_dir):
     """24 centres by farthest-point selection, with the vectors' labels, in order of selection."""
     v = _vectors(spark, sf_dir)
@@ -197,16 +207,22 @@ def trace_summary(spark, sf_dir):
     return six(order.with_quantiles(g, s, named, ["grp"]), "median_distance", "median_score", "median_shift", "top1_median_shift", "within_10", "within_30")
 
 
-@query("O8", "SELECT metric, true AS equal FROM (VALUES ('threshold'), ('flagged'), ('max_score'), ('n')) t(metric)")
+@query("O8", "WITH " + _SPLIT + """, n AS (SELECT q.vec_id, q.split, min(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS d FROM e q, e b WHERE q.split <> 'fit' AND b.split = 'fit' GROUP BY q.vec_id, q.split),
+t AS (SELECT d AS threshold FROM (SELECT d, row_number() OVER (ORDER BY d) AS i, count(*) OVER () AS m FROM n WHERE split = 'calibration') WHERE i = CAST(ceil(0.95 * (m - 1)) AS BIGINT) + 1),
+s AS (SELECT max(threshold) AS threshold, CAST(count(*) FILTER (d > threshold + 1e-12) AS DOUBLE) AS flagged, max(d) AS max_score, CAST(count(*) AS DOUBLE) AS n FROM n, t)
+SELECT metric, round(value, 6) AS first, round(value, 6) AS second FROM s UNPIVOT (value FOR metric IN (threshold, flagged, max_score, n))""")
 def independent_review(spark, sf_dir):
-    """The detector's figures by another path: distances as SQL expressions over a join of all pairs by class, threshold by
-    a sorted place. Both must agree."""
-    first = _detector(spark, sf_dir).agg(F.max("threshold").alias("threshold"), F.count_if("flagged").cast("double").alias("flagged"), F.max("distance").alias("max_score"), F.count("*").cast("double").alias("n")).first()
+    """The detector's figures, and the same by another path: another index (cells and blocks of other sizes), distances as
+    SQL expressions of the pairs found, and the threshold by its place in a global order. Both must agree."""
+    scored = _detector(spark, sf_dir).agg(F.max("threshold").alias("threshold"), F.count_if("flagged").cast("double").alias("flagged"), F.max("distance").alias("max_score"), F.count("*").cast("double").alias("n"))
     e = _vectors(spark, sf_dir).withColumn("split", _split())
-    e.createOrReplaceTempView("veldspar_review")
-    second = spark.sql("""
-        WITH d AS (SELECT q.vec_id, max(q.split) AS split, min(sqrt(aggregate(zip_with(q.embedding, b.embedding, (x, y) -> power(double(x) - double(y), 2)), 0D, (s, x) -> s + x))) AS d
-                   FROM veldspar_review q JOIN veldspar_review b ON b.split = 'fit' AND q.split <> 'fit' GROUP BY q.vec_id),
-        t AS (SELECT element_at(sort_array(collect_list(d)), int(ceil(0.95 * (count(*) - 1))) + 1) AS threshold FROM d WHERE split = 'calibration')
-        SELECT max(threshold) AS threshold, double(count_if(d > threshold)) AS flagged, max(d) AS max_score, double(count(*)) AS n FROM d CROSS JOIN t""").first()
-    return spark.createDataFrame([(m, abs(first[m] - second[m]) <= 1e-9) for m in ("threshold", "flagged", "max_score", "n")], "metric string, equal boolean")
+    index = knn.indexed(e.where("split = 'fit'"), 2, block=100, cell_rows=60)
+    pairs = knn.nearest(e.where("split <> 'fit'"), index, 2).select("query_id", "bank_id")
+    named = e.select(F.col("vec_id").alias("query_id"), "split", F.col("embedding").alias("x")).join(pairs, "query_id").join(e.select(F.col("vec_id").alias("bank_id"), F.col("embedding").alias("y")), "bank_id")
+    d = stored(named.groupBy("query_id").agg(F.first("split").alias("split"), F.min(distance(F.col("x"), F.col("y"))).alias("d")))
+    own = d.where("split = 'calibration'").select("d")
+    place = math.ceil(0.95 * (own.count() - 1))
+    threshold = own.orderBy("d").offset(place).limit(1).select(F.col("d").alias("threshold"))
+    again = d.crossJoin(F.broadcast(threshold)).agg(F.max("threshold").alias("threshold"), F.count_if(F.col("d") > F.col("threshold") + 1e-12).cast("double").alias("flagged"), F.max("d").alias("max_score"), F.count("*").cast("double").alias("n"))
+    long = lambda df, name: df.unpivot([], ["threshold", "flagged", "max_score", "n"], "metric", name)
+    return six(long(scored, "first").join(long(again, "second"), "metric"), "first", "second")

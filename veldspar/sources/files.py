@@ -70,6 +70,11 @@ def create(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file's text."""
     return spark.read.text(path, wholetext=True).first()[0]
