@@ -193,6 +193,23 @@ def test_quantiles_agree_with_numpy_by_group(spark):
     assert order.with_quantiles(df.groupBy("g").count(), df, {"v": {"m": 0.5}}, ["g"]).count() == 5
 
 
+def test_ranges_follow_the_count_and_the_order_of_values(spark, monkeypatch):
+    monkeypatch.setattr(order, "ROWS", 7)
+    rng = np.random.default_rng(1)
+    special = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), 1.0, 2.0, 4.0, 1 - 2**-53, 2 - 2**-52, 1e-310]
+    values = sorted({*special, *(rng.normal(size=300) * 10.0 ** rng.integers(-9, 9, 300)).tolist(), *np.linspace(1, 1.0001, 50).tolist()})
+    df = spark.createDataFrame([(g, v) for g in ("a", None) for v in values], "g string, v double")
+    binned = [r["b"] for r in df.where("g is null").orderBy("v").select(order.bin_of(F.col("v")).alias("b")).collect()]
+    assert binned == sorted(binned)
+    dealt = order.ranged(df, "v", ["g"]).where("g is null").orderBy("v").collect()
+    ranges = [r["_range"] for r in dealt]
+    assert ranges == sorted(ranges) and len(set(ranges)) > 30
+    cum = order.running(df.withColumn("n", F.lit(1)), "v", ["n"], ["g"]).where("g = 'a'").orderBy("v").collect()
+    assert [r["cum_n"] for r in cum] == list(range(1, len(values) + 1))
+    down = order.running(df.withColumn("n", F.lit(1)), "v", ["n"], ["g"], descending=True).where("g = 'a'").orderBy("v").collect()
+    assert [r["cum_n"] for r in down] == list(range(len(values), 0, -1))
+
+
 def test_splits_keep_groups_whole_and_sized(spark):
     df = spark.createDataFrame([(f"g{i % 11}",) for i in range(50)], "g string")
     rows = governance.hash_split(df, "g").collect()

@@ -1,8 +1,9 @@
 """Exact order statistics without sorting everything, or one large group, in one task.
 
-Rows are first summed by value, which Spark combines before the shuffle. Values are then dealt into ranges between
-approximate quantiles, so that windows run within a range, and sums over whole ranges, one row each, carry over from
-range to range. Equal values never part.
+Rows are first summed by value, which Spark combines before the shuffle. A histogram of the leading bits of the values (their
+sign, exponent and twelve bits of the fraction, which are in the order of the values) deals them into ranges of about
+``ROWS`` values, as many as there are values for. Windows run within a range, and sums over whole ranges, one row each,
+carry over from range to range. Equal values never part.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 64
+#: About how many values a range holds, and steps of the histogram in an octave.
+ROWS, STEPS = 100_000, 4096
 
 
 def _on(left: DataFrame, right: DataFrame, by: list[str], more: list[str] = ()) -> DataFrame:
@@ -22,10 +24,24 @@ def _on(left: DataFrame, right: DataFrame, by: list[str], more: list[str] = ())
     return met.drop(*[f"_by_{k}" for k in [*by, *more]])
 
 
-def ranged(df: DataFrame, value: str, by: list[str], ranges: int = RANGES) -> DataFrame:
-    """``df`` with _range, the number of the range that holds a row's value, between approximate quantiles of its group."""
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 16 * ranges).alias("_cuts"))
-    return _on(df, cuts, by).withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
+def bin_of(value: Column) -> Column:
+    """A whole number that is no less for a greater number: sign, exponent and the leading bits of the fraction. Where a
+    rounded logarithm misses the exponent by one, the fraction makes up for it."""
+    size = F.abs(value.cast("double"))
+    exponent = F.floor(F.log2(size))
+    fraction = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * STEPS)
+    above = F.when(size == 0, 0).when(size == float("inf"), 4000 * STEPS).otherwise((exponent + 1100) * STEPS + fraction)
+    return F.when(value.cast("double") < 0, -above).otherwise(above).cast("long")
+
+
+def ranged(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``df`` with _range: ranges of its group's values in order, of about ROWS rows each, or of one bin that has more."""
+    dated = df.schema[value].dataType.typeName() == "date"
+    binned = df.withColumn("_bin", bin_of(F.unix_date(value) if dated else F.col(value)))
+    bins = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))  # STEPS rows an octave
+    cuts = bins.select(*by, "_bin", F.floor(F.coalesce(before, F.lit(0)) / ROWS).alias("_range"))
+    return _on(binned, cuts, by, ["_bin"]).drop("_bin")
 
 
 def running(df: DataFrame, value: str, sums: list[str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
@@ -38,7 +54,7 @@ def running(df: DataFrame, value: str, sums: list[str], by: list[str] | None = N
     order = F.desc(value) if descending else F.asc(value)
     before = F.desc("_range") if descending else F.asc("_range")
     totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    earlier = Window.partitionBy(*by).orderBy(before).rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    earlier = Window.partitionBy(*by).orderBy(before).rowsBetween(Window.unboundedPreceding, -1)  # a row for each ROWS values
     offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums])
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = dealt.select("*", *[F.sum(c).over(inside).alias(f"_l_{c}") for c in sums])
