@@ -1,5 +1,6 @@
 import struct
 import threading
+import time
 import zlib
 
 import numpy as np
@@ -167,6 +168,20 @@ def test_of_two_writers_of_a_table_one_stays(spark, tmp_path):
         governance.commit_once(rows, f"{path}-next", after=f"{path}-none")
 
 
+def test_an_action_past_its_deadline_is_stopped(spark):
+    def slow(batches):
+        time.sleep(60)
+        yield from batches
+
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):
+        governance.stopped_after(spark, 3, lambda: spark.range(4).mapInPandas(slow, "id long").collect())
+    assert time.monotonic() - began < 30
+    assert governance.stopped_after(spark, 60, lambda: spark.range(4).count()) == 4 and spark.range(5).count() == 5
+    with pytest.raises(ValueError, match="own"):
+        governance.stopped_after(spark, 60, lambda: (_ for _ in ()).throw(ValueError("its own")))
+
+
 def test_selected_vectors_are_recovered_in_order(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 5))

@@ -6,6 +6,7 @@ import functools
 import hashlib
 import itertools
 import json
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -277,3 +278,32 @@ def within(seconds: float, action: Callable, clock: Callable[[], float] = time.m
     if clock() - began > seconds:
         raise TimeoutError(f"took more than {seconds} s")
     return out
+
+
+def stopped_after(spark: SparkSession, seconds: float, action: Callable):
+    """The result of an action whose Spark jobs are cancelled once it has taken so long, which raises TimeoutError. Jobs that
+    it starts after that are cancelled, too; those of other threads go on."""
+    context, group, done, late = spark.sparkContext, f"veldspar-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+    before = context.getLocalProperty("spark.jobGroup.id"), context.getLocalProperty("spark.job.description")
+
+    def watch() -> None:
+        wait = seconds
+        while not done.wait(wait):
+            late.set()
+            context.cancelJobGroup(group)
+            wait = 0.1
+
+    context.setJobGroup(group, f"at most {seconds} s", interruptOnCancel=True)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"stopped after {seconds} s") from e
+        raise
+    finally:
+        done.set()
+        watcher.join()
+        context.setLocalProperty("spark.jobGroup.id", before[0])
+        context.setLocalProperty("spark.job.description", before[1])
