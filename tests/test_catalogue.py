@@ -39,3 +39,12 @@ def test_query(spark, duck, name):
 def test_entry_names_its_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "detector" in entry.queries()
+
+
+def test_pairs_at_the_threshold_are_as_in_sql(spark, tmp_path):
+    """0.9 * 52 + 0.2 * 66 is 60, which isn't above 60."""
+    con = duckdb.connect()
+    con.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' AS ts, i AS user_id, 'view' AS event_type, 52.0::DOUBLE AS value, '{{"k": ' || i || '}}' AS props
+    FROM (SELECT unnest(range(100)) AS i)) TO '{tmp_path}/events.parquet'""")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert norm(catalogue.queries()["recipe_pair_contrast"](spark, str(tmp_path)).toPandas()) == norm(con.sql(catalogue.oracle_sql()["recipe_pair_contrast"]).df())

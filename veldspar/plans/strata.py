@@ -130,7 +130,8 @@ _PAIR = f"""WITH {PREDICTIONS}, r AS (SELECT image_id, score AS d1, score * 0.9
 def recipe_pair_contrast(spark, sf_dir):
     p = predictions(spark, sf_dir)
     one = p.select("image_id", F.lit("d1").alias("recipe"), F.col("score").alias("s"), (F.col("size") / 100.0).alias("ap"))
-    two = p.select("image_id", F.lit("d2"), (F.col("score") * 0.9 + F.col("size") * 0.2).alias("s"), ((F.col("size") * 7 % 100) / 100.0).alias("ap"))
+    # a fifth of a whole number as the SQL's decimals have it, so that a sum of 60 isn't taken for more
+    two = p.select("image_id", F.lit("d2"), (F.col("score") * 0.9 + F.col("size") * 2 / 10).alias("s"), ((F.col("size") * 7 % 100) / 100.0).alias("ap"))
     m = strata.paired(one.union(two), "image_id", "recipe", ["d1", "d2"], ["s", "ap"])
     a, b = F.col("s_d1") > 60, F.col("s_d2") > 60
     gain = F.col("ap_d2") - F.col("ap_d1")
