@@ -481,6 +481,13 @@ def test_entities_of_one_and_two_documents_are_protected_in_all_of_a_text(spark)
     assert {(r["doc_id"], r["text"][r["t"]["start"] : r["t"]["end"]].lower()) for r in made} == want
 
 
+def test_findings_leave_out_no_term_for_its_count(spark):
+    """A word of the only document of an address is found, as 1 + log(1 / 1.5) / log(222) is above GENERALISE."""
+    rows = prose(12, 200) + [(500, "ask zorblax one@mail.org today")] + [(700 + i, "ask today") for i in range(21)]
+    found = {r["doc_id"]: r["spans"] for r in pii_infotheory.findings(docs_of(spark, rows)).collect()}
+    assert found[500] == "term:4:11,email:12:24" and found[0] == ""
+
+
 def test_a_list_of_addresses_is_one_group(spark):
     names = [f"{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}x" for i in range(4000)]
     contacts = " ".join(f"{n} {n}@mail.org" for n in names)

@@ -9,9 +9,10 @@ share of the entity's self-information,
     P(e|t) = (n(t, e) + PRIOR * P(e)) / (n(t) + PRIOR)
 
 with counts of documents. It is near 1 if the term occurs only with the entity, and about 0 if it tells nothing; the
-prior lowers it where few documents speak for it. That a rare word stands in the one document of an entity says nothing
-of either, so a pair also needs support: ``SUPPORT`` documents that hold both, or a term that is tied to the entity, as a
-part of the entity's own value (a name in an e-mail address). Revealing terms are sanitised wherever they stand in the
+prior lowers it where few documents speak for it. ``findings`` leaves out no pair for its count. ``redact`` changes texts,
+and that a rare word stands in the one document of an entity says nothing of either, so there a pair also needs support:
+``SUPPORT`` documents that hold both, or a term that is tied to the entity, as a part of the entity's own value (a name
+in an e-mail address). Revealing terms are sanitised wherever they stand in the
 entity's documents: from ``GENERALISE`` on they are generalised to their class, which is the kind of entity that they
 reveal most and whether they are written as names are, and from ``REMOVE`` on removed. Documents without base spans hold
 no entity, and are never changed.
@@ -165,7 +166,7 @@ def _tied(kind: Column, value: Column) -> Column:
     return F.when(kind == 0, F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit(TERM), F.lit(0)))).otherwise(F.array().cast("array<string>"))
 
 
-def revealing_terms(found: DataFrame, clean: DataFrame, total: float) -> DataFrame:
+def revealing_terms(found: DataFrame, clean: DataFrame, total: float, support: int = SUPPORT) -> DataFrame:
     """(p_row, term, disclosure, kind) of the terms that reveal an entity of the row, at their highest disclosure and of what
     kind; of the rows with base spans and of all others, ``total`` together."""
     entities = F.array_distinct(F.transform("p_base", lambda s: F.struct(_entity(s["kind"], s["value"]).alias("entity"), s["kind"].alias("kind"), _tied(s["kind"], s["value"]).alias("parts"))))
@@ -180,16 +181,16 @@ def revealing_terms(found: DataFrame, clean: DataFrame, total: float) -> DataFra
     rare = durable(seen.where(F.col("near") & (F.col("n_t") <= _most(F.lit(widest or 1), total))).select("term", "n_t"))
     terms = durable(found.select("p_row", F.explode(_terms()).alias("term")).join(small_side(rare, rare.count(), BROADCAST_TEXTS), "term"))
     possible = F.col("n_t") <= _most(F.col("n_e"), total)
-    # groups of entities that several documents hold, with the terms of several documents
+    # groups of entities that enough documents hold, with the terms of enough documents
     group = F.concat_ws(":", "n_e", "s1", "s2")
-    groups = held.where(F.col("n_e") >= SUPPORT).groupBy("p_row", group.alias("who"), "n_e").agg(F.min("kind").alias("kind"))
-    shared = terms.where(F.col("n_t") >= SUPPORT).join(groups, "p_row").where(possible).select("p_row", "who", "term", "n_t", "n_e", "kind")
+    groups = held.where(F.col("n_e") >= support).groupBy("p_row", group.alias("who"), "n_e").agg(F.min("kind").alias("kind"))
+    shared = terms.where(F.col("n_t") >= support).join(groups, "p_row").where(possible).select("p_row", "who", "term", "n_t", "n_e", "kind")
     own = held.where(F.size("parts") > 0).select("p_row", F.col("entity").alias("who"), "n_e", "kind", F.explode("parts").alias("term"))
     tied = own.join(terms, ["p_row", "term"]).where(possible).select("p_row", F.concat(F.lit("="), "who").alias("who"), "term", "n_t", "n_e", "kind")
     pairs = durable(shared.withColumn("tied", F.lit(False)).union(tied.withColumn("tied", F.lit(True))))
     together = pairs.groupBy("who", "term").agg(F.count("*").alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.first("tied").alias("tied"))
     given = (F.col("n_et") + PRIOR * F.col("n_e") / F.lit(total)) / (F.col("n_t") + PRIOR)
-    scored = together.where(F.col("tied") | (F.col("n_et") >= SUPPORT)).select("who", "term", (1 + F.log(given) / F.log(F.lit(total) / F.col("n_e"))).alias("disclosure"))
+    scored = together.where(F.col("tied") | (F.col("n_et") >= support)).select("who", "term", (1 + F.log(given) / F.log(F.lit(total) / F.col("n_e"))).alias("disclosure"))
     strong = durable(scored.where(F.col("disclosure") >= GENERALISE))
     chosen = pairs.select("p_row", "who", "term", "kind").join(small_side(strong, strong.count(), BROADCAST_TEXTS), ["who", "term"])
     most = chosen.groupBy("p_row", "term").agg(F.max(F.struct("disclosure", (-F.col("kind")).alias("k"))).alias("m"))
@@ -205,7 +206,7 @@ def _occurrences() -> Column:
     return F.filter(_matches(_outside(), TERM, made), lambda s: s["disclosure"].isNotNull())
 
 
-def sanitised(docs: DataFrame) -> DataFrame:
+def sanitised(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """p_doc (a row of ``docs``), p_row, p_text (never null), p_base (base spans) and p_terms (spans of revealing terms with
     their disclosure, and the kind of entity that they reveal)."""
     row, none = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("p_doc"), F.array().cast(f"array<{SPAN}>")
@@ -214,7 +215,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     clean = docs.where(F.size(base) == 0).select(row, none.alias("p_base"), F.lit(None).cast("long").alias("p_row")).withColumn("p_text", text)
     with scope(docs.sparkSession):
         found = durable(docs.select(row, base.alias("p_base")).where(F.size("p_base") > 0).withColumn("p_row", F.monotonically_increasing_id()), keep=True).withColumn("p_text", text)
-        terms = revealing_terms(found, clean, float(max(1, docs.count())))
+        terms = revealing_terms(found, clean, float(max(1, docs.count())), support)
         strong = durable(terms.groupBy("p_row").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("disclosure", "kind")))).alias("p_strong")), keep=True)
     none = F.array().cast(TERM_SPANS)
     spans = F.when(F.col("p_strong").isNotNull(), _occurrences()).otherwise(none)
@@ -256,8 +257,9 @@ def redacted() -> Column:
 
 
 def findings(docs: DataFrame) -> DataFrame:
+    """Spans of base and of all revealing terms, however few documents hold them."""
     count = lambda i: F.size(F.filter("p_base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
-    return sanitised(docs.select("doc_id", "text")).select(
+    return sanitised(docs.select("doc_id", "text"), 1).select(
         F.col("p_doc.doc_id").alias("doc_id"), *[count(i) for i in range(4)], F.sha2(_listed(F.col("p_base")), 256).alias("base_sha256"), _listed(all_spans()).alias("spans"),
         F.size("p_base").cast("long").alias("n_base"), F.size("p_terms").cast("long").alias("n_term"),
     )
@@ -313,12 +315,12 @@ outside AS (
 ), terms AS (SELECT DISTINCT r, term FROM (SELECT r, lower(unnest(regexp_extract_all(t, '\p{{L}}{{3,}}'))) AS term FROM outside)),
 n_t AS (SELECT term, count(*) AS n_t FROM terms GROUP BY term),
 total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM d),
-held AS (SELECT r, i || ':' || CASE i WHEN 0 THEN lower(value) WHEN 1 THEN value ELSE digits END AS entity, CASE WHEN min(i) = 0 THEN regexp_extract_all(lower(min(value)), '\p{{L}}{{3,}}') ELSE [] END AS parts FROM base GROUP BY 1, 2),
+held AS (SELECT DISTINCT r, i || ':' || CASE i WHEN 0 THEN lower(value) WHEN 1 THEN value ELSE digits END AS entity FROM base),
 n_e AS (SELECT entity, count(*) AS n_e FROM held GROUP BY entity),
-pairs AS (SELECT r, entity, term, list_contains(parts, term) AS tied FROM held JOIN terms USING (r)),
+pairs AS (SELECT r, entity, term FROM held JOIN terms USING (r)),
 strong AS (
-  SELECT entity, term FROM (SELECT entity, term, count(*) AS n_et, bool_or(tied) AS tied FROM pairs GROUP BY entity, term) JOIN n_t USING (term) JOIN n_e USING (entity) CROSS JOIN total
-  WHERE n_e < n AND (tied OR n_et >= {SUPPORT}) AND 1 + ln((n_et + {PRIOR} * n_e / n) / (n_t + {PRIOR})) / ln(n / n_e) >= {GENERALISE}
+  SELECT entity, term FROM (SELECT entity, term, count(*) AS n_et FROM pairs GROUP BY entity, term) JOIN n_t USING (term) JOIN n_e USING (entity) CROSS JOIN total
+  WHERE n_e < n AND 1 + ln((n_et + {PRIOR} * n_e / n) / (n_t + {PRIOR})) / ln(n / n_e) >= {GENERALISE}
 ), chosen AS (SELECT DISTINCT r, term FROM pairs JOIN strong USING (entity, term)),
 near AS (SELECT r, t FROM outside WHERE near),
 {_sql_matches("seen", "near", r"\p{L}{3,}", "4 AS i, 'term' AS kind")},
