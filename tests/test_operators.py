@@ -52,19 +52,17 @@ def test_nearest_meets_few_blocks_of_a_bank_in_clusters(spark):
         assert r["bank_id"] == np.lexsort((np.arange(3000), d[r["query_id"]]))[r["rank"] - 1]
 
 
-def test_nearest_shuffles_a_vector_a_fixed_number_of_times(spark, monkeypatch):
-    """However many blocks meet."""
-    monkeypatch.setattr(knn, "BROADCAST_BYTES", 0)
+def test_nearest_moves_each_block_a_fixed_number_of_times(spark):
+    """However many pairs of blocks meet, which were what moved before."""
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=(1500, 32)), rng.normal(size=(1600, 32))
     index = knn.indexed(vectors(spark, y), 2, block=20, cell_rows=40)
-    near = knn.nearest(vectors(spark, x), index, 2)
-    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
-    before = written()
-    got = near.collect()
-    time.sleep(1)  # figures come with the tasks' ends
-    assert index.blocks.count() > 60 and written() - before < 2 * knn.GROUPS * 8 * (x.size + y.size)
+    asked = knn.stored(knn._asked(vectors(spark, x).withColumnsRenamed({"vec_id": "id", "embedding": "v"}), index, 2))
+    moved, blocks = knn._tiles(asked, index).count(), asked.count() + index.blocks.count()
+    _, pairs = knn.pairs_met(vectors(spark, x), index, 2)
+    assert moved <= knn.GROUPS * blocks < pairs.count()
     d = np.sqrt(((np.float32(x).astype(float)[:, None] - np.float32(y).astype(float)[None]) ** 2).sum(axis=2))
+    got = knn.nearest(vectors(spark, x), index, 2).collect()
     assert len(got) == 3000 and all(r["bank_id"] == np.argsort(d[r["query_id"]], kind="stable")[r["rank"] - 1] for r in got)
 
 
