@@ -529,3 +529,20 @@ def test_maps_hold_each_patch(spark):
     assert (got[1]["patch"], got[1]["row"], got[1]["column"], got[1]["bank_id"], got[1]["score"]) == (1, 0, 1, 6, 3.0) and got[2]["row"] == 1
     maps = {r["image_id"]: r["map"] for r in knn.image_maps(patches, 2, 2, 2).collect()}
     assert maps == {1: [1.0, 3.0, 0.0, 3.0], 2: [0.0, 0.0, 0.5, 0.0]}
+
+
+def test_strokes_take_medians_only_where_pins_may_be(monkeypatch):
+    rgb = np.full((200, 300, 3), 0.4)
+    rgb[60:90, 150:153], rgb[95:120, 60:240] = 0.9, (0.1, 0.5, 0.6)
+    sizes, whole = [], raster.median_rows
+
+    def told(image, width, columns=slice(None)):
+        out = whole(image, width, columns)
+        sizes.append(out.size)
+        assert np.array_equal(out, whole(image, width)[:, columns])
+        return out
+
+    monkeypatch.setattr(boards, "median_rows", told)
+    found = boards.strokes(rgb, 60, 95, 240, 165)
+    assert found["side"].to_pylist() == ["above"] * 3 and found["x"].to_pylist() == [36, 37, 38]
+    assert sum(sizes) < rgb.shape[0] * rgb.shape[1] / 4
