@@ -217,6 +217,32 @@ def test_probabilities_sum_to_one(types):
         assert 0.95 < p.sum() < 1.05, (v, p.sum())
 
 
+def test_language_model_moves_its_ngrams_once(spark, monkeypatch):
+    """Each bucket sends its distinct n-grams in a message a part, however many shards there are; levels follow neither."""
+    df = docs_of(spark, prose(15, 60) + [(None, None), (None, "a b a b")])
+    scores = lambda **k: sorted((r["doc_id"] or 0, round(r["score"], 9), round(r["base_score"], 9), r["n_known"]) for r in lm_bloom.score(df, fold_of() == 1, **k).collect())
+    whole = scores()
+    monkeypatch.setattr(lm_bloom, "BUCKET_BYTES", 600)
+    asked, sent = lm_bloom.asked_of, []
+    monkeypatch.setattr(lm_bloom, "asked_of", lambda *a: sent.append((a[2], asked(*a))) or sent[-1][1])
+    assert scores(filter_bits=1 << 13) == whole
+    parts, messages = sent[0][0], sent[0][1].drop("names", "n").toPandas()
+    assert 1 < parts < 100 and messages["bucket"].nunique() > 5
+    assert not messages.duplicated(["bucket", "part"]).any() and len(messages) <= parts * messages["bucket"].nunique() and (messages["size"] > 0).all()
+
+
+def test_language_model_is_the_same_at_any_number_of_types():
+    assert {lm_bloom.checks_for(n) for n in (1, 3_000, 34_000, 35_000, 40_000_000)} == {lm_bloom.CHECKS}
+    assert lm_bloom.WORD_RATE**lm_bloom.CHECKS * 40_000_000 < 0.01
+    v = np.array([1.0, 100.0])
+    assert np.allclose(lm_bloom.probability(v * 0, v, v, 1e6, 100.0) * (v + lm_bloom.MU + 100), lm_bloom.MU * (v + 0.5) / 1e6)
+
+
+def test_packed_numbers_come_back():
+    for v in (np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64), np.arange(7, dtype=np.uint32), np.ones(1, np.uint16)):
+        assert np.array_equal(lm_bloom.unpacked(lm_bloom.packed(v), len(v), v.dtype.type), v)
+
+
 def test_filter_never_reads_too_low():
     rng = np.random.default_rng(0)
     names = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))

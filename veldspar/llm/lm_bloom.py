@@ -1,26 +1,24 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-All training tokens and bigrams are counted, summed within workers first. Their counts go into one filter whose size
-follows their number: an n-gram of quantised count q is entered with the levels 1 to q (two an octave), and one of four
-and more occurrences also with its eighth of the last level. Its count is read by probing levels until one is missing,
-then that level's eighths; if none is there, the level was a false positive and the one before counts. That gives counts
-within about two in a hundred, and exactly up to three. The model is a bigram that backs off to single tokens,
+All training tokens and bigrams are counted, and their counts go into one filter whose size follows their number: an n-gram
+of quantised count q is entered with the levels 1 to q (two an octave), and one of four and more occurrences also with its
+eighth of the last level. Its count is read by probing levels until one is missing, then that level's eighths; if none is
+there, the level was a false positive and the one before counts. That gives counts within about two in a hundred, and
+exactly up to three. The model is a bigram that backs off to single tokens,
 
-    P(w | v) = (min(c(v, w), c(v), c(w)) + M * P(w)) / (c(v) + M + F)
+    P(w | v) = (min(c(v, w), c(v), c(w)) + MU * P(w)) / (c(v) + MU + F)
     P(w)     = (c(w) + 0.5) / (sum of c + 0.5 * (types + 1))
-    M        = max(MU, F)
 
-where each c is read from the filter, and F (0 for a v that isn't known) is what unknown bigrams of v are expected to add
-by false positives: their rate, measured on the filter's bits, times the number of types. How much they add varies by the
-root of F, so it is known within a few hundredths if F is large (``MANY``); the more sightings are false, the less weight
-one has against P(w). Where there are too few types for that, a level-1 entry is checked in further words, until F is
-below ``FALSE`` of MU. Either way the probabilities of all types and of an unknown one sum to one after any v, but for a
-few in a hundred.
+where each c is read from the filter (of the ``WARM`` most frequent tokens it is known, and quantised as there), and F (0 for a v that isn't known) is what unknown bigrams of v are expected to add
+by false positives. A level-1 entry is checked in ``CHECKS`` words, at any size of the input, so an unknown n-gram seems
+known in one of five billion cases and F is under a hundredth for 40 million types. The probabilities of all types and of
+an unknown one sum to one after any v, but for a few in a hundred.
 
-The filter is made in ``SHARDS`` shards, by a remainder of the n-gram's name, each sized by its own entries and built by
-the task that has summed its counts; no table of bigrams is written. A filter of at most ``FILTER_BITS`` is broadcast. A
-larger one stays where it is, and the n-grams of the texts go to its shards: each step of texts asks a shard for packed
-names and gets packed levels back. Either way gives the same levels.
+The filter has ``SHARDS`` shards, by a remainder of the n-gram's name, each sized by its own entries. Texts go in buckets of
+a few megabytes, by a hash of the row. A bucket sends its distinct n-grams with their training counts, as compressed steps from one name to the next, to
+the parts of the filter (some shards each); a part sums the counts, enters them, reads what each bucket asked for, and sends the levels back
+to the buckets' texts. So the n-grams move once, no filter is stored, broadcast or seen by the driver, and a task holds one
+part or one bucket at a time. Neither the number of parts nor of buckets changes a level.
 
 Base scores need exact counts: the ``WARM`` most frequent tokens go to the workers with their counts, a table of fixed
 size; all other tokens of a document meet their counts in a shuffle join on the token, which 128-bit names stand for.
@@ -32,12 +30,10 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,19 +41,21 @@ from . import textbytes as tb
 from .common import arrow, durable, fold_of, scope, table
 
 WARM, MU, STEPS_PER_OCTAVE, EIGHTHS = 1 << 18, 16.0, 2, 8
-#: Parts of the filter; its bits for each entry and word, and how many of a word an entry sets; most bits that are broadcast.
-SHARDS, ENTRY_BITS, HASHES, FILTER_BITS = 4096, 12, 5, 1 << 30
-#: How many false positives after a token are many; how many are few, as a share of MU; their rate in a word.
-MANY, FALSE, WORD_RATE = 400, 1 / 32, 0.0115
+#: Shards of the filter; its bits for each entry and word, and how many of a word an entry sets; bits of a part, about.
+SHARDS, ENTRY_BITS, HASHES, FILTER_BITS = 4096, 12, 5, 1 << 27
+#: Words in which a level-1 entry is checked, and the rate of false positives of one.
+CHECKS, WORD_RATE = 5, 0.0115
+#: Bytes of text of a bucket, about, and of a token.
+BUCKET_BYTES, TOKEN_BYTES = 1 << 21, 6
 #: Names of the end token and of what stands before a row, and base of the names of bigrams.
 END, END_OTHER, START = np.uint64(0xE5D0C0DE0000E5D1), np.uint64(0x0E5D0C0DE0E5D2E5), np.uint64(0x57A27C0DE00057A2)
 _BI = np.uint64(0x3C79AC492BA7B653)
 #: Distinct entries that a worker combines before it sends them on.
 COMBINE = 1_000_000
 
-TOKENS, GRAMS, BUILT = "token long, other long, n long", "gram long, n long", "shard int, bits binary, rate double"
+TOKENS = "token long, other long, n long"
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, token long, other long, tf long"
-ASKED, ANSWERED = "step long, shard int, names binary, state binary", "step long, shard int, levels binary"
+ASKED, ANSWERED = "bucket int, part int, size int, names binary, n binary", "bucket int, part int, size int, levels binary"
 
 
 def code(n: np.ndarray) -> np.ndarray:
@@ -81,8 +79,8 @@ def value_column(n: Column) -> Column:
 
 
 def checks_for(types: int) -> int:
-    """Words in which a level-1 entry is checked, so that what false positives add over all types is known well, or little."""
-    return 1 if WORD_RATE * types >= MANY else max(1, int(np.ceil(np.log(FALSE * MU / max(1, types)) / np.log(WORD_RATE))))
+    """Words in which a level-1 entry is checked: the same for any number of types."""
+    return CHECKS
 
 
 def shard_of(name: np.ndarray, shards: int) -> np.ndarray:
@@ -150,10 +148,14 @@ class LogFrequencyFilter:
         return float(((np.bitwise_count(self.words) / 64.0) ** HASHES).mean())
 
 
+def _entries(codes: np.ndarray, checks: int) -> np.ndarray:
+    q = codes // EIGHTHS
+    return q + (checks - 1) * (q > 0) + (q > 4)
+
+
 def entries_of(codes: np.ndarray, checks: int) -> int:
     """How many entries n-grams of some codes make."""
-    q = codes // EIGHTHS
-    return int(q.sum() + (checks - 1) * (q > 0).sum() + (q > 4).sum())
+    return int(_entries(codes, checks).sum())
 
 
 def words_for(entries: np.ndarray, entry_bits: int = ENTRY_BITS) -> np.ndarray:
@@ -161,6 +163,15 @@ def words_for(entries: np.ndarray, entry_bits: int = ENTRY_BITS) -> np.ndarray:
     return np.maximum(1, -(-entries * entry_bits // 64))
 
 
+def filter_of(name: np.ndarray, n: np.ndarray, shards: int = SHARDS, entry_bits: int = ENTRY_BITS, checks: int = CHECKS) -> LogFrequencyFilter:
+    """The filter of n-grams with their counts; shards that have none of them take a word each."""
+    codes = code(n)
+    entries = np.bincount(shard_of(name, shards), weights=_entries(codes, checks), minlength=shards).astype(np.int64)
+    out = LogFrequencyFilter(words_for(entries, entry_bits), checks=checks)
+    out.add(name, codes)
+    return out
+
+
 class Combiner:
     """Sums counts by name, or by both names, within a worker; hands on what it has beyond COMBINE distinct keys."""
 
@@ -227,58 +238,6 @@ def count_tokens(training: DataFrame) -> DataFrame:
     return arrow(training.select("text"), made, TOKENS).groupBy("token", "other").agg(F.sum("n").alias("n"))
 
 
-def count_bigrams(training: DataFrame) -> DataFrame:
-    """(gram, n), with a row for each worker that met the bigram."""
-
-    def made(batches):
-        combined = Combiner(["gram", "n"])
-        for batch in batches:
-            for _, data, offsets in tb.steps(batch, "text"):
-                names, _, ends = tokens_of(data, offsets)
-                grams = bigrams_of(names, ends)
-                first, back = tb.distinct(grams)
-                yield from combined.add(grams[first], np.bincount(back, minlength=len(first)))
-        yield from combined.rest()
-
-    return arrow(training.select("text"), made, GRAMS)
-
-
-def build(grams: DataFrame, shards: int = SHARDS, entry_bits: int = ENTRY_BITS, checks: int = 1) -> DataFrame:
-    """(shard, bits, rate of false positives of an entry) of a filter of rows (gram, n), whose counts are summed. Each shard
-    has its row in one partition."""
-    parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = grams.withColumn("shard", F.pmod("gram", F.lit(shards)).cast("int")).repartition(min(shards, parts), "shard")
-    summed = dealt.groupBy("shard", "gram").agg(F.sum("n").alias("n")).select("shard", "gram", "n")
-
-    def made(batches):
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), code(b.column(2).to_numpy()).astype(np.uint16)) for b in batches]
-        if not held:
-            return
-        shard, name, codes = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order = np.argsort(shard, kind="stable")
-        numbers, begin = np.unique(shard[order], return_index=True)
-        for number, some in zip(numbers.tolist(), np.split(order, begin[1:])):
-            # in a filter of its own all names are of the one shard
-            wide = codes[some].astype(np.int64)
-            own = LogFrequencyFilter(words_for(np.array([entries_of(wide, checks)]), entry_bits), checks=checks)
-            own.add(name[some], wide)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([own.words.tobytes()], pa.binary()), pa.array([own.rate()])], ["shard", "bits", "rate"])
-
-    return arrow(summed, made, BUILT)
-
-
-def whole_filter(built: DataFrame, shards: int = SHARDS, checks: int = 1) -> LogFrequencyFilter:
-    """The filter whose shards all come to the driver, one after the other; FILTER_BITS bound them."""
-    sizes = np.ones(shards, dtype=np.int64)
-    found = built.select("shard", (F.octet_length("bits") / 8).cast("long").alias("words")).toArrow()  # a row a shard
-    sizes[found["shard"].to_numpy()] = found["words"].to_numpy()
-    out = LogFrequencyFilter(sizes, checks=checks)
-    for i, bits in built.select("shard", "bits").toLocalIterator():
-        out.words[out.first[i] : out.first[i + 1]] = np.frombuffer(bits, dtype=np.uint64)
-    return out
-
-
 class Warm:
     """The most frequent tokens with their counts."""
 
@@ -296,14 +255,14 @@ class Warm:
 
 def probability(both: np.ndarray, before: np.ndarray, after: np.ndarray, norm: float, false: float) -> np.ndarray:
     """P(w | v) of c(v, w), c(v) and c(w)."""
-    seen, prior = np.minimum(np.minimum(both, before), after), max(MU, false)
-    return (seen + prior * (after + 0.5) / norm) / (before + prior + np.where(before > 0, false, 0.0))
+    seen = np.minimum(np.minimum(both, before), after)
+    return (seen + MU * (after + 0.5) / norm) / (before + MU + np.where(before > 0, false, 0.0))
 
 
 class Step:
     """The tokens and n-grams of some rows, and what the model says of them once levels are known."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, warm: Warm):
         names, others, self.first = tokens_of(data, offsets)
         at, self.token = tb.distinct(names, others)
         self.name, self.other = names[at], others[at]
@@ -313,25 +272,38 @@ class Step:
         before[1:] = self.token[:-1]
         before[self.first[:-1]] = -1
         self.second, self.lead = self.token[at], before[at]
-        #: what is asked of the filter: distinct tokens, then distinct bigrams
-        self.grams = np.concatenate([self.name, grams[at]])
+        self.n = warm.find(self.name, self.other)
+        self.cold = np.flatnonzero(self.n < 0)
+        #: what is asked of the filter: distinct tokens that aren't warm, then distinct bigrams
+        self.grams = np.concatenate([self.name[self.cold], grams[at]])
+
+    def times(self, rows: np.ndarray) -> np.ndarray:
+        """How often the rows that are marked have each of ``grams``."""
+        some = np.repeat(rows, np.diff(self.first))
+        return np.concatenate([np.bincount(self.token[some], minlength=len(self.name))[self.cold], np.bincount(self.pair[some], minlength=len(self.second))])
+
+    def parts(self, shards: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of ``grams`` by their parts of the filter, the parts met, and where in the order each of them begins."""
+        part = shard_of(self.grams, shards) % parts
+        order = np.argsort(part, kind="stable")
+        return order, *np.unique(part[order], return_index=True)
 
     def scores(self, codes: np.ndarray, at_start: float, norm: float, false: float) -> np.ndarray:
         """Log10 probability of each row, from the codes of ``grams``."""
-        c = value(codes)
-        own, both = c[: len(self.name)], c[len(self.name) :]
+        known = code(np.maximum(self.n, 0))
+        known[self.cold] = codes[: len(self.cold)]
+        own, both = value(known), value(codes[len(self.cold) :])
         begun = np.where(self.lead < 0, at_start, own[self.lead]) if len(own) else both
         after = own[self.second] if len(own) else both
         log_p = np.log10(probability(both, begun, after, norm, false))
         rows = len(self.first) - 1
         return np.bincount(np.repeat(np.arange(rows), np.diff(self.first)), weights=log_p[self.pair], minlength=rows)
 
-    def base(self, warm: Warm, log_norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def base(self, log_norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens and base score of each row as far as warm tokens go; (row, token, times) of the others."""
         rows = len(self.first) - 1
         of = np.repeat(np.arange(rows), np.diff(self.first))
-        n = warm.find(self.name, self.other)
-        is_warm = n >= 0
+        n, is_warm = self.n, self.n >= 0
         part = np.where(is_warm, np.log10(np.maximum(n, 0) + 0.5) - log_norm, 0.0)
         known = np.bincount(of, weights=is_warm[self.token], minlength=rows).astype(np.int64)
         cold = np.flatnonzero(~is_warm[self.token])
@@ -339,34 +311,9 @@ class Step:
         return known, np.bincount(of, weights=part[self.token], minlength=rows), keys // max(1, len(n)), keys % max(1, len(n)), times
 
 
-def answers(asked: DataFrame, built: DataFrame, shards: int, checks: int = 1) -> DataFrame:
-    """(step, shard, levels) of packed names (step, shard, names): names and shards of the filter meet in the partition of
-    their shard, the filter's row first, so a task holds one shard at a time."""
-    rows = asked.where("names is not null").select("shard", F.lit(1).alias("kind"), "step", F.col("names").alias("bytes"))
-    both = rows.unionByName(built.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("step"), F.col("bits").alias("bytes")))
-    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(min(shards, parts), "shard").sortWithinPartitions("shard", "kind").select("step", "shard", "kind", "bytes")
-
-    def made(batches):
-        now, held = None, None
-        for batch in batches:
-            out = []
-            for step, shard, kind, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
-                found = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
-                if kind == 0:
-                    now, held = shard, LogFrequencyFilter(np.array([len(found)]), found, checks)
-                else:
-                    # a shard without a row in the filter is empty
-                    out.append((step, shard, (held.read(found) if now == shard else np.zeros(len(found))).astype(np.uint16).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["step", "shard", "levels"])
-
-    return arrow(dealt, made, ANSWERED)
-
-
-def _rows(step: Step, row: int, part: pa.RecordBatch, score: np.ndarray, warm: Warm, log_norm: float) -> pa.RecordBatch:
+def _rows(step: Step, row: int, part: pa.RecordBatch, score: np.ndarray, log_norm: float) -> pa.RecordBatch:
     """A row for each text, and one for each of its distinct tokens that aren't warm."""
-    known, base, to, which, tf = step.base(warm, log_norm)
+    known, base, to, which, tf = step.base(log_norm)
     rows, n_met, none = len(known), len(to), pa.nulls
     ids = row + np.arange(rows)
     spread = tb.mix(ids.astype(np.uint64))  # what needs no join goes anywhere
@@ -382,52 +329,65 @@ def _rows(step: Step, row: int, part: pa.RecordBatch, score: np.ndarray, warm: W
 SCORED_NAMES = [x.split()[0] for x in SCORED.split(", ")]
 
 
-def _by_broadcast(docs: DataFrame, held: LogFrequencyFilter, model: tuple) -> DataFrame:
-    whole = docs.sparkSession.sparkContext.broadcast(held)
+def packed(v: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    return pa.compress(np.ascontiguousarray(v.view(np.uint8).reshape(len(v), -1).T), codec="zstd", asbytes=True)
 
-    def made(batches):
-        warm, log_norm, *rest = model.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part, data, offsets in tb.steps(batch, "text"):
-                step = Step(data, offsets)
-                yield _rows(step, row, part, step.scores(whole.value.read(step.grams), *rest), warm, log_norm)
-                row += part.num_rows
 
-    return arrow(docs, made, SCORED)
+def unpacked(raw: bytes, size: int, kind: type) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, size * wide, codec="zstd"), dtype=np.uint8)
+    return planes.reshape(wide, size).T.copy().view(kind).ravel()
 
 
-def _by_shuffle(docs: DataFrame, built: DataFrame, shards: int, checks: int, model: tuple) -> DataFrame:
-    def asking(batches):
-        number = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part, data, offsets in tb.steps(batch, "text"):
-                step = Step(data, offsets)
-                shard = shard_of(step.grams, shards)
-                order = np.argsort(shard, kind="stable")
-                numbers, begin = np.unique(shard[order], return_index=True)
-                names = [step.grams[x].tobytes() for x in np.split(order, begin[1:])] if len(order) else []
-                state = pickle.dumps((step, number, part.select(["doc_id", "held_out"]).to_pydict()))
-                n = len(names)
-                columns = [pa.array([number] * (n + 1), pa.int64()), pa.array([*numbers.tolist(), None], pa.int32()), pa.array([*names, None], pa.binary()), pa.array([None] * n + [state], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["step", "shard", "names", "state"])
-                number += part.num_rows
-
-    asked = durable(arrow(docs, asking, ASKED))
-    told = answers(asked, built, shards, checks).groupBy("step").agg(F.array_sort(F.collect_list(F.struct("shard", "levels"))).alias("told"))
-    met = asked.where("state is not null").select("step", "state").join(told, "step").select("state", F.col("told.levels").alias("levels"))
+def _met(table: pa.Table, warm: Warm) -> tuple[pa.RecordBatch, Step]:
+    """A bucket's rows (bucket, doc_id, text, held_out), and their tokens and n-grams."""
+    part = table.select(["doc_id", "text", "held_out"]).combine_chunks().to_batches()[0]
+    return part, Step(*tb.buffer_of(part.column(1)), warm)
 
-    def made(batches):
+
+def asked_of(texts: DataFrame, shards: int, parts: int, model) -> DataFrame:
+    """(bucket, part, size, names, n): the distinct n-grams of each bucket by their parts of the filter, as steps from one
+    name to the next, and how often its training rows have them."""
+
+    def made(table: pa.Table) -> pa.Table:
+        part, step = _met(table, model.value[0])
+        n = step.times(~part.column(2).to_numpy(zero_copy_only=False)).astype(np.uint32)
+        order, met, begin = step.parts(shards, parts)
+        names, n = (np.split(v[order], begin[1:]) for v in (step.grams, n))
+        columns = [[table["bucket"][0].as_py()] * len(met), met, [len(x) for x in n], [packed(np.diff(x, prepend=np.uint64(0))) for x in names], [packed(x) for x in n]]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, [pa.int32()] * 3 + [pa.binary()] * 2)], ["bucket", "part", "size", "names", "n"])
+
+    return texts.groupBy("bucket").applyInArrow(made, ASKED)
+
+
+def answers(asked: DataFrame, shards: int, entry_bits: int, checks: int) -> DataFrame:
+    """(bucket, part, size, levels): each part of the filter is made of all counts that are sent to it, and read for all names."""
+
+    def made(table: pa.Table) -> pa.Table:
+        sizes = table["size"].to_pylist()
+        names = np.concatenate([np.cumsum(unpacked(v.as_buffer(), k, np.uint64), dtype=np.uint64) for v, k in zip(table["names"], sizes)])
+        n = np.concatenate([unpacked(v.as_buffer(), k, np.uint32) for v, k in zip(table["n"], sizes)])
+        first, back = tb.distinct(names)
+        name, total = names[first], np.bincount(back, weights=n).astype(np.int64)
+        known = total > 0
+        levels = filter_of(name[known], total[known], shards, entry_bits, checks).read(name).astype(np.uint16)[back]
+        told = pa.array([packed(x) for x in np.split(levels, np.cumsum(sizes)[:-1])], pa.binary())
+        return pa.table([table["bucket"], table["part"], table["size"], told], ["bucket", "part", "size", "levels"])
+
+    return asked.groupBy("part").applyInArrow(made, ANSWERED)
+
+
+def _scored(texts: DataFrame, told: DataFrame, shards: int, parts: int, model) -> DataFrame:
+    def made(table: pa.Table, levels: pa.Table) -> pa.Table:
         warm, log_norm, *rest = model.value
-        for batch in batches:
-            for state, levels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                step, row, own = pickle.loads(state)
-                q = np.empty(len(step.grams), dtype=np.int64)
-                q[np.argsort(shard_of(step.grams, shards), kind="stable")] = np.frombuffer(b"".join(levels), dtype=np.uint16)
-                part = pa.RecordBatch.from_arrays([pa.array(own["doc_id"], pa.int64()), pa.nulls(len(own["doc_id"])), pa.array(own["held_out"], pa.bool_())], ["doc_id", "text", "held_out"])
-                yield _rows(step, row, part, step.scores(q, *rest), warm, log_norm)
+        part, step = _met(table, warm)
+        codes = np.empty(len(step.grams), dtype=np.int64)
+        by = levels.sort_by("part")
+        codes[step.parts(shards, parts)[0]] = np.concatenate([unpacked(v.as_buffer(), k, np.uint16) for v, k in zip(by["levels"], by["size"].to_pylist())])
+        return pa.Table.from_batches([_rows(step, table["bucket"][0].as_py() << 32, part, step.scores(codes, *rest), log_norm)])
 
-    return arrow(met, made, SCORED)
+    return texts.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(made, SCORED)
 
 
 def most_frequent(counts: DataFrame, most: int) -> Warm:
@@ -455,13 +415,14 @@ def _score(docs: DataFrame, shards: int, filter_bits: int, most_warm: int, entry
     total, types, soft, starts = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(value_column(F.col("n"))), F.lit(0.0)), F.coalesce(F.max(F.when(ends, F.col("n"))), F.lit(0))
     ).first()
-    checks = checks_for(types)
-    built = durable(build(count_bigrams(training).union(counts.select("token", "n")), shards, entry_bits, checks))
-    warm = most_frequent(counts, most_warm)
+    warm, checks = most_frequent(counts, most_warm), checks_for(types)
     norm, log_norm = float(soft + 0.5 * (types + 1)), float(np.log10(total + 0.5 * (types + 1)))
-    size, rate = built.agg(F.coalesce(F.sum(F.octet_length("bits").cast("long")), F.lit(0)), F.coalesce(F.sum(F.pow("rate", F.lit(checks))), F.lit(0.0)) / shards).first()
-    model = docs.sparkSession.sparkContext.broadcast((warm, log_norm, float(starts), norm, float(rate * types)))
-    rows = _by_broadcast(docs, whole_filter(built, shards, checks), model) if size * 8 <= filter_bits else _by_shuffle(docs, built, shards, checks, model)
+    model = docs.sparkSession.sparkContext.broadcast((warm, log_norm, float(starts), norm, WORD_RATE**checks * types))
+    # a row has its end token, and about so many entries a token
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + TOKEN_BYTES), F.lit(0))).first()[0]
+    buckets, parts = -(-size // BUCKET_BYTES) or 1, max(1, min(shards, -(-size * checks * entry_bits // (TOKEN_BYTES * max(1, filter_bits)))))
+    texts = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text", "held_out")
+    rows = _scored(texts, answers(asked_of(texts, shards, parts, model), shards, entry_bits, checks), shards, parts, model)
     met = rows.join(counts.withColumnRenamed("n", "c"), ["token", "other"], "left")
     c, is_cold = F.coalesce("c", F.lit(0)), F.col("tf").isNotNull()
     return (
