@@ -66,6 +66,21 @@ def test_nearest_moves_each_block_a_fixed_number_of_times(spark):
     assert len(got) == 3000 and all(r["bank_id"] == np.argsort(d[r["query_id"]], kind="stable")[r["rank"] - 1] for r in got)
 
 
+def test_searches_take_products_in_singles_and_lose_no_row():
+    """Also where singles can't tell the rows apart, or can't hold the values."""
+    rng, k = np.random.default_rng(6), 3
+    plain = rng.normal(size=(300, 8))
+    grid = rng.integers(0, 3, size=(300, 8)).astype(float)
+    for x in (plain, grid, plain * 0, plain + 1e7, plain * 1e30, plain * 1e-30, plain * 10.0 ** rng.integers(-30, 30, size=(300, 1))):
+        i, j = (v.ravel() for v in np.indices((100, 300)))
+        d = knn.distances(x, x, i, j).reshape(100, 300)
+        group = knn._Group([(np.arange(100), x[:100].ravel(), np.sort(d, axis=1)[:, 9], np.array([0]), np.array([0.0]), np.array([1.0]))], k, 8)
+        for a in range(0, 300, 70):
+            group.meet(0, 0.0, 1.0, np.arange(a, min(300, a + 70)), x[a : a + 70], np.ones(len(x[a : a + 70]), np.int64))
+        assert (group.near == np.argsort(d, axis=1, kind="stable")[:, :k]).all() and (group.d == np.sort(d, axis=1)[:, :k]).all()
+        assert group.left.dtype == np.float32
+
+
 def test_nearest_leaves_out_vectors_that_are_not_finite(spark):
     bank = vectors(spark, [[float("nan"), 0], [3, 4]])
     assert [r["distance"] for r in knn.nearest(vectors(spark, [[0, 0]]), bank, 2).collect()] == [5.0]
