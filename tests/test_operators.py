@@ -66,6 +66,24 @@ def test_nearest_moves_each_block_a_fixed_number_of_times(spark):
     assert len(got) == 3000 and all(r["bank_id"] == np.argsort(d[r["query_id"]], kind="stable")[r["rank"] - 1] for r in got)
 
 
+def test_searches_move_vectors_as_singles_where_these_hold_all_of_a_block(spark):
+    """Half the bytes of doubles; the rows are those of doubles. Blocks with a number that only a double holds stay whole."""
+    rng, schema = np.random.default_rng(8), "vec_id long, embedding array<double>"
+    x = np.float32(rng.normal(size=(900, 16))).astype(float)
+    x[::7, 3] *= -0.0
+    mixed = x.copy()
+    mixed[:40] = x[40] + rng.normal(size=(40, 16)) * 1e-12
+    for bank, bytes_each in ((x, {4}), (mixed, {4, 8}), (x * 1e100, {8})):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(bank)], schema)
+        index = knn.indexed(df, 3, block=50, cell_rows=100)
+        asked = knn.stored(knn._asked(df.withColumnsRenamed({"vec_id": "id", "embedding": "v"}), index, 3))
+        assert {r[0] for r in knn._tiles(asked, index).selectExpr("octet_length(values) div (octet_length(ids) * 2)").distinct().collect()} == bytes_each
+        d = np.sqrt(((bank[:, None] - bank[None]) ** 2).sum(axis=2))
+        near = np.argsort(d, axis=1, kind="stable")
+        got = {(r["query_id"], r["rank"]): (r["bank_id"], r["distance"]) for r in knn.nearest(df, index, 3).collect()}
+        assert len(got) == 2700 and all(got[i, k + 1] == (near[i, k], d[i, near[i, k]]) for i in range(900) for k in range(3))
+
+
 def test_searches_take_products_in_singles_and_lose_no_row():
     """Also where singles can't tell the rows apart, or can't hold the values."""
     rng, k = np.random.default_rng(6), 3
